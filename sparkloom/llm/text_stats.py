@@ -61,13 +61,13 @@ def slice_stats(part) -> np.ndarray:
         col["n_symbol_words"][:] = np.bincount(row[np.add.reduceat(symbol, w.start) > 0], minlength=n)
         col["n_long_words"][:] = np.bincount(row[w.end - w.start > 30], minlength=n)
     if m >= 3:
-        one = row[:-2] == row[2:]
-        key = grams(w.hash, 3) ^ salt[row[:-2]]
+        at = np.flatnonzero(row[:-2] == row[2:])  # windows inside a row
+        key = grams(w.hash, 3)[at] ^ salt[row[at]]
         _, back, count = np.unique(key, return_inverse=True, return_counts=True)
-        again = one & (count[back] > 1)
+        again = at[count[back] > 1]
         covered = np.zeros(m, bool)
         for i in range(3):
-            covered[i : m - 2 + i] |= again
+            covered[again + i] = True
         col["n_repeat_words"][:] = np.bincount(row[covered], minlength=n)
     ln = lines(part)
     if len(ln.start):
