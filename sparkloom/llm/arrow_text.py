@@ -41,6 +41,14 @@ def multipliers(n: int) -> np.ndarray:
     return _multipliers[:n]
 
 
+def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Cut batches into parts of about `most` bytes of a column, so that what a task makes of one part stays small."""
+    for b in batches:
+        step = max(1, int(b.num_rows * most / max(1, b[column].nbytes)))
+        for i in range(0, b.num_rows, step):
+            yield b.slice(i, step)
+
+
 @dataclass
 class Slice:
     """Rows first .. first + rows of a batch; data is their UTF-8, bounds the byte offsets of rows in it."""

@@ -19,9 +19,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from .arrow_text import pieces
 from .common import texts
 
 #: Fixed value: the first eight bytes of every PNG file.
@@ -136,7 +136,7 @@ def to_png(docs: DataFrame, level: int = LEVEL) -> DataFrame:
     """doc_id, n_bytes (UTF-8 length of the text), media (the PNG)."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, "text"):
             data = [x or b"" for x in b["text"].cast(pa.binary()).to_pylist()]
             media = [encode_png(padded(x), level=level) for x in data]
             yield pa.record_batch([b["doc_id"], pa.array(map(len, data), pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
@@ -148,7 +148,7 @@ def read_png(images: DataFrame) -> DataFrame:
     """The columns of to_png's result and, from the stored bytes: payload (the samples) and feature (their hash)."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, "media"):
             found = [decode_png(x) for x in b["media"].to_pylist()]
             new = [pa.array([x.tobytes() for x in found], pa.binary()), pa.array(map(cosine_hash, found), pa.string())]
             yield pa.record_batch([b["doc_id"], b["n_bytes"], b["media"], *new], ["doc_id", "n_bytes", "media", "payload", "feature"])
