@@ -2,16 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, mixing, quality_rules
+from . import bpe, media, mixing, quality_classifier, quality_rules, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _fold(parts: int) -> Column:
+    """The remainder by which the contracts hold documents out."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
+
+
+def _verdict(scores: DataFrame, held_out: Column) -> DataFrame:
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), _fold(3) != 1)
+    return _verdict(scores, _fold(3) == 1)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.judged(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("probability", 6).alias("probability"))
@@ -45,6 +59,11 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("doc_id", F.col("mix_words").alias("size"), F.col("mix_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_words") * F.col("mix_passes")).alias("taken"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = quality_classifier.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), _fold(4) != 2)
+    return _verdict(scores, _fold(4) == 2)
+
+
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, md5(coalesce(cast(doc_id AS varchar), '')) AS deal,
