@@ -1,8 +1,9 @@
 """Quality rules by weak supervision (operator 2).
 
 Each rule votes good, bad or abstains on a document's statistics. The numbers
-of documents with each pattern of votes (3 ** len(RULES) at most) are summed by
-Spark; expectation-maximisation on these counts estimates the share of good
+of documents with each pattern of votes (3 ** len(rules()) at most) are summed by
+Spark, over the documents that pass the base rule (the others are rejected
+whatever the votes, and would otherwise shape the class of bad documents); expectation-maximisation on these counts estimates the share of good
 documents and how each rule votes on good and on bad ones, and the posterior
 probability of "good" given a document's pattern decides, instead of asking
 that every rule passes. The table of patterns is what is broadcast.
@@ -37,8 +38,10 @@ def rules() -> dict[str, Column]:
     """Each rule as a vote over the columns of text_stats."""
     mean_length = _share("word_chars", "n_words")
     return {
-        "length": _vote(F.col("n_words") < 50, F.col("n_words") >= 100),
+        "length": _vote(F.col("n_words") < 60, F.col("n_words") >= 100),
         "symbols": _vote(_share("n_symbols", "n_words") > 0.1, _share("n_symbols", "n_words") < 0.02),
+        "symbol_words": _vote(_share("n_symbol_words", "n_words") > 0.1, _share("n_symbol_words", "n_words") < 0.03),
+        "letters": _vote(_share("n_letters", "word_chars") < 0.86, _share("n_letters", "word_chars") > 0.92),
         "word_length": _vote((mean_length < 2.5) | (mean_length > 12), mean_length.between(3, 10)),
         "upper": _vote(_share("n_upper", "n_letters") > 0.3, _share("n_upper", "n_letters") < 0.12),
         "repeats": _vote(_share("n_repeat_words", "n_words") > 0.3, _share("n_repeat_words", "n_words") < 0.15),
@@ -48,18 +51,22 @@ def rules() -> dict[str, Column]:
     }
 
 
-def fit(votes: np.ndarray, counts: np.ndarray, rounds: int = 100, share: float = 0.8, right: float = 0.8, weight: float = 10.0) -> np.ndarray:
+#: What a rule is taken to do before any votes are seen: shares of bad, good and no votes on bad and on good documents.
+#: A bad document breaks some rules, not all; a good one hardly any.
+PRIOR = ((0.35, 0.50, 0.15), (0.02, 0.80, 0.18))
+
+
+def fit(votes: np.ndarray, counts: np.ndarray, rounds: int = 100, share: float = 0.8, weight: float = 0.02) -> np.ndarray:
     """Posterior probability of good for each vote pattern (rows of votes, with so many documents each).
 
-    A rule has its own distribution over good / bad / abstain for either class.
-    The prior counts (`weight` documents, of which the share `right` of votes is
-    right) break the symmetry between the classes.
+    A rule has its own distribution over bad / good / abstain for either class.
+    PRIOR, worth `weight` times the documents and 10 at least, breaks the
+    symmetry between the classes.
     """
     n = votes.shape[1]
     hot = np.eye(3)[votes]  # pattern, rule, vote
-    prior = np.empty((2, 3))
-    prior[1] = (1 - right) / 2, right, (1 - right) / 2
-    prior[0] = right, (1 - right) / 2, (1 - right) / 2
+    prior = np.array(PRIOR)
+    weight = max(10.0, weight * counts.sum())
     table = np.repeat(prior[:, None, :], n, axis=1)  # class, rule, vote
     p = share
     post = np.full(len(votes), share)
@@ -78,8 +85,9 @@ def judged(docs: DataFrame, keep: float = KEEP) -> DataFrame:
     names = list(rules())
     stats = text_stats(docs)
     pattern = sum((v * 3**i for i, v in enumerate(rules().values())), F.lit(0))
+    stats = stats.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     stats = staged(stats.withColumn("pattern", pattern.cast("int")), "quality")
-    seen = stats.groupBy("pattern").count().collect()  # 3 ** len(rules) rows at most
+    seen = stats.filter(~F.col("base_failed")).groupBy("pattern").count().collect()  # 3 ** len(rules) rows at most
     spark = docs.sparkSession
     found = []
     if seen:
@@ -87,9 +95,8 @@ def judged(docs: DataFrame, keep: float = KEEP) -> DataFrame:
         votes = np.stack([codes // 3**i % 3 for i in range(len(names))], axis=1)
         found = list(zip(codes.tolist(), fit(votes, np.array([r["count"] for r in seen], float)).tolist(), strict=True))
     table = spark.createDataFrame(found, "pattern int, probability double")
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = stats.join(F.broadcast(table), "pattern", "left").drop("pattern").withColumn("base_failed", failed)
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("probability") >= keep))
+    out = stats.join(F.broadcast(table), "pattern", "left").drop("pattern")
+    return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("probability", F.lit(0.0)) >= keep))
 
 
 def kept(docs: DataFrame, keep: float = KEEP) -> DataFrame:
