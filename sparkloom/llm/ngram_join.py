@@ -138,6 +138,6 @@ def joined(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFr
 
 
 def representatives(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """One document of each component, the one with the least doc_id, with docs' columns; documents without words stay."""
-    keep = joined(docs, k, num, den).filter((F.col("doc_id") == F.col("component_id")) | F.col("component_id").isNull()).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["kept_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    """One document of each component, the one with the least doc_id, with docs' columns; of rows with one doc_id one stays; those without a doc_id stay."""
+    keep = joined(docs, k, num, den).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
