@@ -1,12 +1,13 @@
 """Similarity links between sets that share tokens, and connected components, without ever pairing a whole group.
 
 Input rows (token, node, n, pos) say that a set (node, of n elements) holds a
-token at place pos of its ordered prefix. In step one each set is paired with
-the leader of each of its tokens only (the least node), so candidates grow with
-the rows and not with the square of a group. The links found give components.
-In step two only tokens whose sets still lie in different components matter: a
-set outside the token's largest component is paired with the sets of other
-components. Pairs inside one component need no test, so no component is lost.
+token at place pos of its ordered prefix. In each round every set is tested
+against one member of one of its tokens, so candidates grow with the sets and
+not with the square of a group, and the links give components. Later rounds
+only look at sets outside the largest component of a token. When a round finds
+no link or few pairs are left, each set outside a token's largest component is
+tested against all sets of other components there. Pairs inside one component
+need no test, and no pair is tested twice, so no component is lost.
 """
 
 from __future__ import annotations
@@ -23,6 +24,11 @@ from .common import staged
 
 #: Bits of the filter that says which rows a later join may need; a table of at most _BITS / 64 rows.
 _BITS = 1 << 24
+#: Most rounds of one test per set, and number of pairs that are tested at once without further rounds.
+ROUNDS, FEW = 6, 50_000
+#: (node, text) of the nodes asked for; the sorted distinct 64-bit hashes of each text of a column.
+Fetch = Callable[[DataFrame], DataFrame]
+Sets = Callable[[pa.Array], Iterator[np.ndarray]]
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -69,16 +75,15 @@ def long_enough(n: Column, m: Column, num: int, den: int) -> Column:
     return F.least(n, m) * den >= F.greatest(n, m) * num
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets (node, items: sorted 64-bit hashes in bytes) have Jaccard similarity num / den or more."""
-    left = sets.select(F.col("node").alias("a"), F.col("items").alias("left"))
-    right = sets.select(F.col("node").alias("b"), F.col("items").alias("right"))
+def verified(pairs: DataFrame, texts: DataFrame, sets: Sets, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose texts (node, text) have sets of Jaccard similarity num / den or more."""
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("left"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("right"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "left"):
             same = []
-            for x, y in zip(b["left"].to_pylist(), b["right"].to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(sets(b["left"]), sets(b["right"]), strict=True):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 same.append(den * both >= num * (len(x) + len(y) - both))
             yield pa.record_batch([b["a"], b["b"]], ["a", "b"]).filter(pa.array(same, pa.bool_()))
@@ -86,36 +91,58 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
-def linked(tokens: DataFrame, fetch: Callable[[DataFrame], DataFrame], num: int, den: int, prune: Callable[[DataFrame], DataFrame] = lambda p: p) -> DataFrame:
-    """(node, component) of all sets with a link. tokens: token, node, n, pos; fetch gives (node, items) of the nodes asked for; prune may drop candidate pairs (a, b)."""
-    holds = F.struct("node", "n", "pos")
-    groups = tokens.groupBy("token").agg(F.min(holds).alias("lead"), F.max("node").alias("last")).filter("lead.node < last").drop("last")
+def linked(tokens: DataFrame, fetch: Fetch, sets: Sets, num: int, den: int, prune: Callable[[DataFrame], DataFrame] = lambda p: p) -> DataFrame:
+    """(node, component) of all sets with a link.
+
+    tokens: token, node, n, pos; fetch gives (node, text) of the nodes asked
+    for and sets the sorted hashes of each text; prune may drop pairs (a, b).
+    """
+    groups = tokens.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("token")
     live = staged(tokens.join(groups, "token"), "shared")
 
     def near(n: Column, pos: Column, m: Column, at: Column) -> Column:
         left = F.least(n - pos, m - at) * (num + den) >= num * (n + m)  # positional filter, for the first common token
         return long_enough(n, m, num, den) & left
 
-    star = live.filter((F.col("node") != F.col("lead.node")) & near(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos")))
-    star = star.select(F.col("node").alias("a"), F.col("lead.node").alias("b")).distinct()
-    star = staged(prune(star), "pairs")
-    edges = staged(_test(star, fetch, num, den), "links")
-    part = staged(components(edges), "parts")
-    own = live.drop("lead").join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    counted = own.groupBy("token", "component").agg(F.count(F.lit(1)).alias("rows"))
-    mixed = counted.groupBy("token").agg(F.max_by("component", F.struct("rows", "component")).alias("major"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("token", "major")
-    rest = staged(own.join(mixed, "token"), "rest")
-    few = rest.filter("component <> major").select("token", F.col("node").alias("a"), F.col("n").alias("an"), F.col("pos").alias("ap"), F.col("component").alias("ac"))
-    many = rest.select("token", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bp"), F.col("component").alias("bc"), "major")
-    cross = few.join(many, (few["token"] == many["token"]) & (F.col("ac") != F.col("bc")) & ((F.col("bc") == F.col("major")) | (F.col("ac") < F.col("bc"))) & near(F.col("an"), F.col("ap"), F.col("bn"), F.col("bp")))
-    cross = cross.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    cross = staged(prune(cross), "pairs")
-    more = staged(_test(cross, fetch, num, den), "links")
+    part, edges, tested = None, None, None
+    for turn in range(ROUNDS + 1):
+        rows = live.withColumn("component", F.col("node")) if part is None else live.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        by_part = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("rows"), F.min_by(F.struct("node", "n", "pos"), F.xxhash64("node", F.lit(turn))).alias("lead"))
+        per_token = by_part.groupBy("token").agg(F.max_by(F.struct("component", "lead"), F.struct("rows", "component")).alias("major"), F.sum("rows").alias("rows"), F.max("rows").alias("most"))
+        if part is None:  # every set is on its own: the major one of a token is its leader
+            lead = F.min_by(F.struct("node", "n", "pos"), F.xxhash64("node")).alias("lead")
+            per_token = rows.groupBy("token").agg(lead, F.count(F.lit(1)).alias("rows")).select("token", F.struct(F.col("lead.node").alias("component"), "lead").alias("major"), "rows", F.lit(1).cast("long").alias("most"))
+        mixed = per_token.filter("rows > most")
+        rest = staged(rows.join(mixed, "token"), "rest")
+        few = rest.filter(F.col("component") != F.col("major.component"))
+        if part is not None:
+            size = rest.select("token", "rows", "most").distinct().agg(F.sum((F.col("rows") - F.col("most")) * F.col("rows"))).first()[0] or 0
+            if turn == ROUNDS or size <= FEW or not found:
+                break
+        lead = F.col("major.lead")
+        few = few.filter((F.col("node") != lead["node"]) & near(F.col("n"), F.col("pos"), lead["n"], lead["pos"]))
+        pairs = few.groupBy(F.col("node").alias("x")).agg(F.max_by(lead["node"], F.struct("rows", F.xxhash64("token"))).alias("y"))
+        pairs = _new(pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), tested)
+        new = staged(verified(pairs, fetch(_nodes(pairs)), sets, num, den), "links")
+        found = new.limit(1).count()
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        edges = new if edges is None else edges.unionByName(new)
+        if found or part is None:
+            part = staged(components(edges), "parts")
+    few = rest.filter(F.col("component") != F.col("major.component")).select("token", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("pos").alias("xp"), F.col("component").alias("xc"))
+    many = rest.select("token", F.col("node").alias("y"), F.col("n").alias("yn"), F.col("pos").alias("yp"), F.col("component").alias("yc"), F.col("major.component").alias("major"))
+    apart = (F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("major")) | (F.col("xc") < F.col("yc")))
+    cross = few.join(many, (few["token"] == many["token"]) & apart & near(F.col("xn"), F.col("xp"), F.col("yn"), F.col("yp")))
+    cross = _new(prune(cross.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()), tested)
+    more = staged(verified(cross, fetch(_nodes(cross)), sets, num, den), "links")
     if more.limit(1).count() == 0:
         return part
     return components(edges.unionByName(more))
 
 
-def _test(pairs: DataFrame, fetch: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    return verified(pairs, fetch(nodes), num, den)
+def _new(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
+    return staged(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+
+
+def _nodes(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()

@@ -112,14 +112,8 @@ def joined(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFr
 
     def fetch(nodes: DataFrame) -> DataFrame:
         wanted = staged(classes.join(nodes, "node").select("node", "doc_id"), "wanted")
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in pieces(batches, "text", 8 << 20):
-                sets = list(shingle_sets(b["text"], k))
-                yield pa.record_batch([pa.array([class_of(s)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "items"])
-
-        found = among(texts(docs), "doc_id", wanted).select("text").mapInArrow(run, "node long, items binary")
-        return staged(found.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("items").alias("items")), "sets")
+        found = among(texts(docs), "doc_id", wanted).join(wanted, "doc_id")
+        return found.select("node", "text").dropDuplicates(["node"])
 
     def prune(pairs: DataFrame) -> DataFrame:
         """Suffix filter: the overlap is at most the sum over hash ranges of the smaller count."""
@@ -129,7 +123,7 @@ def joined(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFr
         good = long_enough(F.col("an"), F.col("bn"), num, den) & (most * (num + den) >= num * (F.col("an") + F.col("bn")))
         return pairs.join(x, "a").join(y, "b").filter(good).select("a", "b")
 
-    part = linked(tokens, fetch, num, den, prune)
+    part = linked(tokens, fetch, lambda column: shingle_sets(column, k), num, den, prune)
     named = classes.select("node", F.col("doc_id").alias("least")).join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.select("node", "component").join(least, "component").select("node", "component_id")

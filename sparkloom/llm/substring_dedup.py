@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .arrow_text import code_points, lines, mix, pieces, shingle_set, slices, words
 from .common import staged, texts
 from .linking import among, linked
-from .ngram_join import class_of
+from .ngram_join import class_of, shingle_sets
 
 MIN_WORDS = 25
 RECALL = 0.995
@@ -98,20 +98,17 @@ def repeated(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, min_wor
     bands, rows = tuned(num / den)
     found = staged(paragraphs(docs, k, min_words).distinct(), "paragraphs")
     shared = staged(tokens(docs, k, min_words, bands, rows), "bands")
-    classes = found.filter(F.col("doc_id").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    classes = found.filter(F.col("doc_id").isNotNull()).groupBy("node").agg(F.min(F.struct("doc_id", "start", "end")).alias("at")).select("node", "at.*")
 
     def fetch(nodes: DataFrame) -> DataFrame:
-        wanted = staged(classes.join(nodes, "node").select("node", "doc_id"), "wanted")
+        wanted = staged(classes.join(nodes, "node"), "wanted")
+        cut = F.substring("text", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))
+        return among(texts(docs), "doc_id", wanted).join(wanted, "doc_id").select("node", cut.alias("text")).dropDuplicates(["node"])
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in pieces(batches, "text", 8 << 20):
-                sets = {class_of(x)[0]: x for *_, x in paragraphs_of(b["text"], k, min_words)}
-                yield pa.record_batch([pa.array(list(sets), pa.int64()), pa.array([x.tobytes() for x in sets.values()], pa.binary())], ["node", "items"])
+    def sets(column: pa.Array) -> Iterator[np.ndarray]:
+        return shingle_sets(column, k)
 
-        sets = among(texts(docs), "doc_id", wanted).select("text").mapInArrow(run, "node long, items binary")
-        return staged(among(sets, "node", wanted).join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("items").alias("items")), "sets")
-
-    part = linked(shared, fetch, num, den)
+    part = linked(shared, fetch, sets, num, den)
     own = found.join(part, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node")
     groups = own.groupBy("component").agg(F.count(F.lit(1)).alias("n_copies"), F.min(F.struct("doc_id", "start")).alias("lead")).filter("n_copies > 1")
     out = own.join(groups, "component")
