@@ -88,11 +88,16 @@ def embeddable(content: Column) -> Column:
     return F.when(F.trim(content) == "", F.lit(None)).when(content.rlike(r"(?m)^(diff --git|@@ )"), preprocess(content)).otherwise(content)
 
 
+def _matching(pattern: Column):
+    return lambda x: F.regexp_like(x, pattern)
+
+
 def has_boundary(lines: Column, extension: Column) -> Column:
     """Whether any line begins a unit of code in the language of this extension."""
     hit = F.lit(False)
     for name, patterns in BOUNDARIES.items():
-        hit = F.when(extension == name, F.exists(lines, lambda x, p=patterns: F.regexp_like(x, F.lit("|".join(f"(?:{y})" for y in p))))).otherwise(hit)
+        any_of = F.lit("|".join(f"(?:{p})" for p in patterns))
+        hit = F.when(extension == name, F.exists(lines, _matching(any_of))).otherwise(hit)
     return hit
 
 
