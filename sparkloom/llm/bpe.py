@@ -3,8 +3,8 @@
 The vocabulary of a byte-pair tokenizer tells which two adjacent bytes ever
 stand next to each other inside a token. A pair of bytes that stands inside no
 token can't be merged across, so the text is certainly cut there. The fragments
-between such cuts are encoded independently (and only once for each worker
-that keeps them at hand) and the ids are concatenated.
+between such cuts are encoded independently and the ids are concatenated; a worker
+keeps the ids of up to MOST_WORDS words at hand.
 
 The tokenizer is read from a JSON file (its path is a parameter) on the driver
 and its text, a few MB at most, is broadcast. Supported is the layout of
@@ -53,7 +53,7 @@ def split_pattern() -> regex.Pattern:
 SPLIT_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 SPLIT = split_pattern()
 #: A worker forgets its words beyond this number.
-MOST_WORDS = 400_000
+MOST_WORDS = 150_000
 #: Fragments up to this length are merged by plain scans.
 SHORT = 48
 
@@ -70,17 +70,29 @@ def byte_symbols() -> list[str]:
     return out
 
 
+def token_names(source: str) -> list[str]:
+    """The token of each id, special ones included."""
+    spec = json.loads(source)
+    names = {**spec["model"]["vocab"], **{t["content"]: t["id"] for t in spec["added_tokens"]}}
+    out = [""] * (1 + max(names.values()))
+    for name, i in names.items():
+        out[i] = name
+    return out
+
+
+def decode(ids: bytes, names: list[str]) -> str:
+    """The names of ids with single spaces between; this layout has no further decoder."""
+    return " ".join(map(names.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
 class Tokenizer:
-    """ids of texts and texts of ids, from the text of a tokenizer's JSON file."""
+    """ids of texts, from the text of a tokenizer's JSON file."""
 
     def __init__(self, source: str):
         spec = json.loads(source)
         model = spec["model"]
         vocab, self.suffix = model["vocab"], model["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.names = [""] * (1 + max([*vocab.values(), *self.special.values()]))
-        for name, i in [*vocab.items(), *self.special.items()]:
-            self.names[i] = name
         symbols = byte_symbols()
         code = {c: b for b, c in enumerate(symbols)}
         self.alone = [vocab[c] for c in symbols]
@@ -98,7 +110,6 @@ class Tokenizer:
                 self.joined.add(data[i - 1] << 9 | data[i] | (256 if ends and i == len(data) - 1 else 0))
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.words: dict[str, bytes] = {}
-        self.fragments: dict[tuple[bytes, bool], list[int]] = {}
 
     def merge(self, data: bytes, final: bool) -> list[int]:
         """Repeatedly merge the leftmost pair of the lowest rank."""
@@ -152,21 +163,11 @@ class Tokenizer:
         end = len(data) - 1
         for i in range(1, end + 1):
             if (data[i - 1] << 9 | data[i] | (256 if i == end else 0)) not in self.joined:
-                out += self._fragment(data[a:i], False)
+                out += self.merge(data[a:i], False)
                 a = i
-        out += self._fragment(data[a:], True)
+        out += self.merge(data[a:], True)
         return np.array(out, "<u4").tobytes()
 
-    def _fragment(self, data: bytes, final: bool) -> list[int]:
-        if len(data) > 8:
-            return self.merge(data, final)
-        found = self.fragments.get((data, final))
-        if found is None:
-            if len(self.fragments) >= MOST_WORDS:
-                self.fragments.clear()
-            found = self.fragments[data, final] = self.merge(data, final)
-        return found
-
     def split(self, text: str) -> list[str]:
         """Words of a text without special tokens."""
         if text.isascii():
@@ -192,10 +193,6 @@ class Tokenizer:
             out += map(known.__getitem__, found)
         return b"".join(out)
 
-    def decode(self, ids: bytes) -> str:
-        """The names of ids, special ones included, with single spaces between; this layout has no further decoder."""
-        return " ".join(map(self.names.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-
 
 _tokenizers: dict[int, Tokenizer] = {}
 
@@ -226,9 +223,9 @@ def decoded(tokens: DataFrame, path: str) -> DataFrame:
     source = _read(tokens, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(source.value)
+        names = token_names(source.value)
         for b in pieces(batches, "ids"):
-            yield pa.record_batch([b["doc_id"], b["ids"], pa.array([t.decode(x) for x in b["ids"].to_pylist()], pa.large_string()).cast(pa.string())], ["doc_id", "ids", "text"])
+            yield pa.record_batch([b["doc_id"], b["ids"], pa.array([decode(x, names) for x in b["ids"].to_pylist()], pa.large_string()).cast(pa.string())], ["doc_id", "ids", "text"])
 
     return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")
 

@@ -2,9 +2,10 @@
 
 Input rows (token, node, n, pos) say that a set (node, of n elements) holds a
 token at place pos of its ordered prefix. In each round every set is tested
-against one member of one of its tokens, so candidates grow with the sets and
-not with the square of a group, and the links give components. Later rounds
-only look at sets outside the largest component of a token. When a round finds
+against a few members of one of its tokens (first the one that shares most with
+others), so candidates grow with the sets and not with the square of a group,
+and the links give components. Later rounds only look at sets outside the
+largest component of a token. When a round finds
 no link or few pairs are left, each set outside a token's largest component is
 tested against all sets of other components there. Pairs inside one component
 need no test, and no pair is tested twice, so no component is lost.
@@ -24,8 +25,10 @@ from .common import staged
 
 #: Bits of the filter that says which rows a later join may need; a table of at most _BITS / 64 rows.
 _BITS = 1 << 24
-#: Most rounds of one test per set, and number of pairs that are tested at once without further rounds.
-ROUNDS, FEW = 6, 50_000
+#: Most rounds, tests of a set in each but the first, and pairs per row that are compared by their traits without further rounds.
+ROUNDS, TESTS, EACH = 4, 8, 1000
+#: 64-bit integers of a signature (512 bits).
+WORDS = 8
 #: (node, text) of the nodes asked for; the sorted distinct 64-bit hashes of each text of a column.
 Fetch = Callable[[DataFrame], DataFrame]
 Sets = Callable[[pa.Array], Iterator[np.ndarray]]
@@ -91,49 +94,70 @@ def verified(pairs: DataFrame, texts: DataFrame, sets: Sets, num: int, den: int)
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
-def linked(tokens: DataFrame, fetch: Fetch, sets: Sets, num: int, den: int, prune: Callable[[DataFrame], DataFrame] = lambda p: p) -> DataFrame:
+def bits_of(of: np.ndarray, g: np.ndarray, n: int) -> np.ndarray:
+    """Signatures: for n sets, WORDS 64-bit integers each, with the bits of their elements' hashes g; of: the set of each element."""
+    seen = np.zeros((n, 64 * WORDS), np.uint8)
+    seen[of, (g >> np.uint64(64 - 9)).astype(np.int64)] = 1
+    return np.packbits(seen, axis=1, bitorder="little").view("<i8").reshape(n, WORDS)
+
+
+def overlap(x: Column, y: Column, n: Column, m: Column) -> Column:
+    """Upper bound of the overlap of two sets of n and m elements by their signatures x and y (structs s0 ..): each bit that only one has is an element that only it has."""
+    def only(p: Column, q: Column) -> Column:
+        return sum((F.bit_count(p[f"s{i}"].bitwiseAND(F.bitwise_not(q[f"s{i}"]))) for i in range(WORDS)), F.lit(0))
+
+    return F.least(n - only(x, y), m - only(y, x))
+
+
+def linked(tokens: DataFrame, fetch: Fetch, sets: Sets, num: int, den: int, traits: DataFrame, fits: Callable[[Column, Column], Column]) -> DataFrame:
     """(node, component) of all sets with a link.
 
     tokens: token, node, n, pos; fetch gives (node, text) of the nodes asked
-    for and sets the sorted hashes of each text; prune may drop pairs (a, b).
+    for and sets the sorted hashes of each text; traits: node and trait (a
+    struct); fits(x, y) is false only for traits of sets that can't be linked.
     """
-    groups = tokens.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("token")
+    groups = tokens.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("rows")).filter("lo < hi").select("token", "rows")
     live = staged(tokens.join(groups, "token"), "shared")
+    # what many others share most of is most likely near to all of them: it leads
+    fame = live.groupBy("node").agg(F.sum("rows").alias("fame"))
+    live = staged(live.drop("rows").join(fame, "node"), "shared")
 
     def near(n: Column, pos: Column, m: Column, at: Column) -> Column:
         left = F.least(n - pos, m - at) * (num + den) >= num * (n + m)  # positional filter, for the first common token
         return long_enough(n, m, num, den) & left
 
-    part, edges, tested = None, None, None
+    part, edges, tested, found = None, None, None, 0
     for turn in range(ROUNDS + 1):
         rows = live.withColumn("component", F.col("node")) if part is None else live.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        by_part = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("rows"), F.min_by(F.struct("node", "n", "pos"), F.xxhash64("node", F.lit(turn))).alias("lead"))
-        per_token = by_part.groupBy("token").agg(F.max_by(F.struct("component", "lead"), F.struct("rows", "component")).alias("major"), F.sum("rows").alias("rows"), F.max("rows").alias("most"))
-        if part is None:  # every set is on its own: the major one of a token is its leader
-            lead = F.min_by(F.struct("node", "n", "pos"), F.xxhash64("node")).alias("lead")
-            per_token = rows.groupBy("token").agg(lead, F.count(F.lit(1)).alias("rows")).select("token", F.struct(F.col("lead.node").alias("component"), "lead").alias("major"), "rows", F.lit(1).cast("long").alias("most"))
+        who = F.struct("node", "n", "pos")
+        leads = F.array(F.max_by(who, F.struct("fame", "node")), *[F.min_by(who, F.xxhash64("node", F.lit(TESTS * turn + i))) for i in range(1, TESTS if turn else 1)])
+        if part is None:  # every set is on its own
+            per_token = rows.groupBy("token").agg(leads.alias("leads"), F.count(F.lit(1)).alias("rows")).withColumn("most", F.lit(1).cast("long")).withColumn("major", F.col("leads")[0]["node"])
+        else:
+            by_part = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("rows"), leads.alias("leads"))
+            per_token = by_part.groupBy("token").agg(F.max_by("leads", F.struct("rows", "component")).alias("leads"), F.max_by("component", F.struct("rows", "component")).alias("major"), F.sum("rows").alias("rows"), F.max("rows").alias("most"))
         mixed = per_token.filter("rows > most")
         rest = staged(rows.join(mixed, "token"), "rest")
-        few = rest.filter(F.col("component") != F.col("major.component"))
+        few = rest.filter(F.col("component") != F.col("major"))
         if part is not None:
             size = rest.select("token", "rows", "most").distinct().agg(F.sum((F.col("rows") - F.col("most")) * F.col("rows"))).first()[0] or 0
-            if turn == ROUNDS or size <= FEW or not found:
+            if turn == ROUNDS or size <= EACH * rest.count() or not found:
                 break
-        lead = F.col("major.lead")
-        few = few.filter((F.col("node") != lead["node"]) & near(F.col("n"), F.col("pos"), lead["n"], lead["pos"]))
-        pairs = few.groupBy(F.col("node").alias("x")).agg(F.max_by(lead["node"], F.struct("rows", F.xxhash64("token"))).alias("y"))
-        pairs = _new(pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), tested)
+        few = few.withColumn("others", F.filter("leads", lambda x: (x["node"] != F.col("node")) & near(F.col("n"), F.col("pos"), x["n"], x["pos"]))).filter(F.size("others") > 0)
+        few = few.groupBy(F.col("node").alias("x")).agg(F.max_by("others", F.struct("rows", F.xxhash64("token"))).alias("others")).select("x", F.explode("others.node").alias("y"))
+        pairs = _new(few.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), tested)
         new = staged(verified(pairs, fetch(_nodes(pairs)), sets, num, den), "links")
         found = new.limit(1).count()
         tested = pairs if tested is None else tested.unionByName(pairs)
         edges = new if edges is None else edges.unionByName(new)
         if found or part is None:
             part = staged(components(edges), "parts")
-    few = rest.filter(F.col("component") != F.col("major.component")).select("token", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("pos").alias("xp"), F.col("component").alias("xc"))
-    many = rest.select("token", F.col("node").alias("y"), F.col("n").alias("yn"), F.col("pos").alias("yp"), F.col("component").alias("yc"), F.col("major.component").alias("major"))
+    rest = rest.select("token", "node", "n", "pos", "component", "major").join(traits.select("node", "trait"), "node")
+    few = rest.filter(F.col("component") != F.col("major")).select("token", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("pos").alias("xp"), F.col("component").alias("xc"), "major", F.col("trait").alias("xt"))
+    many = rest.select("token", F.col("node").alias("y"), F.col("n").alias("yn"), F.col("pos").alias("yp"), F.col("component").alias("yc"), F.col("trait").alias("yt"))
     apart = (F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("major")) | (F.col("xc") < F.col("yc")))
-    cross = few.join(many, (few["token"] == many["token"]) & apart & near(F.col("xn"), F.col("xp"), F.col("yn"), F.col("yp")))
-    cross = _new(prune(cross.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()), tested)
+    cross = few.join(many, (few["token"] == many["token"]) & apart & near(F.col("xn"), F.col("xp"), F.col("yn"), F.col("yp")) & fits(F.col("xt"), F.col("yt")))
+    cross = _new(cross.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), tested)
     more = staged(verified(cross, fetch(_nodes(cross)), sets, num, den), "links")
     if more.limit(1).count() == 0:
         return part

@@ -1,7 +1,7 @@
 """Substring dedup (operator 6): repeated paragraphs across and inside documents.
 
-A paragraph is a non-empty line of MIN_WORDS words or more. Equal sets of word
-shingles form a class; each class has a MinHash signature whose bands (tuned by
+A paragraph is a non-empty line of MIN_WORDS words or more. Equal shingles form
+a class; each class has a MinHash signature whose bands (tuned by
 `tuned` to reach RECALL at the wanted similarity with the fewest rows) are the
 tokens on which classes meet. Colliding classes are verified by exact Jaccard
 similarity (see linking.py), and components of the links cluster the
@@ -19,13 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import code_points, lines, mix, pieces, shingle_set, slices, words
+from .arrow_text import code_points, grams, lines, mix, pieces, slices, words
 from .common import staged, texts
-from .linking import among, linked
-from .ngram_join import class_of, shingle_sets
+from .linking import WORDS, among, bits_of, linked, long_enough, overlap
+from .ngram_join import shingle_sets
 
 MIN_WORDS = 25
 RECALL = 0.995
@@ -38,77 +38,75 @@ def tuned(similarity: float, recall: float = RECALL, most: int = 64) -> tuple[in
     return bands, rows
 
 
-def band_tokens(items: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One 63-bit token for each band of the MinHash signature of a set."""
-    seeds = mix(np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
-    low = mix(items[None, :] ^ seeds[:, None]).min(axis=1).reshape(bands, rows)
-    token = np.arange(bands, dtype=np.uint64)
-    for r in range(rows):
-        token = mix(token ^ low[:, r])
-    return (token >> np.uint64(1)).astype(np.int64)
+def band_tokens(g: np.ndarray, start: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """63-bit tokens, one for each paragraph and band, of the MinHash signatures; g: shingle hashes, paragraph i begins at start[i] and ends where the next begins."""
+    seeds = mix(np.arange(1, 2 * bands * rows + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
+    token = np.empty((len(start), bands), np.uint64)
+    for b in range(bands):
+        own = np.full(len(start), b, np.uint64)
+        for r in range(rows):
+            i = 2 * (b * rows + r)
+            x = (g ^ seeds[i]) * (seeds[i + 1] | np.uint64(1))
+            own = mix(own ^ np.minimum.reduceat(x ^ (x >> np.uint64(32)), start))
+        token[:, b] = own
+    return (token >> np.uint64(1)).view(np.int64)
 
 
-def paragraphs_of(column: pa.Array, k: int, min_words: int) -> Iterator[tuple[int, int, int, int, np.ndarray]]:
-    """Row, start and end in code points, number of words and shingle set of each paragraph."""
-    for part in slices(column):
-        w, ln = words(part, lower=True), lines(part)
-        a, b = np.searchsorted(w.start, ln.start), np.searchsorted(w.start, ln.end)
-        points = np.r_[0, np.cumsum(code_points(part.data))]
-        row = np.searchsorted(ln.first, np.arange(len(ln.start)), "right") - 1
-        base = points[part.bounds[:-1]]
-        for i in np.flatnonzero(b - a >= min_words).tolist():
-            at = base[row[i]]
-            yield part.first + int(row[i]), int(points[ln.start[i]] - at), int(points[ln.end[i]] - at), int(b[i] - a[i]), shingle_set(w.hash[a[i] : b[i]], k)
-
-
-def paragraphs(docs: DataFrame, k: int, min_words: int) -> DataFrame:
-    """doc_id, start, end, n_words, node (class) of each paragraph."""
+def paragraphs(docs: DataFrame, k: int, min_words: int, bands: int, rows: int) -> DataFrame:
+    """doc_id, start and end (code points), n_words, node (hash of the shingles), n (distinct shingles), tokens (one a band) and bits (signature) of each paragraph."""
+    names = ["doc_id", "start", "end", "n_words", "node", "n", "tokens", "bits"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text", 8 << 20):
-            rows = [(r, s, e, n, class_of(x)[0]) for r, s, e, n, x in paragraphs_of(b["text"], k, min_words)]
-            if rows:
-                r, s, e, n, c = (np.array(x, np.int64) for x in zip(*rows, strict=True))
-                yield pa.record_batch([b["doc_id"].take(pa.array(r)), pa.array(s), pa.array(e), pa.array(n), pa.array(c)], ["doc_id", "start", "end", "n_words", "node"])
-
-    return texts(docs).mapInArrow(run, "doc_id long, start long, end long, n_words long, node long")
-
-
-def tokens(docs: DataFrame, k: int, min_words: int, bands: int, rows: int) -> DataFrame:
-    """(token, node, n, pos) of each class and band."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text", 8 << 20):
-            token, node, n, seen = [], [], [], set()
-            for *_, items in paragraphs_of(b["text"], k, min_words):
-                c = class_of(items)[0]
-                if c not in seen:
-                    seen.add(c)
-                    token.append(band_tokens(items, bands, rows))
-                    node.append(c)
-                    n.append(len(items))
-            if token:
-                yield pa.record_batch([pa.array(np.concatenate(token)), pa.array(np.repeat(node, bands)), pa.array(np.repeat(n, bands).astype(np.int32)), pa.array(np.zeros(len(node) * bands, np.int32))], ["token", "node", "n", "pos"])
-
-    return texts(docs).select("text").mapInArrow(run, "token long, node long, n int, pos int")
+        for batch in pieces(batches, "text", 8 << 20):
+            for part in slices(batch["text"]):
+                w, ln = words(part, lower=True), lines(part)
+                a, b = np.searchsorted(w.start, ln.start), np.searchsorted(w.start, ln.end)
+                keep = np.flatnonzero(b - a >= max(min_words, k))
+                if len(keep) == 0:
+                    continue
+                a, b = a[keep], b[keep]
+                n = b - a - k + 1  # shingles of each paragraph
+                start = np.r_[0, np.cumsum(n)[:-1]]
+                of = np.repeat(np.arange(len(n)), n)
+                g = grams(w.hash, k)[np.repeat(a - start, n) + np.arange(int(n.sum()))]
+                key = np.sort((of.astype(np.uint64) << np.uint64(43)) | (g >> np.uint64(21)))  # a slice has fewer than 2 ** 21 paragraphs
+                first = np.r_[True, key[1:] != key[:-1]]
+                size = np.bincount((key[first] >> np.uint64(43)).astype(np.int64), minlength=len(n))
+                node = (mix(np.add.reduceat(mix(g), start) + n.astype(np.uint64)) >> np.uint64(1)).view(np.int64)
+                token = band_tokens(g, start, bands, rows)
+                points = np.r_[0, np.cumsum(code_points(part.data))]
+                row = np.searchsorted(ln.first, keep, "right") - 1
+                base = points[part.bounds[row]]
+                ids = batch["doc_id"].take(pa.array(row + part.first))
+                listed = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int64())) for x in (token, bits_of(of, g, len(n)))]
+                yield pa.record_batch([ids, pa.array(points[ln.start[keep]] - base), pa.array(points[ln.end[keep]] - base), pa.array(b - a), pa.array(node), pa.array(size), *listed], names)
+
+    return texts(docs).mapInArrow(run, "doc_id long, start long, end long, n_words long, node long, n long, tokens array<long>, bits array<long>")
 
 
 def repeated(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, min_words: int = MIN_WORDS) -> DataFrame:
     """Each occurrence of a repeated paragraph: doc_id, start, end (code points), n_words, passage_id, first_doc_id, n_copies, removed."""
     bands, rows = tuned(num / den)
-    found = staged(paragraphs(docs, k, min_words).distinct(), "paragraphs")
-    shared = staged(tokens(docs, k, min_words, bands, rows), "bands")
-    classes = found.filter(F.col("doc_id").isNotNull()).groupBy("node").agg(F.min(F.struct("doc_id", "start", "end")).alias("at")).select("node", "at.*")
+    every = staged(paragraphs(docs, k, min_words, bands, rows), "paragraphs")
+    found = every.select("doc_id", "start", "end", "n_words", "node").distinct()
+    places = every.filter(F.col("doc_id").isNotNull()).groupBy("node").agg(F.min(F.struct("doc_id", "start", "end")).alias("at"), F.first("n").alias("n"))
+    places = staged(places.select("node", "at.*", "n"), "places")
+    shared = every.select(F.explode("tokens").alias("token"), "node", F.col("n").cast("int").alias("n"), F.lit(0).alias("pos")).distinct()
+    trait = F.struct(F.col("n"), *[F.get("bits", F.lit(i)).alias(f"s{i}") for i in range(WORDS)])
+    traits = every.select("node", trait.alias("trait")).dropDuplicates(["node"])
+
+    def fits(x: Column, y: Column) -> Column:
+        return long_enough(x["n"], y["n"], num, den) & (overlap(x, y, x["n"], y["n"]) * (num + den) >= num * (x["n"] + y["n"]))
 
     def fetch(nodes: DataFrame) -> DataFrame:
-        wanted = staged(classes.join(nodes, "node"), "wanted")
+        wanted = staged(places.drop("n").join(nodes, "node"), "wanted")
         cut = F.substring("text", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))
         return among(texts(docs), "doc_id", wanted).join(wanted, "doc_id").select("node", cut.alias("text")).dropDuplicates(["node"])
 
     def sets(column: pa.Array) -> Iterator[np.ndarray]:
         return shingle_sets(column, k)
 
-    part = linked(shared, fetch, sets, num, den)
+    part = linked(shared, fetch, sets, num, den, traits, fits)
     own = found.join(part, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node")
     groups = own.groupBy("component").agg(F.count(F.lit(1)).alias("n_copies"), F.min(F.struct("doc_id", "start")).alias("lead")).filter("n_copies > 1")
     out = own.join(groups, "component")
