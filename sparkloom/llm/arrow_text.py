@@ -112,8 +112,8 @@ def tokens(part: Slice, inside: np.ndarray, lower: bool = False) -> Tokens:
         return Tokens(start, end, np.zeros(0, np.uint64), first)
     length = end - start
     at = np.arange(n, dtype=np.int64)
-    at -= np.repeat(np.r_[0, start[1:]], np.diff(np.r_[0, start[1:], n]))
-    np.clip(at, 0, length.max() - 1, out=at)
+    at -= np.repeat(start, np.diff(np.r_[0, start[1:], n]))
+    np.clip(at, 0, length.max() - 1, out=at)  # only bytes outside tokens are clipped
     value = ((LOWER[data] if lower else data).astype(np.uint64) + np.uint64(1)) * multipliers(int(length.max()))[at]
     value[~keep] = 0
     return Tokens(start, end, mix(np.add.reduceat(value, start) + length.astype(np.uint64)), first)

@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow_text import pieces
@@ -25,8 +25,9 @@ from .common import staged
 
 #: Bits of the filter that says which rows a later join may need; a table of at most _BITS / 64 rows.
 _BITS = 1 << 24
-#: Most rounds, tests of a set in each but the first, and pairs per row that are compared by their traits without further rounds.
-ROUNDS, TESTS, EACH = 4, 8, 1000
+#: Most rounds; in each but the first: members of a token's largest component that are offered, candidates of a set that are looked at,
+#: and that are tested. Pairs per row that the last step may compare by their traits without further rounds.
+ROUNDS, LEADS, LOOKED, TESTS, EACH = 4, 4, 16, 2, 50
 #: 64-bit integers of a signature (512 bits).
 WORDS = 8
 #: (node, text) of the nodes asked for; the sorted distinct 64-bit hashes of each text of a column.
@@ -115,6 +116,7 @@ def linked(tokens: DataFrame, fetch: Fetch, sets: Sets, num: int, den: int, trai
     tokens: token, node, n, pos; fetch gives (node, text) of the nodes asked
     for and sets the sorted hashes of each text; traits: node and trait (a
     struct); fits(x, y) is false only for traits of sets that can't be linked.
+    If traits hold `tokens`, the few tokens of a set, a pair is met once.
     """
     groups = tokens.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("rows")).filter("lo < hi").select("token", "rows")
     live = staged(tokens.join(groups, "token"), "shared")
@@ -130,7 +132,7 @@ def linked(tokens: DataFrame, fetch: Fetch, sets: Sets, num: int, den: int, trai
     for turn in range(ROUNDS + 1):
         rows = live.withColumn("component", F.col("node")) if part is None else live.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
         who = F.struct("node", "n", "pos")
-        leads = F.array(F.max_by(who, F.struct("fame", "node")), *[F.min_by(who, F.xxhash64("node", F.lit(TESTS * turn + i))) for i in range(1, TESTS if turn else 1)])
+        leads = F.array(F.max_by(who, F.struct("fame", "node")), *[F.min_by(who, F.xxhash64("node", F.lit(LEADS * turn + i))) for i in range(1, LEADS if turn else 1)])
         if part is None:  # every set is on its own
             per_token = rows.groupBy("token").agg(leads.alias("leads"), F.count(F.lit(1)).alias("rows")).withColumn("most", F.lit(1).cast("long")).withColumn("major", F.col("leads")[0]["node"])
         else:
@@ -143,8 +145,13 @@ def linked(tokens: DataFrame, fetch: Fetch, sets: Sets, num: int, den: int, trai
             size = rest.select("token", "rows", "most").distinct().agg(F.sum((F.col("rows") - F.col("most")) * F.col("rows"))).first()[0] or 0
             if turn == ROUNDS or size <= EACH * rest.count() or not found:
                 break
-        few = few.withColumn("others", F.filter("leads", lambda x: (x["node"] != F.col("node")) & near(F.col("n"), F.col("pos"), x["n"], x["pos"]))).filter(F.size("others") > 0)
-        few = few.groupBy(F.col("node").alias("x")).agg(F.max_by("others", F.struct("rows", F.xxhash64("token"))).alias("others")).select("x", F.explode("others.node").alias("y"))
+        few = few.select(F.col("node").alias("x"), "n", "pos", "rows", "fame", F.explode("leads").alias("lead")).filter((F.col("x") != F.col("lead.node")) & near(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos")))
+        if part is None:
+            few = few.groupBy("x").agg(F.max_by("lead.node", F.struct("rows", "lead.node")).alias("y"))
+        else:
+            few = _some(few.select("x", F.col("lead.node").alias("y")).distinct(), LOOKED, turn)
+            few = few.join(traits.select(F.col("node").alias("x"), F.col("trait").alias("xt")), "x").join(traits.select(F.col("node").alias("y"), F.col("trait").alias("yt")), "y")
+            few = _some(few.filter(fits(F.col("xt"), F.col("yt"))).select("x", "y"), TESTS, turn)
         pairs = _new(few.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), tested)
         new = staged(verified(pairs, fetch(_nodes(pairs)), sets, num, den), "links")
         found = new.limit(1).count()
@@ -156,7 +163,9 @@ def linked(tokens: DataFrame, fetch: Fetch, sets: Sets, num: int, den: int, trai
     few = rest.filter(F.col("component") != F.col("major")).select("token", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("pos").alias("xp"), F.col("component").alias("xc"), "major", F.col("trait").alias("xt"))
     many = rest.select("token", F.col("node").alias("y"), F.col("n").alias("yn"), F.col("pos").alias("yp"), F.col("component").alias("yc"), F.col("trait").alias("yt"))
     apart = (F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("major")) | (F.col("xc") < F.col("yc")))
-    cross = few.join(many, (few["token"] == many["token"]) & apart & near(F.col("xn"), F.col("xp"), F.col("yn"), F.col("yp")) & fits(F.col("xt"), F.col("yt")))
+    once = "tokens" in traits.schema["trait"].dataType.names
+    met = few["token"] == F.array_min(F.array_intersect("xt.tokens", "yt.tokens")) if once else F.lit(True)
+    cross = few.join(many, (few["token"] == many["token"]) & apart & near(F.col("xn"), F.col("xp"), F.col("yn"), F.col("yp")) & fits(F.col("xt"), F.col("yt")) & met)
     cross = _new(cross.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), tested)
     more = staged(verified(cross, fetch(_nodes(cross)), sets, num, den), "links")
     if more.limit(1).count() == 0:
@@ -164,6 +173,12 @@ def linked(tokens: DataFrame, fetch: Fetch, sets: Sets, num: int, den: int, trai
     return components(edges.unionByName(more))
 
 
+def _some(pairs: DataFrame, most: int, turn: int) -> DataFrame:
+    """Up to `most` pairs of each x, for one round; what is left is for later rounds and the last step, which looks at all."""
+    n = F.row_number().over(Window.partitionBy("x").orderBy(F.xxhash64("y", "x", F.lit(turn)), "y"))
+    return pairs.withColumn("nth", n).filter(F.col("nth") <= most).drop("nth")
+
+
 def _new(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
     return staged(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
 

@@ -92,7 +92,7 @@ def repeated(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, min_wor
     places = every.filter(F.col("doc_id").isNotNull()).groupBy("node").agg(F.min(F.struct("doc_id", "start", "end")).alias("at"), F.first("n").alias("n"))
     places = staged(places.select("node", "at.*", "n"), "places")
     shared = every.select(F.explode("tokens").alias("token"), "node", F.col("n").cast("int").alias("n"), F.lit(0).alias("pos")).distinct()
-    trait = F.struct(F.col("n"), *[F.get("bits", F.lit(i)).alias(f"s{i}") for i in range(WORDS)])
+    trait = F.struct("n", "tokens", *[F.get("bits", F.lit(i)).alias(f"s{i}") for i in range(WORDS)])
     traits = every.select("node", trait.alias("trait")).dropDuplicates(["node"])
 
     def fits(x: Column, y: Column) -> Column:
