@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import commit_queries, diff_queries, state_queries, vector_queries
+from . import code_queries, commit_queries, diff_queries, state_queries, vector_queries
 
-_MODULES = (vector_queries, state_queries, diff_queries, commit_queries)
+_MODULES = (vector_queries, state_queries, diff_queries, commit_queries, code_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
