@@ -110,12 +110,13 @@ def overlap(x: Column, y: Column, n: Column, m: Column) -> Column:
     return F.least(n - only(x, y), m - only(y, x))
 
 
-def linked(tokens: DataFrame, fetch: Fetch, sets: Sets, num: int, den: int, traits: DataFrame, fits: Callable[[Column, Column], Column]) -> DataFrame:
+def linked(tokens: DataFrame, fetch: Fetch, sets: Sets, num: int, den: int, traits: DataFrame, fits: Callable[[Column, Column], Column], prune: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
     """(node, component) of all sets with a link.
 
     tokens: token, node, n, pos; fetch gives (node, text) of the nodes asked
     for and sets the sorted hashes of each text; traits: node and trait (a
-    struct); fits(x, y) is false only for traits of sets that can't be linked.
+    struct); fits(x, y) is false only for traits of sets that can't be linked,
+    and prune(pairs) drops only such pairs (a, b) before their texts are fetched.
     If traits hold `tokens`, the few tokens of a set, a pair is met once.
     """
     groups = tokens.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("rows")).filter("lo < hi").select("token", "rows")
@@ -153,7 +154,7 @@ def linked(tokens: DataFrame, fetch: Fetch, sets: Sets, num: int, den: int, trai
             few = few.join(traits.select(F.col("node").alias("x"), F.col("trait").alias("xt")), "x").join(traits.select(F.col("node").alias("y"), F.col("trait").alias("yt")), "y")
             few = _some(few.filter(fits(F.col("xt"), F.col("yt"))).select("x", "y"), TESTS, turn)
         pairs = _new(few.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), tested)
-        new = staged(verified(pairs, fetch(_nodes(pairs)), sets, num, den), "links")
+        new = staged(_tested(pairs, prune, fetch, sets, num, den), "links")
         found = new.limit(1).count()
         tested = pairs if tested is None else tested.unionByName(pairs)
         edges = new if edges is None else edges.unionByName(new)
@@ -167,7 +168,7 @@ def linked(tokens: DataFrame, fetch: Fetch, sets: Sets, num: int, den: int, trai
     met = few["token"] == F.array_min(F.array_intersect("xt.tokens", "yt.tokens")) if once else F.lit(True)
     cross = few.join(many, (few["token"] == many["token"]) & apart & near(F.col("xn"), F.col("xp"), F.col("yn"), F.col("yp")) & fits(F.col("xt"), F.col("yt")) & met)
     cross = _new(cross.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), tested)
-    more = staged(verified(cross, fetch(_nodes(cross)), sets, num, den), "links")
+    more = staged(_tested(cross, prune, fetch, sets, num, den), "links")
     if more.limit(1).count() == 0:
         return part
     return components(edges.unionByName(more))
@@ -183,5 +184,10 @@ def _new(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
     return staged(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
 
 
-def _nodes(pairs: DataFrame) -> DataFrame:
+def _tested(pairs: DataFrame, prune: Callable[[DataFrame], DataFrame], fetch: Fetch, sets: Sets, num: int, den: int) -> DataFrame:
+    left = staged(prune(pairs), "pairs")
+    return verified(left, fetch(nodes_of(left)), sets, num, den)
+
+
+def nodes_of(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()

@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 
 from .arrow_text import mix, pieces, shingle_set, slices, words
 from .common import staged, texts
-from .linking import WORDS, among, bits_of, linked, long_enough, overlap
+from .linking import WORDS, among, bits_of, linked, long_enough, nodes_of, overlap
 
 #: Number of frequent shingles that are put last, and least number of documents of a batch that share one.
 HEAVY, SHARED = 1 << 17, 3
 #: Ranges of the hash whose counts the suffix filter compares.
-RANGES = 16
+RANGES = 512
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -51,23 +51,23 @@ def class_of(items: np.ndarray) -> tuple[int, int]:
 
 
 def profile(docs: DataFrame, k: int) -> DataFrame:
-    """Rows of kind 0: a document with its id, set size, class (node), ranges and bits (signature); of kind 1: a shingle (node) that n documents of a batch share."""
+    """Rows of kind 0: a document with its id, set size, class (node), bits (signature) and sketch (counts by range); of kind 1: a shingle (node) that n documents of a batch share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "doc_id", "n", "node", "ranges", "bits"]
+        names = ["kind", "doc_id", "n", "node", "bits", "sketch"]
         for b in pieces(batches, "text", 16 << 20):
             sets = list(shingle_sets(b["text"], k))
             node = [class_of(s)[0] for s in sets]
             bits = [bits_of(np.zeros(len(s), np.int64), s, 1)[0] for s in sets]
-            ranges = [np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=RANGES).astype(np.int32) for s in sets]
-            yield pa.record_batch([pa.array(np.zeros(len(sets), np.int32)), b["doc_id"], pa.array(list(map(len, sets)), pa.int64()), pa.array(node, pa.int64()), pa.array(ranges, pa.list_(pa.int32())), pa.array(bits, pa.list_(pa.int64()))], names)
+            sketch = [np.minimum(np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=RANGES), 255).astype(np.uint8).tobytes() for s in sets]
+            yield pa.record_batch([pa.array(np.zeros(len(sets), np.int32)), b["doc_id"], pa.array(list(map(len, sets)), pa.int64()), pa.array(node, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names)
             if sets:
                 shingle, count = np.unique(np.concatenate(sets), return_counts=True)
                 shingle, count = shingle[count >= SHARED].view(np.int64), count[count >= SHARED]
                 none = pa.nulls(len(shingle))
-                yield pa.record_batch([pa.array(np.ones(len(shingle), np.int32)), none.cast(pa.int64()), pa.array(count.astype(np.int64)), pa.array(shingle), none.cast(pa.list_(pa.int32())), none.cast(pa.list_(pa.int64()))], names)
+                yield pa.record_batch([pa.array(np.ones(len(shingle), np.int32)), none.cast(pa.int64()), pa.array(count.astype(np.int64)), pa.array(shingle), none.cast(pa.list_(pa.int64())), none.cast(pa.binary())], names)
 
-    return texts(docs).mapInArrow(run, "kind int, doc_id long, n long, node long, ranges array<int>, bits array<long>")
+    return texts(docs).mapInArrow(run, "kind int, doc_id long, n long, node long, bits array<long>, sketch binary")
 
 
 def prefixes(docs: DataFrame, k: int, num: int, den: int, heavy) -> DataFrame:
@@ -101,7 +101,7 @@ def joined(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFr
     """doc_id, n_shingles and component_id of every document; linked when den * |A & B| >= num * |A | B|."""
     sc = docs.sparkSession.sparkContext
     rows = staged(profile(docs, k), "profile")
-    own = rows.filter("kind = 0").select("doc_id", "n", "node", "ranges", "bits")
+    own = rows.filter("kind = 0").select("doc_id", "n", "node", "bits", "sketch")
     often = rows.filter("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "node").limit(HEAVY).collect()
     known = np.array(sorted((r["node"] for r in often)), np.int64).view(np.uint64)
     by = {r["node"]: r["n"] for r in often}
@@ -109,7 +109,7 @@ def joined(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFr
     known = known[order]
     heavy = sc.broadcast((known, np.array([by[x] for x in known.view(np.int64).tolist()], np.int64)))
     tokens = staged(prefixes(docs, k, num, den, heavy), "prefixes")
-    classes = staged(own.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("ranges").alias("ranges"), F.first("bits").alias("bits")), "classes")
+    classes = staged(own.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes")
 
     def fetch(nodes: DataFrame) -> DataFrame:
         wanted = staged(classes.join(nodes, "node").select("node", "doc_id"), "wanted")
@@ -117,14 +117,30 @@ def joined(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFr
         return found.select("node", "text").dropDuplicates(["node"])
 
     def fits(x: Column, y: Column) -> Column:
-        """Suffix filter: the overlap is at most the sum over hash ranges of the smaller counts, and what the signatures allow."""
-        most = F.aggregate(F.zip_with(x["ranges"], y["ranges"], lambda p, q: F.least(p, q)), F.lit(0), lambda s, v: s + v)
-        need = num * (x["n"] + y["n"])
-        return long_enough(x["n"], y["n"], num, den) & (overlap(x, y, x["n"], y["n"]) * (num + den) >= need) & (most * (num + den) >= need)
+        return long_enough(x["n"], y["n"], num, den) & (overlap(x, y, x["n"], y["n"]) * (num + den) >= num * (x["n"] + y["n"]))
+
+    def prune(pairs: DataFrame) -> DataFrame:
+        """Suffix filter: the overlap is at most the sum over hash ranges of the smaller number of shingles."""
+        nodes = nodes_of(pairs)
+        sketch = among(own.select("node", "n", "sketch"), "node", nodes).join(nodes, "node", "left_semi").dropDuplicates(["node"])
+        x = sketch.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("sketch").alias("ax"))
+        y = sketch.select(F.col("node").alias("b"), F.col("n").alias("bn"), F.col("sketch").alias("bx"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows == 0:
+                    continue
+                p, q = (np.frombuffer(b"".join(b[c].to_pylist()), np.uint8).reshape(b.num_rows, RANGES) for c in ("ax", "bx"))
+                n, m = (b[c].to_numpy() for c in ("an", "bn"))
+                most = np.minimum(p, q).sum(axis=1, dtype=np.int64)
+                most = np.where(((p == 255) & (q == 255)).any(axis=1), np.minimum(n, m), most)  # counts stop at 255
+                yield b.select(["a", "b"]).filter(pa.array(most * (num + den) >= num * (n + m)))
+
+        return pairs.join(x, "a").join(y, "b").select("a", "b", "an", "bn", "ax", "bx").mapInArrow(run, "a long, b long")
 
-    trait = F.struct("n", "ranges", *[F.get("bits", F.lit(i)).alias(f"s{i}") for i in range(WORDS)])
+    trait = F.struct("n", *[F.get("bits", F.lit(i)).alias(f"s{i}") for i in range(WORDS)])
     traits = classes.select("node", trait.alias("trait"))
-    part = linked(tokens, fetch, lambda column: shingle_sets(column, k), num, den, traits, fits)
+    part = linked(tokens, fetch, lambda column: shingle_sets(column, k), num, den, traits, fits, prune)
     named = classes.select("node", F.col("doc_id").alias("least")).join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.select("node", "component").join(least, "component").select("node", "component_id")
