@@ -99,7 +99,7 @@ def prioritized(chunks: DataFrame, most: int) -> DataFrame:
     return chunks.withColumn("priority", score).orderBy(F.desc("priority"), "ord").limit(most)
 
 
-def fitted_context(chunks: DataFrame, structure: Column, signatures: Column, max_tokens: int = 4000) -> Column:
+def fitted_context(structure: Column, signatures: Column, max_tokens: int = 4000) -> Column:
     """The fuller rendering if its token estimate fits, else the shorter one."""
     return F.when(T.token_estimate(structure) <= max_tokens, structure).otherwise(signatures)
 

@@ -5,8 +5,9 @@ Clauses: {"must": [...]} (all), {"should": [...]} (at least one), {"must_not":
 {"match": {field: value}}, {"match_any": {field: [values]}}, {"range": {field:
 {"gt", "gte", "lt", "lte"}}} look at their first field only; any other dict is
 an AND of equalities over all its fields. Fields may be dotted paths into
-structs. A condition on a missing or null value does not match, so must_not of
-it matches.
+structs. A condition on a null value is null, which a filter takes as no match,
+and must_not takes it so too. Comparisons stay bare outside must_not, so that
+the scan gets them.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ def compile_filter(spec: dict | None, prefix: str = "") -> Column:
     if "should" in spec:
         clauses.append(reduce(or_, [compile_filter(x, prefix) for x in spec["should"]], F.lit(not spec["should"])))
     if "must_not" in spec:
-        clauses.append(~reduce(or_, [compile_filter(x, prefix) for x in spec["must_not"]], F.lit(False)))
+        clauses.append(~_known(reduce(or_, [compile_filter(x, prefix) for x in spec["must_not"]], F.lit(False))))
     if clauses:
         return reduce(and_, clauses)
 
@@ -44,11 +45,11 @@ def compile_filter(spec: dict | None, prefix: str = "") -> Column:
 
     if spec.get("match"):
         column, value = first("match")
-        return _known(column == F.lit(value))
+        return column == F.lit(value)
     if "match_any" in spec and spec["match_any"]:
         column, values = first("match_any")
-        return _known(column.isin(list(values))) if values else F.lit(False)
+        return column.isin(list(values)) if values else F.lit(False)
     if spec.get("range"):
         column, bounds = first("range")
-        return _known(reduce(and_, [_COMPARE[k](column, F.lit(v)) for k, v in bounds.items() if v is not None], F.lit(True)))
-    return reduce(and_, [_known(F.col(prefix + k) == F.lit(v)) for k, v in spec.items()])
+        return reduce(and_, [_COMPARE[k](column, F.lit(v)) for k, v in bounds.items() if v is not None], F.lit(True))
+    return reduce(and_, [F.col(prefix + k) == F.lit(v) for k, v in spec.items()])

@@ -23,8 +23,9 @@ def debounced(events: DataFrame, gap: str, key: str | Column | None = None, time
     e = events.withColumn(time, F.col(time).cast("timestamp"))
     if late is not None:
         e = e.withWatermark(time, late)
-    by = [F.session_window(time, gap)] + ([key] if key is not None else [])
-    return e.groupBy(*by).agg(F.count(F.lit(1)).alias("n_events"), F.max(time).alias("last")).withColumn("started", F.col("session_window.start")).drop("session_window")
+    # a stream has no sessions without a key: a constant that the optimizer doesn't see stands for it
+    by = [F.session_window(time, gap), key if key is not None else F.pmod(F.hash(time), F.lit(1)).alias("everything")]
+    return e.groupBy(*by).agg(F.count(F.lit(1)).alias("n_events"), F.max(time).alias("last")).withColumn("started", F.col("session_window.start")).drop("session_window", *(["everything"] if key is None else []))
 
 
 def sync_on_change(events: DataFrame, gap: str, late: str, sync: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:

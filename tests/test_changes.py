@@ -93,7 +93,7 @@ def test_similarity(spark):
     assert [r.got for r in rows] == [r.want for r in rows]
 
 
-FILTERS = [({}, 4), ({"match": {"p.lang": "py"}}, 2), ({"match_any": {"p.n": [1, 3]}}, 2), ({"match_any": {"p.n": []}}, 0), ({"range": {"p.n": {"gte": 2}}}, 1), ({"must_not": [{"p.lang": "py"}]}, 2), ({"must": [{"p.lang": "py"}], "should": [{"p.n": 1}, {"p.n": 2}]}, 2), ({"p.lang": "py", "p.n": 1}, 1), ({"must": [{"should": [{"p.n": 3}, {"match": {"id": 4}}]}]}, 2), ({"must_not": [{"range": {"p.n": {"lt": 5}}}]}, 1)]
+FILTERS = [({}, 4), ({"match": {"p.lang": "py"}}, 2), ({"match_any": {"p.n": [1, 3]}}, 2), ({"match_any": {"p.n": []}}, 0), ({"range": {"p.n": {"gte": 2}}}, 1), ({"must_not": [{"p.lang": "py"}]}, 2), ({"must": [{"p.lang": "py"}], "should": [{"p.n": 1}, {"p.n": 2}]}, 2), ({"p.lang": "py", "p.n": 1}, 1), ({"must": [{"should": [{"p.n": 3}, {"match": {"id": 4}}]}]}, 1), ({"must_not": [{"range": {"p.n": {"lt": 5}}}]}, 1)]
 
 
 @pytest.mark.parametrize(("spec", "n"), FILTERS)

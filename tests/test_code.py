@@ -88,11 +88,11 @@ def of(entities, path):
 def test_python_entities(entities):
     assert of(entities, "src/s.py") == [
         ("MODULE", "s", None), ("IMPORT", "", 0), ("IMPORT", "", 0), ("IMPORT", "", 0), ("CONSTANT", "LIMIT", 0), ("TYPE_ALIAS", "Alias", 0), ("VARIABLE", "plain", 0),
-        ("CLASS", "Sample", 0), ("METHOD", "__init__", 7), ("PROPERTY", "value", 7), ("FUNCTION", "sample", 0), ("TEST_CASE", "test_sample", 0), ("COMMENT", "", 0),
+        ("CLASS", "Sample", 0), ("METHOD", "__init__", 7), ("VARIABLE", "self.x", 8), ("PROPERTY", "value", 7), ("FUNCTION", "sample", 0), ("TEST_CASE", "test_sample", 0), ("COMMENT", "", 0),
     ]
     by = {r.name: r for r in entities.filter("file_path = 'src/s.py' AND name <> ''").collect()}
     assert by["s"].docstring == "Module doc." and by["Sample"].docstring == "Class doc." and by["__init__"].calls == ["helper"]
-    assert by["value"].hierarchy_path == "s.Sample.value" and by["sample"].start_line == 23
+    assert by["value"].hierarchy_path == "s.Sample.value" and by["sample"].start_line == 24
     assert [r.dependencies for r in entities.filter("file_path = 'src/s.py' AND entity_type = 'IMPORT'").orderBy("ord").collect()] == [["os"], ["sys"], ["a.b.c"]]
 
 
@@ -124,7 +124,7 @@ def test_chunks(spark, entities):
     files = spark.createDataFrame([("src/s.py", PYTHON)], "file_path string, content string")
     own = chunks.chunked(files, entities.filter("file_path = 'src/s.py'")).orderBy("place").collect()
     assert [r.metadata.entity_type for r in own] == ["FILE", "MODULE", "CLASS", "METHOD", "FUNCTION"]
-    assert "Contains:" in own[1].content and "  - CLASS: Sample class Sample (lines 13-20)" in own[1].content and "    - METHOD: __init__" in own[1].content
+    assert "Contains:" in own[1].content and "  - CLASS: Sample class Sample (lines 13-21)" in own[1].content and "    - METHOD: __init__" in own[1].content
     assert own[4].content.startswith("File: s\nType: FUNCTION\n\nPath: s.sample") and own[1].metadata.file_metadata.language == "python"
     assert len({r.metadata.chunk_id for r in own}) == len(own)
     assert chunks.chunked(files, entities.filter("file_path = 'src/s.py'"), max_lines=3).filter("place < 0").count() == 0
