@@ -5,7 +5,8 @@ token at place pos of its ordered prefix. In each round every set is tested
 against a few members of one of its tokens (first the one that shares most with
 others), so candidates grow with the sets and not with the square of a group,
 and the links give components. Later rounds only look at sets outside the
-largest component of a token. When a round finds
+largest component of a token, and only at tokens that several components hold.
+When a round finds
 no link or few pairs are left, each set outside a token's largest component is
 tested against all sets of other components there. Pairs inside one component
 need no test, and no pair is tested twice, so no component is lost.
@@ -131,21 +132,21 @@ def linked(tokens: DataFrame, fetch: Fetch, sets: Sets, num: int, den: int, trai
 
     part, edges, tested, found = None, None, None, 0
     for turn in range(ROUNDS + 1):
-        rows = live.withColumn("component", F.col("node")) if part is None else live.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
         who = F.struct("node", "n", "pos")
         leads = F.array(F.max_by(who, F.struct("fame", "node")), *[F.min_by(who, F.xxhash64("node", F.lit(LEADS * turn + i))) for i in range(1, LEADS if turn else 1)])
         if part is None:  # every set is on its own
-            per_token = rows.groupBy("token").agg(leads.alias("leads"), F.count(F.lit(1)).alias("rows")).withColumn("most", F.lit(1).cast("long")).withColumn("major", F.col("leads")[0]["node"])
+            few = live.join(live.groupBy("token").agg(leads.alias("leads"), F.count(F.lit(1)).alias("rows")), "token")
         else:
-            by_part = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("rows"), leads.alias("leads"))
-            per_token = by_part.groupBy("token").agg(F.max_by("leads", F.struct("rows", "component")).alias("leads"), F.max_by("component", F.struct("rows", "component")).alias("major"), F.sum("rows").alias("rows"), F.max("rows").alias("most"))
-        mixed = per_token.filter("rows > most")
-        rest = staged(rows.join(mixed, "token"), "rest")
-        few = rest.filter(F.col("component") != F.col("major"))
-        if part is not None:
-            size = rest.select("token", "rows", "most").distinct().agg(F.sum((F.col("rows") - F.col("most")) * F.col("rows"))).first()[0] or 0
-            if turn == ROUNDS or size <= EACH * rest.count() or not found:
+            rows = live.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            held = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("rows"))
+            mixed = held.groupBy("token").agg(F.max_by("component", F.struct("rows", "component")).alias("major"), F.sum("rows").alias("rows"), F.max("rows").alias("most")).filter("rows > most")
+            rest = staged(rows.join(mixed, "token"), "rest")
+            live = rest.select("token", "node", "n", "pos", "fame")  # sets that are one component stay so
+            sizes = rest.agg(F.sum(F.when(F.col("component") != F.col("major"), F.col("rows"))).alias("pairs"), F.count(F.lit(1)).alias("rows")).first()
+            if turn == ROUNDS or (sizes["pairs"] or 0) <= EACH * sizes["rows"] or not found:
                 break
+            led = rest.filter("component = major").groupBy("token").agg(leads.alias("leads"))
+            few = rest.filter("component <> major").join(led, "token")
         few = few.select(F.col("node").alias("x"), "n", "pos", "rows", "fame", F.explode("leads").alias("lead")).filter((F.col("x") != F.col("lead.node")) & near(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos")))
         if part is None:
             few = few.groupBy("x").agg(F.max_by("lead.node", F.struct("rows", "lead.node")).alias("y"))

@@ -109,7 +109,7 @@ def joined(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFr
     known = known[order]
     heavy = sc.broadcast((known, np.array([by[x] for x in known.view(np.int64).tolist()], np.int64)))
     tokens = staged(prefixes(docs, k, num, den, heavy), "prefixes")
-    classes = staged(own.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes")
+    classes = staged(own.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("sketch").alias("sketch")), "classes")
 
     def fetch(nodes: DataFrame) -> DataFrame:
         wanted = staged(classes.join(nodes, "node").select("node", "doc_id"), "wanted")
@@ -122,7 +122,7 @@ def joined(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFr
     def prune(pairs: DataFrame) -> DataFrame:
         """Suffix filter: the overlap is at most the sum over hash ranges of the smaller number of shingles."""
         nodes = nodes_of(pairs)
-        sketch = among(own.select("node", "n", "sketch"), "node", nodes).join(nodes, "node", "left_semi").dropDuplicates(["node"])
+        sketch = among(classes.select("node", "n", "sketch"), "node", nodes)
         x = sketch.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("sketch").alias("ax"))
         y = sketch.select(F.col("node").alias("b"), F.col("n").alias("bn"), F.col("sketch").alias("bx"))
 
