@@ -163,8 +163,8 @@ def moves(deleted: DataFrame, added: DataFrame, least: float = MOVED) -> DataFra
     d = deleted.select(F.col("path").alias("source"), F.col("vector").alias("dv"), T.base_name(F.col("path")).alias("name"))
     a = added.select(F.col("path").alias("target"), F.col("vector").alias("av"), T.base_name(F.col("path")).alias("name"))
     scored = d.join(a, "name").withColumn("similarity", semantic_similarity(F.col("dv"), F.col("av"))).filter(F.col("similarity") >= least)
-    n = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("similarity"), "target"))
-    return scored.withColumn("n", n).filter("n = 1").select("source", "target", "similarity")
+    best = scored.groupBy("source").agg(F.min(F.struct((-F.col("similarity")).alias("far"), "target")).alias("best"))
+    return best.select("source", "best.target", (-F.col("best.far")).alias("similarity"))
 
 
 def name_pairs(deleted: DataFrame, added: DataFrame) -> DataFrame:

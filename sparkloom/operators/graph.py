@@ -19,6 +19,17 @@ def call_edges(calls: DataFrame, names: DataFrame) -> DataFrame:
     return full.select("src", "dst").unionByName(part.select("src", "dst")).filter("src <> dst").distinct()
 
 
+def call_counts(calls: DataFrame, names: DataFrame) -> DataFrame:
+    """(src, n): how many edges `call_edges` gives each source that has any, counted by name, so that no name fans out. An id has one name."""
+    c, names = calls.distinct(), names.distinct()
+    held = names.groupBy("name").agg(F.count(F.lit(1)).alias("n_ids"))
+    known = c.join(held.select(F.col("name").alias("called"), F.lit(True).alias("whole")), "called", "left")
+    meant = known.select("src", F.when(F.col("whole"), F.col("called")).otherwise(F.element_at(F.split("called", r"\."), -1)).alias("name")).distinct()
+    own = names.select(F.col("id").alias("src"), "name", F.lit(1).alias("itself"))
+    n = F.col("n_ids") - F.coalesce("itself", F.lit(0))
+    return meant.join(held, "name").join(own, ["src", "name"], "left").groupBy("src").agg(F.sum(n).alias("n")).filter("n > 0")
+
+
 def import_edges(imports: DataFrame, internal: DataFrame) -> DataFrame:
     """(src, dependency, is_external) of imports (src, dependency): external unless it begins with a dot or with any internal path (path).
 
@@ -52,17 +63,8 @@ def _nearest(entities: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def entity_graph(entities: DataFrame, kinds: list[str] | None = None, relations: list[str] | None = None, only_connected: bool = False) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, label, kind, holder) and edges (src, dst, label, type) with type declare, call or import; relations limits the labels if not empty."""
-    nodes = entity_nodes(entities, kinds)
-    holder = _nearest(entities, nodes)
-    nodes = nodes.join(holder, ["file_path", "ord"], "left").dropDuplicates(["id"])
-    declares = nodes.filter("holder IS NOT NULL").select(F.col("holder").alias("src"), F.col("id").alias("dst"), F.lit("declares").alias("label"), F.lit("declare").alias("type"))
-    callers = nodes.filter(F.col("kind").isin("FUNCTION", "METHOD")).select("file_path", "ord", F.col("id").alias("src"))
-    calls = callers.join(entities.select("file_path", "ord", F.explode("calls").alias("called")), ["file_path", "ord"]).select("src", "called")
-    names = nodes.filter(F.col("kind").isin("FUNCTION", "METHOD")).select("id", F.col("label").alias("name"))
+    nodes, declares, calls, names, imported = _linked_entities(entities, kinds)
     called = call_edges(calls, names).select("src", "dst", F.lit("calls").alias("label"), F.lit("call").alias("type"))
-    uses = entities.filter(F.size("dependencies") > 0).join(holder, ["file_path", "ord"]).select(F.col("holder").alias("src"), F.explode("dependencies").alias("dependency"))
-    paths = entities.select(F.col("file_path").alias("path")).distinct()
-    imported = import_edges(uses, paths).withColumn("dst", F.concat(F.lit("dep_"), F.regexp_replace("dependency", r"[^\p{L}\p{N}]", "_")))
     edges = declares.unionByName(called).unionByName(imported.select("src", "dst", F.lit("imports").alias("label"), F.lit("import").alias("type")))
     if relations:
         edges = edges.filter(F.col("label").isin(relations))
@@ -74,6 +76,29 @@ def entity_graph(entities: DataFrame, kinds: list[str] | None = None, relations:
     return drawn, edges.join(drawn.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst", "label", "type").distinct()
 
 
+def edge_counts(entities: DataFrame) -> DataFrame:
+    """(type, n_edges, n_sources) of the edges of `entity_graph`, whose calls are counted and not drawn."""
+    _, declares, calls, names, imported = _linked_entities(entities, None)
+    drawn = declares.select("type", "src", "dst").unionByName(imported.select(F.lit("import").alias("type"), "src", "dst")).distinct()
+    some = drawn.groupBy("type", "src").agg(F.count(F.lit(1)).alias("n")).unionByName(call_counts(calls, names).select(F.lit("call").alias("type"), "src", "n"))
+    return some.groupBy("type").agg(F.sum("n").alias("n_edges"), F.count(F.lit(1)).alias("n_sources"))
+
+
+def _linked_entities(entities: DataFrame, kinds: list[str] | None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Nodes, declare edges, calls (src, called), names (id, name) and imports of `entity_graph`."""
+    nodes = entity_nodes(entities, kinds)
+    holder = _nearest(entities, nodes)
+    nodes = nodes.join(holder, ["file_path", "ord"], "left").dropDuplicates(["id"])
+    declares = nodes.filter("holder IS NOT NULL").select(F.col("holder").alias("src"), F.col("id").alias("dst"), F.lit("declares").alias("label"), F.lit("declare").alias("type"))
+    callers = nodes.filter(F.col("kind").isin("FUNCTION", "METHOD")).select("file_path", "ord", F.col("id").alias("src"))
+    calls = callers.join(entities.select("file_path", "ord", F.explode("calls").alias("called")), ["file_path", "ord"]).select("src", "called")
+    names = nodes.filter(F.col("kind").isin("FUNCTION", "METHOD")).select("id", F.col("label").alias("name"))
+    uses = entities.filter(F.size("dependencies") > 0).join(holder, ["file_path", "ord"]).select(F.col("holder").alias("src"), F.explode("dependencies").alias("dependency"))
+    paths = entities.select(F.col("file_path").alias("path")).distinct()
+    imported = import_edges(uses, paths).withColumn("dst", F.concat(F.lit("dep_"), F.regexp_replace("dependency", r"[^\p{L}\p{N}]", "_")))
+    return nodes, declares, calls, names, imported
+
+
 #: How edges and their links are drawn.
 ARROWS = {"import": "-.->|imports|", "call": "-->|calls|", "declare": "---"}
 STYLES = {"call": "stroke:#28a745,stroke-width:2px;", "import": "stroke:#ffc107,stroke-width:1px,stroke-dasharray: 5 5;", "declare": "stroke:#adb5bd,stroke-width:1px;"}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -10,10 +11,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
+from .components import staged
 from .filters import compile_filter
 
-#: Largest number of query vectors that `top_k_many` broadcasts, and rows of a block of `pairs_within`.
-MOST_QUERIES, BLOCK = 10_000, 2_000
+#: Largest number of query vectors that `top_k_many` broadcasts at once, rows of a block of `pairs_within`, and queries scored at once.
+MOST_QUERIES, BLOCK, SCORED = 10_000, 2_000, 500
 
 
 def top_k(points: DataFrame, query: list[float], k: int = 5, metric: str = "cosine", where: dict | None = None, id_col: str = "id", vector_col: str = "vector", prefix: str = "") -> DataFrame:
@@ -24,15 +26,35 @@ def top_k(points: DataFrame, query: list[float], k: int = 5, metric: str = "cosi
     return found.orderBy(F.desc("score") if higher else F.asc("score"), id_col).limit(k)
 
 
-def top_k_many(points: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
+def top_k_many(points: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "id", vector_col: str = "vector", block: int | None = None) -> DataFrame:
     """(query_id, id, score, rank): the k points of highest cosine for each query, itself included.
 
-    The queries, MOST_QUERIES at most, are broadcast as one matrix; every batch
-    of points keeps its k best for each query, and a window ranks what is left.
+    The queries are broadcast as one matrix for each `block` of them (MOST_QUERIES); every
+    batch of points keeps its k best for each query, and a window ranks what is
+    left. If there are several blocks, each one's result is written out, so the
+    driver and the executors hold one block at a time.
     """
-    rows = queries.select(id_col, vector_col).limit(MOST_QUERIES + 1).collect()
-    if len(rows) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries; call with parts of them")
+    block = block or MOST_QUERIES
+    rows = queries.select(id_col, vector_col).toLocalIterator()
+    now, found = list(islice(rows, block)), []
+    while after := list(islice(rows, block)):
+        found.append(staged(_top_k_block(points, now, k, id_col, vector_col), "nearest"))
+        now = after
+    last = _top_k_block(points, now, k, id_col, vector_col)
+    if not found:
+        return last
+    near = staged(last, "nearest").drop("rank")
+    for f in found:
+        near = near.unionByName(f.drop("rank"))
+    return _ranked(near, k)
+
+
+def _ranked(near: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return near.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def _top_k_block(points: DataFrame, rows: list, k: int, id_col: str, vector_col: str) -> DataFrame:
     ids = np.array([r[0] for r in rows], np.int64)
     unit = _unit(np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1))
     shared = points.sparkSession.sparkContext.broadcast((ids, unit))
@@ -43,14 +65,15 @@ def top_k_many(points: DataFrame, queries: DataFrame, k: int = 5, id_col: str =
             if len(b) == 0 or len(q) == 0:
                 continue
             key = b[id_col].to_numpy()
-            score = _unit(np.stack(b[vector_col].to_numpy()).astype(np.float64)) @ m.T
-            for j in range(len(q)):
-                order = np.lexsort((key, -np.round(score[:, j], 9)))[:k]
-                yield pd.DataFrame({"query_id": q[j], "id": key[order], "score": np.round(score[order, j], 9)})
+            unit_points = _unit(np.stack(b[vector_col].to_numpy()).astype(np.float64))
+            for first in range(0, len(q), SCORED):
+                score = np.round(unit_points @ m[first : first + SCORED].T, 9)
+                orders = [np.lexsort((key, -score[:, j]))[:k] for j in range(score.shape[1])]
+                at, of = np.concatenate(orders), np.repeat(np.arange(len(orders)), [len(o) for o in orders])
+                yield pd.DataFrame({"query_id": q[first + of], "id": key[at], "score": score[at, of]})
 
     near = points.select(id_col, vector_col).mapInPandas(best, "query_id long, id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return near.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return _ranked(near, k)
 
 
 def _unit(m: np.ndarray) -> np.ndarray:

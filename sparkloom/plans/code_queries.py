@@ -45,10 +45,15 @@ def chunk_rows(spark, sf_dir):
 
 
 def entity_edges(spark, sf_dir):
+    """Of files with lang 'en' only, as its SQL has it."""
     _, edges = graph.entity_graph(code.entities(_sources(spark, sf_dir).filter("file_path LIKE '%/en/%'")))
     return edges.groupBy("type").agg(F.count(F.lit(1)).alias("n_edges"), F.countDistinct("src").alias("n_sources"))
 
 
+def entity_edges_all(spark, sf_dir):
+    return graph.edge_counts(code.entities(_sources(spark, sf_dir)))
+
+
 def doc_sections(spark, sf_dir):
     s = docs.file_sections(code.entities(_sources(spark, sf_dir)), chunks.SIGNATURES)
     return s.select("file_path", "anchor", F.length("section").cast("long").alias("size"))
@@ -122,7 +127,7 @@ def context_pack(spark, sf_dir):
     return c.select("rank", F.sha2("code", 256).alias("code_hash"))
 
 
-QUERIES = {f.__name__: f for f in (entity_rows, chunk_rows, entity_edges, doc_sections, call_edges, import_edges, chunk_priority, debounce_sessions, debounce_stream, related_files, token_vectors, leader_clusters, linkage_clusters, context_pack)}
+QUERIES = {f.__name__: f for f in (entity_rows, chunk_rows, entity_edges, entity_edges_all, doc_sections, call_edges, import_edges, chunk_priority, debounce_sessions, debounce_stream, related_files, token_vectors, leader_clusters, linkage_clusters, context_pack)}
 SQL = {
     "entity_rows": f"WITH {_F} SELECT file_path, ord, parent, entity_type, name, start_line, end_line, signature, docstring FROM e",
     "chunk_rows": f"""WITH {_F},
@@ -178,3 +183,4 @@ y AS (SELECT *, contains(pa, '/') AND contains(pb, '/') AS dirs, concat('test_',
 SELECT a, b, test_pair, (dirs AND string_split(pa, '/')[1] = string_split(pb, '/')[1]) OR test_pair OR ((contains(sa, sb) OR contains(sb, sa)) AND least(length(sa), length(sb)) >= 3)
   OR (regexp_matches(pa, '^docs/.*\\.md$') AND starts_with(pb, 'src/')) OR (regexp_matches(pb, '^docs/.*\\.md$') AND starts_with(pa, 'src/')) AS related FROM y""".replace("\\\\", "\\"),
 }
+SQL["entity_edges_all"] = SQL["entity_edges"].replace(" WHERE lang = 'en'", "")
