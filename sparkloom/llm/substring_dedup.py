@@ -1,13 +1,20 @@
 """Substring dedup (operator 6): repeated paragraphs across and inside documents.
 
-A paragraph is a non-empty line of MIN_WORDS words or more. Equal shingles form
+A paragraph is a non-empty line of MIN_WORDS words or more. With `block`, runs
+of so many words are compared too, whatever the newlines: each begins where a
+shingle's hash is the least of `block` neighbouring ones, so where a block
+begins depends on its words and few behind them, blocks overlap, and any two
+equal passages of 2 * block - 1 words or more hold an equal block. Lines meet
+lines and blocks meet blocks. Equal shingles form
 a class; each class has a MinHash signature whose bands (tuned by
 `tuned` to reach RECALL at the wanted similarity with the fewest rows) are the
 tokens on which classes meet. Colliding classes are verified by exact Jaccard
 similarity (see linking.py), and components of the links cluster the
-paragraphs. Of each cluster the first paragraph, by doc_id and place, stays.
+paragraphs. Of each cluster the first paragraph, by doc_id and place, stays, and
+so do blocks that overlap it; a cluster of nothing else is not repeated.
 
-Cases: a null or empty text has no paragraphs; shorter lines are never removed;
+Cases: a null or empty text has no paragraphs; shorter lines are never removed
+unless blocks cover parts of them;
 rows that repeat a doc_id and text count as one document; rows without a doc_id
 come first in a cluster; an empty table gives an empty table; `repeated` reads
 doc_id and text only, `deduplicated` keeps the columns of its input.
@@ -19,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow_text import code_points, grams, lines, mix, pieces, slices, words
@@ -28,6 +35,9 @@ from .linking import WORDS, among, bits_of, linked, long_enough, overlap
 from .ngram_join import shingle_sets
 
 MIN_WORDS = 25
+#: Words of a block: passages of over 50 words hold one.
+BLOCK = 26
+_KIND = np.uint64(0x5851F42D4C957F2D)
 RECALL = 0.995
 
 
@@ -52,8 +62,24 @@ def band_tokens(g: np.ndarray, start: np.ndarray, bands: int, rows: int) -> np.n
     return (token >> np.uint64(1)).view(np.int64)
 
 
-def paragraphs(docs: DataFrame, k: int, min_words: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, start and end (code points), n_words, node (hash of the shingles), n (distinct shingles), tokens (one a band) and bits (signature) of each paragraph."""
+def block_starts(g: np.ndarray, first: np.ndarray, k: int, block: int) -> np.ndarray:
+    """The words at which blocks begin; g: hashes of the k-grams of all texts one after another, text i has the words first[i] .. first[i + 1]."""
+    x = mix(g ^ _KIND)
+    if len(x) < block:
+        return np.zeros(0, np.int64)
+    at = np.arange(len(x) - block + 1)
+    end = first[np.searchsorted(first, at, "right")]
+    at = at[at + block + k - 1 <= end]  # windows inside one text
+    windows = np.lib.stride_tricks.sliding_window_view(x, block)
+    picked = [p + np.argmin(windows[p], axis=1) for p in np.split(at, range(1 << 16, len(at), 1 << 16))]
+    start = np.unique(np.concatenate(picked))
+    return start[start + block <= first[np.searchsorted(first, start, "right")]]
+
+
+def paragraphs(docs: DataFrame, k: int, min_words: int, bands: int, rows: int, block: int | None = None) -> DataFrame:
+    """doc_id, start and end (code points), n_words, node (hash of the shingles), n (distinct shingles), tokens (one a band) and bits (signature) of each paragraph and block."""
+    if block is not None and block < k:
+        raise ValueError(f"a block needs {k} words")
     names = ["doc_id", "start", "end", "n_words", "node", "n", "tokens", "bits"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,32 +88,39 @@ def paragraphs(docs: DataFrame, k: int, min_words: int, bands: int, rows: int) -
                 w, ln = words(part, lower=True), lines(part)
                 a, b = np.searchsorted(w.start, ln.start), np.searchsorted(w.start, ln.end)
                 keep = np.flatnonzero(b - a >= max(min_words, k))
-                if len(keep) == 0:
-                    continue
                 a, b = a[keep], b[keep]
+                row, is_block = np.searchsorted(ln.first, keep, "right") - 1, np.zeros(len(keep), np.uint64)
+                from_, to = ln.start[keep], ln.end[keep]
+                whole = grams(w.hash, k)
+                if block is not None:
+                    s = block_starts(whole, w.first, k, block)
+                    a, b, row = np.r_[a, s], np.r_[b, s + block], np.r_[row, np.searchsorted(w.first, s, "right") - 1]
+                    from_, to, is_block = np.r_[from_, w.start[s]], np.r_[to, w.end[s + block - 1]], np.r_[is_block, np.ones(len(s), np.uint64)]
+                if len(a) == 0:
+                    continue
+                kind = is_block * _KIND
                 n = b - a - k + 1  # shingles of each paragraph
                 start = np.r_[0, np.cumsum(n)[:-1]]
                 of = np.repeat(np.arange(len(n)), n)
-                g = grams(w.hash, k)[np.repeat(a - start, n) + np.arange(int(n.sum()))]
+                g = whole[np.repeat(a - start, n) + np.arange(int(n.sum()))]
                 key = np.sort((of.astype(np.uint64) << np.uint64(43)) | (g >> np.uint64(21)))  # a slice has fewer than 2 ** 21 paragraphs
                 first = np.r_[True, key[1:] != key[:-1]]
                 size = np.bincount((key[first] >> np.uint64(43)).astype(np.int64), minlength=len(n))
-                node = (mix(np.add.reduceat(mix(g), start) + n.astype(np.uint64)) >> np.uint64(1)).view(np.int64)
-                token = band_tokens(g, start, bands, rows)
+                node = (mix(np.add.reduceat(mix(g), start) + n.astype(np.uint64) + kind) >> np.uint64(1)).view(np.int64)
+                token = band_tokens(g, start, bands, rows) ^ (kind >> np.uint64(1)).view(np.int64)[:, None]
                 points = np.r_[0, np.cumsum(code_points(part.data))]
-                row = np.searchsorted(ln.first, keep, "right") - 1
                 base = points[part.bounds[row]]
                 ids = batch["doc_id"].take(pa.array(row + part.first))
                 listed = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int64())) for x in (token, bits_of(of, g, len(n)))]
-                yield pa.record_batch([ids, pa.array(points[ln.start[keep]] - base), pa.array(points[ln.end[keep]] - base), pa.array(b - a), pa.array(node), pa.array(size), *listed], names)
+                yield pa.record_batch([ids, pa.array(points[from_] - base), pa.array(points[to] - base), pa.array(b - a), pa.array(node), pa.array(size), *listed], names)
 
     return texts(docs).mapInArrow(run, "doc_id long, start long, end long, n_words long, node long, n long, tokens array<long>, bits array<long>")
 
 
-def repeated(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, min_words: int = MIN_WORDS) -> DataFrame:
-    """Each occurrence of a repeated paragraph: doc_id, start, end (code points), n_words, passage_id, first_doc_id, n_copies, removed."""
+def repeated(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, min_words: int = MIN_WORDS, block: int | None = None) -> DataFrame:
+    """Each occurrence of a repeated paragraph or block: doc_id, start, end (code points), n_words, passage_id, first_doc_id, n_copies, removed."""
     bands, rows = tuned(num / den)
-    every = staged(paragraphs(docs, k, min_words, bands, rows), "paragraphs")
+    every = staged(paragraphs(docs, k, min_words, bands, rows, block), "paragraphs")
     found = every.select("doc_id", "start", "end", "n_words", "node").distinct()
     places = every.filter(F.col("doc_id").isNotNull()).groupBy("node").agg(F.min(F.struct("doc_id", "start", "end")).alias("at"), F.first("n").alias("n"))
     places = staged(places.select("node", "at.*", "n"), "places")
@@ -108,15 +141,24 @@ def repeated(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, min_wor
 
     part = linked(shared, fetch, sets, num, den, traits, fits)
     own = found.join(part, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node")
-    groups = own.groupBy("component").agg(F.count(F.lit(1)).alias("n_copies"), F.min(F.struct("doc_id", "start")).alias("lead")).filter("n_copies > 1")
+    groups = own.groupBy("component").agg(F.count(F.lit(1)).alias("n_copies"), F.min(F.struct("doc_id", "start", "end")).alias("lead")).filter("n_copies > 1")
     out = own.join(groups, "component")
     first = F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("start") == F.col("lead.start"))
+    if block is not None:  # blocks that overlap the first one are no copies of it; lines never overlap
+        first = first | F.coalesce((F.col("doc_id") == F.col("lead.doc_id")) & (F.col("start") < F.col("lead.end")), F.lit(False))
+        out = staged(out.withColumn("first", first), "places")
+        over = out.groupBy("component").agg(F.count(F.when(F.col("first") & F.col("doc_id").isNotNull(), True)).alias("over"))
+        out = out.join(over, "component").withColumn("n_copies", F.col("n_copies") - F.greatest(F.col("over") - 1, F.lit(0))).filter("n_copies > 1")
+        first = F.col("first")
     return out.select("doc_id", "start", "end", "n_words", F.col("component").alias("passage_id"), F.col("lead.doc_id").alias("first_doc_id"), "n_copies", (~first).alias("removed"))
 
 
-def deduplicated(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs without the paragraphs that `repeated` removes; the line ends around them stay."""
-    cut = repeated(docs, k, num, den, min_words).filter("removed").groupBy(F.col("doc_id").alias("cut_id")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cut_s"))
+def deduplicated(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, min_words: int = MIN_WORDS, block: int | None = None) -> DataFrame:
+    """docs without the paragraphs and blocks that `repeated` removes; the line ends around them stay."""
+    gone = repeated(docs, k, num, den, min_words, block).filter("removed").select("doc_id", "start", "end")
+    before = Window.partitionBy("doc_id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    gone = gone.withColumn("start", F.greatest("start", F.max("end").over(before))).filter("start < end")  # spans apart
+    cut = gone.groupBy(F.col("doc_id").alias("cut_id")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cut_s"))
     d = docs.join(cut, docs["doc_id"].eqNullSafe(cut["cut_id"]), "left")
     n = F.size("cut_s")
     kept = F.transform(F.sequence(F.lit(0), n), lambda i: F.substring(F.col("text"), (F.when(i > 0, F.get(F.col("cut_s"), i - 1)["end"]).otherwise(0) + 1).cast("int"), (F.coalesce(F.get(F.col("cut_s"), i)["start"], F.lit(2**31 - 1)) - F.when(i > 0, F.get(F.col("cut_s"), i - 1)["end"]).otherwise(0)).cast("int")))
