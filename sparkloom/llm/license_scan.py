@@ -6,7 +6,9 @@ place; the index is broadcast, and its size is checked against MOST_FINGERPRINTS
 Every word k-gram of a text is looked up. Hits of one template on nearby
 diagonals (place in the text less place in the template) form a candidate,
 which a local alignment in a band around them verifies. It gives the number of
-matched words (coverage of the template) and the matched span. Of matches that
+matched words (coverage of the template) and the matched span. What a candidate
+holds before and behind its match is scanned again until nothing reaches the
+coverage, so copies that stand close together all count. Of matches that
 overlap, the one with more matched words stays.
 
 Cases: a null or empty text has no matches and so no rows; a text may match
@@ -17,6 +19,7 @@ bytes beyond ASCII, without case.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -121,6 +124,12 @@ def aligned(h: list[int], t: list[int], low: int, high: int) -> tuple[int, int,
     return best[1], best[2], best[3]
 
 
+def spans(first: int, end: int, length: int) -> list[tuple[int, int]]:
+    """The words first .. end, if they are many, in overlapping parts that hold any match of a template of this length whole: with gaps, a match has fewer than 2 * length words."""
+    most = 4 * (length + BAND)
+    return [(i, min(end, i + most)) for i in range(first, max(first + 1, end - 2 * length), most - 2 * length)]
+
+
 def scanned(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, license, n_matched (words), coverage (matched share of the template), start and end (code points) of each match."""
     index = docs.sparkSession.sparkContext.broadcast(Index(TEMPLATES if templates is None else templates))
@@ -130,15 +139,21 @@ def scanned(docs: DataFrame, templates: dict[str, str] | None = None, coverage:
         known, found = index.value, []
         for t, low, high in known.candidates(h, g):
             template = known.words[t].tolist()
-            first = max(0, low - BAND)
-            matched, a, b = aligned(h[first : high + BAND + len(template) + 1].tolist(), template, low - BAND - first, high + BAND - first)
-            if matched >= coverage * len(template):
-                found.append((matched, t, a + first, b + first))
-        taken: list[tuple[int, int, int, int]] = []
+            rest = spans(max(0, low - BAND), min(len(h), high + BAND + len(template) + 1), len(template))
+            while rest:
+                first, end = rest.pop()
+                if end - first < coverage * len(template):
+                    continue
+                matched, a, b = aligned(h[first:end].tolist(), template, low - BAND - first, high + BAND - first)
+                if matched >= coverage * len(template):
+                    found.append((matched, t, a + first, b + first))
+                    rest += [(first, a + first), (b + first, end)]
+        taken: list[tuple[int, int, int, int]] = []  # by place, apart
         for m in sorted(found, key=lambda m: (-m[0], m[2], m[1])):
-            if all(m[3] <= x[2] or m[2] >= x[3] for x in taken):
-                taken.append(m)
-        return sorted(taken, key=lambda m: m[2])
+            i = bisect_left(taken, m[2], key=lambda x: x[2])
+            if (i == 0 or taken[i - 1][3] <= m[2]) and (i == len(taken) or m[3] <= taken[i][2]):
+                taken.insert(i, m)
+        return taken
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = index.value
