@@ -7,8 +7,9 @@ weight, and its cumulative word demand is D(t) = target * (a t + b t^2). The
 words of a source form a stream, document after document in an order dealt by
 a hash of the doc_id, repeated while the target asks for more. A document is
 taken once for each pass in which its first word lies below the target; its
-training position is the t with D(t) = offset of that first word. `mixed`
-range-sorts the taken documents by position.
+training position is the t with D(t) = offset of that first word. `dealt` gives
+a row for each pass, range-sorted by position; `mixed` has the documents in that
+order and `digest` sums the rows of each document.
 
 The running offset is found in two steps, so that a hot source is never one
 group: sums by (source, hash bucket), a running sum over the buckets, then a
@@ -17,7 +18,8 @@ running sum inside each bucket, whose number of rows stays near ROWS_PER_BUCKET.
 Cases: null texts have size 0 and are taken 0 words; null is a source of its
 own, last; documents with size 0 are never placed; repeated rows are dealt one
 after another; an empty table gives an empty table; other columns are kept by
-`mixed` and never clash, since own columns are prefixed.
+`mixed` and never clash, since own columns are prefixed; in `dealt` and `digest` documents without a pass stay,
+once, with neither pass nor position.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import staged
+
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
 TILT = 0.5
@@ -61,7 +65,7 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_
 
 
 def placed(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
-    """docs and: mix_words, mix_rank, mix_size and mix_target (of the source), mix_offset (words of the source before this row), mix_passes."""
+    """docs and: mix_words, mix_rank, mix_size and mix_target (of the source), mix_offset (words of the source before this row), mix_passes, mix_row (names the row)."""
     d = docs.withColumn("mix_words", word_count(F.col("text"))).withColumn("mix_deal", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     by_source = d.groupBy(F.col("source").alias("mix_source")).agg(F.sum("mix_words").alias("mix_size"), F.count(F.lit(1)).alias("mix_rows"))
     digits = bucket_digits(by_source.agg(F.max("mix_rows")).first()[0] or 0)
@@ -70,11 +74,13 @@ def placed(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_REPEATS)
     buckets = d.groupBy(F.col("source").alias("mix_s"), F.col("mix_bucket").alias("mix_b")).agg(F.sum("mix_words").alias("mix_in_bucket"))
     ahead = Window.partitionBy("mix_s").orderBy("mix_b").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.withColumn("mix_ahead", F.coalesce(F.sum("mix_in_bucket").over(ahead), F.lit(0))).drop("mix_in_bucket")
-    inside = Window.partitionBy("source", "mix_bucket").orderBy("mix_deal", "doc_id", "mix_words").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("mix_within", F.coalesce(F.sum("mix_words").over(inside), F.lit(0)))
+    order = Window.partitionBy("source", "mix_bucket").orderBy("mix_deal", "doc_id", "mix_words")
+    inside = order.rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("mix_within", F.coalesce(F.sum("mix_words").over(inside), F.lit(0))).withColumn("mix_nth", F.row_number().over(order))
     d = d.join(buckets, F.col("source").eqNullSafe(F.col("mix_s")) & (F.col("mix_bucket") == F.col("mix_b")), "left").drop("mix_s", "mix_b")
     d = d.join(targets, F.col("source").eqNullSafe(F.col("mix_source")), "left").drop("mix_source")
-    d = d.withColumn("mix_offset", F.col("mix_ahead") + F.col("mix_within")).drop("mix_ahead", "mix_within", "mix_bucket", "mix_deal")
+    d = d.withColumn("mix_offset", F.col("mix_ahead") + F.col("mix_within")).withColumn("mix_row", F.struct("mix_rank", "mix_bucket", "mix_nth"))
+    d = d.drop("mix_ahead", "mix_within", "mix_bucket", "mix_deal", "mix_nth")
     passes = F.when(F.col("mix_words") > 0, F.greatest(F.lit(0), F.ceil((F.col("mix_target") - F.col("mix_offset")) / F.col("mix_size")))).otherwise(0)
     return d.withColumn("mix_passes", F.least(passes, F.lit(most)).cast("int"))
 
@@ -93,8 +99,27 @@ def position(offset: Column, target: Column, rank: Column, tilt: float = TILT) -
 
 def mixed(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
     """The taken documents, once per pass, with docs' columns, range-sorted by training position."""
-    p = placed(docs, weights, most).filter("mix_passes > 0")
-    p = p.withColumn("mix_pass", F.explode(F.sequence(F.lit(0), F.col("mix_passes") - 1)))
+    return dealt(placed(docs, weights, most).filter("mix_passes > 0")).select(*docs.columns)
+
+
+def dealt(p: DataFrame) -> DataFrame:
+    """A row for each pass of the placed rows, with mix_pass (from 0) and mix_position, range-sorted by position; rows without a pass come first, once, with nulls there."""
+    passes = F.when(F.col("mix_passes") > 0, F.sequence(F.lit(0), F.col("mix_passes") - 1))
+    p = p.select("*", F.explode_outer(passes).alias("mix_pass"))
     p = p.withColumn("mix_position", position(F.col("mix_offset") + F.col("mix_pass") * F.col("mix_size"), F.col("mix_target"), F.col("mix_rank")))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return p.repartitionByRange(n, "mix_position", "doc_id").sortWithinPartitions("mix_position", "doc_id").select(*docs.columns)
+    n = int(p.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = ("mix_position", "doc_id", "mix_row")
+    return p.repartitionByRange(n, *by).sortWithinPartitions(*by)
+
+
+def training_order(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
+    """`dealt` without texts, written out: doc_id, mix_row, mix_words, mix_size, mix_target, mix_pass, mix_position."""
+    p = placed(docs, weights, most).select("doc_id", "mix_row", "mix_words", "mix_rank", "mix_size", "mix_target", "mix_offset", "mix_passes")
+    return staged(dealt(p).drop("mix_rank", "mix_offset", "mix_passes"), "order")
+
+
+def digest(order: DataFrame) -> DataFrame:
+    """A row for each document of `training_order`: doc_id, mix_words, mix_size, mix_target, mix_taken (words, over its passes) and mix_first (position of the first)."""
+    words = F.when(F.col("mix_pass").isNotNull(), F.col("mix_words")).otherwise(0)
+    found = order.groupBy("mix_row", "doc_id", "mix_words", "mix_size", "mix_target").agg(F.sum(words).alias("mix_taken"), F.min("mix_position").alias("mix_first"))
+    return found.drop("mix_row")

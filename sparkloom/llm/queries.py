@@ -67,8 +67,14 @@ def op7_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFr
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = mixing.placed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return p.select("doc_id", F.col("mix_words").alias("size"), F.col("mix_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_words") * F.col("mix_passes")).alias("taken"))
+    p = mixing.digest(mixing.training_order(table(spark, sf_dir, "documents").select("doc_id", "text", "source")))
+    return p.select("doc_id", F.col("mix_words").alias("size"), F.col("mix_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
+
+
+def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each pass of a document, in order of training position."""
+    rows = mixing.training_order(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).filter("mix_pass IS NOT NULL")
+    return rows.select("doc_id", F.col("mix_pass").alias("pass"), F.round("mix_position", 9).alias("position"))
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,3 +108,9 @@ SELECT doc_id, size, source_size, target,
        cast(CASE WHEN size > 0 THEN size * least(3, greatest(0, ceil((target - ahead) / source_size))) ELSE 0 END AS bigint) AS taken
 FROM p
 """
+OP8_ORDER_SQL = OP8_SQL[: OP8_SQL.rindex("SELECT doc_id, size")].rstrip() + r""",
+x AS (SELECT p.*, CASE s.rank % 2 WHEN 1 THEN 0.5::double ELSE -0.5::double END AS tilt, unnest(range(least(3, greatest(0, ceil((target - ahead) / p.source_size)))::bigint)) AS pass
+      FROM p JOIN s ON p.source IS NOT DISTINCT FROM s.source WHERE size > 0),
+y AS (SELECT *, (ahead + pass * source_size) / target AS share FROM x)
+SELECT doc_id, pass, round(2 * share / ((1 - tilt) + sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * share)), 9) AS position FROM y
+"""
