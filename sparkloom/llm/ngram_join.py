@@ -1,8 +1,8 @@
 """N-gram Jaccard join (operator 5): documents linked by the Jaccard similarity of their word shingles.
 
 Documents with equal shingle sets form one class first. The shingles of a class
-are ordered rare first: those that many documents of one Arrow batch share are
-counted, their HEAVY most frequent ones (a table of fixed size) come last, by
+are ordered rare first: those that many documents of one part of a batch share are
+counted, the most frequent ones (a table of fixed size, see linking.frequent) come last, by
 frequency, all others first, by hash. Any two sets of the wanted similarity
 share a shingle in their prefixes, so classes are joined on prefix shingles,
 with length and positional filters; a suffix filter compares the numbers of
@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 
 from .arrow_text import mix, pieces, shingle_set, slices, words
 from .common import staged, texts
-from .linking import WORDS, among, bits_of, linked, long_enough, nodes_of, overlap
+from .linking import HOT, WORDS, among, bits_of, frequent, linked, long_enough, nodes_of, overlap
 
-#: Number of frequent shingles that are put last, and least number of documents of a batch that share one.
-HEAVY, SHARED = 1 << 17, 3
+#: Least number of documents of a part of a batch that share a shingle which is counted.
+SHARED = 3
 #: Ranges of the hash whose counts the suffix filter compares.
 RANGES = 512
 
@@ -55,7 +55,7 @@ def profile(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["kind", "doc_id", "n", "node", "bits", "sketch"]
-        for b in pieces(batches, "text", 16 << 20):
+        for b in pieces(batches, "text", 4 << 20):
             sets = list(shingle_sets(b["text"], k))
             node = [class_of(s)[0] for s in sets]
             bits = [bits_of(np.zeros(len(s), np.int64), s, 1)[0] for s in sets]
@@ -71,30 +71,33 @@ def profile(docs: DataFrame, k: int) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, k: int, num: int, den: int, heavy) -> DataFrame:
-    """(token, node, n, pos): each class's rare-first prefix."""
+    """(token, node, n, pos, hot): each class's rare-first prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, often = heavy.value
-        for b in pieces(batches, "text", 8 << 20):
-            token, node, n, pos, seen = [], [], [], [], set()
+        for b in pieces(batches, "text", 4 << 20):
+            token, node, n, pos, hot, seen = [], [], [], [], [], set()
             for s in shingle_sets(b["text"], k):
                 c = class_of(s)[0]
                 if len(s) == 0 or c in seen:
                     continue
                 seen.add(c)
                 most = len(s) - -(-num * len(s) // den) + 1
+                rank = np.zeros(len(s), np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     rank = np.where(known[at] == s, often[at], 0)
-                    s = s[np.argsort(rank, kind="stable")]
+                    order = np.argsort(rank, kind="stable")
+                    s, rank = s[order], rank[order]
                 token.append(s[:most])
+                hot.append(rank[:most] >= HOT)
                 node.append(np.full(most, c))
                 n.append(np.full(most, len(s)))
                 pos.append(np.arange(most, dtype=np.int32))
             if token:
-                yield pa.record_batch([pa.array(np.concatenate(token).view(np.int64)), pa.array(np.concatenate(node)), pa.array(np.concatenate(n).astype(np.int32)), pa.array(np.concatenate(pos))], ["token", "node", "n", "pos"])
+                yield pa.record_batch([pa.array(np.concatenate(token).view(np.int64)), pa.array(np.concatenate(node)), pa.array(np.concatenate(n).astype(np.int32)), pa.array(np.concatenate(pos)), pa.array(np.concatenate(hot))], ["token", "node", "n", "pos", "hot"])
 
-    return texts(docs).select("text").mapInArrow(run, "token long, node long, n int, pos int")
+    return texts(docs).select("text").mapInArrow(run, "token long, node long, n int, pos int, hot boolean")
 
 
 def joined(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -102,9 +105,9 @@ def joined(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFr
     sc = docs.sparkSession.sparkContext
     rows = staged(profile(docs, k), "profile")
     own = rows.filter("kind = 0").select("doc_id", "n", "node", "bits", "sketch")
-    often = rows.filter("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "node").limit(HEAVY).collect()
-    known = np.array(sorted((r["node"] for r in often)), np.int64).view(np.uint64)
-    by = {r["node"]: r["n"] for r in often}
+    often = frequent(rows.filter("kind = 1").select(F.col("node").alias("token"), "n"))
+    known = np.array(sorted((r["token"] for r in often)), np.int64).view(np.uint64)
+    by = {r["token"]: r["n"] for r in often}
     order = np.argsort(known)
     known = known[order]
     heavy = sc.broadcast((known, np.array([by[x] for x in known.view(np.int64).tolist()], np.int64)))
