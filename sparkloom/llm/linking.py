@@ -30,7 +30,7 @@ from .common import Stages, staged
 _BITS = 1 << 24
 #: Most rounds; in each but the first: members of a token's largest component that are offered, candidates of a set that are looked at,
 #: and that are tested. Pairs per row that the last step may compare by their traits without further rounds.
-ROUNDS, LEADS, LOOKED, TESTS, EACH = 4, 4, 16, 2, 50
+ROUNDS, LEADS, LOOKED, TESTS, EACH = 2, 8, 32, 4, 50
 #: Rows of a token that one part of the last step's join holds.
 PART = 4096
 #: Most frequent tokens that are told apart, and the number of their rows from which one is hot.
@@ -158,7 +158,7 @@ def linked(tokens: DataFrame, fetch: Fetch, sets: Sets, num: int, den: int, trai
     live = stage(meeting(tokens, num, den), "shared")
     # what many others share most of is most likely near to all of them: it leads
     live = stage(live.join(live.groupBy("node").agg(F.sum("rows").alias("fame")), "node"), "shared")
-    traits = stage(among(traits, "node", live), "traits")
+    traits = stage(among(traits, "node", live).dropDuplicates(["node"]), "traits")
 
     def near(n: Column, pos: Column, m: Column, at: Column) -> Column:
         left = F.least(n - pos, m - at) * (num + den) >= num * (n + m)  # positional filter, for the first common token
@@ -183,7 +183,8 @@ def linked(tokens: DataFrame, fetch: Fetch, sets: Sets, num: int, den: int, trai
             few = rest.filter("component <> major").join(led, "token")
         few = few.select(F.col("node").alias("x"), "n", "pos", "rows", "fame", F.explode("leads").alias("lead")).filter((F.col("x") != F.col("lead.node")) & near(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos")))
         if part is None:
-            few = few.groupBy("x").agg(F.max_by("lead.node", F.struct("rows", "lead.node")).alias("y"))
+            at = F.struct("rows", "lead.node")  # its most and its least shared token
+            few = few.groupBy("x").agg(F.array(F.max_by("lead.node", at), F.min_by("lead.node", at)).alias("y")).select("x", F.explode("y").alias("y"))
         else:
             few = _some(few.select("x", F.col("lead.node").alias("y")).distinct(), LOOKED, turn)
             few = few.join(traits.select(F.col("node").alias("x"), F.col("trait").alias("xt")), "x").join(traits.select(F.col("node").alias("y"), F.col("trait").alias("yt")), "y")

@@ -54,7 +54,7 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeated(table(spark, sf_dir, "documents"), block=substring_dedup.BLOCK)
+    return substring_dedup.spans(table(spark, sf_dir, "documents")).drop("key")
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
