@@ -60,6 +60,11 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and key, a hash of the text."""
+    return texts(docs).withColumn("key", F.xxhash64("text"))
+
+
 def apart(names: list[str], *wanted: str) -> list[str]:
     """The wanted column names, each with underscores before it until no given name is like it."""
     taken, out = {n.lower() for n in names}, []

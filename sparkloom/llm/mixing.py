@@ -18,7 +18,7 @@ running sum inside each bucket, whose number of rows stays near ROWS_PER_BUCKET.
 Cases: null texts have size 0 and are taken 0 words; null is a source of its
 own, last; documents with size 0 are never placed; repeated rows are dealt one
 after another; an empty table gives an empty table; other columns are kept by
-`mixed` and never clash, since own columns are prefixed; in `dealt` and `digest` documents without a pass stay,
+`mixed`, whatever their names, and `placed` needs other names than its own, which begin with mix_; in `dealt` and `digest` documents without a pass stay,
 once, with neither pass nor position.
 """
 
@@ -35,6 +35,8 @@ WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
 TILT = 0.5
 ROWS_PER_BUCKET = 20_000
+#: Sources up to this number are broadcast with their targets; beyond it the join is left to Spark.
+FEW_SOURCES = 50_000
 
 
 def word_count(text: Column) -> Column:
@@ -66,10 +68,18 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_
 
 def placed(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
     """docs and: mix_words, mix_rank, mix_size and mix_target (of the source), mix_offset (words of the source before this row), mix_passes, mix_row (names the row)."""
-    d = docs.withColumn("mix_words", word_count(F.col("text"))).withColumn("mix_deal", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    return _placed(docs.withColumn("mix_words", word_count(F.col("text"))), weights, most)
+
+
+def _placed(docs: DataFrame, weights: tuple, most: int) -> DataFrame:
+    """`placed` for rows that know their mix_words."""
+    d = docs.withColumn("mix_deal", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     by_source = d.groupBy(F.col("source").alias("mix_source")).agg(F.sum("mix_words").alias("mix_size"), F.count(F.lit(1)).alias("mix_rows"))
-    digits = bucket_digits(by_source.agg(F.max("mix_rows")).first()[0] or 0)
-    targets = F.broadcast(source_targets(by_source.select("mix_source", "mix_size"), weights, most))
+    seen = by_source.agg(F.max("mix_rows").alias("rows"), F.count(F.lit(1)).alias("sources")).first()
+    digits = bucket_digits(seen["rows"] or 0)
+    targets = source_targets(by_source.select("mix_source", "mix_size"), weights, most)
+    if seen["sources"] <= FEW_SOURCES:
+        targets = F.broadcast(targets)
     d = d.withColumn("mix_bucket", F.substring("mix_deal", 1, digits))
     buckets = d.groupBy(F.col("source").alias("mix_s"), F.col("mix_bucket").alias("mix_b")).agg(F.sum("mix_words").alias("mix_in_bucket"))
     ahead = Window.partitionBy("mix_s").orderBy("mix_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -99,7 +109,8 @@ def position(offset: Column, target: Column, rank: Column, tilt: float = TILT) -
 
 def mixed(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
     """The taken documents, once per pass, with docs' columns, range-sorted by training position."""
-    return dealt(placed(docs, weights, most).filter("mix_passes > 0")).select(*docs.columns)
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("mix_words"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("mix_all"))
+    return dealt(_placed(rows, weights, most).filter("mix_passes > 0")).select("mix_all.*")
 
 
 def dealt(p: DataFrame) -> DataFrame:

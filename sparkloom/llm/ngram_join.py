@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import mix, pieces, shingle_set, slices, words
-from .common import staged, texts
+from .common import apart, keyed, staged, texts
 from .linking import HOT, WORDS, among, bits_of, frequent, linked, long_enough, nodes_of, overlap
 
 #: Least number of documents of a part of a batch that share a shingle which is counted.
@@ -51,23 +51,23 @@ def class_of(items: np.ndarray) -> tuple[int, int]:
 
 
 def profile(docs: DataFrame, k: int) -> DataFrame:
-    """Rows of kind 0: a document with its id, set size, class (node), bits (signature) and sketch (counts by range); of kind 1: a shingle (node) that n documents of a batch share."""
+    """Rows of kind 0: a document with its id, key (hash of the text), set size, class (node), bits (signature) and sketch (counts by range); of kind 1: a shingle (node) that n documents of a batch share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "doc_id", "n", "node", "bits", "sketch"]
+        names = ["kind", "doc_id", "key", "n", "node", "bits", "sketch"]
         for b in pieces(batches, "text", 4 << 20):
             sets = list(shingle_sets(b["text"], k))
             node = [class_of(s)[0] for s in sets]
             bits = [bits_of(np.zeros(len(s), np.int64), s, 1)[0] for s in sets]
             sketch = [np.minimum(np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=RANGES), 255).astype(np.uint8).tobytes() for s in sets]
-            yield pa.record_batch([pa.array(np.zeros(len(sets), np.int32)), b["doc_id"], pa.array(list(map(len, sets)), pa.int64()), pa.array(node, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names)
+            yield pa.record_batch([pa.array(np.zeros(len(sets), np.int32)), b["doc_id"], b["key"], pa.array(list(map(len, sets)), pa.int64()), pa.array(node, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names)
             if sets:
                 shingle, count = np.unique(np.concatenate(sets), return_counts=True)
                 shingle, count = shingle[count >= SHARED].view(np.int64), count[count >= SHARED]
                 none = pa.nulls(len(shingle))
-                yield pa.record_batch([pa.array(np.ones(len(shingle), np.int32)), none.cast(pa.int64()), pa.array(count.astype(np.int64)), pa.array(shingle), none.cast(pa.list_(pa.int64())), none.cast(pa.binary())], names)
+                yield pa.record_batch([pa.array(np.ones(len(shingle), np.int32)), none.cast(pa.int64()), none.cast(pa.int64()), pa.array(count.astype(np.int64)), pa.array(shingle), none.cast(pa.list_(pa.int64())), none.cast(pa.binary())], names)
 
-    return texts(docs).mapInArrow(run, "kind int, doc_id long, n long, node long, bits array<long>, sketch binary")
+    return keyed(docs).mapInArrow(run, "kind int, doc_id long, key long, n long, node long, bits array<long>, sketch binary")
 
 
 def prefixes(docs: DataFrame, k: int, num: int, den: int, heavy) -> DataFrame:
@@ -100,11 +100,11 @@ def prefixes(docs: DataFrame, k: int, num: int, den: int, heavy) -> DataFrame:
     return texts(docs).select("text").mapInArrow(run, "token long, node long, n int, pos int, hot boolean")
 
 
-def joined(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document; linked when den * |A & B| >= num * |A | B|."""
+def joined(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, keyed_rows: bool = False) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document; linked when den * |A & B| >= num * |A | B|. With keyed_rows also key (hash of the text) and component (hash of a set in it)."""
     sc = docs.sparkSession.sparkContext
     rows = staged(profile(docs, k), "profile")
-    own = rows.filter("kind = 0").select("doc_id", "n", "node", "bits", "sketch")
+    own = rows.filter("kind = 0").select("doc_id", "key", "n", "node", "bits", "sketch")
     often = frequent(rows.filter("kind = 1").select(F.col("node").alias("token"), "n"))
     known = np.array(sorted((r["token"] for r in often)), np.int64).view(np.uint64)
     by = {r["token"]: r["n"] for r in often}
@@ -112,12 +112,12 @@ def joined(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFr
     known = known[order]
     heavy = sc.broadcast((known, np.array([by[x] for x in known.view(np.int64).tolist()], np.int64)))
     tokens = staged(prefixes(docs, k, num, den, heavy), "prefixes")
-    classes = staged(own.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("sketch").alias("sketch")), "classes")
+    classes = staged(own.filter("n > 0").groupBy("node").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key"))).alias("at"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("sketch").alias("sketch")).select("node", "at.*", "n", "bits", "sketch"), "classes")
 
     def fetch(nodes: DataFrame) -> DataFrame:
-        wanted = staged(classes.join(nodes, "node").select("node", "doc_id"), "wanted")
-        found = among(texts(docs), "doc_id", wanted).join(wanted, "doc_id")
-        return found.select("node", "text").dropDuplicates(["node"])
+        wanted = staged(classes.join(nodes, "node").select("node", F.col("doc_id").alias("own"), F.col("key").alias("own_key")), "wanted")
+        found = among(keyed(docs), "key", wanted.withColumnRenamed("own_key", "key"))
+        return found.join(wanted, (F.col("key") == F.col("own_key")) & (F.col("doc_id") == F.col("own"))).select("node", "text").dropDuplicates(["node"])
 
     def fits(x: Column, y: Column) -> Column:
         return long_enough(x["n"], y["n"], num, den) & (overlap(x, y, x["n"], y["n"]) * (num + den) >= num * (x["n"] + y["n"]))
@@ -146,12 +146,18 @@ def joined(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFr
     part = linked(tokens, fetch, lambda column: shingle_sets(column, k), num, den, traits, fits, prune)
     named = classes.select("node", F.col("doc_id").alias("least")).join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.select("node", "component").join(least, "component").select("node", "component_id")
-    out = own.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node")).join(named, "node", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = named.select("node", "component").join(least, "component").select("node", "component", "component_id")
+    out = own.select("doc_id", "key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node")).join(named, "node", "left")
+    out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "key", "component")
+    return out if keyed_rows else out.drop("key", "component")
 
 
 def representatives(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """One document of each component, the one with the least doc_id, with docs' columns; of rows with one doc_id one stays; those without a doc_id stay."""
-    keep = joined(docs, k, num, den).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    """One row of each component, of the least doc_id, with docs' columns. Rows that share a doc_id and differ in text count apart; those without a doc_id stay."""
+    rows, own, key = apart(docs.columns, "join_key", "join_own", "join_id")
+    found = joined(docs, k, num, den, keyed_rows=True).filter(F.col("doc_id") == F.col("component_id"))
+    # rows of one doc_id in one component are copies of each other: the text with the least hash stays for them
+    keep = found.groupBy("component", "doc_id").agg(F.min("key").alias(own)).select(F.col("doc_id").alias(key), own).distinct()
+    d = docs.filter(F.col("doc_id").isNotNull()).withColumn(rows, F.xxhash64(F.col("text").cast("string")))
+    kept = d.join(keep, (F.col("doc_id").cast("long") == F.col(key)) & (F.col(rows) == F.col(own)), "left_semi").dropDuplicates(["doc_id", rows])
+    return kept.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))

@@ -2,13 +2,20 @@
 
 Base spans of four kinds come from patterns and checks. The method adds spans:
 per kind, a high-recall generator proposes further candidates (spelt-out
-addresses, digit groups with other separators, phone numbers without a plus),
-which may overlap spans of other kinds. Candidates are put into cells by format
-and context features; Spark counts, per cell, the candidates and those that are
-base spans as well, which serve as labels. Boosted trees of depth two are
-fitted on these counts (CELLS rows at most, whatever the input), compiled to a
-SQL expression, and per kind the lowest threshold is taken at which PRECISION
-of the candidates above it are base spans. Candidates above it that overlap no
+addresses, digit groups with other separators, phone numbers without a plus, and,
+as a fifth kind, secrets: long runs of letters with digits),
+which may overlap spans of other kinds. What says that a candidate is personal
+data is kept apart from what is learnt from: evidence is a word before it that
+names its kind ("token", "card"), or that its digits pass the check of the kind; the
+features are its format (length, groups, separators), the characters around it, and how
+many documents hold the same string, and neither the check nor the naming word is
+among them. Spark counts candidates and evidence by cell of binned features, apart for
+documents that are learnt from and documents that are held out (by a hash of the
+text). Boosted trees of depth two are
+fitted on the counts of the former (CELLS rows at most, whatever the input) and compiled to a
+SQL expression; per kind the lowest threshold is taken at which PRECISION
+of the held-out candidates above it have evidence. So a format that nearly always comes with
+evidence is redacted where it stands without. Candidates above the threshold that overlap no
 base span of their kind become spans.
 
 Positions are running sums, per text, of the lengths between and of the
@@ -16,8 +23,8 @@ matches; they count code points.
 
 Cases: a null text counts as empty and has no spans; rows with the same doc_id
 and text give equal rows; an empty table gives an empty table, and then no
-trees; kinds without candidates keep their base spans; `redacted` keeps the
-columns of its input, `found` reads doc_id and text only.
+trees; kinds without candidates, or without held-out ones, keep their base spans; `redacted` keeps the
+columns of its input, whatever their names; `found` reads doc_id and text only.
 """
 
 from __future__ import annotations
@@ -26,9 +33,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged, texts
+from .common import apart, staged, texts
 
+#: Kinds of base spans; spans of the last kind are only added.
 KINDS = ("email", "ip", "card", "phone")
+ALL_KINDS = (*KINDS, "secret")
 #: Base patterns. Look-behinds and possessive loops only spare steps: the matches are those of the plain patterns in README.md.
 BASE = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -41,12 +50,19 @@ WIDE = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]++)++",
     "ip": r"(?:(?<![0-9A-Za-z.])|\G)[0-9]++(?:(?:\.|\[\.\])[0-9]++){3}",
     "card": r"(?:(?<![0-9A-Za-z])|\G)[0-9]{3,6}(?:[\x20._/-]{0,2}[0-9]{3,6}){2,5}(?![0-9A-Za-z])",
-    "phone": r"(?:(?<![0-9A-Za-z+])|\G)(?:\+|00)?(?:[0-9]{1,3}[\x20.-]{1,2})?\(?[0-9]{2,4}\)?[\x20./-]{1,2}[0-9]{3,4}[\x20.-]{1,2}[0-9]{3,5}(?![0-9A-Za-z])",
+    "phone": r"(?:(?<![0-9A-Za-z+])|\G)(?:\+|00)?(?:[0-9]{1,3}[\x20.-]{1,2})?\(?[0-9]{2,4}\)?[\x20./-]{1,2}[0-9]{3,4}[\x20.-]{1,2}[0-9]{3,5}(?![\x20.-]?[0-9A-Za-z])",
+    "secret": r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])[A-Za-z0-9_+/-]{16,}+={0,2}",
 }
+#: Words that name a kind when they stand just before a candidate.
+NAMES = {"email": "mail|contact|write", "ip": "ip|host|server|addr|address", "card": "card|visa|credit|pay", "phone": "tel|phone|call|fax|mobile", "secret": "token|key|secret|password|passwd|pwd|auth|bearer"}
 ROUNDS, RATE, PRECISION = 40, 0.3, 0.95
-#: Numbers of bins of the features, which bound the cells.
-BINS = {"size": 6, "groups": 4, "valid": 2, "before": 4, "after": 4, "word": 2}
-CELLS = len(KINDS) * int(np.prod(list(BINS.values())))
+#: Numbers of bins of the features, which bound the cells; one text in HELD_OUT is held out from the trees and sets the thresholds.
+BINS = {"size": 6, "groups": 4, "marks": 4, "before": 4, "after": 4, "copies": 4}
+HELD_OUT = 4
+#: Held-out candidates that a threshold needs.
+LEAST = 10
+CELLS = 2 * len(ALL_KINDS) * int(np.prod(list(BINS.values())))
+_MARK = "\u0001"
 _NEAR = 24
 
 
@@ -83,20 +99,18 @@ def _matches(docs: DataFrame) -> DataFrame:
     """One row for each match of each pattern: doc_id, key, kind, wide, text, start, end, before and after (up to _NEAR characters)."""
     d = texts(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     d = d.filter(F.col("text").rlike(r"[0-9@]|[(\[]at[)\]]")).withColumn("key", F.xxhash64("doc_id", "text"))
+    d = d.withColumn("text", F.translate("text", _MARK, "\u0002"))  # neither stands in a match
     patterns = [(kind, wide, p) for wide, table in ((False, BASE), (True, WIDE)) for kind, p in table.items()]
-    gate = {"email": F.col("text").rlike(r"@|[(\[]at[)\]]"), "phone": F.col("text").rlike("[0-9]")}
-    cut = d.select(
-        "doc_id",
-        "key",
-        *[F.when(gate.get(k, gate["phone"]), F.regexp_extract_all("text", F.lit(p), F.lit(0))).alias(f"m{i}") for i, (k, _, p) in enumerate(patterns)],
-        *[F.when(gate.get(k, gate["phone"]), F.split("text", p, -1)).alias(f"p{i}") for i, (k, _, p) in enumerate(patterns)],
-    )
+    digit = F.col("text").rlike("[0-9]")
+    gate = {"email": F.col("text").rlike(r"@|[(\[]at[)\]]"), "secret": F.col("text").rlike("[A-Za-z0-9_+/-]{16}") & digit}
+    # gaps and matches by turns
+    cut = d.select("doc_id", "key", *[F.when(gate.get(k, digit), F.split(F.regexp_replace("text", p, f"{_MARK}$0{_MARK}"), _MARK, -1)).alias(f"p{i}") for i, (k, _, p) in enumerate(patterns)])
 
     def rows(i: int, kind: str, wide: bool) -> Column:
-        parts = F.col(f"p{i}")
+        parts = F.coalesce(F.col(f"p{i}"), F.array().cast("array<string>"))
         return F.transform(
-            F.coalesce(F.col(f"m{i}"), F.array().cast("array<string>")),
-            lambda m, j: F.struct(F.lit(kind).alias("kind"), F.lit(wide).alias("wide"), j.alias("nth"), m.alias("text"), F.length(F.get(parts, j)).alias("gap"), F.right(F.get(parts, j), F.lit(_NEAR)).alias("before"), F.left(F.get(parts, j + 1), F.lit(_NEAR)).alias("after")),
+            F.filter(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1)), F.lit(2)), lambda j: j < F.size(parts)),
+            lambda j: F.struct(F.lit(kind).alias("kind"), F.lit(wide).alias("wide"), j.alias("nth"), F.get(parts, j).alias("text"), F.length(F.get(parts, j - 1)).alias("gap"), F.right(F.get(parts, j - 1), F.lit(_NEAR)).alias("before"), F.left(F.get(parts, j + 1), F.lit(_NEAR)).alias("after")),
         )
 
     found = cut.select("doc_id", "key", F.explode(F.concat(*[rows(i, k, w) for i, (k, w, _) in enumerate(patterns)])).alias("m")).select("doc_id", "key", "m.*")
@@ -113,22 +127,30 @@ def _near(c: Column) -> Column:
 
 
 def _features(c: DataFrame) -> DataFrame:
-    """Adds the columns of BINS to matches."""
-    digits = only_digits(F.col("text"))
-    n = F.length(digits)
-    tail = F.col("text").rlike(r"[A-Za-z]{2,}$")
-    size = F.when(F.col("kind") == "email", F.when(F.length("text") < 6, 0).when(F.length("text") < 12, 1).when(F.length("text") < 40, 2).otherwise(3))
+    """Adds to matches the columns of BINS but copies, valid (the check of the kind, on its digits) and named."""
+    kind, text = F.col("kind"), F.col("text")
+    n = F.length(only_digits(text))
+    letters = F.length(text)
+    size = F.when(kind == "email", F.when(letters < 6, 0).when(letters < 12, 1).when(letters < 40, 2).otherwise(3))
+    size = size.when(kind == "secret", F.when(letters < 20, 0).when(letters < 28, 1).when(letters < 36, 2).when(letters < 44, 3).when(letters < 72, 4).otherwise(5))
     size = size.otherwise(F.when(n < 7, 0).when(n < 10, 1).when(n < 12, 2).when(n < 14, 3).when(n < 20, 4).otherwise(5))
     groups = F.least(F.lit(3), F.greatest(F.lit(0), F.regexp_count("text", F.lit("[0-9]+")) - 1))
-    check = F.when(F.col("kind") == "email", tail).otherwise(_valid(F.col("kind"), F.regexp_replace("text", r"\[\.\]", ".")))
-    word = F.col("before").rlike(r"(?i)(?:mail|contact|write|tel|phone|call|fax|card|visa|pay|ip|host|server|address)\W*$")
+    groups = F.when(kind == "secret", F.least(F.lit(3), F.floor(4 * n / letters))).otherwise(groups)  # or the share of digits
+    marks = F.when(kind == "secret", F.when(text.rlike("^[0-9a-f]+$|^[0-9A-F]+$"), 0).when(text.rlike("^[0-9a-z]+$|^[0-9A-Z]+$"), 1).when(text.rlike("^[0-9A-Za-z]+$"), 2).otherwise(3))
+    marks = marks.otherwise(F.when(text.startswith("+"), 0).when(text.rlike(r"[(\[]"), 1).when(text.rlike(r"\x20"), 2).otherwise(3))
+    named = F.lit(False)
+    for k, words in NAMES.items():
+        named = named | ((kind == k) & F.col("before").rlike(rf"(?i)(?:{words})\W{{0,4}}$"))
     return c.withColumns({
         "size": size,
         "groups": groups.cast("int"),
-        "valid": check.cast("int"),
+        "marks": marks,
         "before_": _near(F.right("before", F.lit(1))),
         "after_": _near(F.left("after", F.lit(1))),
-        "word": word.cast("int"),
+        "valid": F.when(kind.isin("ip", "card", "phone"), _valid(kind, F.regexp_replace("text", r"\[\.\]", "."))).otherwise(False),
+        "named": named,
+        "international": text.rlike("^(?:[+]|00)"),
+        "string": F.xxhash64("kind", F.lower("text")),
     }).drop("before", "after").withColumnsRenamed({"before_": "before", "after_": "after"})
 
 
@@ -173,10 +195,11 @@ def _scores(cells: np.ndarray, bias: float, trees: list[tuple]) -> np.ndarray:
     return out
 
 
-def threshold(score: np.ndarray, good: np.ndarray, all_: np.ndarray, precision: float = PRECISION) -> float:
-    """The lowest score such that at least `precision` of the candidates from there on are good; infinite if there is none."""
+def threshold(score: np.ndarray, good: np.ndarray, all_: np.ndarray, precision: float = PRECISION, least: float = LEAST) -> float:
+    """The lowest score such that at least `precision` of the candidates from there on are good, and so many are there; infinite if there is none."""
     order = np.argsort(-score, kind="stable")
-    right = np.cumsum(good[order]) >= precision * np.cumsum(all_[order])
+    seen = np.cumsum(all_[order])
+    right = (np.cumsum(good[order]) >= precision * seen) & (seen >= least)
     last = np.r_[score[order][1:] < score[order][:-1], True]  # cells of equal scores go together
     fit = np.flatnonzero(right & last)
     return float(score[order][fit[-1]]) if len(fit) else float("inf")
@@ -192,39 +215,50 @@ def _expression(bias: float, trees: list[tuple]) -> str:
 
 
 def added_condition(candidates: DataFrame) -> Column:
-    """Fit the trees on candidates (kind, the columns of BINS, base) and give the condition under which one is redacted."""
-    counted = candidates.groupBy("kind", *BINS).agg(F.sum(F.col("base").cast("long")).alias("good"), F.count(F.lit(1)).alias("all")).collect()  # CELLS rows at most
+    """Fit the trees on candidates (key, kind, the columns of BINS, evidence), set thresholds on those held out, and give the condition under which one is redacted."""
+    held = F.pmod("key", F.lit(HELD_OUT)) == 0
+    counted = candidates.groupBy("kind", *BINS).agg(*[F.sum(F.when(h, x).otherwise(0)).alias(n) for n, h, x in (("good", ~held, F.col("evidence").cast("long")), ("all", ~held, F.lit(1)), ("held_good", held, F.col("evidence").cast("long")), ("held_all", held, F.lit(1)))]).collect()  # CELLS rows at most
     accept = F.lit(False)
-    for kind in KINDS:
-        rows = sorted((tuple(r[b] for b in BINS), r["good"], r["all"]) for r in counted if r["kind"] == kind)
+    for kind in ALL_KINDS:
+        rows = sorted((tuple(r[b] for b in BINS), r["good"], r["all"], r["held_good"], r["held_all"]) for r in counted if r["kind"] == kind)
         if not rows:
             continue
-        cells, good, all_ = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float), np.array([r[2] for r in rows], float)
+        cells = np.array([r[0] for r in rows])
+        good, all_, held_good, held_all = (np.array([r[i] for r in rows], float) for i in range(1, 5))
         bias, trees = boosted(cells, good, all_)
-        least = threshold(_scores(cells, bias, trees), good, all_)
+        least = threshold(_scores(cells, bias, trees), held_good, held_all)
         if np.isfinite(least):
             accept = accept | ((F.col("kind") == kind) & (F.expr(_expression(bias, trees)) >= least - 1e-6))
     return accept
 
 
-def found(docs: DataFrame) -> DataFrame:
-    """doc_id, key (hash of doc_id and text), kind, start, end, base: all spans, once for each doc_id and text."""
+def candidates(docs: DataFrame) -> DataFrame:
+    """Base spans and further candidates, once for each doc_id and text: doc_id, key (hash of both), kind, start, end, base, wide, evidence, and the columns of BINS."""
     m = _features(_matches(docs))
-    is_base = ~F.col("wide") & (F.col("valid") == 1) | (~F.col("wide") & (F.col("kind") == "email"))
-    m = m.withColumn("base", is_base).filter(F.col("base") | F.col("wide"))
-    one = m.groupBy("doc_id", "key", "kind", "start", "end").agg(F.max("base").alias("base"), F.max("wide").alias("wide"), *[F.max(b).alias(b) for b in BINS])
+    m = m.withColumn("base", ~F.col("wide") & (F.col("valid") | (F.col("kind") == "email"))).filter(F.col("base") | F.col("wide"))
+    checked = F.col("valid") & ((F.col("kind") != "phone") | F.col("international"))
+    evidence = F.max(F.col("base") | checked | F.col("named"))
+    one = m.groupBy("doc_id", "key", "kind", "start", "end").agg(F.max("base").alias("base"), F.max("wide").alias("wide"), evidence.alias("evidence"), F.first("string").alias("string"), *[F.max(b).alias(b) for b in BINS if b != "copies"])
     one = staged(one, "candidates")
+    copies = one.groupBy("string").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    n = F.coalesce("copies", F.lit(1))
+    return one.join(copies, "string", "left").drop("string").withColumn("copies", F.when(n < 2, 0).when(n < 5, 1).when(n < 17, 2).otherwise(3))
+
+
+def found(docs: DataFrame) -> DataFrame:
+    """doc_id, key (hash of doc_id and text), kind, start, end, base: all spans, once for each doc_id and text."""
+    one = candidates(docs)
     by = Window.partitionBy("doc_id", "key", "kind").orderBy("start", "end")
     taken_before = F.max(F.when(F.col("base"), F.col("end"))).over(by.rowsBetween(Window.unboundedPreceding, -1)) > F.col("start")
     taken_after = F.min(F.when(F.col("base"), F.col("start"))).over(by.rowsBetween(1, Window.unboundedFollowing)) < F.col("end")
     free = ~F.coalesce(taken_before, F.lit(False)) & ~F.coalesce(taken_after, F.lit(False))
     accept = added_condition(one.filter("wide"))
-    out = one.withColumn("free", free).filter(F.col("base") | (accept & F.col("free")))
+    out = one.withColumn("free", free).filter(F.col("base") | (F.col("wide") & accept & F.col("free")))
     return out.select("doc_id", "key", "kind", "start", "end", "base")
 
 
 def _rank(kind: Column) -> Column:
-    return F.array_position(F.array(*[F.lit(k) for k in KINDS]), kind).cast("int")
+    return F.array_position(F.array(*[F.lit(k) for k in ALL_KINDS]), kind).cast("int")
 
 
 def listed(docs: DataFrame) -> DataFrame:
@@ -245,15 +279,17 @@ def listed(docs: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with every span replaced by its kind in brackets ([EMAIL]); spans that overlap or touch inside another become one."""
     s = found(docs)
+    own_id, own_key, spans, last, key = apart(docs.columns, "pii_id", "pii_own", "pii_spans", "pii_end", "pii_key")
     by = Window.partitionBy("doc_id", "key").orderBy("start", _rank(F.col("kind")), "end").rowsBetween(Window.unboundedPreceding, -1)
     s = s.withColumn("done", F.coalesce(F.max("end").over(by), F.lit(0)))
-    spans = s.groupBy(F.col("doc_id").alias("pii_d"), F.col("key").alias("pii_k")).agg(F.array_sort(F.collect_list(F.struct("start", _rank(F.col("kind")).alias("rank"), "end", "kind", "done"))).alias("pii_s"), F.max("end").alias("pii_e"))
-    d = docs.withColumn("pii_key", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    d = d.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("pii_d")) & (F.col("pii_key") == F.col("pii_k")), "left")
+    s = s.groupBy(F.col("doc_id").alias(own_id), F.col("key").alias(own_key)).agg(F.array_sort(F.collect_list(F.struct("start", _rank(F.col("kind")).alias("rank"), "end", "kind", "done"))).alias(spans), F.max("end").alias(last))
+    text = F.col("text").cast("string")
+    d = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(text, F.lit(""))))
+    d = d.join(s, F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)) & (F.col(key) == F.col(own_key)), "left")
 
     def piece(x: Column) -> Column:
-        gap = F.substring(F.col("text"), x["done"].cast("int") + 1, F.greatest(F.lit(0), x["start"] - x["done"]).cast("int"))
+        gap = F.substring(text, x["done"].cast("int") + 1, F.greatest(F.lit(0), x["start"] - x["done"]).cast("int"))
         return F.when(x["start"] >= x["done"], F.concat(gap, F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise("")
 
-    new = F.concat(F.array_join(F.transform("pii_s", piece), ""), F.substring(F.col("text"), F.col("pii_e").cast("int") + 1, F.lit(2**31 - 1)))
-    return d.withColumn("text", F.coalesce(new, F.col("text"))).select(*docs.columns)
+    new = F.concat(F.array_join(F.transform(spans, piece), ""), F.substring(text, F.col(last).cast("int") + 1, F.lit(2**31 - 1)))
+    return d.withColumn("text", F.coalesce(new, text)).select(*docs.columns)

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import apart, staged
 from .text_stats import text_stats
 
 GOOD, BAD, ABSTAIN = 1, 0, 2
@@ -81,7 +81,7 @@ def fit(votes: np.ndarray, counts: np.ndarray, rounds: int = 100, share: float =
 
 
 def judged(docs: DataFrame, keep: float = KEEP) -> DataFrame:
-    """doc_id, the columns of text_stats, base_failed, probability (posterior of good) and kept, for each document."""
+    """The columns of text_stats, base_failed, probability (posterior of good) and kept, for each document."""
     names = list(rules())
     stats = text_stats(docs)
     pattern = sum((v * 3**i for i, v in enumerate(rules().values())), F.lit(0))
@@ -100,6 +100,8 @@ def judged(docs: DataFrame, keep: float = KEEP) -> DataFrame:
 
 
 def kept(docs: DataFrame, keep: float = KEEP) -> DataFrame:
-    """The rows of docs, with their columns, whose text is kept."""
-    verdict = judged(docs, keep).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(verdict, docs["doc_id"].eqNullSafe(verdict["kept_id"]), "left_semi")
+    """The rows of docs, with their columns, whose own text is kept; rows may share a doc_id."""
+    own, own_key, key = apart(docs.columns, "kept_id", "kept_own", "kept_key")
+    verdict = judged(docs, keep).filter("kept").select(F.col("doc_id").alias(own), F.col("key").alias(own_key)).distinct()
+    d = docs.withColumn(key, F.xxhash64(F.col("text").cast("string")))
+    return d.join(verdict, F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (F.col(key) == F.col(own_key)), "left_semi").select(*docs.columns)

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow_text import code_points, grams, lines, mix, pieces, slices, words
-from .common import apart, staged, texts
+from .common import apart, keyed, staged
 from .linking import HOT, WORDS, Fetch, among, bits_of, frequent, linked, long_enough, overlap
 from .ngram_join import SHARED, shingle_sets
 
@@ -147,11 +147,6 @@ def paragraphs(docs: DataFrame, k: int, min_words: int, bands: int, rows: int, b
     return keyed(docs).mapInArrow(run, "kind int, doc_id long, key long, start long, end long, n_words long, node long, n long, tokens array<long>, bits array<long>")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and a hash of the text."""
-    return texts(docs).withColumn("key", F.xxhash64("text"))
-
-
 def repeated(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, min_words: int = MIN_WORDS, block: int | None = BLOCK) -> DataFrame:
     """Each occurrence of a repeated line or block: doc_id, key (hash of the text), start, end (code points), n_words, passage_id, first_doc_id, n_copies, removed."""
     bands, rows = tuned(num / den)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .arrow_text import SPACE, code_points, grams, lines, mix, slices, words
-from .common import texts
+from .common import keyed
 
 #: The columns that `text_stats` adds, all long.
 COLUMNS = (
@@ -82,15 +82,13 @@ def slice_stats(part) -> np.ndarray:
 
 
 def text_stats(docs: DataFrame) -> DataFrame:
-    """doc_id and COLUMNS of every text. Words are ``[^\\x20\\x09-\\x0D]+``; a null text has none."""
+    """doc_id, key (hash of the text) and COLUMNS of every text. Words are ``[^\\x20\\x09-\\x0D]+``; a null text has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [slice_stats(p) for p in slices(b["text"])]
             if found:
                 table = np.concatenate(found)
-                yield pa.record_batch([b["doc_id"], *(pa.array(table[:, i]) for i in range(len(COLUMNS)))], ["doc_id", *COLUMNS])
-
-    return texts(docs).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COLUMNS))
-
+                yield pa.record_batch([b["doc_id"], b["key"], *(pa.array(table[:, i]) for i in range(len(COLUMNS)))], ["doc_id", "key", *COLUMNS])
 
+    return keyed(docs).mapInArrow(run, "doc_id long, key long, " + ", ".join(f"{c} long" for c in COLUMNS))

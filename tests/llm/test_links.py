@@ -78,6 +78,15 @@ def test_ngram_join_of_odd_rows(odd, none):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 2, 3, 5, 6, 7, 8, 9]
 
 
+def test_representatives_of_unlike_texts_with_one_doc_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(80)) for x in "abc")
+    docs = spark.createDataFrame([(1, a, 0), (1, b, 1), (1, b, 2), (2, a, 3), (3, b + " end", 4), (4, c, 5), (None, a, 6)], "doc_id long, text string, join_key long")
+    kept = ngram_join.representatives(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in kept.collect() if r.doc_id) == sorted([(1, a), (1, b), (4, c)])
+    assert [r.text for r in kept.collect() if r.doc_id is None] == [a]
+
+
 def paragraphs(rows, least=25):
     out = {}
     for doc_id, text in rows:
@@ -97,9 +106,9 @@ def test_substring_dedup_matches_brute_force(spark):
     part = clusters({k: v[1] for k, v in own.items()}, 80, 100)
     sizes = collections.Counter(part.values())
     want = {(k[0], k[1], k[1] + own[k][0], part[k][0], part[k] != k) for k in own if sizes[part[k]] > 1}
-    got = {(r.doc_id, r.start, r.end, r.first_doc_id, r.removed) for r in substring_dedup.repeated(docs).collect()}
+    got = {(r.doc_id, r.start, r.end, r.first_doc_id, r.removed) for r in substring_dedup.repeated(docs, block=None).collect()}
     assert len(got & want) >= 0.99 * len(want) and len(got - want) <= 0.01 * len(want)
-    clean = {r.doc_id: r.text for r in substring_dedup.deduplicated(docs).collect()}
+    clean = {r.doc_id: r.text for r in substring_dedup.deduplicated(docs, block=None).collect()}
     cut = collections.defaultdict(list)
     for i, s, e, _, removed in got:
         if removed:
@@ -111,8 +120,12 @@ def test_substring_dedup_matches_brute_force(spark):
 
 
 def test_substring_dedup_of_odd_rows(odd, none):
-    assert substring_dedup.repeated(odd).count() == 0 and substring_dedup.repeated(none).count() == 0
-    assert substring_dedup.deduplicated(odd).count() == odd.count()
+    assert substring_dedup.repeated(odd, block=None).count() == 0 and substring_dedup.spans(none).count() == 0
+    own = odd.selectExpr("*", "1 AS cut_id", "2 AS cut_key", "3 AS cuts", "4 AS `start`")
+    out = substring_dedup.deduplicated(own)
+    assert out.columns == own.columns and out.count() == odd.count()
+    long = {r.doc_id: (r.start, r.end, r.removed) for r in substring_dedup.spans(odd).collect()}
+    assert set(long) == {5} and {r.doc_id for r in out.filter("length(text) > 100").collect()} <= {5}
 
 
 def test_tuned_bands_reach_the_recall():

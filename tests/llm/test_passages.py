@@ -39,15 +39,21 @@ def made():
 def test_every_repeated_run_holds_a_block(spark, documents):
     rows = made()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert substring_dedup.repeated(docs).count() == 0  # lines alone see none of it
+    assert substring_dedup.repeated(docs, block=None).count() == 0  # lines alone see none of it
     for d, least in ((docs, 3), (documents.select("doc_id", "text"), 0)):
         found = collections.defaultdict(list)
-        for r in substring_dedup.repeated(d, block=substring_dedup.BLOCK).collect():
+        for r in substring_dedup.spans(d).collect():
             assert r.n_copies > 1
             found[r.doc_id].append((r.start, r.end))
+        blocks = collections.defaultdict(list)
+        for r in substring_dedup.repeated(d).collect():
+            blocks[r.doc_id].append((r.start, r.end))
         want = runs(d.collect())
         assert len({i for i, *_ in want}) >= least
-        assert all(any(s <= a and b <= e for a, b in found[i]) for i, s, e in want)
+        assert all(any(s <= a and b <= e for a, b in blocks[i]) for i, s, e in want)
+        assert all(any(a <= x and y <= b for a, b in found[i]) for i in blocks for x, y in blocks[i])
+        covered = sum(any(a < e and s < b for a, b in found[i]) for i, s, e in want)
+        assert covered == len(want)
         if least:
             assert set(found) == {1, 2, 3}
 
