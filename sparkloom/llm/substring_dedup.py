@@ -168,11 +168,12 @@ def repeated(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, min_wor
     own = among(own, "component", several).distinct()  # rows that repeat a doc_id and text are one
     own = staged(own, "places")
     groups = own.groupBy("component").agg(F.count(F.lit(1)).alias("n_copies"), F.min(F.struct(*place)).alias("lead")).filter("n_copies > 1")
+    groups = staged(groups, "groups")  # so that Spark can split a large cluster when it joins them back
     out = own.join(groups, "component")
     # blocks that overlap the first one are no copies of it; lines never overlap
     first = F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("key") == F.col("lead.key")) & (F.col("start") < F.col("lead.end"))
     out = staged(out.withColumn("first", first), "places")
-    over = out.filter("first").groupBy("component").agg(F.count(F.lit(1)).alias("over"))
+    over = staged(out.filter("first").groupBy("component").agg(F.count(F.lit(1)).alias("over")), "over")
     out = out.join(over, "component").withColumn("n_copies", F.col("n_copies") - F.col("over") + 1).filter("n_copies > 1")
     return out.select(*place, "n_words", F.col("component").alias("passage_id"), F.col("lead.doc_id").alias("first_doc_id"), "n_copies", (~F.col("first")).alias("removed"))
 
