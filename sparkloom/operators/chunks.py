@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .components import staged
 
 SIGNATURES, STRUCTURE, DOCS, FULL = 1, 2, 3, 4
 PRIMARY, SECONDARY = ["MODULE", "CLASS", "INTERFACE", "STRUCT"], ["FUNCTION", "METHOD"]
@@ -54,6 +55,7 @@ def overview(entities: DataFrame, depth: int = OVERVIEW_DEPTH) -> DataFrame:
 
 def chunked(files: DataFrame, entities: DataFrame, max_lines: int = MAX_FILE_LINES) -> DataFrame:
     """Chunks (file_path, place, content, content_hash, metadata) of files: the whole file where it is shorter than max_lines, then one per chunkable entity in preorder."""
+    entities = staged(entities, "entities")  # read several times below, parsed once
     f = files.withColumn("file_content_hash", T.content_hash(F.col("content"))).withColumn("language", F.coalesce(T.language_of(F.col("file_path")), F.lit("unknown")))
     body = F.col("content")
     name = T.base_name(F.col("file_path"))
@@ -92,11 +94,15 @@ def resolved_paths(names: DataFrame, known: DataFrame) -> DataFrame:
     return scored.withColumn("n", row).filter("n = 1").select("path", F.col("known_path").alias("resolved"))
 
 
+def priority(files: Column, content: Column) -> Column:
+    """0.6 for a code file, 0.2 each for up to 3 files and 1000 characters."""
+    code = F.exists(files, lambda f: F.regexp_like(f, F.lit(r"\.(py|js|ts|java|c|cpp|go)$")))
+    return F.when(code, 0.6).otherwise(0.0) + F.least(F.size(files), F.lit(3)) / 3 * 0.2 + F.least(F.length(content), F.lit(1000)) / 1000 * 0.2
+
+
 def prioritized(chunks: DataFrame, most: int) -> DataFrame:
     """The `most` chunks (ord, files, content) of highest priority: 0.6 for a code file, 0.2 each for up to 3 files and 1000 characters; ties keep their order."""
-    code = F.exists("files", lambda f: F.regexp_like(f, F.lit(r"\.(py|js|ts|java|c|cpp|go)$")))
-    score = F.when(code, 0.6).otherwise(0.0) + F.least(F.size("files"), F.lit(3)) / 3 * 0.2 + F.least(F.length("content"), F.lit(1000)) / 1000 * 0.2
-    return chunks.withColumn("priority", score).orderBy(F.desc("priority"), "ord").limit(most)
+    return chunks.withColumn("priority", priority(F.col("files"), F.col("content"))).orderBy(F.desc("priority"), "ord").limit(most)
 
 
 def fitted_context(structure: Column, signatures: Column, max_tokens: int = 4000) -> Column:
@@ -104,6 +110,30 @@ def fitted_context(structure: Column, signatures: Column, max_tokens: int = 4000
     return F.when(T.token_estimate(structure) <= max_tokens, structure).otherwise(signatures)
 
 
+#: Chunks up to which no levels are needed, most chunks of a context, and tokens that a chunk is taken to need.
+SIMPLE_CHUNKS, MOST_CHUNKS, CHUNK_TOKENS = 3, 6, 500
+
+
+def context_levels(chunks: DataFrame, max_tokens: int = 4000) -> DataFrame:
+    """(change_id, context, level) of chunks (change_id, ord, files, content, structure, signatures), one row a change.
+
+    Up to SIMPLE_CHUNKS chunks are taken as they are (level plain). Else the
+    min(max_tokens / CHUNK_TOKENS, MOST_CHUNKS) of highest priority are
+    rendered by structure, or by signatures where that exceeds the tokens; what
+    still exceeds them is cut.
+    """
+    most = min(max_tokens // CHUNK_TOKENS, MOST_CHUNKS)
+    c = chunks.withColumn("priority", priority(F.col("files"), F.col("content"))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("change_id")))
+    c = c.withColumn("nth", F.row_number().over(Window.partitionBy("change_id").orderBy(F.when(F.col("n") > SIMPLE_CHUNKS, -F.col("priority")).otherwise(0.0), "ord")))
+    c = c.filter((F.col("n") <= SIMPLE_CHUNKS) | (F.col("nth") <= most))
+    text = lambda name: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", F.col(name).alias("text")))), lambda x: x["text"]), "\n\n")
+    g = c.groupBy("change_id").agg(F.first("n").alias("n"), text("content").alias("plain"), text("structure").alias("structure"), text("signatures").alias("signatures"))
+    full = T.token_estimate(F.col("structure")) <= max_tokens
+    level = F.when(F.col("n") <= SIMPLE_CHUNKS, "plain").when(full, "structure").otherwise("signatures")
+    out = F.when(F.col("n") <= SIMPLE_CHUNKS, F.col("plain")).otherwise(F.when(full, F.col("structure")).otherwise(F.substring("signatures", 1, 4 * max_tokens)))
+    return g.select("change_id", out.alias("context"), level.alias("level"))
+
+
 def entity_markdown(content: Column, kind: Column, name: Column, sign: Column, docstring: Column, language: Column) -> Column:
     """An entity as markdown: heading, signature or code in a fence, docstring."""
     code = F.coalesce(F.when(content != "", content), F.when(sign != "", sign))

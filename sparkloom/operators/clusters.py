@@ -43,10 +43,8 @@ def linkage_clusters(points: DataFrame, block_col: str, id_col: str = "id", vect
     """
     from .search import pairs_within
 
-    pairs = pairs_within(points.withColumn("id_of", F.col(id_col)), threshold, "id_of", vector_col)
-    blocks = points.select(F.col(id_col).alias("i"), F.col(block_col).alias("bl"))
-    inside = pairs.join(blocks.select(F.col("i").alias("a"), F.col("bl").alias("ba")), "a").join(blocks.select(F.col("i").alias("b"), F.col("bl").alias("bb")), "b").filter("ba = bb").select("a", "b")
-    part = connected_components(staged(inside, "pairs")).withColumnRenamed("id", id_col)
+    inside = pairs_within(points, threshold, id_col, vector_col, within=block_col)
+    part = connected_components(staged(inside.select("a", "b"), "pairs")).withColumnRenamed("id", id_col)
     rows = points.select(F.col(id_col), F.col(vector_col).cast("array<double>").alias("v")).join(part, id_col, "left").withColumn("component", F.coalesce("component", F.col(id_col)))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -62,21 +60,72 @@ def linkage_clusters(points: DataFrame, block_col: str, id_col: str = "id", vect
 
 
 def leader_clusters(points: DataFrame, block_col: str, threshold: float, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
-    """(id, leader): in each block the first unassigned point (by id) leads, and takes all unassigned ones of at least this clamped similarity. Depends on order, so a block is one group."""
+    """(id, leader): in each block the first unassigned point (by id) leads, and takes all unassigned ones of at least this clamped similarity."""
+    from .search import pairs_within
+
+    pairs = pairs_within(points, 1 - threshold, id_col, vector_col, within=block_col)
+    return leaders(points.select(F.col(id_col).cast("long").alias("id")), pairs)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(id_col)
-        v = np.stack(pdf[vector_col].to_numpy()).astype(float)
-        v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-10)
-        ids, leader = pdf[id_col].to_numpy(), np.full(len(pdf), -1, dtype=np.int64)
-        for i in range(len(ids)):
-            if leader[i] < 0:
-                near = np.clip(v @ v[i], 0, 1) >= threshold
-                near[i] = True
-                leader[near & (leader < 0)] = ids[i]
-        return pd.DataFrame({"id": ids, "leader": leader})
 
-    return points.select(id_col, block_col, vector_col).groupBy(block_col).applyInPandas(one, "id long, leader long")
+def leaders(ids: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, leader) of greedy grouping by id over alike pairs (a, b), a < b: whoever is like no leader before it leads.
+
+    In each round everyone whose lower partners are all decided is decided: it
+    leads if none of them leads. Rounds go on as long as chains of undecided
+    partners are, and all of a round is joins on ids.
+    """
+    pairs = staged(pairs.select("a", "b"), "alike")
+    lead = staged(ids.join(pairs.select(F.col("b").alias("id")).distinct(), "id", "left_anti").select("id"), "leaders")
+    left = staged(ids.join(lead, "id", "left_anti"), "undecided")
+    while left.limit(1).count():
+        led = pairs.join(lead.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct()
+        open_ = left.join(led, "id", "left_anti")
+        waits = pairs.join(open_.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct()
+        new = staged(open_.join(waits, "id", "left_anti"), "leaders")
+        left = staged(open_.join(new, "id", "left_anti"), "undecided")
+        lead = lead.unionByName(new)
+    lead = staged(lead, "leaders")
+    first = pairs.join(lead.select(F.col("id").alias("a")), "a").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("first"))
+    own = ids.join(lead.withColumn("leads", F.lit(True)), "id", "left").join(first, "id", "left")
+    return own.select("id", F.when(F.col("leads"), F.col("id")).otherwise(F.col("first")).alias("leader"))
+
+
+def related_groups(files: DataFrame) -> DataFrame:
+    """(change_id, id, leader): greedy grouping of the files (change_id, id, path) of each change by `related`. Pairs are made inside a change only."""
+    f = files.select("change_id", "id", "path")
+    both = f.select("change_id", F.col("id").alias("a"), F.col("path").alias("pa")).join(f.select("change_id", F.col("id").alias("b"), F.col("path").alias("pb")), "change_id").filter("a < b")
+    alike = both.filter(related(F.col("pa"), F.col("pb"))).select("a", "b")
+    return files.select("change_id", "id").join(leaders(files.select("id"), alike), "id").select("change_id", "id", "leader")
+
+
+def consolidated(chunks: DataFrame, least: int = 2) -> DataFrame:
+    """(change_id, ord, into) of single-file chunks (change_id, ord, path): the chunk (its ord) that each is merged into.
+
+    In order, each chunk that is not merged yet takes later ones of its own file,
+    and one of a related file, after which it holds two files and takes no more. Changes of
+    fewer than `least` chunks stay. A change is one group: what one commit holds.
+    """
+    f = chunks.select("change_id", "ord", "path")
+    both = f.select("change_id", F.col("ord").alias("a"), F.col("path").alias("pa")).join(f.select("change_id", F.col("ord").alias("b"), F.col("path").alias("pb")), "change_id").filter("a < b")
+    alike = both.filter((F.col("pa") == F.col("pb")) | related(F.col("pa"), F.col("pb"))).groupBy("change_id", "a").agg(F.collect_list(F.struct("b", (F.col("pa") != F.col("pb")).alias("other"))).alias("later"))
+    rows = f.join(alike.withColumnRenamed("a", "ord"), ["change_id", "ord"], "left").select("change_id", "ord", "later")
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ord")
+        into: dict[int, int] = {}
+        for at, later in zip(pdf.ord, pdf.later, strict=True):
+            if at in into:
+                continue
+            into[at] = at
+            for x in sorted(later if later is not None and len(pdf) >= least else [], key=lambda x: x["b"]):
+                if x["b"] not in into:
+                    into[x["b"]] = at
+                    if x["other"]:
+                        break
+        return pd.DataFrame({"change_id": pdf.change_id, "ord": pdf.ord, "into": [into[o] for o in pdf.ord]})
+
+    kind = dict(f.dtypes)
+    return rows.groupBy("change_id").applyInPandas(one, f"change_id {kind['change_id']}, ord {kind['ord']}, into {kind['ord']}")
 
 
 #: Pairs of patterns (from the start, without case) of files that belong together.
@@ -168,8 +217,10 @@ def repaired(members: DataFrame, vectors: DataFrame, merge: float = MERGE) -> Da
             part = connected_components(similar).withColumnRenamed("id", "group_id")
             m = staged(m.join(part, "group_id", "left").select(F.coalesce("component", "group_id").alias("group_id"), "chunk_id", "file_path").distinct(), "members")
             continue
-        first = bad.agg(F.min("file_path").alias("file_path"))
-        to = history.primary_group(m.join(first, "file_path")).select(F.col("group_id").alias("to"))
-        moving = m.join(first, "file_path").select("chunk_id").distinct().crossJoin(F.broadcast(to))
+        # files that are the first in each of their groups share no group, so they are treated at once
+        first = held.groupBy("group_id").agg(F.min("file_path").alias("file_path")).groupBy("file_path").agg(F.count(F.lit(1)).alias("n_first"))
+        first = first.join(history.violations(m), "file_path").filter("n_first = n_groups").select("file_path")
+        to = history.primary_group(m.join(first, "file_path")).select("file_path", F.col("group_id").alias("to"))
+        moving = m.join(to, "file_path").groupBy("chunk_id").agg(F.min("to").alias("to"))
         m = staged(m.join(moving, "chunk_id", "left").select(F.coalesce("to", "group_id").alias("group_id"), "chunk_id", "file_path").distinct(), "members")
     return m

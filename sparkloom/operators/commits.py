@@ -113,10 +113,31 @@ def valid_footer_token(token: Column) -> Column:
 def linted(message: Column) -> Column:
     """struct(is_valid, messages) under the effective rules: errors (header, type, scope, subject), then warnings (prefixed), then those of body and footers."""
     p = parsed(message)
-    header = F.element_at(F.split(message, r"\r\n|\n|\r"), 1)
     rest = body_and_footers(p["rest"])
-    body, foot = rest["body"], rest["footers"]
-    items = footers(foot)
+    return _verdict(message, p, rest, footers(rest["footers"]))
+
+
+def with_lint(rows: DataFrame, message: str, out: str = "lint") -> DataFrame:
+    """rows with `linted` of a message column; its parts are columns of steps in between, so that each is worked out once."""
+    p, rest, items, parts = (f"{out}_{x}" for x in ("parsed", "rest", "items", "parts"))
+    df = rows.withColumn(p, parsed(F.col(message)))
+    df = df.withColumn(rest, body_and_footers(F.col(p)["rest"]))
+    df = df.withColumn(items, footers(F.col(rest)["footers"]))
+    df = df.withColumn(parts, _said(F.col(message), F.col(p), F.col(rest), F.col(items)))
+    return df.withColumn(out, _summed(F.col(message), F.col(p), F.col(parts))).drop(p, rest, items, parts)
+
+
+def _verdict(message: Column, p: Column, rest: Column, items: Column) -> Column:
+    return _summed(message, p, _said(message, p, rest, items))
+
+
+def _header(message: Column) -> Column:
+    return F.element_at(F.split(message, r"\r\n|\n|\r"), 1)
+
+
+def _said(message: Column, p: Column, rest: Column, items: Column) -> Column:
+    """struct(bad, warned) of a message whose header could be parsed."""
+    header, body, foot = _header(message), rest["body"], rest["footers"]
     say = lambda bad, text: F.when(bad, text)
     size = F.length(header).cast("string")
     subject = p["description"]
@@ -157,6 +178,11 @@ def linted(message: Column) -> Column:
     tokens = F.array_compact(F.transform(items, token_says))
     bad = F.concat(F.array_compact(F.array(*errors)), F.filter(tokens, lambda x: ~F.startswith(x, F.lit("[WARN]"))))
     warned = F.concat(F.array_compact(F.array(*warnings)), long_lines(body, "Body"), blank, long_lines(foot, "Footer"), F.filter(tokens, lambda x: F.startswith(x, F.lit("[WARN]"))))
+    return F.struct(bad.alias("bad"), warned.alias("warned"))
+
+
+def _summed(message: Column, p: Column, parts: Column) -> Column:
+    header, bad, warned = _header(message), parts["bad"], parts["warned"]
     broken = F.when(~F.contains(header, F.lit(":")), "Invalid header format: Missing ':' after type/scope.").when(~header.rlike(r"^[^:]*: "), "Invalid header format: Missing space after ':'.").otherwise("Invalid header format: Does not match '<type>(<scope>)!: <description>'. Check type/scope syntax.")
     empty = strip(F.coalesce(message, F.lit(""))) == ""
     messages = F.when(empty, F.array(F.lit("Commit message cannot be empty."))).when(~p["ok"], F.array(broken)).otherwise(F.concat(bad, warned))

@@ -5,13 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def staging_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, else (in tests) a temporary one."""
+    """The folder named by spark.checkpoint.dir; a temporary one on one machine (tests) where that is unset, which on a cluster is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    master = spark.sparkContext.master
+    if not named and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return named or tempfile.mkdtemp(prefix="staged-")
 
 
@@ -22,6 +25,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ranked(df: DataFrame, *order: str, name: str = "place") -> DataFrame:
+    """df with a number (from 0) of each row in this total order: rows are counted by range, so no task sees all of them."""
+    parts = df.repartitionByRange(*order).withColumn("range_no", F.spark_partition_id())
+    parts = staged(parts, "ranges")
+    by = Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    sizes = parts.groupBy("range_no").agg(F.count(F.lit(1)).alias("n")).withColumn("ahead", F.coalesce(F.sum("n").over(by), F.lit(0))).drop("n")
+    own = F.row_number().over(Window.partitionBy("range_no").orderBy(*order)) - 1
+    return parts.withColumn("own_no", own).join(sizes, "range_no").withColumn(name, F.col("ahead") + F.col("own_no")).drop("range_no", "own_no", "ahead")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) of each end of the edges (a, b); component is the least id reachable.
 

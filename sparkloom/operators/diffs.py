@@ -226,6 +226,19 @@ def semantic_split(diffs: DataFrame, moved: DataFrame | None = None, limit: int
     return cut.unionByName(whole.select("diff_id", "nth", F.lit(1).alias("part"), "file_path", F.lit("whole").alias("kind"), "content"))
 
 
+def malformed(content: Column) -> Column:
+    """Whether a file's diff has a hunk header that can't be read."""
+    return F.exists(T.lines(content), lambda x: F.startswith(x, F.lit("@@")) & ~F.regexp_like(x, F.lit(r"^@@ -\d+(,\d+)? \+\d+(,\d+)? @@")))
+
+
+def split(diffs: DataFrame, moved: DataFrame | None = None, limit: int = PART_LIMIT) -> DataFrame:
+    """`semantic_split`, but a diff any file of which is malformed gives one part (kind file) for each of its files."""
+    bad = file_diffs(diffs).filter(malformed(F.col("content"))).select("diff_id").distinct()
+    good = semantic_split(diffs.join(bad, "diff_id", "left_anti"), moved, limit)
+    rest = file_chunks(diffs.join(bad, "diff_id", "left_semi"))
+    return good.unionByName(rest.select("diff_id", "nth", F.lit(1).alias("part"), "file_path", F.lit("file").alias("kind"), "content"))
+
+
 def by_precedence(staged: DataFrame, unstaged: DataFrame, untracked: DataFrame, key: str = "file_path") -> DataFrame:
     """One row per file: staged before unstaged before untracked."""
     rows = None

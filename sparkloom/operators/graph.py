@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .components import ranked
 
 CONTAINERS, NODES = ["MODULE", "CLASS"], ["FUNCTION", "METHOD", "CONSTANT", "VARIABLE"]
 
@@ -108,9 +109,8 @@ def edge_lines(edges: DataFrame) -> DataFrame:
     """(place, line, style): drawn edges in text order; styles are numbered after the sort, so that they belong to their line."""
     arrow = F.coalesce(*[F.when(F.col("type") == k, F.lit(v)) for k, v in ARROWS.items()], F.lit("-->"))
     lines = edges.select(F.concat(F.lit("  "), "src", F.lit(" "), arrow, F.lit(" "), "dst").alias("line"), "type").distinct()
-    at = F.row_number().over(Window.orderBy("line")) - 1
     style = F.coalesce(*[F.when(F.col("type") == k, F.lit(v)) for k, v in STYLES.items()])
-    return lines.withColumn("place", at).select("place", "line", F.concat(F.lit("  linkStyle "), "place", F.lit(" "), style).alias("style"))
+    return ranked(lines, "line", "type").select("place", "line", F.concat(F.lit("  linkStyle "), "place", F.lit(" "), style).alias("style"))
 
 
 def diagram(nodes: DataFrame, edges: DataFrame) -> DataFrame:

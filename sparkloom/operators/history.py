@@ -51,8 +51,8 @@ def log_between(commits: DataFrame, parents: DataFrame, base: str, head: str) ->
 
 def log_until(commits: DataFrame, stop: str) -> DataFrame:
     """Commits newer (by ord) than the commit `stop`; all if it is not there."""
-    at = F.max(F.when(F.col("commit_id") == stop, F.col("ord"))).over(Window.partitionBy(F.lit(1)))
-    return commits.withColumn("at", at).filter(F.col("at").isNull() | (F.col("ord") > F.col("at"))).drop("at")
+    at = commits.filter(F.col("commit_id") == stop).agg(F.max("ord").alias("at"))  # one row
+    return commits.join(F.broadcast(at)).filter(F.col("at").isNull() | (F.col("ord") > F.col("at"))).drop("at")
 
 
 def branch_relation(parents: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -82,6 +82,13 @@ def chat_history(rows: DataFrame, session: str, limit: int = 50) -> DataFrame:
     return rows.filter(F.col("session_id") == session).orderBy("timestamp", "id").limit(limit)
 
 
+def add_messages(rows: DataFrame, new: DataFrame) -> DataFrame:
+    """rows (id and more) and new ones without an id, which get greater ids than all there are; columns that new ones lack are null."""
+    last = rows.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))  # one row
+    given = new.withColumn("nth", F.monotonically_increasing_id()).join(F.broadcast(last)).withColumn("id", F.col("last") + F.col("nth") + 1).drop("nth", "last")
+    return rows.unionByName(given, allowMissingColumns=True).select(*rows.columns)
+
+
 def set_response(rows: DataFrame, updates: DataFrame) -> DataFrame:
     """rows with ai_response from updates (id, ai_response) where there is one."""
     u = updates.select("id", F.col("ai_response").alias("new_response"), F.lit(True).alias("has_new"))

@@ -94,29 +94,31 @@ def group_similarity(points: DataFrame, group_col: str, vector_col: str = "vecto
     return a.join(b, "at").filter("group_a < group_b").groupBy("group_a", "group_b").agg(F.sum(F.col("va") * F.col("vb")).alias("similarity"))
 
 
-def pairs_within(points: DataFrame, eps: float, id_col: str = "id", vector_col: str = "vector", block: int = BLOCK) -> DataFrame:
-    """(a, b, distance), a < b, of all points whose cosine distance is at most eps.
+def pairs_within(points: DataFrame, eps: float, id_col: str = "id", vector_col: str = "vector", block: int = BLOCK, within: str | None = None) -> DataFrame:
+    """(a, b, distance), a < b, of all points (of one value of `within`, if given) whose cosine distance is at most eps.
 
     Exact: the rows are dealt into blocks, and each two blocks meet in one
     group of at most 2 * block rows, where a matrix product compares them.
     """
-    blocks = max(1, -(-points.count() // block))
+    label = F.lit(0) if within is None else F.xxhash64(within)
+    most = points.groupBy(label.alias("label")).count().agg(F.max("count")).first()[0] or 0
+    blocks = max(1, -(-most // block))
     own = F.pmod(F.xxhash64(id_col), F.lit(blocks))
-    rows = points.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), own.alias("own"))
+    rows = points.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), own.alias("own"), label.alias("label"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     rows = rows.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf.own == key[0]], pdf[pdf.own == key[1]]
+        left, right = pdf[pdf.own == key[1]], pdf[pdf.own == key[2]]
         if len(left) == 0 or len(right) == 0:
             return pd.DataFrame({"a": [], "b": [], "distance": []})
         d = 1 - _unit(np.stack(left.v.to_numpy())) @ _unit(np.stack(right.v.to_numpy())).T
         i, j = np.nonzero(d <= eps)
         a, b = left.id.to_numpy()[i], right.id.to_numpy()[j]
-        keep = a < b if key[0] == key[1] else a != b
+        keep = a < b if key[1] == key[2] else a != b
         return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "distance": d[i, j][keep]})
 
-    return rows.groupBy("lo", "hi").applyInPandas(compare, "a long, b long, distance double")
+    return rows.groupBy("label", "lo", "hi").applyInPandas(compare, "a long, b long, distance double")
 
 
 def shaped(results: DataFrame, payload: list[str], id_col: str = "id") -> DataFrame:

@@ -90,11 +90,11 @@ def tree_text(files: DataFrame, root: str, dirs: DataFrame | None = None) -> Dat
 
 
 def repository_stats(entities: DataFrame) -> DataFrame:
-    """One row: files scanned, files with entities, lines of their top entities, distinct languages in order."""
-    top = F.col("parent_id").isNull()
+    """One row: files scanned, files that could be read as code, lines of their top entities, distinct languages in order. entities: as sources/code.py gives them."""
+    top = F.col("parent").isNull()
     return entities.agg(
         F.countDistinct("file_path").alias("files_scanned"),
-        F.countDistinct(F.when(F.col("entity_id").isNotNull(), F.col("file_path"))).alias("files_processed"),
+        F.countDistinct(F.when(F.col("parse_ok"), F.col("file_path"))).alias("files_processed"),
         F.coalesce(F.sum(F.when(top, F.col("end_line") - F.col("start_line") + 1)), F.lit(0)).alias("n_lines"),
         F.array_join(F.array_sort(F.collect_set("language")), ",").alias("languages"),
     )

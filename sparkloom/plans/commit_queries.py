@@ -52,7 +52,7 @@ def commit_parse(spark, sf_dir):
 
 
 def commit_lint(spark, sf_dir):
-    m = _messages(spark, sf_dir).withColumn("l", C.linted(F.col("message")))
+    m = C.with_lint(_messages(spark, sf_dir), "message", "l")
     return m.select("event_id", "l.is_valid", F.array_join("l.messages", "\n").alias("messages"))
 
 
