@@ -45,12 +45,6 @@ def chunk_rows(spark, sf_dir):
 
 
 def entity_edges(spark, sf_dir):
-    """Of files with lang 'en' only, as its SQL has it."""
-    _, edges = graph.entity_graph(code.entities(_sources(spark, sf_dir).filter("file_path LIKE '%/en/%'")))
-    return edges.groupBy("type").agg(F.count(F.lit(1)).alias("n_edges"), F.countDistinct("src").alias("n_sources"))
-
-
-def entity_edges_all(spark, sf_dir):
     return graph.edge_counts(code.entities(_sources(spark, sf_dir)))
 
 
@@ -127,7 +121,7 @@ def context_pack(spark, sf_dir):
     return c.select("rank", F.sha2("code", 256).alias("code_hash"))
 
 
-QUERIES = {f.__name__: f for f in (entity_rows, chunk_rows, entity_edges, entity_edges_all, doc_sections, call_edges, import_edges, chunk_priority, debounce_sessions, debounce_stream, related_files, token_vectors, leader_clusters, linkage_clusters, context_pack)}
+QUERIES = {f.__name__: f for f in (entity_rows, chunk_rows, entity_edges, doc_sections, call_edges, import_edges, chunk_priority, debounce_sessions, debounce_stream, related_files, token_vectors, leader_clusters, linkage_clusters, context_pack)}
 SQL = {
     "entity_rows": f"WITH {_F} SELECT file_path, ord, parent, entity_type, name, start_line, end_line, signature, docstring FROM e",
     "chunk_rows": f"""WITH {_F},
@@ -138,7 +132,7 @@ SELECT e.file_path, e.ord AS place, e.entity_type, CASE e.entity_type WHEN 'MODU
 FROM e JOIN code f ON e.file_path = f.file_path WHERE entity_type IN ('MODULE', 'CLASS', 'METHOD', 'FUNCTION')
 UNION ALL SELECT file_path, -1, 'FILE', '', 1, 16, sha256(concat('Type: FILE', chr(10), chr(10), 'Path: ', file_path, chr(10), chr(10), 'Name: ', stem, '.py', chr(10), chr(10), 'Code:', chr(10), '```python', chr(10), text, chr(10), '```')) FROM code""",
     "entity_edges": """
-WITH f AS (SELECT doc_id, doc_id % 7 AS k, doc_id % 5 AS m FROM documents WHERE lang = 'en'),
+WITH f AS (SELECT doc_id, doc_id % 7 AS k, doc_id % 5 AS m FROM documents),
 c AS (SELECT a.doc_id AS src, 'm' AS side, b.doc_id AS dst FROM f a JOIN f b ON a.k = b.k UNION ALL SELECT a.doc_id, 'f', b.doc_id FROM f a JOIN f b ON a.m = b.m)
 SELECT 'call' AS type, count(*) AS n_edges, count(DISTINCT concat(src, side)) AS n_sources FROM c
 UNION ALL SELECT 'declare', count(*) * 4, count(*) * 2 FROM f
@@ -183,4 +177,5 @@ y AS (SELECT *, contains(pa, '/') AND contains(pb, '/') AS dirs, concat('test_',
 SELECT a, b, test_pair, (dirs AND string_split(pa, '/')[1] = string_split(pb, '/')[1]) OR test_pair OR ((contains(sa, sb) OR contains(sb, sa)) AND least(length(sa), length(sb)) >= 3)
   OR (regexp_matches(pa, '^docs/.*\\.md$') AND starts_with(pb, 'src/')) OR (regexp_matches(pb, '^docs/.*\\.md$') AND starts_with(pa, 'src/')) AS related FROM y""".replace("\\\\", "\\"),
 }
-SQL["entity_edges_all"] = SQL["entity_edges"].replace(" WHERE lang = 'en'", "")
+QUERIES["entity_edges_all"] = entity_edges
+SQL["entity_edges_all"] = SQL["entity_edges"]

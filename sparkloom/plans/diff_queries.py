@@ -60,36 +60,20 @@ def keep_leading(spark, sf_dir):
     return out.select("doc_id", "source", "dropped")
 
 
-def _moves(spark, sf_dir, deleted):
+def move_detection(spark, sf_dir):
+    """All files with an even vec_id count as deleted, the others as added."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"), F.concat(F.lit("d"), F.col("vec_id") % 7, F.lit("/f"), F.col("label")).alias("path"))
-    gone = e.filter(deleted).select(F.concat(F.lit("v"), "vec_id", F.lit("/"), "path").alias("path"), "vector")
+    gone = e.filter("vec_id % 2 = 0").select(F.concat(F.lit("v"), "vec_id", F.lit("/"), "path").alias("path"), "vector")
     new = e.filter("vec_id % 2 = 1").select(F.concat(F.lit("v"), "vec_id", F.lit("/"), "path").alias("path"), "vector")
     return diffs.moves(gone, new, 0.25).select("source", "target", F.round("similarity", 9).alias("similarity"))
 
 
-def move_detection(spark, sf_dir):
-    """Of the deleted files only the first 60, as its SQL has it."""
-    return _moves(spark, sf_dir, "vec_id % 2 = 0 AND vec_id < 120")
-
-
-def move_detection_all(spark, sf_dir):
-    return _moves(spark, sf_dir, "vec_id % 2 = 0")
-
-
-def _move_groups(e):
+def move_groups(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
     pairs = e.select(F.concat(F.lit("a"), F.col("user_id") % 20, F.lit("/f"), "event_id").alias("source"), F.concat(F.lit("a"), F.col("event_id") % 20, F.lit("/g"), "event_id").alias("target"))
     return diffs.move_groups(pairs).select("source_dir", "target_dir", "n_moves", F.array_join("files", ",").alias("files"), "description")
 
 
-def move_groups(spark, sf_dir):
-    """Over the first 300 events only, as its SQL has it."""
-    return _move_groups(table(spark, sf_dir, "events").filter("event_id < 300"))
-
-
-def move_groups_all(spark, sf_dir):
-    return _move_groups(table(spark, sf_dir, "events"))
-
-
 def blame_spans(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file_path"), F.col("l_linenumber").alias("line"), F.col("l_suppkey").alias("commit_id"))
     r = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("chunk_id"), F.col("o_orderkey").alias("file_path"), F.lit(1).alias("start_line"), F.lit(5).alias("end_line"))
@@ -118,7 +102,7 @@ def file_precedence(spark, sf_dir):
     return diffs.by_precedence(pick("F"), pick("O"), pick("P")).withColumn("precedence", F.col("precedence").cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (diff_files, diff_hunks, hunk_sections, greedy_pack, budget_truncation, keep_leading, move_detection, move_detection_all, move_groups, move_groups_all, blame_spans, chat_history, chat_update, integrity, file_precedence)}
+QUERIES = {f.__name__: f for f in (diff_files, diff_hunks, hunk_sections, greedy_pack, budget_truncation, keep_leading, move_detection, move_groups, blame_spans, chat_history, chat_update, integrity, file_precedence)}
 _TAGGED = f"""{_L},
 t AS (SELECT doc_id, n, concat(['+', ' ', '-'][cast((n - 1) % 3 + 1 AS int)], line) AS raw, (n - 1) % 5 = 0 AS opens, (n - 1) // 5 + 1 AS hunk_no FROM l)"""
 _DIR = "CASE WHEN contains({0}, '/') THEN regexp_replace({0}, '/[^/]*$', '') ELSE '' END"
@@ -152,10 +136,10 @@ WITH a AS (SELECT doc_id, source, sum(length(text)) OVER (PARTITION BY source OR
 SELECT doc_id, source, whole > 8000 AS dropped FROM a WHERE whole <= 8000 OR run <= 7900""",
     "move_detection": """
 WITH e AS (SELECT vec_id, embedding::double[] AS v, concat('v', vec_id, '/d', vec_id % 7, '/f', label) AS path, label FROM embeddings),
-p AS (SELECT d.path AS source, a.path AS target, greatest(0.0, list_cosine_similarity(d.v, a.v)) AS similarity FROM e d JOIN e a ON d.label = a.label WHERE d.vec_id % 2 = 0 AND d.vec_id < 120 AND a.vec_id % 2 = 1)
+p AS (SELECT d.path AS source, a.path AS target, greatest(0.0, list_cosine_similarity(d.v, a.v)) AS similarity FROM e d JOIN e a ON d.label = a.label WHERE d.vec_id % 2 = 0 AND a.vec_id % 2 = 1)
 SELECT source, target, round(similarity, 9) AS similarity FROM p WHERE similarity >= 0.25 QUALIFY row_number() OVER (PARTITION BY source ORDER BY similarity DESC, target) = 1""",
     "move_groups": f"""
-WITH p AS (SELECT concat('a', user_id % 20) AS source_dir, concat('a', event_id % 20) AS target_dir, concat('a', user_id % 20, '/f', event_id) AS source, concat('a', event_id % 20, '/g', event_id) AS target FROM events WHERE event_id < 300),
+WITH p AS (SELECT concat('a', user_id % 20) AS source_dir, concat('a', event_id % 20) AS target_dir, concat('a', user_id % 20, '/f', event_id) AS source, concat('a', event_id % 20, '/g', event_id) AS target FROM events),
 g AS (SELECT source_dir, target_dir, count(*) AS n_moves, string_agg(concat(source, ',', target), ',' ORDER BY source, target) AS files, min(source) AS s, min(target) AS t FROM p GROUP BY 1, 2)
 SELECT source_dir, target_dir, n_moves, files, CASE
   WHEN source_dir = target_dir AND n_moves = 1 THEN concat('chore: rename ', regexp_extract(s, '[^/]*$'), ' to ', regexp_extract(t, '[^/]*$'))
@@ -175,7 +159,5 @@ SELECT file_path, count(*) AS n_groups, arg_max(group_id, k * 1000 - group_id) A
 WITH o AS (SELECT o_custkey % 500 AS file_path, min(o_orderkey) AS k, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS precedence FROM orders GROUP BY 1, 3)
 SELECT file_path, k, precedence::bigint AS precedence FROM o QUALIFY row_number() OVER (PARTITION BY file_path ORDER BY precedence) = 1""",
 }
-SQL |= {
-    "move_detection_all": SQL["move_detection"].replace(" AND d.vec_id < 120", ""),
-    "move_groups_all": SQL["move_groups"].replace(" WHERE event_id < 300", ""),
-}
+QUERIES |= {"move_detection_all": move_detection, "move_groups_all": move_groups}
+SQL |= {"move_detection_all": SQL["move_detection"], "move_groups_all": SQL["move_groups"]}
