@@ -10,7 +10,8 @@ count as one word.
 Training. From a bounded sample of labelled documents (POSITIVES and NEGATIVES)
 the sentences are taken, equal ones once, and carry their document's label. As
 one insult makes a sentence toxic, a toxic sentence stands for its witness:
-the word in it that toxic sentences hold significantly more often. Witnesses
+the word in it that toxic sentences hold significantly more often. So what the kernel compares is words, not whole
+sentences (README.md says why, with figures). Witnesses
 against words of other sentences train a squared-hinge machine on Nystroem
 features of LANDMARKS words. Its decision is linear in the subsequences, so it
 is kept as one table of weights by subsequence, which scores any word without
@@ -34,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import Slice, slices, words
-from .common import texts
+from .common import staged, texts
 
 #: Bounds of the training sample: documents of either label.
 POSITIVES, NEGATIVES = 3000, 5000
@@ -161,11 +162,10 @@ def document_features(part: Slice, table: np.ndarray, bias: float) -> np.ndarray
     at[code] = np.arange(len(code))
     score = (Words(part.data, w.start[at], w.end[at] - w.start[at]).dot(table) + bias)[code]
     single = (w.end - w.start == 1) | ((w.end - w.start == 2) & (part.data[w.start] >= 0xC0))
-    edge = np.flatnonzero(np.diff(np.r_[False, single, False].astype(np.int8)))
-    runs = [(a, b) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True) if b - a >= 3]
-    if runs:  # letters that stand alone, one after another
-        a, b = (np.array(x) for x in zip(*runs, strict=True))
-        b = np.minimum(b, w.first[row[a] + 1])
+    opens = np.flatnonzero(single & np.r_[True, ~single[:-1] | (row[1:] != row[:-1])])  # runs of letters that stand alone, inside a row
+    ends = np.flatnonzero(single & np.r_[~single[1:] | (row[1:] != row[:-1]), True]) + 1
+    a, b = opens[ends - opens >= 3], ends[ends - opens >= 3]
+    if len(a):
         start = w.start[a]
         score[a] = np.maximum(score[a], Words(part.data, start, w.end[b - 1] - start).dot(table) + bias)
     full = n > 0
@@ -220,7 +220,7 @@ def witnesses(chosen: DataFrame) -> tuple[list[tuple[str, float]], list[str]]:
     sentences = sentences.select("toxic", F.array_distinct(F.split("sentence", r"[ \t\x0b\f\r]+")).alias("parts"), "sentence").dropDuplicates(["toxic", "sentence"])
     word = F.regexp_replace("word", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
     counted = sentences.select("toxic", F.explode("parts").alias("word")).select("toxic", word.alias("word")).filter(F.length("word") > 1)
-    counted = counted.groupBy("word").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
+    counted = staged(counted.groupBy("word").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg")), "words")
     total = counted.agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).first()
     share = (total["pos"] or 0) / max(1, (total["pos"] or 0) + (total["neg"] or 0))
     if not 0 < share < 1:
@@ -255,6 +255,7 @@ def scored(docs: DataFrame, labels: DataFrame, train: Column) -> DataFrame:
     """
     spark = docs.sparkSession
     chosen, each = sample(docs, labels, train)
+    chosen = staged(chosen, "sample")  # POSITIVES + NEGATIVES rows at most, read several times below
     found, others = witnesses(chosen)
     if not found or not others:
         return texts(docs).select("doc_id", F.lit(0.0).alias("score"))

@@ -44,6 +44,10 @@ def test_spread_letters_count_as_a_word():
     table, bias = T.machine(["idiot", "moron"], np.ones(2), ["table", "chair", "the", "and", "river", "stone"])
     x = np.concatenate([T.document_features(p, table, bias) for p in slices(pa.array(["you i d i o t there", "you idiot", "i am a b c", "", "the river"]))])
     assert x[0, 0] > 0 and x[1, 0] > 0 and x[4, 0] < 0 and x[3, 0] == -2
+    texts = ["the i d", "i o t the", "i d i o t", "a i", "d i o t"]  # no run goes over the end of a text
+    apart = np.concatenate([T.document_features(p, table, bias) for p in slices(pa.array(texts))])
+    for t, row in zip(texts, apart, strict=True):
+        assert np.allclose(row, np.concatenate([T.document_features(p, table, bias) for p in slices(pa.array([t]))])[0])
 
 
 def test_scores(spark, odd, none):
