@@ -40,14 +40,19 @@ def compare_states(current: DataFrame, stored: DataFrame) -> DataFrame:
     return both.select("file_path", action.alias("action")).filter("action IS NOT NULL")
 
 
-def metadata_drift(chunks: DataFrame, current: DataFrame, fields: list[str]) -> DataFrame:
-    """New values of fields for chunks (of unchanged files) where any differs, null-safely: (values struct, chunk_ids), one row for each new value."""
+def drifted(chunks: DataFrame, current: DataFrame, fields: list[str]) -> DataFrame:
+    """(chunk_id, values struct): the new values of fields for each chunk (of unchanged files) where any differs, null-safely."""
     new = current.select("file_path", F.struct(*fields).alias("values"))
     joined = chunks.join(new, "file_path")
     same = F.lit(True)
     for f in fields:
         same = same & F.col(f).eqNullSafe(F.col(f"values.{f}"))
-    return joined.filter(~same).groupBy("values").agg(F.array_sort(F.collect_list("chunk_id")).alias("chunk_ids"))
+    return joined.filter(~same).select("chunk_id", "values")
+
+
+def metadata_drift(chunks: DataFrame, current: DataFrame, fields: list[str]) -> DataFrame:
+    """(values struct, chunk_ids): `drifted` as one row for each new value, for few chunks; many are better updated by the rows of `drifted`."""
+    return drifted(chunks, current, fields).groupBy("values").agg(F.array_sort(F.collect_list("chunk_id")).alias("chunk_ids"))
 
 
 def index_state(points: DataFrame) -> DataFrame:

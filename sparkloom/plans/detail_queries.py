@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunks, clusters, commits, components, diffs, docs, filters, graph, history, search, sync, tree
+from ..operators import chunks, clusters, commits, components, diffs, docs, embed, filters, graph, history, search, sync, tree
 from ..sources import code, versions
 from ..streaming import watch
 from .code_queries import _F, _sources
@@ -330,6 +330,21 @@ def consolidation(spark, sf_dir):
     return clusters.consolidated(_changed_files(spark, sf_dir).withColumnRenamed("id", "ord"))
 
 
+def chunk_vectors(spark, sf_dir):
+    """The coordinates of chunk vectors that aren't zero; a chunk without text has the vector of its file names, one without either none."""
+    k = F.col("item_id")
+    b = table(spark, sf_dir, "benchmark").select(k.alias("id"), F.when(k % 3 != 0, F.col("text")).otherwise(" ").alias("content"), F.when(k % 6 != 0, F.array(F.lit("src/a.py"), F.concat(F.lit("b"), k))).otherwise(F.array().cast("array<string>")).alias("files"))
+    v = embed.chunk_vectors(b).select("id", F.posexplode("vector").alias("bucket", "value"))
+    return v.filter("value > 0").select("id", "bucket", F.round("value", 9).alias("value"))
+
+
+def metadata_drift_rows(spark, sf_dir):
+    d, l = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    stored = d.join(l, "doc_id").select(_path().alias("file_path"), F.col("doc_id").alias("chunk_id"), (F.col("quality") == 1).alias("tracked"), F.when(F.col("toxic") == 1, F.col("lang")).alias("branch"))
+    current = d.select(_path().alias("file_path"), F.lit(True).alias("tracked"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("branch"))
+    return sync.drifted(stored, current, ["tracked", "branch"]).select("chunk_id", "values.tracked", "values.branch")
+
+
 def watch_changes(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("is_directory", F.when(F.col("event_id") % 3 == 0, F.lit(True)).when(F.col("event_id") % 3 == 1, F.lit(False)))
     return watch.changes(e).select("event_id")
@@ -338,7 +353,7 @@ def watch_changes(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     scroll_ids, fetch_payloads, point_delete, payload_replace, nested_filter, index_state, search_results, index_sync, untracked_files, commit_log, log_until, branch_relations, branch_metadata,
     branch_types, chat_insert, excluded_paths, valid_names, existing_files, label_texts, entity_markdown, binary_sniff, path_resolution, code_boundaries, diff_text, one_file_diff, split_parts,
-    file_batches, name_moves, context_choice, overview_lines, repository_totals, graph_kinds, graph_connected, graph_lines, documentation, group_shortcut, group_repair, related_groups, consolidation, watch_changes,
+    file_batches, name_moves, context_choice, overview_lines, repository_totals, graph_kinds, graph_connected, graph_lines, documentation, group_shortcut, group_repair, related_groups, consolidation, watch_changes, chunk_vectors, metadata_drift_rows,
 )}
 _REACH = """parents AS (SELECT c_custkey AS c, unnest([c_custkey // 2, c_custkey // 3]) AS p FROM customer WHERE c_custkey > 1),
 reach(head, c) AS (SELECT head, c FROM heads UNION SELECT head, p FROM reach JOIN parents USING (c) WHERE p > 0)"""
@@ -444,5 +459,23 @@ SELECT s_suppkey * 2 + CASE WHEN c = 3 AND s_suppkey % 2 = 1 THEN 1 ELSE 0 END A
     "leader_clusters": f"""WITH RECURSIVE f AS (SELECT vec_id AS id, label, embedding::double[] AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS "at" FROM embeddings),
 pairs AS (SELECT x.id AS a, y.id AS b FROM f x JOIN f y ON x.label = y.label AND x.id < y.id WHERE list_cosine_similarity(x.v, y.v) >= 0.2), {_LEADERS.format("label")}
 SELECT id, leader FROM r""",
+    "chunk_vectors": r"""
+WITH t AS (SELECT item_id AS id, unnest(regexp_extract_all(lower(CASE WHEN item_id % 3 <> 0 THEN text WHEN item_id % 6 <> 0 THEN concat('src/a.py b', item_id) ELSE '' END), '\w+')) AS t FROM benchmark),
+n AS (SELECT id, (concat('0x', left(sha256(t), 8))::bigint % 256)::int AS bucket, count(*) AS n FROM t GROUP BY 1, 2)
+SELECT id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY id)), 9) AS value FROM n""",
+    "metadata_drift_rows": """
+SELECT chunk_id, tracked, branch FROM (
+  SELECT d.doc_id AS chunk_id, true AS tracked, CASE WHEN d.doc_id % 2 = 0 THEN lang END AS branch, quality = 1 AS old_tracked, CASE WHEN toxic = 1 THEN lang END AS old_branch FROM documents d JOIN labels USING (doc_id))
+WHERE tracked IS DISTINCT FROM old_tracked OR branch IS DISTINCT FROM old_branch""",
+    "documentation": f"""WITH {_F},
+l AS (SELECT file_path, CASE entity_type WHEN 'MODULE' THEN 0 WHEN 'METHOD' THEN 2 ELSE 1 END AS d, entity_type, name, signature FROM e WHERE entity_type <> 'IMPORT'),
+t AS (SELECT file_path, sum(d * 2 + length('- **') + length(entity_type) + length('**: `') + length(name) + 1 + CASE WHEN signature <> '' THEN 1 + d * 2 + 3 + length(signature) + 1 ELSE 0 END + 1) - 1 AS body FROM l GROUP BY 1),
+n AS (SELECT count(*) AS n FROM f)
+SELECT 0 AS part, 1::bigint AS n_lines, length('# Documentation of repo')::bigint AS n_chars
+UNION ALL SELECT 1, 5, length(concat('## Statistics', '- Files scanned: ', n, '- Files processed: ', n, '- Lines of code: ', n * 16, '- Languages: python')) FROM n
+UNION ALL SELECT 2, 2 + count(*), (17 + sum(4 * depth + length(name) + is_dir))::bigint FROM (
+  SELECT 1 AS depth, source AS name, 1 AS is_dir FROM documents GROUP BY source UNION ALL SELECT 2, lang, 1 FROM documents GROUP BY source, lang UNION ALL SELECT 3, concat(stem, '.py'), 0 FROM f)
+UNION ALL SELECT 4, 1 + count(*), (length('## Contents') + sum(length(concat('- [', file_path, '](#', lang, '-', stem, 'py)'))))::bigint FROM f
+UNION ALL SELECT 5, 1 + count(*), (length('## Files') + sum(length(concat('### ', f.file_path, chr(10), chr(10))) + body))::bigint FROM f JOIN t ON t.file_path = f.file_path""",
     "watch_changes": "SELECT event_id FROM events WHERE event_id % 3 <> 0",
 }

@@ -1,7 +1,9 @@
-"""Settings as frozen dataclasses, read from a YAML-like dict with defaults."""
+"""Settings as frozen dataclasses, with defaults, from a dict or from a file."""
 
 from __future__ import annotations
 
+import json
+import os
 from dataclasses import dataclass, field, fields, is_dataclass
 
 
@@ -51,3 +53,34 @@ def settings(values: dict | None = None, kind: type = Settings):
         own = getattr(default, n)
         out[n] = settings(v, type(own)) if is_dataclass(own) else tuple(v) if isinstance(own, tuple) else v
     return kind(**out)
+
+
+#: Names of a settings file, in the order in which they are looked for, and the variable that names one instead.
+FILES, VARIABLE = ("sparkloom.yml", "sparkloom.yaml", "sparkloom.json"), "SPARKLOOM_CONFIG"
+
+
+def load(folder: str = ".", environment: dict | None = None) -> Settings:
+    """Settings of the file that the environment names, else of the first of FILES in the folder or those above it, else the defaults. YAML needs the yaml package."""
+    environment = os.environ if environment is None else environment
+    path = environment.get(VARIABLE)
+    at = os.path.abspath(folder)
+    while path is None:
+        path = next((p for p in (os.path.join(at, f) for f in FILES) if os.path.isfile(p)), None)
+        if at == os.path.dirname(at):
+            break
+        at = os.path.dirname(at)
+    if path is None:
+        return settings()
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    if path.endswith(".json"):
+        values = json.loads(text)
+    else:
+        try:
+            import yaml
+        except ModuleNotFoundError as gone:
+            raise ValueError(f"{path} needs the yaml package; use a .json file") from gone
+        values = yaml.safe_load(text)
+    if values is not None and not isinstance(values, dict):
+        raise ValueError(f"{path} holds no settings")
+    return settings(values)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.operators import chunks, clusters, components, diffs, docs, history, tree
-from sparkloom.sources import code
+from sparkloom.sources import code, config
 
 PATHS = ["src/a.py", "tests/test_a.py", "docs/x.md", "lib/q/r.rb", "package.json", "yarn.lock", "src/b/c.py", "z.go", "src/a.py"]
 
@@ -110,3 +110,20 @@ def test_a_cluster_must_name_its_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         components.staging_folder(Elsewhere)
+
+
+def test_settings_files(tmp_path):
+    below = tmp_path / "a" / "b"
+    below.mkdir(parents=True)
+    (tmp_path / "sparkloom.json").write_text('{"sync": {"debounce_seconds": 3}}')
+    assert config.load(str(below), {}).sync.debounce_seconds == 3
+    (below / "sparkloom.json").write_text('{"embedding": {"dimension": 8}}')
+    found = config.load(str(below), {})
+    assert found.embedding.dimension == 8 and found.sync.debounce_seconds == 1.0
+    assert config.load(str(below), {"SPARKLOOM_CONFIG": str(tmp_path / "sparkloom.json")}).sync.debounce_seconds == 3
+    (below / "sparkloom.json").write_text("[1]")
+    with pytest.raises(ValueError, match="no settings"):
+        config.load(str(below), {})
+    pytest.importorskip("yaml")
+    (below / "sparkloom.yml").write_text("diffs:\n  part_limit: 7\n")
+    assert config.load(str(below), {}).diffs.part_limit == 7
