@@ -10,11 +10,10 @@ names its kind ("token", "card"), or that its digits pass the check of the kind;
 features are its format (length, groups, separators), the characters around it, and how
 many documents hold the same string, and neither the check nor the naming word is
 among them. Spark counts candidates and evidence by cell of binned features, apart for
-documents that are learnt from and documents that are held out (by a hash of the
-text). Boosted trees of depth two are
-fitted on the counts of the former (CELLS rows at most, whatever the input) and compiled to a
+FOLDS parts of the texts (by a hash). Boosted trees of depth two are
+fitted on these counts (CELLS rows at most, whatever the input) and compiled to a
 SQL expression; per kind the lowest threshold is taken at which PRECISION
-of the held-out candidates above it have evidence. So a format that nearly always comes with
+of the candidates above it, each scored by trees fitted on the other parts, have evidence. So a format that nearly always comes with
 evidence is redacted where it stands without. Candidates above the threshold that overlap no
 base span of their kind become spans.
 
@@ -56,12 +55,12 @@ WIDE = {
 #: Words that name a kind when they stand just before a candidate.
 NAMES = {"email": "mail|contact|write", "ip": "ip|host|server|addr|address", "card": "card|visa|credit|pay", "phone": "tel|phone|call|fax|mobile", "secret": "token|key|secret|password|passwd|pwd|auth|bearer"}
 ROUNDS, RATE, PRECISION = 40, 0.3, 0.95
-#: Numbers of bins of the features, which bound the cells; one text in HELD_OUT is held out from the trees and sets the thresholds.
+#: Numbers of bins of the features, which bound the cells; parts of the texts, each of which is held out once.
 BINS = {"size": 6, "groups": 4, "marks": 4, "before": 4, "after": 4, "copies": 4}
-HELD_OUT = 4
+FOLDS = 2
 #: Held-out candidates that a threshold needs.
 LEAST = 10
-CELLS = 2 * len(ALL_KINDS) * int(np.prod(list(BINS.values())))
+CELLS = FOLDS * len(ALL_KINDS) * int(np.prod(list(BINS.values())))
 _MARK = "\u0001"
 _NEAR = 24
 
@@ -215,20 +214,28 @@ def _expression(bias: float, trees: list[tuple]) -> str:
 
 
 def added_condition(candidates: DataFrame) -> Column:
-    """Fit the trees on candidates (key, kind, the columns of BINS, evidence), set thresholds on those held out, and give the condition under which one is redacted."""
-    held = F.pmod("key", F.lit(HELD_OUT)) == 0
-    counted = candidates.groupBy("kind", *BINS).agg(*[F.sum(F.when(h, x).otherwise(0)).alias(n) for n, h, x in (("good", ~held, F.col("evidence").cast("long")), ("all", ~held, F.lit(1)), ("held_good", held, F.col("evidence").cast("long")), ("held_all", held, F.lit(1)))]).collect()  # CELLS rows at most
+    """Fit the trees on candidates (key, kind, the columns of BINS, evidence), set thresholds on candidates that the trees have not seen, and give the condition under which one is redacted.
+
+    The texts are dealt to FOLDS parts; each part is scored by trees fitted on
+    the others, and these scores set the threshold of the trees fitted on all.
+    """
+    fold = F.pmod("key", F.lit(FOLDS))
+    counted = candidates.groupBy("kind", fold.alias("fold"), *BINS).agg(F.sum(F.col("evidence").cast("long")).alias("good"), F.count(F.lit(1)).alias("all")).collect()  # CELLS rows at most
     accept = F.lit(False)
     for kind in ALL_KINDS:
-        rows = sorted((tuple(r[b] for b in BINS), r["good"], r["all"], r["held_good"], r["held_all"]) for r in counted if r["kind"] == kind)
+        rows = sorted((tuple(r[b] for b in BINS), r["fold"], r["good"], r["all"]) for r in counted if r["kind"] == kind)
         if not rows:
             continue
         cells = np.array([r[0] for r in rows])
-        good, all_, held_good, held_all = (np.array([r[i] for r in rows], float) for i in range(1, 5))
-        bias, trees = boosted(cells, good, all_)
-        least = threshold(_scores(cells, bias, trees), held_good, held_all)
+        part, good, all_ = (np.array([r[i] for r in rows], float) for i in (1, 2, 3))
+        unseen = np.zeros(len(rows))
+        for f in range(FOLDS):
+            own = part == f
+            if own.any():
+                unseen[own] = _scores(cells[own], *boosted(cells[~own], good[~own], all_[~own])) if (~own).any() else -np.inf
+        least = threshold(unseen, good, all_)
         if np.isfinite(least):
-            accept = accept | ((F.col("kind") == kind) & (F.expr(_expression(bias, trees)) >= least - 1e-6))
+            accept = accept | ((F.col("kind") == kind) & (F.expr(_expression(*boosted(cells, good, all_))) >= least - 1e-6))
     return accept
 
 
