@@ -127,3 +127,19 @@ def test_settings_files(tmp_path):
     pytest.importorskip("yaml")
     (below / "sparkloom.yml").write_text("diffs:\n  part_limit: 7\n")
     assert config.load(str(below), {}).diffs.part_limit == 7
+
+
+def test_components_match_a_loop(spark):
+    rng = random.Random(7)
+    pairs = [(i, i + 1) for i in range(60)] + [(100 + rng.randrange(50), 100 + rng.randrange(50)) for _ in range(40)] + [(500, 500 + i) for i in range(1, 40)] + [(3, 3)]
+    up = {x: x for p in pairs for x in p}
+
+    def find(x):
+        return x if up[x] == x else find(up[x])
+
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        up[max(x, y)] = min(x, y)
+    got = {r.id: r.component for r in components.connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in {x for a, b in pairs if a != b for x in (a, b)}}
+    assert components.connected_components(spark.createDataFrame(pairs, "a long, b long").filter("false")).count() == 0
