@@ -456,6 +456,18 @@ SELECT place, line, concat('  linkStyle ', place, ' stroke:#adb5bd,stroke-width:
     "group_repair": """
 SELECT s_suppkey * 2 + CASE WHEN c = 3 AND s_suppkey % 2 = 1 THEN 1 ELSE 0 END AS group_id, s_suppkey * 4 + c AS chunk_id, CASE WHEN c = 3 THEN concat('fown', s_suppkey) ELSE concat('f', s_suppkey) END AS file_path FROM supplier, range(4) r(c)""",
     "related_groups": f"WITH RECURSIVE {_CHANGED}, {_LEADERS.format('change_id')} SELECT change_id, id, leader FROM r",
+    "consolidation": f"""WITH RECURSIVE {_CHANGED},
+likes AS (SELECT change_id, a, list({{'b': b, 'other': pa <> pb}} ORDER BY b) AS l FROM pairs GROUP BY 1, 2),
+r AS (
+  SELECT DISTINCT change_id, 0::bigint AS "at", []::bigint[] AS merged, NULL::bigint AS id, []::bigint[] AS took FROM f
+  UNION ALL
+  SELECT f.change_id, f."at", list_concat(r.merged, x.took), f.id, x.took
+  FROM r JOIN f ON f.change_id = r.change_id AND f."at" = r."at" + 1 LEFT JOIN likes l ON l.change_id = f.change_id AND l.a = f.id
+  CROSS JOIN LATERAL (SELECT list_filter(l.l, lambda v: NOT list_contains(r.merged, v.b)) AS free) y
+  CROSS JOIN LATERAL (SELECT CASE WHEN y.free IS NULL OR list_contains(r.merged, f.id) THEN []::bigint[] ELSE
+    list_transform(y.free[1:coalesce(nullif(list_position(list_transform(y.free, lambda v: v.other), true), 0), len(y.free))], lambda v: v.b) END AS took) x),
+t AS (SELECT change_id, unnest(took) AS ord, id AS "into" FROM r)
+SELECT change_id, ord, "into" FROM t UNION ALL SELECT change_id, id, id FROM r WHERE id IS NOT NULL AND id NOT IN (SELECT ord FROM t)""",
     "leader_clusters": f"""WITH RECURSIVE f AS (SELECT vec_id AS id, label, embedding::double[] AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS "at" FROM embeddings),
 pairs AS (SELECT x.id AS a, y.id AS b FROM f x JOIN f y ON x.label = y.label AND x.id < y.id WHERE list_cosine_similarity(x.v, y.v) >= 0.2), {_LEADERS.format("label")}
 SELECT id, leader FROM r""",
