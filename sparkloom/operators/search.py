@@ -64,12 +64,17 @@ def _top_k_block(points: DataFrame, rows: list, k: int, id_col: str, vector_col:
         for b in batches:
             if len(b) == 0 or len(q) == 0:
                 continue
+            b = b.sort_values(id_col)
             key = b[id_col].to_numpy()
             unit_points = _unit(np.stack(b[vector_col].to_numpy()).astype(np.float64))
             for first in range(0, len(q), SCORED):
                 score = np.round(unit_points @ m[first : first + SCORED].T, 9)
-                orders = [np.lexsort((key, -score[:, j]))[:k] for j in range(score.shape[1])]
-                at, of = np.concatenate(orders), np.repeat(np.arange(len(orders)), [len(o) for o in orders])
+                least = np.partition(score, len(key) - k, axis=0)[len(key) - k] if len(key) > k else np.full(score.shape[1], -np.inf)
+                kept = score >= least
+                for j in np.flatnonzero(kept.sum(axis=0) > k):  # equal scores: the lower ids
+                    kept[:, j] = False
+                    kept[np.argsort(-score[:, j], kind="stable")[:k], j] = True
+                at, of = np.nonzero(kept)
                 yield pd.DataFrame({"query_id": q[first + of], "id": key[at], "score": score[at, of]})
 
     near = points.select(id_col, vector_col).mapInPandas(best, "query_id long, id long, score double")
