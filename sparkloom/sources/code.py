@@ -3,7 +3,8 @@
 `entities` turns files (file_path, content) into one row per entity in
 preorder, by small helpers per file inside `mapInPandas`: the syntax tree of
 the standard library for Python, declarations found by patterns with matched
-braces for JavaScript and TypeScript. A file that can't be read has its MODULE
+braces for JavaScript and TypeScript, after strings, templates, comments and
+regular expressions have been told apart from code. A file that can't be read has its MODULE
 row only, with parse_ok false.
 """
 
@@ -110,7 +111,38 @@ def parse_python(source: str) -> tuple[list[dict], str | None]:
     return sorted(top, key=lambda r: r["start_line"]), ast.get_docstring(tree)
 
 
-_QUIET = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", re.S)
+#: A comment, a string, or a regular expression (where one may stand) of JavaScript.
+_QUIET = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*", re.S)
+_BEFORE_REGEX = re.compile(r"(?:^|[(,=:\[!&|?{};+\-*%~^<>]|\b(?:return|typeof|case|in|of|delete|void|throw|new|else|do))$")
+
+
+def _blanked(source: str) -> str:
+    """The source with comments, strings, regular expressions and the texts of templates as spaces; what stands in a template's ${} stays code."""
+    out, i, n = list(source), 0, len(source)
+    depths: list[int] = []  # braces that are open inside each open ${}
+    while i < n:
+        c, end = source[i], i + 1
+        if c == "`" or (c == "}" and depths and depths[-1] == 0):
+            if c == "}":
+                depths.pop()
+            while end < n and source[end] != "`" and source[end : end + 2] != "${":
+                end += 2 if source[end] == "\\" else 1
+            if source[end : end + 2] == "${":
+                depths.append(0)
+                end += 1
+            end = min(n, end + 1)
+        elif c in "/\"'" and (m := _QUIET.match(source, i)) and (c != "/" or m[0][1] in "/*" or _BEFORE_REGEX.search(source[max(0, i - 40) : i].rstrip())):
+            end = m.end()
+        else:
+            if depths:
+                depths[-1] += (c == "{") - (c == "}")
+            i += 1
+            continue
+        out[i:end] = [x if x == "\n" else " " for x in source[i:end]]
+        i = end
+    return "".join(out)
+
+
 _DECLARED = [
     ("CLASS", re.compile(r"\bclass\s+(\w+)[^{;]*\{")),
     ("INTERFACE", re.compile(r"\binterface\s+(\w+)[^{;]*\{")),
@@ -127,7 +159,7 @@ _IMPORTED = re.compile(r"""^\s*(?:import\b[^;\n]*?from\s*|import\s*|export\b[^;\
 
 def parse_braces(source: str) -> tuple[list[dict], str | None]:
     """Top entities of a JavaScript or TypeScript file: declarations nested by their braces."""
-    quiet = _QUIET.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
+    quiet = _blanked(source)
     line = lambda at: source.count("\n", 0, at) + 1
     closing, stack = {}, []
     for m in re.finditer(r"[{}]", quiet):

@@ -226,3 +226,20 @@ def test_resolved_paths_and_contexts(spark):
     assert got == {"src/a.py": "src/a.py", "old/pkg/b.py": "new/pkg/b.py", "zzz.py": None}
     r = spark.range(1).select(chunks.fitted_context(F.lit("x" * 40), F.lit("s"), 10).alias("a"), chunks.fitted_context(F.lit("x" * 80), F.lit("s"), 10).alias("b")).first()
     assert tuple(r) == ("x" * 40, "s")
+
+
+def test_templates_and_regular_expressions_are_no_code():
+    source = "\n".join([
+        "function a(x) { return `one ${x.map(y => `two } ${b(y)} {`).join('}')} three {`; }",
+        "const R = /[/}'\"`]+\\/{/g;",
+        "function c() { if (x) { return /}}/.test(d(1)) } }",
+        "const half = (4) / 2; // } {",
+        "function e() { return 8 / f(2) / g(1); }",
+        "function last() { return \"`\" + '{'; }",
+    ])
+    top, _ = code.parse_braces(source)
+    got = [(r["entity_type"], r["name"], r["start_line"], r["end_line"]) for r in top]
+    assert [x for x in got if x[0] == "FUNCTION"] == [("FUNCTION", "a", 1, 1), ("FUNCTION", "c", 3, 3), ("FUNCTION", "e", 5, 5), ("FUNCTION", "last", 6, 6)]
+    assert ("CONSTANT", "R", 2, 2) in got and ("VARIABLE", "half", 4, 4) in got
+    calls = {r["name"]: r["calls"] for r in top if r["entity_type"] == "FUNCTION"}
+    assert "b" in calls["a"] and "d" in calls["c"] and calls["e"] == ["f", "g"]
