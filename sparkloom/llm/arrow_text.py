@@ -19,7 +19,7 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Rows are cut into slices of about this many bytes.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -41,12 +41,13 @@ def multipliers(n: int) -> np.ndarray:
     return _multipliers[:n]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches into parts of about `most` bytes of a column, so that what a task makes of one part stays small."""
     for b in batches:
         step = max(1, int(b.num_rows * most / max(1, b[column].nbytes)))
         for i in range(0, b.num_rows, step):
             yield b.slice(i, step)
+    pa.default_memory_pool().release_unused()  # a worker lives on after its task
 
 
 @dataclass

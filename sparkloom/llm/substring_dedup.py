@@ -85,7 +85,7 @@ def block_starts(x: np.ndarray, first: np.ndarray, block: int) -> np.ndarray:
     if len(at) == 0:
         return at
     windows = np.lib.stride_tricks.sliding_window_view(x, block)[:, ::-1]
-    start = np.unique(np.concatenate([p + block - 1 - np.argmin(windows[p], axis=1) for p in np.split(at, range(1 << 16, len(at), 1 << 16))]))
+    start = np.unique(np.concatenate([p + block - 1 - np.argmin(windows[p], axis=1) for p in np.split(at, range(1 << 14, len(at), 1 << 14))]))
     same = np.r_[False, (x[start[1:]] == x[start[:-1]]) & (np.diff(start) <= block)]
     opens = np.flatnonzero(~same)
     stretch = (start - np.repeat(start[opens], np.diff(np.r_[opens, len(start)]))) // (block // 2)
@@ -102,7 +102,7 @@ def paragraphs(docs: DataFrame, k: int, min_words: int, bands: int, rows: int, b
         return pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", 4 << 20):
+        for batch in pieces(batches, "text", 2 << 20):
             for part in slices(batch["text"]):
                 w, ln = words(part, lower=True), lines(part)
                 whole = grams(w.hash, k)
