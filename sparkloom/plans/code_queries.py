@@ -86,7 +86,7 @@ def debounce_stream(spark, sf_dir):
     out = watch.debounced(stream, "30 minutes", "user_id", late="1 hour").select("user_id", "n_events", "last")
     query = out.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema("user_id long, n_events long, last timestamp").parquet(f"{folder}/out")
+    return spark.read.schema("user_id long, n_events long, last timestamp").parquet(f"{folder}/out").select("user_id", "n_events", F.unix_seconds("last").alias("last"))
 
 
 def related_files(spark, sf_dir):
@@ -158,6 +158,10 @@ SELECT ord, round(priority, 9) AS priority FROM p ORDER BY p.priority DESC, ord
 WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens FROM events),
 s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
 SELECT user_id, floor(epoch(min(ts)))::bigint AS started, floor(epoch(max(ts)))::bigint AS last, count(*) AS n_events FROM s GROUP BY user_id, k""",
+    "debounce_stream": """
+WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens FROM events),
+s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, count(*) AS n_events, floor(epoch(max(ts)))::bigint AS last FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
     "token_vectors": r"""
 WITH t AS (SELECT item_id AS id, unnest(regexp_extract_all(lower(text), '\w+')) AS t FROM benchmark),
 n AS (SELECT id, (concat('0x', left(sha256(t), 8))::bigint % 256)::int AS bucket, count(*) AS n FROM t GROUP BY 1, 2)
