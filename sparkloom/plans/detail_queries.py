@@ -489,5 +489,16 @@ UNION ALL SELECT 2, 2 + count(*), (17 + sum(4 * depth + length(name) + is_dir)):
   SELECT 1 AS depth, source AS name, 1 AS is_dir FROM documents GROUP BY source UNION ALL SELECT 2, lang, 1 FROM documents GROUP BY source, lang UNION ALL SELECT 3, concat(stem, '.py'), 0 FROM f)
 UNION ALL SELECT 4, 1 + count(*), (length('## Contents') + sum(length(concat('- [', file_path, '](#', lang, '-', stem, 'py)'))))::bigint FROM f
 UNION ALL SELECT 5, 1 + count(*), (length('## Files') + sum(length(concat('### ', f.file_path, chr(10), chr(10))) + body))::bigint FROM f JOIN t ON t.file_path = f.file_path""",
+    "linkage_clusters": """WITH RECURSIVE p AS (SELECT vec_id AS id, label, embedding::double[] AS v FROM embeddings),
+d AS (SELECT x.id AS a, y.id AS b, 1 - list_cosine_similarity(x.v, y.v) AS distance FROM p x JOIN p y ON x.label = y.label AND x.id <> y.id),
+r AS (
+  SELECT 0 AS step, label, id, id AS cluster FROM p
+  UNION ALL
+  SELECT step + 1, label, id, CASE WHEN cluster = m.hi THEN m.lo ELSE cluster END
+  FROM r JOIN (
+    SELECT label AS l, min({'far': far, 'lo': lo, 'hi': hi}) AS m FROM (
+      SELECT x.label, x.cluster AS lo, y.cluster AS hi, max(distance) AS far FROM r x JOIN r y ON x.label = y.label AND x.cluster < y.cluster JOIN d ON d.a = x.id AND d.b = y.id GROUP BY 1, 2, 3)
+    WHERE far < 0.7 GROUP BY 1) ON l = label)
+SELECT id, arg_max(cluster, step) AS cluster FROM r GROUP BY id""",
     "watch_changes": "SELECT event_id FROM events WHERE event_id % 3 <> 0",
 }
