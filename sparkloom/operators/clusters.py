@@ -12,8 +12,8 @@ from ..functions.vectors import semantic_similarity
 from . import history
 from .components import connected_components, staged
 
-#: Distance below which complete linkage merges, rows of a block, and similarity at which groups merge.
-LINKAGE, BLOCK, MERGE = 0.3, 2_000, 0.6
+#: Distance below which complete linkage merges, and similarity at which groups merge.
+LINKAGE, MERGE = 0.3, 0.6
 
 
 def complete_linkage(distance: np.ndarray, threshold: float = LINKAGE) -> np.ndarray:
@@ -34,29 +34,32 @@ def complete_linkage(distance: np.ndarray, threshold: float = LINKAGE) -> np.nda
     return label
 
 
-def linkage_clusters(points: DataFrame, block_col: str, id_col: str = "id", vector_col: str = "vector", threshold: float = LINKAGE, most: int = BLOCK) -> DataFrame:
+def linkage_clusters(points: DataFrame, block_col: str, id_col: str = "id", vector_col: str = "vector", threshold: float = LINKAGE) -> DataFrame:
     """(id, cluster): complete linkage on cosine distance inside each block (say a directory); a cluster is named by its least id.
 
-    Clusters can't cross what no short edge crosses: a block is first cut into
-    the components of its pairs below the threshold, so a group holds linked
-    points only. A component of more than `most` points raises ValueError.
+    Only pairs below the threshold are held, since clusters with any farther
+    pair never merge. In each round all pairs of clusters that are nearest to
+    each other merge, which for complete linkage gives what merging the nearest
+    pair of all one after another gives; the distance of two new clusters is the
+    greatest between their parts, if all of these are held.
     """
     from .search import pairs_within
 
-    inside = pairs_within(points, threshold, id_col, vector_col, within=block_col)
-    part = connected_components(staged(inside.select("a", "b"), "pairs")).withColumnRenamed("id", id_col)
-    rows = points.select(F.col(id_col), F.col(vector_col).cast("array<double>").alias("v")).join(part, id_col, "left").withColumn("component", F.coalesce("component", F.col(id_col)))
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > most:
-            raise ValueError(f"{len(pdf)} linked points in one block; cut blocks finer than {most}")
-        pdf = pdf.sort_values(id_col)
-        v = np.stack(pdf.v.to_numpy())
-        v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-10)
-        ids = pdf[id_col].to_numpy()
-        return pd.DataFrame({"id": ids, "cluster": ids[complete_linkage(1 - v @ v.T, threshold)]})
-
-    return rows.groupBy("component").applyInPandas(one, "id long, cluster long")
+    names = points.select(F.col(id_col).cast("long").alias("id"), F.col(id_col).cast("long").alias("cluster"))
+    d = staged(pairs_within(points, threshold, id_col, vector_col, within=block_col).filter(F.col("distance") < threshold), "linked")
+    while True:
+        pair = F.struct("distance", "a", "b").alias("p")
+        nearest = d.select(F.col("a").alias("u"), pair).unionByName(d.select(F.col("b").alias("u"), pair)).groupBy("u").agg(F.min("p").alias("p"))
+        merges = staged(nearest.groupBy("p").agg(F.count(F.lit(1)).alias("n")).filter("n = 2").select(F.col("p.a").alias("into"), F.col("p.b").alias("gone")), "merges")
+        if not merges.limit(1).count():
+            return names
+        a, b = (merges.select(F.col("gone").alias(c), F.col("into").alias(f"{c}_into")) for c in ("a", "b"))
+        moved = d.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("a_into", "a").alias("x"), F.coalesce("b_into", "b").alias("y"), "distance").filter("x <> y")
+        moved = moved.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max("distance").alias("distance"), F.count(F.lit(1)).alias("n"))
+        a, b = (merges.select(F.col("into").alias(c), F.lit(2).alias(f"{c}_parts")) for c in ("a", "b"))
+        whole = moved.join(a, "a", "left").join(b, "b", "left").filter(F.col("n") == F.coalesce("a_parts", F.lit(1)) * F.coalesce("b_parts", F.lit(1)))
+        d = staged(whole.select("a", "b", "distance"), "linked")
+        names = staged(names.join(merges, names["cluster"] == merges["gone"], "left").select("id", F.coalesce("into", "cluster").alias("cluster")), "names")
 
 
 def leader_clusters(points: DataFrame, block_col: str, threshold: float, id_col: str = "id", vector_col: str = "vector") -> DataFrame:

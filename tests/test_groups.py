@@ -143,3 +143,17 @@ def test_components_match_a_loop(spark):
     got = {r.id: r.component for r in components.connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {x: find(x) for x in {x for a, b in pairs if a != b for x in (a, b)}}
     assert components.connected_components(spark.createDataFrame(pairs, "a long, b long").filter("false")).count() == 0
+
+
+def test_linkage_matches_a_matrix(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, int(rng.integers(2)), rng.normal(size=3).tolist()) for i in range(90)]
+    want = {}
+    for label in range(2):
+        own = [r for r in rows if r[1] == label]
+        v = np.array([r[2] for r in own])
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        want |= {own[i][0]: own[j][0] for i, j in enumerate(clusters.complete_linkage(1 - v @ v.T, 0.5).tolist())}
+    p = spark.createDataFrame(rows, "id long, label long, vector array<double>")
+    assert {r.id: r.cluster for r in clusters.linkage_clusters(p, "label", threshold=0.5).collect()} == want
+    assert clusters.linkage_clusters(p.filter("false"), "label").count() == 0
