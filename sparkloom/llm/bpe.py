@@ -206,6 +206,18 @@ def tokenizer(source: str) -> Tokenizer:
     return _tokenizers[key]
 
 
+_names: dict[int, list[str]] = {}
+
+
+def names_of(source: str) -> list[str]:
+    """`token_names` of a JSON text, read once for each worker."""
+    key = hash(source)
+    if key not in _names:
+        _names.clear()
+        _names[key] = token_names(source)
+    return _names[key]
+
+
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and ids (binary: little-endian unsigned 32-bit integers) of every whole text."""
     source = _read(docs, path)
@@ -223,7 +235,7 @@ def decoded(tokens: DataFrame, path: str) -> DataFrame:
     source = _read(tokens, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = token_names(source.value)
+        names = names_of(source.value)
         for b in pieces(batches, "ids"):
             yield pa.record_batch([b["doc_id"], b["ids"], pa.array([decode(x, names) for x in b["ids"].to_pylist()], pa.large_string()).cast(pa.string())], ["doc_id", "ids", "text"])
 
