@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, license_scan, media, mixing, ngram_join, pii, quality_classifier, quality_rules, substring_dedup, toxicity
+from . import bpe, centroids, lexical_search, license_scan, media, mixing, ngram_join, pii, quality_classifier, quality_rules, simhash, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,6 +87,19 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.digest(centroids.clustered(table(spark, sf_dir, "embeddings")))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.joined(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.searched(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, md5(coalesce(cast(doc_id AS varchar), '')) AS deal,
@@ -114,3 +127,49 @@ x AS (SELECT p.*, CASE s.rank % 2 WHEN 1 THEN 0.5::double ELSE -0.5::double END
 y AS (SELECT *, (ahead + pass * source_size) / target AS share FROM x)
 SELECT doc_id, pass, round(2 * share / ((1 - tilt) + sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * share)), 9) AS position FROM y
 """
+
+
+def _op11_sql(rounds: int = 10) -> str:
+    """Each round as two tables: nearest centroids, and floors of the means."""
+    nearest = """a{0} AS MATERIALIZED (
+  SELECT vec_id, any_value(v.v) AS v, min({{'d': list_sum(list_transform(list_zip(v.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 'c': c.c}}) AS best
+  FROM v CROSS JOIN c{0} c GROUP BY vec_id)"""
+    means = """c{1} AS MATERIALIZED (
+  SELECT c.c, coalesce(m.v, c.v) AS v FROM c{0} c LEFT JOIN (
+    SELECT c, list(cast((s - ((s % n) + n) % n) // n AS bigint) ORDER BY i) AS v FROM (
+      SELECT best.c AS c, i, sum(v[i]) AS s, count(*) AS n FROM a{0}, range(1, 65) t(i) GROUP BY ALL) GROUP BY c) m ON m.c = c.c)"""
+    steps = [nearest.format(0)]
+    for turn in range(1, rounds + 1):
+        steps += [means.format(turn - 1, turn), nearest.format(turn)]
+    return (
+        """WITH v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x AS double)) AS bigint)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (
+  SELECT cast(row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS int) AS c, v FROM v ORDER BY sha256('3:' || vec_id) LIMIT 8),
+"""
+        + ",\n".join(steps)
+        + f"""
+SELECT vec_id, best.c AS cluster, cast(best.d AS bigint) AS distance, cast(sum(best.d) OVER (PARTITION BY best.c) AS bigint) AS cluster_inertia,
+       cast(sum(best.d) OVER () AS bigint) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} c ON c.c = best.c"""
+    )
+
+
+OP11_SQL = _op11_sql()
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+s AS (SELECT count(*) AS docs, sum(len(t)) AS terms FROM d WHERE len(t) > 0),
+p AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(t) AS n, unnest(t) AS term FROM d) GROUP BY ALL),
+f AS (SELECT term, cast(floor(1000 * ln((2 * any_value(docs) + 2)::double / (2 * count(*) + 1))) AS bigint) AS w FROM p, s GROUP BY term),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+x AS (
+  SELECT item_id, r, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms)))) AS bigint) AS score
+  FROM q JOIN f USING (term) JOIN p USING (term), s GROUP BY item_id, r, doc_id)
+SELECT item_id, cast(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS int) AS rank, doc_id, score
+FROM x WHERE score > 0 QUALIFY rank <= 10
+"""

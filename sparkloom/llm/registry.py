@@ -16,4 +16,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_source_mix": q.OP8_SQL, "op8_training_order": q.OP8_ORDER_SQL}
+    return {"op8_source_mix": q.OP8_SQL, "op8_training_order": q.OP8_ORDER_SQL, "op11_centroids": q.OP11_SQL, "op13_lexical_search": q.OP13_SQL}
