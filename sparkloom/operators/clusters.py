@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.vectors import semantic_similarity
-from . import history
-from .components import connected_components, staged
+from ..functions.vectors import norm
+from .components import Staged, connected_components, staged
 
 #: Distance below which complete linkage merges, and similarity at which groups merge.
 LINKAGE, MERGE = 0.3, 0.6
+#: Rows of a part of groups that one task repairs, and rows of such parts that a task gets at once.
+SMALL, TOGETHER = 2000, 20_000
 
 
 def complete_linkage(distance: np.ndarray, threshold: float = LINKAGE) -> np.ndarray:
@@ -197,33 +198,119 @@ def shortcut(groups: DataFrame, most: int = 3) -> DataFrame:
     return groups.join(n, "change_id").select("change_id", "chunk_id", F.when(F.col("n") <= most, F.col("first")).otherwise(F.col("group_id")).alias("group_id"))
 
 
+def _similar_groups(pairs: DataFrame, own: DataFrame, units: DataFrame) -> DataFrame:
+    """pairs (a, b and more) of groups with s, the mean cosine of their chunks: the dot product of the groups' mean unit vectors. own: (group_id, chunk_id); a group without a vector is like none."""
+    rows = own.join(units, "chunk_id")
+    size = rows.groupBy("group_id").agg(F.count(F.lit(1)).alias("size"))
+    mean = rows.select("group_id", F.posexplode("unit").alias("at", "v")).groupBy("group_id", "at").agg(F.sum("v").alias("v")).join(size, "group_id").select("group_id", "at", (F.col("v") / F.col("size")).alias("v"))
+    a, b = (mean.select(F.col("group_id").alias(c), "at", F.col("v").alias(f"v{c}")) for c in ("a", "b"))
+    found = pairs.select("a", "b").distinct().join(a, "a").join(b, ["b", "at"]).groupBy("a", "b").agg(F.round(F.sum(F.col("va") * F.col("vb")), 12).alias("s"))
+    return pairs.join(found, ["a", "b"], "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
+
+
+def _repaired_part(rows: list[tuple], merge: float) -> list[tuple]:
+    """One part's rows (group_id, chunk_id, file_path, unit) worked through: means of unit vectors stand for the groups."""
+    files: dict = {}  # group -> chunk -> files
+    for g, c, f, _ in rows:
+        files.setdefault(g, {}).setdefault(c, set()).add(f)
+    unit = {c: np.asarray(u, float) for _, c, _, u in rows if u is not None}
+    moved: set = set()
+    while True:
+        held: dict = {}
+        for g in sorted(files):
+            for f in set().union(*files[g].values()):
+                held.setdefault(f, []).append(g)
+        wrong = [(own[0], f) for f, own in held.items() if len(own) > 1]
+        if not wrong:
+            break
+        file = min(wrong)[1]
+        own = held[file]
+        vectors = [[unit[c] for c in files[g] if c in unit] for g in own]
+        mean = [np.mean(v, axis=0) if v else None for v in vectors]
+        pairs = [(-round(float(mean[i] @ mean[j]), 12), a, own[j]) for i, a in enumerate(own) for j in range(i + 1, len(own)) if mean[i] is not None and mean[j] is not None]
+        best = min(pairs, default=(0.0,))
+        if -best[0] >= merge:
+            files[best[1]] |= files.pop(best[2])
+            continue
+        to = min(own, key=lambda g: (-sum(file in x for x in files[g].values()), g))
+        going = {g: [c for c, x in files[g].items() if file in x] for g in own if g != to}
+        if back := [g for g, chunks in going.items() if moved.intersection(chunks)]:
+            files[min(to, back[0])] |= files.pop(max(to, back[0]))
+            continue
+        for g, chunks in going.items():
+            moved.update(chunks)
+            files[to] |= {c: files[g].pop(c) for c in chunks}
+            if not files[g]:
+                del files[g]
+    return [(g, c, f) for g, own in files.items() for c, paths in own.items() for f in paths]
+
+
 def repaired(members: DataFrame, vectors: DataFrame, merge: float = MERGE) -> DataFrame:
     """(group_id, chunk_id, file_path) with every file in one group.
 
-    Each round treats the files in several groups at once, each pair of groups
-    by its mean pairwise similarity: groups whose most similar partner on a
-    shared file is at least `merge` are joined; where none is, the chunks of a
-    file move to the group with most of them. Both steps lower the number of
-    (file, group) pairs, so the rounds end.
+    One file at a time: the first one (in order of groups, then of paths) that
+    several groups hold. Its two most similar groups (mean cosine of their
+    chunks) become one, the lower, if they are at least `merge` alike; otherwise
+    all its chunks move to the group with most of them, the lowest of such. Then
+    everything is looked at anew. A chunk of several files could go to and fro
+    for ever: where one would move again, the lowest group with such a chunk and
+    the one it would go to become one instead. Groups that no chain of files connects don't
+    touch each other: parts of up to SMALL rows are worked through one by one, by
+    tasks that get some TOGETHER rows of them, and of larger ones each takes its
+    own next step in a round of joins, as many rounds as the largest has steps.
+    Chunks without a vector are left out of the mean, vanishing vectors count in
+    it as zero; rows without a path are left out.
     """
-    m = staged(members.select("group_id", "chunk_id", "file_path").distinct(), "members")
-    while history.violations(m).limit(1).count():
-        bad = history.violations(m).select("file_path")
-        held = m.join(bad, "file_path").select("file_path", "group_id").distinct()
-        pairs = held.alias("x").join(held.alias("y"), "file_path").filter("x.group_id < y.group_id").select(F.col("x.group_id").alias("a"), F.col("y.group_id").alias("b")).distinct()
-        own = m.select("group_id", "chunk_id").distinct().join(vectors, "chunk_id")
-        left = pairs.join(own.select(F.col("group_id").alias("a"), F.col("vector").alias("va")), "a")
-        both = left.join(own.select(F.col("group_id").alias("b"), F.col("vector").alias("vb")), "b")
-        similar = both.groupBy("a", "b").agg(F.avg(semantic_similarity(F.col("va"), F.col("vb"))).alias("s")).filter(F.col("s") >= merge)
-        similar = staged(similar.select("a", "b"), "similar")
-        if similar.limit(1).count():
-            part = connected_components(similar).withColumnRenamed("id", "group_id")
-            m = staged(m.join(part, "group_id", "left").select(F.coalesce("component", "group_id").alias("group_id"), "chunk_id", "file_path").distinct(), "members")
-            continue
-        # files that are the first in each of their groups share no group, so they are treated at once
-        first = held.groupBy("group_id").agg(F.min("file_path").alias("file_path")).groupBy("file_path").agg(F.count(F.lit(1)).alias("n_first"))
-        first = first.join(history.violations(m), "file_path").filter("n_first = n_groups").select("file_path")
-        to = history.primary_group(m.join(first, "file_path")).select("file_path", F.col("group_id").alias("to"))
-        moving = m.join(to, "file_path").groupBy("chunk_id").agg(F.min("to").alias("to"))
-        m = staged(m.join(moving, "chunk_id", "left").select(F.coalesce("to", "group_id").alias("group_id"), "chunk_id", "file_path").distinct(), "members")
-    return m
+    spark = members.sparkSession
+    kept = Staged(spark)
+    size = norm(F.col("vector"))
+    unit = F.transform("vector", lambda x: F.when(size > 0, x.cast("double") / size).otherwise(0.0))
+    units = kept(vectors.filter("vector IS NOT NULL").select("chunk_id", unit.alias("unit")), "units")
+    m = kept(members.select("group_id", "chunk_id", "file_path").filter("file_path IS NOT NULL").distinct(), "members")
+    ends = m.select(F.col("group_id").alias("g"), F.concat(F.lit("f"), "file_path").alias("f")).distinct()
+    by_file = ends.groupBy("f").agg(F.min("g").alias("first"))
+    part = connected_components(ends.join(by_file, "f").filter("g <> first").select(F.col("g").alias("a"), F.col("first").alias("b")).distinct())
+    m = kept(m.join(part.withColumnRenamed("id", "group_id").withColumnRenamed("component", "part"), "group_id", "left").select(F.coalesce("part", "group_id").alias("part"), "group_id", "chunk_id", "file_path"), "members")
+    torn = m.groupBy("part", "file_path").agg((F.min("group_id") != F.max("group_id")).alias("torn"), F.count(F.lit(1)).alias("n"))
+    size = torn.groupBy("part").agg(F.max("torn").alias("torn"), (F.sum("n") <= SMALL).alias("small"))
+    m = kept(m.join(size, "part"), "members")
+    kind, n = dict(m.dtypes), m.filter("torn AND small").count()
+    bucket = F.pmod(F.xxhash64("part"), F.lit(max(1, n // TOGETHER)))
+    rows = m.filter("torn AND small").join(units, "chunk_id", "left").withColumn("bucket", bucket)
+
+    def repair(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows: dict = {}
+        for row in zip(pdf.part, pdf.group_id, pdf.chunk_id, pdf.file_path, pdf.unit, strict=True):
+            rows.setdefault(row[0], []).append(row[1:])
+        return pd.DataFrame([row for own in rows.values() for row in _repaired_part(own, merge)], columns=["group_id", "chunk_id", "file_path"])
+
+    small = rows.groupBy("bucket").applyInPandas(repair, f"group_id {kind['group_id']}, chunk_id {kind['chunk_id']}, file_path {kind['file_path']}")
+    done, turn = m.filter("NOT torn").select("group_id", "chunk_id", "file_path").unionByName(small), None
+    m = m.filter("torn AND NOT small").drop("torn", "small").withColumn("moved", F.lit(False))
+    while m.limit(1).count():
+        held = m.groupBy("part", "file_path", "group_id").agg(F.countDistinct("chunk_id").alias("n"), F.max("moved").alias("moved"))
+        first = held.groupBy("part", "file_path").agg(F.min("group_id").alias("first"), F.count(F.lit(1)).alias("n_groups")).filter("n_groups > 1")
+        now = Staged(spark)
+        next_ = now(first.groupBy("part").agg(F.min(F.struct("first", "file_path"))["file_path"].alias("file_path")), "next")
+        done = done.unionByName(kept(m.join(next_.select("part"), "part", "left_anti").drop("part", "moved"), "whole"))
+        m = m.join(next_.select("part"), "part", "left_semi")
+        own = now(held.join(next_, ["part", "file_path"]), "own")
+        x, y = own.select("part", F.col("group_id").alias("a")), own.select("part", F.col("group_id").alias("b"))
+        touched = m.join(own.select("group_id"), "group_id", "left_semi").select("group_id", "chunk_id").distinct()
+        near = _similar_groups(x.join(y, "part").filter("a < b"), touched, units)
+        best = near.groupBy("part").agg(F.min(F.struct((-F.col("s")).alias("s"), "a", "b")).alias("p")).filter(-F.col("p.s") >= merge)
+        best = best.select("part", F.col("p.b").alias("gone"), F.col("p.a").alias("into"))
+        to = own.groupBy("part").agg(F.min(F.struct((-F.col("n")).alias("n"), "group_id"))["group_id"].alias("to"))
+        back = own.join(to, "part").filter("moved AND group_id <> to").groupBy("part", "to").agg(F.min("group_id").alias("g")).join(best, "part", "left_anti")
+        best = now(best.unionByName(back.select("part", F.greatest("to", "g").alias("gone"), F.least("to", "g").alias("into"))), "best")
+        moving = m.join(next_, ["part", "file_path"]).join(to.join(best, "part", "left_anti"), "part").select("group_id", "chunk_id", "to").distinct()
+        after = m.join(best.drop("part"), m["group_id"] == best["gone"], "left").join(moving, ["group_id", "chunk_id"], "left")
+        after = now(after.select("part", F.coalesce("to", "into", "group_id").alias("group_id"), "chunk_id", "file_path", (F.col("moved") | F.coalesce(F.col("to") != F.col("group_id"), F.lit(False))).alias("moved")).distinct(), "members")
+        if turn:
+            turn.drop()
+        m, turn = after, now
+    out = staged(done, "repaired")
+    for s in (kept, turn):
+        if s:
+            s.drop()
+    return out

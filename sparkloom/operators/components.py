@@ -20,9 +20,26 @@ def staging_folder(spark: SparkSession) -> str:
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back, which cuts its lineage."""
-    path = f"{staging_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Staged(df.sparkSession)(df, name)
+
+
+class Staged:
+    """Tables in the shared folder that go together once a round no longer reads them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{staging_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        for p in self.paths:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.paths = []
 
 
 def ranked(df: DataFrame, *order: str, name: str = "place") -> DataFrame:
@@ -42,16 +59,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
     label, so a path shrinks by more than half; rounds end when nothing changes.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = staged(both, "edges")
-    labels = staged(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    edge, own = Staged(edges.sparkSession), Staged(edges.sparkSession)
+    both = edge(both, "edges")
+    labels = own(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     while True:
         near = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("label").alias("near"))
         new = labels.join(near, labels["id"] == near["a"], "left").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         up = new.select(F.col("id").alias("up_id"), F.col("label").alias("up"))
-        new = staged(new.join(up, F.col("label") == F.col("up_id"), "left").select("id", "old", F.least("label", "up").alias("label")), "labels")
+        turn = Staged(edges.sparkSession)
+        new = turn(new.join(up, F.col("label") == F.col("up_id"), "left").select("id", "old", F.least("label", "up").alias("label")), "labels")
         changed = new.filter("label <> old").limit(1).count()
-        labels = new.drop("old")
+        own.drop()
+        labels, own = new.drop("old"), turn
         if not changed:
+            edge.drop()
             return labels.withColumnRenamed("label", "component")
 
 

@@ -304,11 +304,11 @@ def group_shortcut(spark, sf_dir):
 
 
 def group_repair(spark, sf_dir):
-    """Each file has two chunks in one group and one in another, which has a chunk of its own too: alike groups are joined, else the third chunk moves."""
-    k = F.col("s_suppkey")
-    s = table(spark, sf_dir, "supplier").select(k.alias("k"))
-    made = F.array(*[F.struct((F.col("k") * 2 + g).alias("group_id"), (F.col("k") * 4 + c).alias("chunk_id"), F.concat(F.lit("f"), F.when(F.lit(own), F.concat(F.lit("own"), "k")).otherwise(F.col("k").cast("string"))).alias("file_path"), F.array(F.when((F.lit(g) == 1) & (F.col("k") % 2 == 1), 0.0).otherwise(1.0), F.when((F.lit(g) == 1) & (F.col("k") % 2 == 1), 1.0).otherwise(0.0)).alias("vector")) for g, c, own in ((0, 0, False), (0, 1, False), (1, 2, False), (1, 3, True))])
-    rows = s.select(F.explode(made).alias("m")).select("m.*")
+    """Orders are changes and their lines chunks, in up to four groups and of three files: each file ends in one group."""
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey").distinct()
+    vector = F.array((F.col("l_suppkey") % 40 - 10).cast("double"), (F.col("l_partkey") % 50 - 10).cast("double"))
+    order = F.col("l_orderkey").cast("string")
+    rows = line.select((F.col("l_orderkey") * 4 + F.col("l_partkey") % 4).alias("group_id"), F.concat_ws("/", order, F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("chunk_id"), F.concat_ws("/", order, (F.col("l_suppkey") % 3).cast("string")).alias("file_path"), vector.alias("vector"))
     return clusters.repaired(rows.select("group_id", "chunk_id", "file_path"), rows.select("chunk_id", "vector"))
 
 
@@ -454,7 +454,24 @@ p AS (SELECT line, row_number() OVER (ORDER BY line) - 1 AS place FROM l)
 SELECT place, line, concat('  linkStyle ', place, ' stroke:#adb5bd,stroke-width:1px;') AS style FROM p""",
     "group_shortcut": "SELECT l_orderkey AS change_id, l_linenumber AS chunk_id, CASE WHEN count(*) OVER (PARTITION BY l_orderkey) <= 3 THEN min(l_suppkey % 5) OVER (PARTITION BY l_orderkey) ELSE l_suppkey % 5 END AS group_id FROM lineitem",
     "group_repair": """
-SELECT s_suppkey * 2 + CASE WHEN c = 3 AND s_suppkey % 2 = 1 THEN 1 ELSE 0 END AS group_id, s_suppkey * 4 + c AS chunk_id, CASE WHEN c = 3 THEN concat('fown', s_suppkey) ELSE concat('f', s_suppkey) END AS file_path FROM supplier, range(4) r(c)""",
+WITH RECURSIVE l AS (
+  SELECT DISTINCT l_orderkey AS part, l_orderkey * 4 + l_partkey % 4 AS g, concat(l_orderkey, '/', l_partkey, '/', l_suppkey) AS c, concat(l_orderkey, '/', l_suppkey % 3) AS f,
+         (l_suppkey % 40 - 10)::double AS x, (l_partkey % 50 - 10)::double AS y FROM lineitem),
+v AS (SELECT c, coalesce(x / nullif(sqrt(x * x + y * y), 0), 0) AS x, coalesce(y / nullif(sqrt(x * x + y * y), 0), 0) AS y FROM l),
+r AS (
+  SELECT 0 AS step, part, g, c, f FROM l
+  UNION ALL (
+  WITH h AS (SELECT part, f, g, count(*) AS n FROM r GROUP BY ALL),
+  n AS (SELECT part, arg_min(f, {'g': g, 'f': f}) AS f FROM (SELECT part, f, min(g) AS g FROM h GROUP BY ALL HAVING count(*) > 1) GROUP BY part),
+  o AS (SELECT h.* FROM h JOIN n USING (part, f)),
+  s AS (
+    SELECT p.part, p.g AS a, q.g AS b, round(avg(vp.x * vq.x + vp.y * vq.y), 12) AS s
+    FROM o p JOIN o q ON p.part = q.part AND p.g < q.g JOIN r rp ON rp.g = p.g JOIN v vp ON vp.c = rp.c JOIN r rq ON rq.g = q.g JOIN v vq ON vq.c = rq.c GROUP BY ALL),
+  b AS (SELECT part, p.a AS a, p.b AS b FROM (SELECT part, min({'s': -s, 'a': a, 'b': b}) AS p FROM s GROUP BY part) WHERE -p.s >= 0.6),
+  t AS (SELECT o.part, o.f, arg_min(o.g, {'n': -o.n, 'g': o.g}) AS g FROM o WHERE o.part NOT IN (SELECT part FROM b) GROUP BY ALL)
+  SELECT r.step + 1, r.part, coalesce(t.g, b.a, r.g), r.c, r.f
+  FROM r JOIN n USING (part) LEFT JOIN b ON b.b = r.g LEFT JOIN t ON t.part = r.part AND t.f = r.f))
+SELECT g AS group_id, c AS chunk_id, f AS file_path FROM r QUALIFY step = max(step) OVER (PARTITION BY part)""",
     "related_groups": f"WITH RECURSIVE {_CHANGED}, {_LEADERS.format('change_id')} SELECT change_id, id, leader FROM r",
     "consolidation": f"""WITH RECURSIVE {_CHANGED},
 likes AS (SELECT change_id, a, list({{'b': b, 'other': pa <> pb}} ORDER BY b) AS l FROM pairs GROUP BY 1, 2),

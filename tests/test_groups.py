@@ -63,6 +63,81 @@ def test_repair_of_files_that_share_groups(spark):
     assert {(r.chunk_id, r.file_path) for r in out.collect()} == {(c, f) for _, c, f in rows}
 
 
+def repaired_one_by_one(rows, vectors, least=0.6):
+    """One file after another, groups in order: a plain loop over lists."""
+    groups = {g: {} for g, _, _ in sorted(rows)}
+    for g, c, f in rows:
+        groups[g].setdefault(c, set()).add(f)
+    gone = set()
+    while True:
+        held = {}
+        for g, own in groups.items():
+            for f in sorted(set().union(*own.values())):
+                held.setdefault(f, []).append(g)
+        bad = next((f for f in held if len(held[f]) > 1), None)
+        if bad is None:
+            return {(g, c, f) for g, own in groups.items() for c, files in own.items() for f in files}
+        most, pair = 0, None
+        for i, a in enumerate(held[bad]):
+            for b in held[bad][i + 1 :]:
+                s = [np.dot(vectors[x], vectors[y]) / np.linalg.norm(vectors[x]) / np.linalg.norm(vectors[y]) for x in groups[a] for y in groups[b]]
+                if round(float(np.mean(s)), 12) > most:
+                    most, pair = round(float(np.mean(s)), 12), (a, b)
+        if pair and most >= least:
+            groups[pair[0]] |= groups.pop(pair[1])
+            continue
+        to = max(held[bad], key=lambda g: (sum(bad in files for files in groups[g].values()), -g))
+        moving = [(g, c) for g in held[bad] if g != to for c, files in groups[g].items() if bad in files]
+        again = [g for g, c in moving if c in gone]
+        if again:
+            groups[min(to, again[0])] |= groups.pop(max(to, again[0]))
+            continue
+        for g, c in moving:
+            gone.add(c)
+            groups[to][c] = groups[g].pop(c)
+        groups = {g: own for g, own in groups.items() if own}
+
+
+@pytest.mark.parametrize("small, cases", [(clusters.SMALL, 50), (0, 5)])
+def test_repair_matches_a_loop(spark, monkeypatch, small, cases):
+    """Inputs at once (they share no group), with files in three to six groups and chunks of several files; in one task each, and in rounds."""
+    monkeypatch.setattr(clusters, "SMALL", small)
+    rng = np.random.default_rng(12)
+    rows, vectors = [], {}
+    for case in range(cases):
+        n_groups = 3 + case % 4
+        for c in range(10 + case % 5):
+            chunk = f"{case}-{c}"
+            vectors[chunk] = rng.normal(size=2 + case % 3).round(3).tolist()
+            g = int(rng.integers(n_groups)) + 10 * case
+            for f in set(rng.integers(4, size=1 + case % 2).tolist()):
+                rows.append((g, chunk, f"{case}/{f}"))
+    want = set()
+    for case in range(cases):
+        own = [r for r in rows if r[1].startswith(f"{case}-")]
+        want |= repaired_one_by_one(own, vectors)
+    out = clusters.repaired(spark.createDataFrame(rows, "group_id long, chunk_id string, file_path string"), spark.createDataFrame(list(vectors.items()), "chunk_id string, vector array<double>"))
+    assert {(r.group_id, r.chunk_id, r.file_path) for r in out.collect()} == want
+
+
+def test_repair_merges_one_pair_at_a_time(spark):
+    """Groups 1 and 2 merge (0.90); their mean is not like group 3 (0.41), so its chunk of f moves and the other stays."""
+    angles = {"1": 0, "2": 26, "3": 78, "4": 78}
+    vectors = spark.createDataFrame([(c, [float(np.cos(np.radians(a))), float(np.sin(np.radians(a)))]) for c, a in angles.items()], "chunk_id string, vector array<double>")
+    rows = [(1, "1", "f"), (2, "2", "f"), (3, "3", "f"), (3, "4", "g")]
+    out = clusters.repaired(spark.createDataFrame(rows, "group_id long, chunk_id string, file_path string"), vectors)
+    assert {(r.chunk_id, r.group_id) for r in out.collect()} == {("1", 1), ("2", 1), ("3", 1), ("4", 3)}
+
+
+def test_repair_of_nothing_and_missing_vectors(spark):
+    none = spark.createDataFrame([], "group_id long, chunk_id string, file_path string")
+    vectors = spark.createDataFrame([("a", None), ("b", [0.0, 0.0])], "chunk_id string, vector array<double>")
+    assert clusters.repaired(none, vectors).count() == 0
+    rows = [(1, "a", "f"), (2, "b", "f"), (2, "c", "f"), (3, "d", None)]
+    out = clusters.repaired(spark.createDataFrame(rows, none.schema), vectors)
+    assert {(r.chunk_id, r.group_id) for r in out.collect()} == {("a", 2), ("b", 2), ("c", 2)}
+
+
 def test_ranks_are_those_of_the_order(spark):
     rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"))
     assert all(r.place == r.k for r in components.ranked(rows, "k").collect())
