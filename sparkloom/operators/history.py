@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import staged
+from .ancestry import ancestors, chains, merge_bases, reach
 
 
 def blame_spans(lines: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -25,22 +25,6 @@ def summary(message: Column) -> Column:
     return F.trim(F.element_at(F.split(message, "\n"), 1))
 
 
-def ancestors(parents: DataFrame, heads: DataFrame) -> DataFrame:
-    """(head, commit_id): everything reachable from heads (head, commit_id) over parents (commit_id, parent_id), heads included.
-
-    One join per step of the frontier; a step only follows commits that are new
-    for their head, so cycles end too.
-    """
-    seen = staged(heads.select("head", "commit_id").distinct(), "seen")
-    frontier = seen
-    while True:
-        step = frontier.join(parents, "commit_id").select("head", F.col("parent_id").alias("commit_id")).filter("commit_id IS NOT NULL").distinct()
-        frontier = staged(step.join(seen, ["head", "commit_id"], "left_anti"), "frontier")
-        if frontier.limit(1).count() == 0:
-            return seen
-        seen = staged(seen.unionByName(frontier), "seen")
-
-
 def log_between(commits: DataFrame, parents: DataFrame, base: str, head: str) -> DataFrame:
     """Commits (commit_id, ord, message) reachable from head and not from base, newest first by ord, with their summary."""
     heads = parents.sparkSession.createDataFrame([("head", head), ("base", base)], "head string, commit_id string")
@@ -55,14 +39,26 @@ def log_until(commits: DataFrame, stop: str) -> DataFrame:
     return commits.join(F.broadcast(at)).filter(F.col("at").isNull() | (F.col("ord") > F.col("at"))).drop("at")
 
 
+def log_until_base(commits: DataFrame, parents: DataFrame, base: str, head: str) -> DataFrame:
+    """What head reaches of commits (commit_id, ord, message), newest first by ord, down to the merge base of head and base (the newest, if there are several; all if there is none)."""
+    c, spark = chains(parents), parents.sparkSession
+    bases = merge_bases(parents, spark.createDataFrame([(base, head)], "left string, right string"), c)
+    stop = bases.join(commits, "commit_id").agg(F.max("ord").alias("stop"))  # one row
+    own = ancestors(parents, spark.createDataFrame([("head", head)], "head string, commit_id string"), c).select("commit_id")
+    return commits.join(own, "commit_id").join(F.broadcast(stop)).filter(F.col("stop").isNull() | (F.col("ord") > F.col("stop"))).drop("stop").withColumn("summary", summary(F.col("message"))).orderBy(F.desc("ord"))
+
+
 def branch_relation(parents: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(branch, base, is_ancestor, ahead) for pairs (branch, base, branch_commit, base_commit): whether branch's commit is reachable from base, and how many of branch's commits base lacks."""
-    heads = pairs.select(F.concat(F.lit("b:"), "branch").alias("head"), F.col("branch_commit").alias("commit_id")).unionByName(pairs.select(F.concat(F.lit("t:"), "base").alias("head"), F.col("base_commit").alias("commit_id")))
-    reach = ancestors(parents, heads)
-    own = pairs.join(reach.select(F.expr("substring(head, 3)").alias("branch"), "head", F.col("commit_id").alias("c")).filter("head LIKE 'b:%'").drop("head"), "branch")
-    base = reach.filter("head LIKE 't:%'").select(F.expr("substring(head, 3)").alias("base"), F.col("commit_id").alias("c"), F.lit(1).alias("hit"))
-    j = own.join(base, ["base", "c"], "left")
-    return j.groupBy("branch", "base").agg(F.max(F.when(F.col("c") == F.col("branch_commit"), F.col("hit").isNotNull()).otherwise(False)).alias("is_ancestor"), F.sum(F.col("hit").isNull().cast("long")).alias("ahead"))
+    """(branch, base, is_ancestor, ahead) for pairs (branch, base, branch_commit, base_commit): whether branch's commit is reachable from base, and how many of branch's commits base lacks. Both come from positions on chains; no commits are listed."""
+    c = chains(parents)
+    heads = pairs.select(F.col("branch_commit").alias("commit_id")).unionByName(pairs.select(F.col("base_commit").alias("commit_id"))).distinct().withColumn("head", F.col("commit_id"))
+    r = reach(c, heads)
+    own = pairs.join(r.select(F.col("head").alias("branch_commit"), "chain", F.col("at").alias("x")), "branch_commit")
+    both = own.join(r.select(F.col("head").alias("base_commit"), "chain", F.col("at").alias("y")), ["base_commit", "chain"], "left").join(c.foot, "chain")
+    lacks = F.greatest(F.lit(0), F.col("x") - F.greatest(F.coalesce("y", F.col("foot") - 1), F.col("foot") - 1))
+    tip = c.commits.select(F.col("commit_id").alias("branch_commit"), F.col("chain").alias("tip_chain"), F.col("depth").alias("tip"))
+    both = both.join(tip, "branch_commit")
+    return both.groupBy("branch", "base").agg(F.coalesce(F.max((F.col("chain") == F.col("tip_chain")) & (F.col("y") >= F.col("tip"))), F.lit(False)).alias("is_ancestor"), F.sum(lacks).cast("long").alias("ahead"))
 
 
 def branch_metadata(branches: DataFrame, commits: DataFrame) -> DataFrame:

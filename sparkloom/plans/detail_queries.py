@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunks, clusters, commits, components, diffs, docs, embed, filters, graph, history, search, sync, tree
+from ..operators import ancestry, chunks, clusters, commits, components, diffs, docs, embed, filters, graph, history, search, sync, tree
 from ..sources import code, versions
 from ..streaming import watch
 from .code_queries import _F, _sources
@@ -106,6 +106,23 @@ def log_until(spark, sf_dir):
     return history.log_until(o, "c100")
 
 
+def log_until_base(spark, sf_dir):
+    return history.log_until_base(*_commits(spark, sf_dir), "77", "140").select("commit_id", "ord", "summary")
+
+
+def merge_base(spark, sf_dir):
+    """The best common ancestors of pairs of commits."""
+    _, parents = _commits(spark, sf_dir)
+    n = F.col("n_nationkey")
+    pairs = table(spark, sf_dir, "nation").select((n * 7 + 3).cast("string").alias("left"), (n * 5 + 20).cast("string").alias("right"))
+    return ancestry.merge_bases(parents, pairs).select("left", "right", "commit_id")
+
+
+def topological_order(spark, sf_dir):
+    """All commits, each before its parents."""
+    return ancestry.topological_order(_commits(spark, sf_dir)[1])
+
+
 def branch_relations(spark, sf_dir):
     _, parents = _commits(spark, sf_dir)
     n = F.col("n_nationkey")
@@ -351,7 +368,7 @@ def watch_changes(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    scroll_ids, fetch_payloads, point_delete, payload_replace, nested_filter, index_state, search_results, index_sync, untracked_files, commit_log, log_until, branch_relations, branch_metadata,
+    scroll_ids, fetch_payloads, point_delete, payload_replace, nested_filter, index_state, search_results, index_sync, untracked_files, commit_log, log_until, log_until_base, merge_base, topological_order, branch_relations, branch_metadata,
     branch_types, chat_insert, excluded_paths, valid_names, existing_files, label_texts, entity_markdown, binary_sniff, path_resolution, code_boundaries, diff_text, one_file_diff, split_parts,
     file_batches, name_moves, context_choice, overview_lines, repository_totals, graph_kinds, graph_connected, graph_lines, documentation, group_shortcut, group_repair, related_groups, consolidation, watch_changes, chunk_vectors, metadata_drift_rows,
 )}
@@ -385,6 +402,18 @@ SQL = {
     "commit_log": f"""WITH RECURSIVE heads AS (SELECT * FROM (VALUES ('head', 140), ('base', 77)) t(head, c)), {_REACH}
 SELECT c::varchar AS commit_id, c_custkey AS ord, concat('fix ', c) AS summary FROM (SELECT c FROM reach WHERE head = 'head' EXCEPT SELECT c FROM reach WHERE head = 'base') JOIN customer ON c_custkey = c""",
     "log_until": "SELECT concat('c', o_orderkey) AS commit_id, o_orderkey AS ord FROM orders WHERE o_orderkey > 100",
+    "log_until_base": f"""WITH RECURSIVE heads AS (SELECT * FROM (VALUES ('head', 140), ('base', 77)) t(head, c)), {_REACH},
+k AS (SELECT c FROM reach WHERE head = 'head' INTERSECT SELECT c FROM reach WHERE head = 'base'),
+b AS (SELECT max(c) AS stop FROM k WHERE c NOT IN (SELECT parents.p FROM parents JOIN k USING (c)))
+SELECT c::varchar AS commit_id, c AS ord, concat('fix ', c) AS summary FROM reach, b WHERE head = 'head' AND c > stop""",
+    "merge_base": f"""WITH RECURSIVE pairs AS (SELECT n_nationkey * 7 + 3 AS l, n_nationkey * 5 + 20 AS r FROM nation),
+heads AS (SELECT l AS head, l AS c FROM pairs UNION SELECT r, r FROM pairs), {_REACH},
+k AS (SELECT DISTINCT l, r, x.c FROM pairs JOIN reach x ON x.head = l JOIN reach y ON y.head = r AND y.c = x.c)
+SELECT l::varchar AS "left", r::varchar AS "right", c::varchar AS commit_id FROM k
+WHERE NOT EXISTS (SELECT 1 FROM k z JOIN parents ON parents.c = z.c WHERE z.l = k.l AND z.r = k.r AND parents.p = k.c)""",
+    "topological_order": """WITH RECURSIVE parents AS (SELECT c_custkey AS c, unnest([c_custkey // 2, c_custkey // 3]) AS p FROM customer WHERE c_custkey > 1),
+w AS (SELECT 1::bigint AS c, 0::bigint AS d UNION SELECT parents.c, w.d + 1 FROM w JOIN parents ON parents.p = w.c)
+SELECT c::varchar AS commit_id, max(d) AS generation, row_number() OVER (ORDER BY max(d) DESC, c::varchar) - 1 AS place FROM w GROUP BY c""",
     "branch_relations": f"""WITH RECURSIVE heads AS (SELECT concat('b', n_nationkey) AS head, n_nationkey + 5 AS c FROM nation UNION ALL SELECT concat('t', n_nationkey), n_nationkey * 2 + 10 FROM nation), {_REACH}
 SELECT concat('b', k) AS branch, concat('t', k) AS base, bool_or(b.c = k + 5 AND t.c IS NOT NULL) AS is_ancestor, count(*) FILTER (WHERE t.c IS NULL) AS ahead
 FROM (SELECT n_nationkey AS k FROM nation) JOIN reach b ON b.head = concat('b', k) LEFT JOIN reach t ON t.head = concat('t', k) AND t.c = b.c GROUP BY k""",
