@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -11,11 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from .components import staged
+from .components import Staged, ranked, staged
 from .filters import compile_filter
 
-#: Largest number of query vectors that `top_k_many` broadcasts at once, rows of a block of `pairs_within`, and queries scored at once.
-MOST_QUERIES, BLOCK, SCORED = 10_000, 2_000, 500
+#: Most pivots, rows of a block, and queries that are scored at once.
+PIVOTS, BLOCK, SCORED = 1024, 2_000, 500
 
 
 def top_k(points: DataFrame, query: list[float], k: int = 5, metric: str = "cosine", where: dict | None = None, id_col: str = "id", vector_col: str = "vector", prefix: str = "") -> DataFrame:
@@ -26,59 +25,129 @@ def top_k(points: DataFrame, query: list[float], k: int = 5, metric: str = "cosi
     return found.orderBy(F.desc("score") if higher else F.asc("score"), id_col).limit(k)
 
 
-def top_k_many(points: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "id", vector_col: str = "vector", block: int | None = None) -> DataFrame:
+class Cells:
+    """Unit vectors dealt to blocks of bounded size by where they lie.
+
+    Some points are pivots. Every point belongs to the cell of its nearest pivot,
+    and the order of cells, and of distances to the pivot inside, is cut into
+    blocks of `block` rows, so a crowded cell is many rings and a thin one a
+    part of a block. What lies within r of a point x is only in cells whose pivot
+    is at most 2 r farther from x than x's own, and there only in rings that
+    the triangle inequality allows. Distances are Euclidean ones of unit vectors:
+    the square is twice the cosine distance.
+
+    rows: id, v, label, cell, away, block; segments: (label, cell, block, lo, hi), the rings; pivots, and the radius of each cell.
+    """
+
+    def __init__(self, points: DataFrame, id_col: str, vector_col: str, block: int, within: str | None = None):
+        self.stage, self.n = Staged(points.sparkSession), 0
+        label = F.lit(0).cast("long") if within is None else F.xxhash64(within)
+        given = points.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), label.alias("label")).filter("v IS NOT NULL")
+        given = self.stage(given, "vectors")
+        self.n = given.count()
+        if not self.n:
+            return
+        some = min(PIVOTS, 4 * -(-self.n // block))
+        chosen = given.orderBy(F.xxhash64("id"), "id").limit(some).select("v").collect()  # PIVOTS at most
+        self.pivots = _unit(np.array([r["v"] for r in chosen], np.float64).reshape(len(chosen), -1))
+        shared = points.sparkSession.sparkContext.broadcast(self.pivots)
+
+        def home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if len(b):
+                    d = _apart(_unit(np.stack(b.v.to_numpy())), shared.value)
+                    cell = d.argmin(axis=1)
+                    yield b.assign(cell=cell, away=d[np.arange(len(b)), cell])
+
+        own = given.mapInPandas(home, "id long, v array<double>, label long, cell int, away double")
+        self.rows = self.stage(ranked(own, "label", "cell", "away", "id").withColumn("block", F.floor(F.col("place") / block)).drop("place"), "cells")
+        self.segments = self.stage(self.rows.groupBy("label", "cell", "block").agg(F.min("away").alias("lo"), F.max("away").alias("hi")), "rings")
+        found = {r["cell"]: r["r"] for r in self.segments.groupBy("cell").agg(F.max("hi").alias("r")).collect()}  # PIVOTS at most
+        self.radius = np.array([found.get(i, -np.inf) for i in range(len(chosen))])
+
+    def visits(self, rows: DataFrame) -> DataFrame:
+        """rows (id, v, label, r and more, without v) with `other`: each block that can hold a point within r of v, r below 0 for none but where v lies."""
+        shared = rows.sparkSession.sparkContext.broadcast((self.pivots, self.radius))
+        names = [c for c in rows.columns if c != "v"]
+        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.drop("v").schema)
+
+        def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            pivots, radius = shared.value
+            for whole in batches:
+                for first in range(0, len(whole), 1000):
+                    b = whole.iloc[first : first + 1000]
+                    d = _apart(_unit(np.stack(b.v.to_numpy())), pivots)
+                    r = b.r.to_numpy()[:, None] * (1 + 1e-9) + 1e-9
+                    near = np.where(np.isfinite(radius), d, np.inf).argmin(axis=1)
+                    hit = (d - d.min(axis=1, keepdims=True) <= 2 * r) & (d <= radius + r)
+                    only = b.r.to_numpy() < 0
+                    hit[only] = False
+                    hit[only, near[only]] = True
+                    at, cell = np.nonzero(hit)
+                    low, high = d[at, cell] - r[at, 0], d[at, cell] + r[at, 0]
+                    low[only[at]], high[only[at]] = -np.inf, np.inf
+                    yield b[names].iloc[at].assign(at_cell=cell, at_lo=low, at_hi=high)
+
+        found = rows.mapInPandas(look, kinds + ", at_cell int, at_lo double, at_hi double")
+        rings = self.segments.select(F.col("label").alias("l"), "cell", F.col("block").alias("other"), "lo", "hi")
+        met = found.join(rings, (F.col("label") == F.col("l")) & (F.col("at_cell") == F.col("cell")) & (F.col("hi") >= F.col("at_lo")) & (F.col("lo") <= F.col("at_hi")))
+        return met.select(*names, "other").distinct()
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances of the rows of x to those of y."""
+    return np.sqrt(np.maximum(0, (x * x).sum(axis=1)[:, None] - 2 * (x @ y.T) + (y * y).sum(axis=1)))
+
+
+def top_k_many(points: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "id", vector_col: str = "vector", block: int = BLOCK, counts: dict | None = None) -> DataFrame:
     """(query_id, id, score, rank): the k points of highest cosine for each query, itself included.
 
-    The queries are broadcast as one matrix for each `block` of them (MOST_QUERIES); every
-    batch of points keeps its k best for each query, and a window ranks what is
-    left. If there are several blocks, each one's result is written out, so the
-    driver and the executors hold one block at a time.
+    Each query first looks at one block near to it, whose k-th best score bounds
+    how far the others can be, then at all blocks that can hold a point so
+    near. A block meets up to `block` queries in one matrix product.
+    counts, if given, gets the visits of queries to blocks.
     """
-    block = block or MOST_QUERIES
-    rows = queries.select(id_col, vector_col).toLocalIterator()
-    now, found = list(islice(rows, block)), []
-    while after := list(islice(rows, block)):
-        found.append(staged(_top_k_block(points, now, k, id_col, vector_col), "nearest"))
-        now = after
-    last = _top_k_block(points, now, k, id_col, vector_col)
-    if not found:
-        return last
-    near = staged(last, "nearest").drop("rank")
-    for f in found:
-        near = near.unionByName(f.drop("rank"))
-    return _ranked(near, k)
-
-
-def _ranked(near: DataFrame, k: int) -> DataFrame:
+    c = Cells(points, id_col, vector_col, block)
+    if not c.n:
+        return points.sparkSession.createDataFrame([], "query_id long, id long, score double, rank int")
+    q = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.lit(0).cast("long").alias("label")).filter("v IS NOT NULL")
+    q = c.stage(q.dropDuplicates(["id"]), "queries")
+    deal = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-q.count() // block))))
+
+    def scored(visits: DataFrame) -> DataFrame:
+        """The k best points of each visit (id of a query, other)."""
+        asked = visits.join(q.select("id", "v"), "id").select(F.col("id").alias("query_id"), "v", F.col("other").alias("block")).withColumn("deal", deal)
+        need = asked.select("block", "deal").distinct()
+        held = c.rows.select("id", "v", "block").join(need, "block")
+        both = asked.select("block", "deal", F.col("query_id").alias("id"), "v", F.lit(True).alias("asks")).unionByName(held.withColumn("asks", F.lit(False)))
+
+        def best(pdf: pd.DataFrame) -> pd.DataFrame:
+            ask, own = pdf[pdf.asks], pdf[~pdf.asks].sort_values("id")
+            if len(ask) == 0 or len(own) == 0:
+                return pd.DataFrame({"query_id": [], "id": [], "score": []})
+            key, unit, out = own.id.to_numpy(), _unit(np.stack(own.v.to_numpy())), []
+            for first in range(0, len(ask), SCORED):
+                part = ask.iloc[first : first + SCORED]
+                score = np.round(_unit(np.stack(part.v.to_numpy())) @ unit.T, 9)
+                at = np.argsort(-score, axis=1, kind="stable")[:, :k]  # equal scores: the lower ids
+                out.append(pd.DataFrame({"query_id": np.repeat(part.id.to_numpy(), at.shape[1]), "id": key[at.ravel()], "score": np.take_along_axis(score, at, axis=1).ravel()}))
+            return pd.concat(out)
+
+        return both.groupBy("block", "deal").applyInPandas(best, "query_id long, id long, score double")
+
+    first = c.visits(q.withColumn("r", F.lit(-1.0))).groupBy("id").agg(F.min("other").alias("other"))
+    first = c.stage(first, "first")
+    near = c.stage(scored(first), "near")
+    bound = near.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.sqrt(F.greatest(F.lit(0.0), 2 * (1 - F.min("score"))) + 1e-8)).otherwise(2.0).alias("r"))
+    wider = q.join(bound.withColumnRenamed("query_id", "id"), "id", "left").withColumn("r", F.coalesce("r", F.lit(2.0)))
+    rest = c.stage(c.visits(wider).select("id", "other").join(first, ["id", "other"], "left_anti"), "rest")
+    if counts is not None:
+        counts["visits"] = rest.count() + first.count()
+        counts["blocks"] = c.rows.agg(F.max("block")).first()[0] + 1
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return near.withColumn("rank", rank).filter(F.col("rank") <= k)
-
-
-def _top_k_block(points: DataFrame, rows: list, k: int, id_col: str, vector_col: str) -> DataFrame:
-    ids = np.array([r[0] for r in rows], np.int64)
-    unit = _unit(np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1))
-    shared = points.sparkSession.sparkContext.broadcast((ids, unit))
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q, m = shared.value
-        for b in batches:
-            if len(b) == 0 or len(q) == 0:
-                continue
-            b = b.sort_values(id_col)
-            key = b[id_col].to_numpy()
-            unit_points = _unit(np.stack(b[vector_col].to_numpy()).astype(np.float64))
-            for first in range(0, len(q), SCORED):
-                score = np.round(unit_points @ m[first : first + SCORED].T, 9)
-                least = np.partition(score, len(key) - k, axis=0)[len(key) - k] if len(key) > k else np.full(score.shape[1], -np.inf)
-                kept = score >= least
-                for j in np.flatnonzero(kept.sum(axis=0) > k):  # equal scores: the lower ids
-                    kept[:, j] = False
-                    kept[np.argsort(-score[:, j], kind="stable")[:k], j] = True
-                at, of = np.nonzero(kept)
-                yield pd.DataFrame({"query_id": q[first + of], "id": key[at], "score": score[at, of]})
-
-    near = points.select(id_col, vector_col).mapInPandas(best, "query_id long, id long, score double")
-    return _ranked(near, k)
+    out = staged(near.unionByName(scored(rest)).withColumn("rank", rank).filter(F.col("rank") <= k), "ranked")
+    c.stage.drop()
+    return out
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -99,31 +168,45 @@ def group_similarity(points: DataFrame, group_col: str, vector_col: str = "vecto
     return a.join(b, "at").filter("group_a < group_b").groupBy("group_a", "group_b").agg(F.sum(F.col("va") * F.col("vb")).alias("similarity"))
 
 
-def pairs_within(points: DataFrame, eps: float, id_col: str = "id", vector_col: str = "vector", block: int = BLOCK, within: str | None = None) -> DataFrame:
+def pairs_within(points: DataFrame, eps: float, id_col: str = "id", vector_col: str = "vector", block: int = BLOCK, within: str | None = None, counts: dict | None = None) -> DataFrame:
     """(a, b, distance), a < b, of all points (of one value of `within`, if given) whose cosine distance is at most eps.
 
-    Exact: the rows are dealt into blocks, and each two blocks meet in one
-    group of at most 2 * block rows, where a matrix product compares them.
+    Exact: see Cells. Two blocks meet in one group of at most 2 * block rows,
+    where a matrix product compares those of the one that can be near to the other
+    with all of that. Vectors without a nearer neighbourhood than others (all at a
+    right angle, say) can't be told apart by any such bound, and then all
+    blocks meet. counts, if given, gets the number of pairs compared.
     """
-    label = F.lit(0) if within is None else F.xxhash64(within)
-    most = points.groupBy(label.alias("label")).count().agg(F.max("count")).first()[0] or 0
-    blocks = max(1, -(-most // block))
-    own = F.pmod(F.xxhash64(id_col), F.lit(blocks))
-    rows = points.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), own.alias("own"), label.alias("label"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    rows = rows.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+    c = Cells(points, id_col, vector_col, block, within)
+    if not c.n:
+        return points.sparkSession.createDataFrame([], "a long, b long, distance double")
+    r = float(np.sqrt(2 * max(eps, 0)))
+    own = c.rows.select("id", "v", "label", "block")
+    far = c.visits(own.withColumn("r", F.lit(r))).filter("other > block").select("id", "block", "other")
+    far = c.stage(far, "visits")
+    meet = c.stage(far.groupBy("block", "other").agg(F.count(F.lit(1)).alias("n")), "meet")
+    if counts is not None:
+        size = c.rows.groupBy("block").agg(F.count(F.lit(1)).alias("size"))
+        across = meet.join(size.withColumnRenamed("block", "other"), "other").agg(F.sum(F.col("n") * F.col("size"))).first()[0] or 0
+        counts["compared"] = across + size.agg(F.sum(F.col("size") * (F.col("size") - 1) / 2).cast("long")).first()[0]
+    key = [F.col("block").alias("lo"), F.col("other").alias("hi")]
+    left = own.join(far.select("id", "block", "other"), ["id", "block"]).select("id", "v", "label", *key, F.lit(True).alias("visits"))
+    right = own.withColumnRenamed("block", "other").join(meet.select("block", "other"), "other").select("id", "v", "label", *key, F.lit(False).alias("visits"))
+    inside = own.select("id", "v", "label", F.col("block").alias("lo"), F.col("block").alias("hi"), F.lit(True).alias("visits"))
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf.own == key[1]], pdf[pdf.own == key[2]]
-        if len(left) == 0 or len(right) == 0:
-            return pd.DataFrame({"a": [], "b": [], "distance": []})
+        same = key[0] == key[1]
+        left, right = (pdf, pdf) if same else (pdf[pdf.visits], pdf[~pdf.visits])
         d = 1 - _unit(np.stack(left.v.to_numpy())) @ _unit(np.stack(right.v.to_numpy())).T
-        i, j = np.nonzero(d <= eps)
+        i, j = np.nonzero((d <= eps) & (left.label.to_numpy()[:, None] == right.label.to_numpy()))
         a, b = left.id.to_numpy()[i], right.id.to_numpy()[j]
-        keep = a < b if key[1] == key[2] else a != b
+        keep = a < b if same else a != b
         return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "distance": d[i, j][keep]})
 
-    return rows.groupBy("label", "lo", "hi").applyInPandas(compare, "a long, b long, distance double")
+    out = left.unionByName(right).unionByName(inside).groupBy("lo", "hi").applyInPandas(compare, "a long, b long, distance double")
+    out = staged(out, "within")
+    c.stage.drop()
+    return out
 
 
 def shaped(results: DataFrame, payload: list[str], id_col: str = "id") -> DataFrame:

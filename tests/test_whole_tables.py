@@ -32,11 +32,57 @@ def test_queries_in_blocks(spark):
     assert len(one) == 75 and one == many
 
 
-def test_more_queries_than_one_block(spark, monkeypatch):
-    """Raised before."""
-    monkeypatch.setattr(search, "MOST_QUERIES", 10)
-    points = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(40)], "id long, vector array<double>")
-    assert search.top_k_many(points, points, 1).count() == 40
+def clustered(n, seed=3, dims=12, centres=40):
+    rng = np.random.default_rng(seed)
+    middle = rng.normal(size=(centres, dims))
+    v = middle[rng.integers(centres, size=n)] + rng.normal(size=(n, dims)) * 0.08
+    v[: n // 10] = middle[0]  # a tenth are copies
+    v[-2:] = 0
+    return v
+
+
+def test_pairs_within_match_a_matrix(spark):
+    v = clustered(1200)
+    labels = np.arange(1200) % 2
+    points = spark.createDataFrame([(i, int(g), x.tolist()) for i, (g, x) in enumerate(zip(labels, v, strict=True))], "id long, label long, vector array<double>")
+    size = np.linalg.norm(v, axis=1, keepdims=True)
+    unit = np.divide(v, size, out=np.zeros_like(v), where=size > 0)
+    near = np.triu(1 - unit @ unit.T <= 0.05, 1)
+    counts = {}
+    got = {(r.a, r.b) for r in search.pairs_within(points, 0.05, block=50, counts=counts).collect()}
+    assert got == set(zip(*(x.tolist() for x in np.nonzero(near)), strict=True))
+    assert counts["compared"] < 1200 * 1199 / 2 / 3
+    got = {(r.a, r.b) for r in search.pairs_within(points, 0.05, block=50, within="label").collect()}
+    assert got == set(zip(*(x.tolist() for x in np.nonzero(near & (labels[:, None] == labels))), strict=True))
+    assert search.pairs_within(points, 1.2, block=400).count() == np.triu(1 - unit @ unit.T <= 1.2, 1).sum()
+    assert search.pairs_within(points.filter("false"), 0.05).count() == 0
+
+
+def test_compared_pairs_grow_below_the_square(spark):
+    """Four times the points in as dense neighbourhoods: the square would be 16 times the pairs."""
+    found = []
+    for n in (800, 3200):
+        v = clustered(n, centres=n // 20)
+        points = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v[n // 10 : -2])], "id long, vector array<double>")
+        counts = {}
+        search.pairs_within(points, 0.01, block=40, counts=counts).count()
+        found.append(counts["compared"])
+    assert found[1] < 9 * found[0]
+
+
+def test_nearest_match_a_matrix(spark):
+    v = clustered(900)
+    points = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vector array<double>")
+    size = np.linalg.norm(v, axis=1, keepdims=True)
+    unit = np.divide(v, size, out=np.zeros_like(v), where=size > 0)
+    score = np.round(unit @ unit.T, 9)
+    counts = {}
+    got = {(r.query_id, r["rank"]): r.id for r in search.top_k_many(points, points.filter("id % 7 = 0"), 4, block=40, counts=counts).collect()}
+    want = {(i, n): j for i in range(0, 900, 7) for n, j in enumerate(np.lexsort((np.arange(900), -score[i]))[:4].tolist(), 1)}
+    assert got == want
+    assert counts["visits"] < 129 * counts["blocks"] / 2
+    assert search.top_k_many(points.filter("false"), points, 4).count() == 0
+    assert search.top_k_many(points.limit(2), points.filter("id < 3"), 4, block=1).count() == 6
 
 
 def test_call_counts_are_those_of_the_edges(spark):
