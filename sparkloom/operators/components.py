@@ -52,6 +52,17 @@ def ranked(df: DataFrame, *order: str, name: str = "place") -> DataFrame:
     return parts.withColumn("own_no", own).join(sizes, "range_no").withColumn(name, F.col("ahead") + F.col("own_no")).drop("range_no", "own_no", "ahead")
 
 
+def running(df: DataFrame, sums: dict[str, str], *order: str) -> DataFrame:
+    """df with running sums (name: of column), up to and with each row in this total order, over ranges of it as in `ranked`."""
+    parts = staged(df.repartitionByRange(*order).withColumn("range_no", F.spark_partition_id()), "ranges")
+    by = Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    total = parts.groupBy("range_no").agg(*[F.sum(c).alias(f"ahead_{n}") for n, c in sums.items()])
+    total = total.select("range_no", *[F.coalesce(F.sum(f"ahead_{n}").over(by), F.lit(0)).alias(f"ahead_{n}") for n in sums])
+    own = Window.partitionBy("range_no").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = parts.withColumns({f"own_{n}": F.sum(c).over(own) for n, c in sums.items()}).join(total, "range_no")
+    return out.select(*df.columns, *[(F.col(f"ahead_{n}") + F.col(f"own_{n}")).alias(n) for n in sums])
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) of each end of the edges (a, b); component is the least id reachable.
 

@@ -5,14 +5,19 @@ diffs: (diff_id, content). Every result carries its order explicitly.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.vectors import semantic_similarity
+from ..functions.vectors import EPSILON
+from .components import Staged, running, staged
 
 #: Largest packed part in characters, similarity of a moved file, files that are handled at once, files of a batch beyond that.
 PART_LIMIT, MOVED, FILES_AT_ONCE, BATCH = 50_000, 0.85, 10, 3
+#: Rows of a key that are folded in one row, and of a block of files of one name.
+FOLD, MEET = 2_000, 1_000
 
 _CODE = {
     "py": [r"^import\s+.*", r"^from\s+.*", r"^class\s+\w+", r"^def\s+\w+", r"^if\s+__name__\s*==\s*['\"]__main__['\"]"],
@@ -68,12 +73,13 @@ def diff_lines(files: DataFrame) -> DataFrame:
 
 def hunks(files: DataFrame) -> DataFrame:
     """(diff_id, nth, file_path, hunk_no, header, target_start, body, added): added holds the added lines in order. A hunk stands in one piece in its text, so it is cut out of it and no line is shuffled."""
-    cut = files.select("diff_id", "nth", "file_path", F.posexplode(F.filter(F.split("content", r"(?:^|(?<=\n))(?=@@)"), lambda x: F.startswith(x, F.lit("@@")))).alias("at", "hunk"))
-    rows = cut.withColumn("lines", T.lines(F.col("hunk")))
-    added = F.transform(F.filter("lines", lambda x: F.startswith(x, F.lit("+"))), lambda x: F.substring(x, F.lit(2), F.lit(2**31 - 1)))
-    header = F.element_at("lines", 1)
-    start = F.regexp_extract(header, r"^@@ -\d+(?:,\d+)? \+(\d+)", 1)
-    return rows.select("diff_id", "nth", "file_path", (F.col("at") + 1).alias("hunk_no"), header.alias("header"), F.array_join("lines", "\n").alias("body"), added.alias("added"), F.when(start != "", start.cast("int")).alias("target_start"))
+    pieces = F.split(F.concat(F.lit("\n"), "content"), "\n@@")
+    cut = files.select("diff_id", "nth", "file_path", F.size(pieces).alias("n"), F.posexplode(pieces).alias("hunk_no", "piece")).filter("hunk_no > 0")
+    hunk = F.concat(F.lit("@@"), F.when(F.col("hunk_no") + 1 == F.col("n"), F.regexp_replace("piece", r"(\r\n|\n|\r)\z", "")).otherwise(F.regexp_replace("piece", r"\r\z", "")))
+    rows = cut.select("diff_id", "nth", "file_path", "hunk_no", hunk.alias("hunk"))
+    start = F.regexp_extract("hunk", r"^@@ -\d+(?:,\d+)? \+(\d+)", 1)
+    added = F.regexp_extract_all("hunk", F.lit(r"[\r\n]\+([^\r\n]*)"), F.lit(1))
+    return rows.select("diff_id", "nth", "file_path", "hunk_no", F.regexp_extract("hunk", r"^[^\r\n]*", 0).alias("header"), F.regexp_replace("hunk", r"\r\n|\r", "\n").alias("body"), added.alias("added"), F.when(start != "", start.cast("int")).alias("target_start"))
 
 
 def preprocess(content: Column) -> Column:
@@ -118,23 +124,69 @@ def sections(files: DataFrame) -> DataFrame:
 def packed(rows: DataFrame, keys: list[str], order: str, size: Column, limit: int, start: Column | None = None) -> DataFrame:
     """rows with `part` (from 1): greedy packing in order; a part closes when the next row would exceed the limit, a row that alone exceeds it has a part of its own.
 
-    The fold runs over the sizes of one key at a time (one file's hunks);
-    start is the size that every part begins with (its header).
+    start is the size that every part begins with (a file's header). Sizes are not negative, the order of a
+    key's rows has no ties, keys aren't null. A key of up to FOLD rows is folded in one row; in longer ones each row
+    knows from running sums where the next part would begin if one began with
+    it, and jumps of double length mark those that do, in as many rounds as the
+    logarithm of the most parts of a key. All keys are one order there, so no key is one group.
     """
-    base = F.lit(0) if start is None else F.max(start)
-    grouped = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), size.cast("long").alias("s")))).alias("a"), base.cast("long").alias("b"))
-    zero = F.struct(F.lit(0).cast("int").alias("part"), F.col("b").alias("used"), F.lit(False).alias("open"), F.array().cast("array<int>").alias("parts"))
+    slim = staged(rows.select(*keys, F.col(order).alias("o"), size.cast("long").alias("s"), (F.lit(0) if start is None else start).cast("long").alias("st")), "sizes")
+    many = slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("st").alias("b"))
+    short = slim.join(many.filter(F.col("n") <= FOLD), keys)
+    found = _folded(short, keys, limit)
+    long = many.filter(F.col("n") > FOLD)
+    if long.limit(1).count():
+        found = found.unionByName(_jumped(slim.join(long, keys), keys, limit))
+    return rows.join(found.withColumnRenamed("o", order), [*keys, order])
+
+
+def _folded(rows: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """(keys, o, part) of rows (keys, o, s, b) by a fold over each key's sizes."""
+    grouped = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("o", "s"))).alias("a"), F.max("b").alias("b"))
+    zero = F.struct(F.lit(0).cast("int").alias("part"), F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("parts"))
 
     def step(acc: Column, x: Column) -> Column:
-        over = acc["open"] & (acc["used"] + x["s"] > limit)
-        alone = ~acc["open"] & (F.col("b") + x["s"] > limit)
-        new = F.when(acc["open"] & ~over, acc["part"]).otherwise(acc["part"] + 1)
-        used = F.when(over, F.col("b") + x["s"]).when(alone, F.col("b")).otherwise(acc["used"] + x["s"])
-        return F.struct(new.alias("part"), used.alias("used"), (~alone).alias("open"), F.concat(acc["parts"], F.array(new)).alias("parts"))
+        over = (acc["part"] == 0) | (acc["used"] + x["s"] > limit)  # what follows a row over the limit is over it too
+        new = F.when(over, acc["part"] + 1).otherwise(acc["part"])
+        alone = F.col("b") + x["s"] > limit
+        used = F.when(over & alone, F.lit(limit + 1)).when(over, F.col("b") + x["s"]).otherwise(acc["used"] + x["s"])
+        return F.struct(new.alias("part"), used.alias("used"), F.concat(acc["parts"], F.array(new)).alias("parts"))
 
     parts = grouped.select(*keys, "a", F.aggregate("a", zero, step)["parts"].alias("p"))
-    flat = parts.select(*keys, F.explode(F.arrays_zip("a", "p")).alias("z")).select(*keys, F.col("z.a.o").alias(order), F.col("z.p").alias("part"))
-    return rows.join(flat, [*keys, order])
+    return parts.select(*keys, F.explode(F.arrays_zip("a", "p")).alias("z")).select(*keys, F.col("z.a.o").alias("o"), F.col("z.p").alias("part"))
+
+
+def _jumped(rows: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """(keys, o, part) of rows (keys, o, s, b) by jumps from part to part."""
+    stage = Staged(rows.sparkSession)
+    r = stage(running(rows.select(*keys, "o", "s", "b", F.lit(1).alias("one")), {"sum": "s", "place": "one"}, *keys, "o"), "running")
+    ends = stage(r.groupBy(*keys).agg(F.min("place").alias("first"), F.max("place").alias("last")), "ends")
+    # the next part begins after all rows whose running sum still fits: their number is its place less one
+    fits = r.filter(F.col("b") + F.col("s") <= limit).select(*keys, (F.col("sum") - F.col("s") + limit - F.col("b")).alias("sum"), "place", F.lit(0).alias("one"))
+    merged = running(r.select(*keys, "sum", "place", "one").unionByName(fits).withColumn("asks", 1 - F.col("one")), {"before": "one"}, *keys, "sum", "asks", "place")
+    jump = merged.filter("asks = 1").select(*keys, "place", (F.col("before") + 1).alias("next"))
+    jump = jump.unionByName(r.filter(F.col("b") + F.col("s") > limit).select(*keys, "place", (F.col("place") + 1).alias("next")))
+    jump = stage(jump.join(ends, keys).filter("next <= last").select("place", "next"), "jumps")
+    marks, turn = stage(ends.select(F.col("first").alias("place")), "marks"), None
+    while True:
+        now = Staged(rows.sparkSession)
+        new = marks.join(jump, "place").select(F.col("next").alias("place")).join(marks, "place", "left_anti")
+        more = now(new, "more")
+        if not more.limit(1).count():
+            break
+        marks = now(marks.unionByName(more), "marks")
+        jump = now(jump.join(jump.select(F.col("place").alias("next"), F.col("next").alias("then")), "next").select("place", F.col("then").alias("next")), "jumps")
+        if turn:
+            turn.drop()
+        turn = now
+    begun = r.select(*keys, "o", "place").join(marks.withColumn("begins", F.lit(1)), "place", "left").withColumn("begins", F.coalesce("begins", F.lit(0)))
+    begun = running(begun, {"part": "begins"}, "place")
+    own = begun.join(begun.join(ends, (begun["place"] == ends["first"])).select(*[begun[k] for k in keys], (F.col("part") - 1).alias("ahead")), keys)
+    out = staged(own.select(*keys, "o", (F.col("part") - F.col("ahead")).cast("int").alias("part")), "parts")
+    stage.drop()
+    if turn:
+        turn.drop()
+    return out
 
 
 def cut_to_budget(rows: DataFrame, keys: list[str], order: str, lines: Column, each: int = 300, total: int = 1000) -> DataFrame:
@@ -159,12 +211,56 @@ def truncated(text: Column, limit: int, marker: str = "\n... [truncated]") -> Co
 
 
 def moves(deleted: DataFrame, added: DataFrame, least: float = MOVED) -> DataFrame:
-    """(source, target, similarity): each deleted file (path, vector) with its best added one of the same base name, if similar enough. An added file may serve again; ties go to the first path."""
-    d = deleted.select(F.col("path").alias("source"), F.col("vector").alias("dv"), T.base_name(F.col("path")).alias("name"))
-    a = added.select(F.col("path").alias("target"), F.col("vector").alias("av"), T.base_name(F.col("path")).alias("name"))
-    scored = d.join(a, "name").withColumn("similarity", semantic_similarity(F.col("dv"), F.col("av"))).filter(F.col("similarity") >= least)
-    best = scored.groupBy("source").agg(F.min(F.struct((-F.col("similarity")).alias("far"), "target")).alias("best"))
-    return best.select("source", "best.target", (-F.col("best.far")).alias("similarity"))
+    """(source, target, similarity): each deleted file (path, vector) with its best added one of the same base name, if similar enough. An added file may serve again; ties go to the first path.
+
+    The files of a name are dealt to blocks of some MEET rows of either side. Each two blocks
+    meet in one matrix product that keeps each source's best; a task gets many names together.
+    """
+    name = T.base_name(F.col("path")).alias("name")
+    vector = F.col("vector").cast("array<double>").alias("vector")
+    d, a = deleted.select("path", name, vector), added.select("path", name, vector)
+    blocks = d.groupBy("name").agg(F.ceil(F.count(F.lit(1)) / MEET).alias("d_blocks")).join(a.groupBy("name").agg(F.ceil(F.count(F.lit(1)) / MEET).alias("a_blocks")), "name")
+
+    def dealt(rows: DataFrame, own: str, other: str, gone: bool) -> DataFrame:
+        mine = F.pmod(F.xxhash64("path"), F.col(f"{own}_blocks")).alias(own)
+        others = F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other}_blocks") - 1)).alias(other)
+        return rows.join(blocks, "name").select("path", "name", "vector", mine, others, F.lit(gone).alias("gone"))
+
+    both = staged(dealt(d, "d", "a", True).unionByName(dealt(a, "a", "d", False)), "named")
+    n = max(1, both.count() // (4 * MEET))
+    both = both.withColumn("bucket", F.pmod(F.xxhash64("name", "d", "a"), F.lit(n)))
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        source, target, similarity = [], [], []
+        for _, own in pdf.groupby(["name", "d", "a"], sort=False):
+            gone, new = own[own.gone], own[~own.gone].sort_values("path", key=lambda p: p.map(str.encode))
+            if len(gone) and len(new):
+                s = _similarities(gone.vector, new.vector)
+                at = s.argmax(axis=1)  # of equal ones the first path
+                source += gone.path.tolist()
+                target += [new.path.iloc[j] for j in at.tolist()]
+                similarity += s[np.arange(len(s)), at].tolist()
+        return pd.DataFrame({"source": pd.Series(source, dtype=object), "target": pd.Series(target, dtype=object), "similarity": similarity})
+
+    scored = both.groupBy("bucket").applyInPandas(best, "source string, target string, similarity double").filter(F.col("similarity") >= least)
+    top = scored.groupBy("source").agg(F.min(F.struct((-F.col("similarity")).alias("far"), "target")).alias("best"))
+    return top.select("source", "best.target", (-F.col("best.far")).alias("similarity"))
+
+
+def _similarities(x: pd.Series, y: pd.Series) -> np.ndarray:
+    """Clamped cosines (12 digits) of each two vectors; 0 for null, empty, unequal or vanishing ones, and where the result is no number."""
+    out = np.zeros((len(x), len(y)))
+    length = [np.array([-1 if v is None else len(v) for v in side]) for side in (x, y)]
+    for n in np.intersect1d(*length):
+        if n > 0:
+            i, j = (np.flatnonzero(own == n) for own in length)
+            units = []
+            for side, at in ((x, i), (y, j)):
+                m = np.stack(side.to_numpy()[at]).astype(float)
+                size = np.linalg.norm(m, axis=1, keepdims=True)
+                units.append(np.divide(m, size, out=np.zeros_like(m), where=size > EPSILON))
+            out[np.ix_(i, j)] = np.nan_to_num(np.clip(np.round(units[0] @ units[1].T, 12), 0, 1), nan=0.0)
+    return out
 
 
 def name_pairs(deleted: DataFrame, added: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ def diff_files(spark, sf_dir):
 
 def diff_hunks(spark, sf_dir):
     h = diffs.hunks(diffs.file_diffs(_diff_table(spark, sf_dir)))
-    return h.select("diff_id", "file_path", F.col("hunk_no").cast("long").alias("hunk_no"), "target_start", F.size("added").cast("long").alias("n_added"))
+    return h.select("diff_id", "file_path", F.col("hunk_no").cast("long").alias("hunk_no"), "target_start", F.size("added").cast("long").alias("n_added"), F.sha2(F.array_join("added", "\n"), 256).alias("added_sha"), F.sha2("body", 256).alias("body_sha"))
 
 
 def hunk_sections(spark, sf_dir):
@@ -112,8 +112,9 @@ b AS (SELECT doc_id, sum(length(raw) + 1 + CASE WHEN opens THEN length(concat('@
 SELECT doc_id AS diff_id, concat('x', doc_id, '.py') AS file_path, (length(concat('diff --git a/x', doc_id, '.py b/x', doc_id, '.py', chr(10), '--- a', chr(10), '+++ b', chr(10), chr(10))) + coalesce(size, 0))::bigint AS size FROM documents LEFT JOIN b USING (doc_id)
 UNION ALL SELECT doc_id, 'y.md', length(concat('diff --git a/y.md b/y.md', chr(10), '@@ -1 +7 @@', chr(10), '+', lang)) FROM documents""",
     "diff_hunks": f"""WITH {_TAGGED}
-SELECT doc_id AS diff_id, concat('x', doc_id, '.py') AS file_path, hunk_no, min(n)::int AS target_start, count(*) FILTER (WHERE (n - 1) % 3 = 0) AS n_added FROM t GROUP BY doc_id, hunk_no
-UNION ALL SELECT doc_id, 'y.md', 1, 7, 1 FROM documents""",
+SELECT doc_id AS diff_id, concat('x', doc_id, '.py') AS file_path, hunk_no, min(n)::int AS target_start, count(*) FILTER (WHERE (n - 1) % 3 = 0) AS n_added,
+  sha256(coalesce(string_agg(raw[2:], chr(10) ORDER BY n) FILTER (WHERE (n - 1) % 3 = 0), '')) AS added_sha, sha256(concat('@@ -1,3 +', min(n), ',3 @@', chr(10), string_agg(raw, chr(10) ORDER BY n))) AS body_sha FROM t GROUP BY doc_id, hunk_no
+UNION ALL SELECT doc_id, 'y.md', 1, 7, 1, sha256(coalesce(lang, '')), sha256(concat('@@ -1 +7 @@', chr(10), '+', lang)) FROM documents""",
     "hunk_sections": f"""WITH {_L},
 b AS (SELECT *, sum(CASE WHEN n > 1 AND regexp_matches(line, '^[A-Z]') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) + 1 AS section FROM l)
 SELECT doc_id, section::bigint AS section, min(n) AS first_line, count(*) AS n_lines FROM b GROUP BY 1, 2""",
@@ -159,5 +160,3 @@ SELECT file_path, count(*) AS n_groups, arg_max(group_id, k * 1000 - group_id) A
 WITH o AS (SELECT o_custkey % 500 AS file_path, min(o_orderkey) AS k, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS precedence FROM orders GROUP BY 1, 3)
 SELECT file_path, k, precedence::bigint AS precedence FROM o QUALIFY row_number() OVER (PARTITION BY file_path ORDER BY precedence) = 1""",
 }
-QUERIES |= {"move_detection_all": move_detection, "move_groups_all": move_groups}
-SQL |= {"move_detection_all": SQL["move_detection"], "move_groups_all": SQL["move_groups"]}
