@@ -3,9 +3,13 @@
 The templates' word k-grams are winnowed (the least hash of each WINDOW
 neighbours is kept) into an inverted index from fingerprint to template and
 place; the index is broadcast, and its size is checked against MOST_FINGERPRINTS.
-Every word k-gram of a text is looked up. Hits of one template on nearby
+A template of fewer than SHORT words is cut instead into one piece more than the words that
+may be missing at the coverage, so that as many changed, dropped or added words leave one piece whole;
+of the ways to cut it the one whose shortest piece has most letters is taken, and
+pieces of over GRAM words stand in by their longest gram.
+Every word gram of a text, of each length in use, is looked up. Hits of one template on nearby
 diagonals (place in the text less place in the template) form a candidate,
-which a local alignment in a band around them verifies. It gives the number of
+which a local alignment in a band around them verifies (a match counts MATCH, a miss or a gap -1, so that single edits don't end it). It gives the number of
 matched words (coverage of the template) and the matched span. What a candidate
 holds before and behind its match is scanned again until nothing reaches the
 coverage, so copies that stand close together all count. Of matches that
@@ -29,7 +33,7 @@ from pyspark.sql import DataFrame
 from .arrow_text import code_points, grams, pieces, slices, tokens
 from .common import texts
 
-GRAM, WINDOW, BAND = 3, 3, 8
+GRAM, WINDOW, BAND, SHORT, MATCH = 3, 3, 8, 24, 3
 COVERAGE = 0.75
 MOST_FINGERPRINTS = 1_000_000
 _INSIDE = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
@@ -67,31 +71,63 @@ def winnowed(h: np.ndarray, k: int = GRAM, window: int = WINDOW) -> list[tuple[i
     return [(f, at) for at, f in sorted(picked.items())]
 
 
+def cut(lengths: list[int], missing: int) -> list[tuple[int, int]]:
+    """(first word, words) of the pieces of a template with words of these lengths, one more than `missing`: the cut whose shortest piece in letters is longest."""
+    n = len(lengths)
+    ahead = np.r_[0, np.cumsum(lengths)].tolist()
+    best: dict[tuple[int, int], tuple[int, list[int]]] = {(i, 1): (ahead[i], [i]) for i in range(1, n + 1)}
+    for parts in range(2, missing + 2):
+        for i in range(parts, n + 1):
+            best[i, parts] = max((min(best[k, parts - 1][0], ahead[i] - ahead[k]), [*best[k, parts - 1][1], i]) for k in range(parts - 1, i))
+    ends = best[n, missing + 1][1]
+    return [(a, b - a) for a, b in zip([0, *ends], ends, strict=False)]
+
+
 class Index:
-    """Inverted index of winnowed templates; templates shorter than GRAM words are refused."""
+    """Inverted index of the templates: for each gram length, places (template, word) by fingerprint."""
 
-    def __init__(self, templates: dict[str, str]):
+    def __init__(self, templates: dict[str, str], coverage: float = COVERAGE):
         self.names = list(templates)
         self.words = [template_words(t) for t in templates.values()]
-        if any(len(w) < GRAM for w in self.words):
-            raise ValueError(f"a template has fewer than {GRAM} words")
-        rows = sorted((f, t, at) for t, w in enumerate(self.words) for f, at in winnowed(w))
-        if len(rows) > MOST_FINGERPRINTS:
+        if any(len(w) == 0 for w in self.words):
+            raise ValueError("a template has no words")
+        self.places: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        rows = 0
+        for t, (w, text) in enumerate(zip(self.words, templates.values(), strict=True)):
+            missing = len(w) - max(1, -int(-coverage * len(w) // 1))
+            if len(w) >= SHORT:
+                found = [(GRAM, f, at) for f, at in winnowed(w)]
+            else:
+                own = tokens(next(slices(pa.array([text]))), _INSIDE, lower=True)
+                letters = (own.end - own.start).tolist()
+                found = []
+                for at, n in cut(letters, missing):
+                    size = min(n, GRAM)
+                    at = max(range(at, at + n - size + 1), key=lambda i: sum(letters[i : i + size]))
+                    found.append((size, int(grams(w[at : at + size], size)[0]), at))
+            for size, f, at in found:
+                self.places.setdefault(size, {}).setdefault(f, []).append((t, at))
+            rows += len(found)
+        if rows > MOST_FINGERPRINTS:
             raise ValueError("the templates have too many fingerprints to broadcast")
-        self.places: dict[int, list[tuple[int, int]]] = {}
-        for f, t, at in rows:
-            self.places.setdefault(f, []).append((t, at))
-        self.known = np.array(sorted(self.places), np.uint64)
+        self.known = {size: np.array(sorted(own), np.uint64) for size, own in sorted(self.places.items())}
+
+    def hits(self, h: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(gram length, places of hits, their fingerprints) in a sequence of word hashes."""
+        out = []
+        for size, known in self.known.items():
+            g = grams(h, size)
+            hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, g), len(known) - 1)] == g)
+            out.append((size, hit, g[hit]))
+        return out
 
-    def candidates(self, h: np.ndarray, g: np.ndarray) -> list[tuple[int, int, int]]:
+    def candidates(self, found: list[tuple[int, np.ndarray, np.ndarray]]) -> list[tuple[int, int, int]]:
         """(template, least and greatest diagonal) of each group of hits: the diagonals of neighbours differ by at most BAND."""
-        if len(g) == 0 or len(self.known) == 0:
-            return []
-        at = np.minimum(np.searchsorted(self.known, g), len(self.known) - 1)
         hits: dict[int, list[int]] = {}
-        for i in np.flatnonzero(self.known[at] == g).tolist():
-            for t, place in self.places[int(g[i])]:
-                hits.setdefault(t, []).append(i - place)
+        for size, places, fingerprints in found:
+            for i, f in zip(places.tolist(), fingerprints.tolist(), strict=True):
+                for t, place in self.places[size][f]:
+                    hits.setdefault(t, []).append(i - place)
         out = []
         for t, diagonals in sorted(hits.items()):
             diagonals = sorted(set(diagonals))
@@ -104,7 +140,7 @@ class Index:
 
 
 def aligned(h: list[int], t: list[int], low: int, high: int) -> tuple[int, int, int]:
-    """Best local alignment of the template t in the words h within diagonals low .. high: matched words, first and last word (exclusive). Match 1, else -1; of equal scores the one that ends first."""
+    """Best local alignment of the template t in the words h within diagonals low .. high: matched words, first and last word (exclusive). Of equal scores the one with more matches, then the one that ends first."""
     best = (0, 0, 0, 0)  # score, matched, first, end
     above: dict[int, tuple[int, int, int]] = {}
     for j, word in enumerate(t):
@@ -112,32 +148,33 @@ def aligned(h: list[int], t: list[int], low: int, high: int) -> tuple[int, int,
         for i in range(max(0, j + low), min(len(h), j + high + 1)):
             diagonal = above.get(i - 1, (0, 0, i))
             same = h[i] == word
-            cell = (diagonal[0] + (1 if same else -1), diagonal[1] + same, diagonal[2])
+            cell = (diagonal[0] + (MATCH if same else -1), diagonal[1] + same, diagonal[2])
             for other in (above.get(i), row.get(i - 1)):
-                if other and other[0] - 1 > cell[0]:
+                if other and (other[0] - 1, other[1]) > cell[:2]:
                     cell = (other[0] - 1, other[1], other[2])
-            if cell[0] > 0:
+            if cell[0] >= 0 and cell[1]:
                 row[i] = cell
-                if cell[0] > best[0]:
+                if cell[:2] > best[:2]:
                     best = (*cell, i + 1)
         above = row
     return best[1], best[2], best[3]
 
 
 def spans(first: int, end: int, length: int) -> list[tuple[int, int]]:
-    """The words first .. end, if they are many, in overlapping parts that hold any match of a template of this length whole: with gaps, a match has fewer than 2 * length words."""
-    most = 4 * (length + BAND)
-    return [(i, min(end, i + most)) for i in range(first, max(first + 1, end - 2 * length), most - 2 * length)]
+    """The words first .. end, if they are many, in overlapping parts that hold any match of a template of this length whole: with gaps, a match has fewer than (MATCH + 1) * length words."""
+    whole = (MATCH + 1) * length
+    most = 2 * (whole + 2 * BAND)
+    return [(i, min(end, i + most)) for i in range(first, max(first + 1, end - whole), most - whole)]
 
 
 def scanned(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, license, n_matched (words), coverage (matched share of the template), start and end (code points) of each match."""
-    index = docs.sparkSession.sparkContext.broadcast(Index(TEMPLATES if templates is None else templates))
+    index = docs.sparkSession.sparkContext.broadcast(Index(TEMPLATES if templates is None else templates, coverage))
     names = ["doc_id", "license", "n_matched", "coverage", "start", "end"]
 
-    def matches(h: np.ndarray, g: np.ndarray) -> list[tuple[int, int, int, int]]:
+    def matches(h: np.ndarray, hits: list[tuple[int, np.ndarray, np.ndarray]]) -> list[tuple[int, int, int, int]]:
         known, found = index.value, []
-        for t, low, high in known.candidates(h, g):
+        for t, low, high in known.candidates(hits):
             template = known.words[t].tolist()
             rest = spans(max(0, low - BAND), min(len(h), high + BAND + len(template) + 1), len(template))
             while rest:
@@ -161,12 +198,12 @@ def scanned(docs: DataFrame, templates: dict[str, str] | None = None, coverage:
             out: list[tuple] = []
             for part in slices(b["text"]):
                 w = tokens(part, _INSIDE, lower=True)
-                g = grams(w.hash, GRAM)
-                at = np.minimum(np.searchsorted(known.known, g), max(0, len(known.known) - 1))
-                hit = np.flatnonzero(known.known[at] == g) if len(g) and len(known.known) else np.zeros(0, np.int64)
-                for r in np.unique(np.searchsorted(w.first, hit, "right") - 1).tolist():
+                hits = known.hits(w.hash)
+                own = [(size, at, f, np.searchsorted(w.first, at, "right") - 1) for size, at, f in hits]
+                for r in np.unique(np.concatenate([row for *_, row in own])).tolist() if own else []:
                     x, y = int(w.first[r]), int(w.first[r + 1])
-                    for matched, t, s, e in matches(w.hash[x:y], g[x : max(x, y - GRAM + 1)]):
+                    inside = [(size, at[k] - x, f[k]) for size, at, f, row in own for k in [(row == r) & (at + size <= y)]]
+                    for matched, t, s, e in matches(w.hash[x:y], inside):
                         text = part.data[part.bounds[r] : part.bounds[r + 1]]
                         points = code_points(text)
                         start, end = int(points[: w.start[x + s] - part.bounds[r]].sum()), int(points[: w.end[x + e - 1] - part.bounds[r]].sum())
