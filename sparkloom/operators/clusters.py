@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,6 +17,8 @@ from .components import Staged, connected_components, staged
 LINKAGE, MERGE = 0.3, 0.6
 #: Rows of a part of groups that one task repairs, and rows of such parts that a task gets at once.
 SMALL, TOGETHER = 2000, 20_000
+#: Last characters of a text by which it is looked for in others.
+HELD = 24
 
 
 def complete_linkage(distance: np.ndarray, threshold: float = LINKAGE) -> np.ndarray:
@@ -94,12 +98,82 @@ def leaders(ids: DataFrame, pairs: DataFrame) -> DataFrame:
     return own.select("id", F.when(F.col("leads"), F.col("id")).otherwise(F.col("first")).alias("leader"))
 
 
-def related_groups(files: DataFrame) -> DataFrame:
-    """(change_id, id, leader): greedy grouping of the files (change_id, id, path) of each change by `related`. Pairs are made inside a change only."""
+def related_keys(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What `related` says of the files (change_id, id, path) of each change, without pairs of files: keys (change_id, id, key) and like (change_id, key, other), the keys that belong together. Two files are related if a key of one is like a key of the other.
+
+    Keys are the top directory, base name, its stem, the path where a test path holds it, and the sides of the pattern pairs
+    that match. Which stem or path holds which is found by the texts of up to HELD
+    characters that it holds, so it takes no pairs either.
+    """
     f = files.select("change_id", "id", "path")
-    both = f.select("change_id", F.col("id").alias("a"), F.col("path").alias("pa")).join(f.select("change_id", F.col("id").alias("b"), F.col("path").alias("pb")), "change_id").filter("a < b")
-    alike = both.filter(related(F.col("pa"), F.col("pb"))).select("a", "b")
-    return files.select("change_id", "id").join(leaders(files.select("id"), alike), "id").select("change_id", "id", "leader")
+    path, name, folder = F.col("path"), T.base_name(F.col("path")), T.directory(F.col("path"))
+    stem = F.regexp_replace(name, r"\.[^.]*$", "")
+    sides = [(f"{side}{i}", rf"(?i)\A(?:{p})") for i, pair in enumerate(RELATED) for side, p in zip("pq", pair, strict=True)]
+    named = [F.when(folder != "", F.concat(F.lit("d:"), F.substring_index(folder, "/", 1))), F.when(F.length(stem) >= 3, F.concat(F.lit("s:"), stem)), F.concat(F.lit("n:"), name), F.concat(F.lit("t:"), path)]
+    own = F.array(*named, *[F.when(path.rlike(p), F.lit(k)) for k, p in sides])
+    keys = f.select("change_id", "id", F.explode(F.array_compact(own)).alias("key")).distinct()
+    paths = f.select("change_id", "path").distinct()
+    same = keys.filter("key LIKE 'd:%' OR key LIKE 's:%'").select("change_id", "key", F.col("key").alias("other")).distinct()
+    bare = F.when(F.startswith(name, F.lit("test_")), F.substring(name, 6, 2**31 - 1)), F.when(name.rlike(r"_test\.py$"), F.regexp_replace(name, r"_test\.py$", ".py"))
+    tested = paths.select("change_id", F.concat(F.lit("n:"), name).alias("key"), F.explode(F.array_compact(F.array(*bare))).alias("other")).select("change_id", "key", F.concat(F.lit("n:"), "other").alias("other"))
+    stems = paths.select("change_id", stem.alias("text")).filter("length(text) >= 3").distinct()
+    inside = _held(stems, stems, "s:").unionByName(_held(paths.filter(F.startswith("path", F.lit("tests/"))).select("change_id", F.col("path").alias("text")), paths.select("change_id", F.col("path").alias("text")), "t:"))
+    patterns = paths.select("change_id").distinct().select("change_id", F.explode(F.array(*[F.lit(i) for i in range(len(RELATED))])).alias("i")).select("change_id", F.concat(F.lit("p"), "i").alias("key"), F.concat(F.lit("q"), "i").alias("other"))
+    one = tested.unionByName(inside).unionByName(patterns)
+    return keys, same.unionByName(one).unionByName(one.select("change_id", F.col("other").alias("key"), F.col("key").alias("other"))).distinct()
+
+
+def _held(holders: DataFrame, texts: DataFrame, mark: str) -> DataFrame:
+    """(change_id, key, other) for each text (change_id, text) and a holder in which it stands, both marked. A text is looked for by its last HELD characters."""
+    end = F.right("text", F.lit(HELD))
+    lengths = texts.groupBy("change_id").agg(F.collect_set(F.length(end)).alias("lengths"))  # HELD at most
+    parts = F.explode(F.expr("array_distinct(flatten(transform(lengths, n -> transform(sequence(1, greatest(1, length(text) - n + 1)), i -> substring(text, i, n)))))"))
+    there = holders.join(lengths, "change_id").select("change_id", F.col("text").alias("holder"), parts.alias("part"))
+    met = texts.select("change_id", "text", end.alias("part")).join(there, ["change_id", "part"]).filter(F.contains("holder", "text") & (F.col("holder") != F.col("text")))
+    return met.select("change_id", F.concat(F.lit(mark), "holder").alias("key"), F.concat(F.lit(mark), "text").alias("other")).distinct()
+
+
+def related_pairs(files: DataFrame) -> DataFrame:
+    """(change_id, a, b), a < b: the related files of each change, as they share keys."""
+    keys, like = related_keys(files)
+    x, y = keys.select("change_id", "key", F.col("id").alias("a")), keys.select("change_id", F.col("key").alias("other"), F.col("id").alias("b"))
+    return x.join(like, ["change_id", "key"]).join(y, ["change_id", "other"]).filter("a < b").select("change_id", "a", "b").distinct()
+
+
+def related_groups(files: DataFrame) -> DataFrame:
+    """(change_id, id, leader): greedy grouping of the files (change_id, id, path) of each change, in order of ids: whoever is related to no leader before it leads, and others follow the first leader that is related.
+
+    No pairs are made: a round knows of each key the least leader and the least
+    undecided file. Rounds go on as long as chains of files that wait for each other are.
+    """
+    spark = files.sparkSession
+    stage = Staged(spark)
+    keys, like = related_keys(files)
+    like, keys = stage(like, "like"), stage(keys, "keys")
+    left, lead, turn = stage(files.select("change_id", "id").distinct(), "undecided"), None, None
+
+    def least(of: DataFrame) -> DataFrame:
+        """(change_id, id, least): of files with related ones in `of`, the least of these."""
+        by_key = keys.join(of, ["change_id", "id"]).groupBy("change_id", "key").agg(F.min("id").alias("least"))
+        other = by_key.join(like, ["change_id", "key"]).groupBy("change_id", F.col("other").alias("key")).agg(F.min("least").alias("least"))
+        return keys.join(other, ["change_id", "key"]).groupBy("change_id", "id").agg(F.min("least").alias("least"))
+
+    while left.limit(1).count():
+        now = Staged(spark)
+        new = left.join(least(left), ["change_id", "id"], "left").filter("least IS NULL OR least >= id").select("change_id", "id")
+        new = stage(new, "leaders")
+        lead = new if lead is None else lead.unionByName(new)
+        led = least(new).filter("least < id").select("change_id", "id")
+        left = now(left.join(new, ["change_id", "id"], "left_anti").join(led, ["change_id", "id"], "left_anti"), "undecided")
+        if turn:
+            turn.drop()
+        turn = now
+    if lead is None:
+        return files.select("change_id", "id", F.col("id").alias("leader"))
+    own = files.select("change_id", "id").join(lead.withColumn("leads", F.lit(True)), ["change_id", "id"], "left").join(least(lead), ["change_id", "id"], "left")
+    out = staged(own.select("change_id", "id", F.when(F.col("leads"), F.col("id")).otherwise(F.col("least")).alias("leader")), "groups")
+    stage.drop()
+    return out
 
 
 def consolidated(chunks: DataFrame, least: int = 2) -> DataFrame:
@@ -107,26 +181,40 @@ def consolidated(chunks: DataFrame, least: int = 2) -> DataFrame:
 
     In order, each chunk that is not merged yet takes later ones of its own file,
     and one of a related file, after which it holds two files and takes no more. Changes of
-    fewer than `least` chunks stay. A change is one group: what one commit holds.
+    fewer than `least` chunks stay. A change (what one commit holds) is one group, of chunks and
+    their keys, not of pairs.
     """
     f = chunks.select("change_id", "ord", "path")
-    both = f.select("change_id", F.col("ord").alias("a"), F.col("path").alias("pa")).join(f.select("change_id", F.col("ord").alias("b"), F.col("path").alias("pb")), "change_id").filter("a < b")
-    alike = both.filter((F.col("pa") == F.col("pb")) | related(F.col("pa"), F.col("pb"))).groupBy("change_id", "a").agg(F.collect_list(F.struct("b", (F.col("pa") != F.col("pb")).alias("other"))).alias("later"))
-    rows = f.join(alike.withColumnRenamed("a", "ord"), ["change_id", "ord"], "left").select("change_id", "ord", "later")
+    keys, like = related_keys(f.withColumnRenamed("ord", "id"))
+    own = keys.groupBy("change_id", F.col("id").alias("ord")).agg(F.collect_set("key").alias("keys"))
+    near = keys.join(like, ["change_id", "key"]).groupBy("change_id", F.col("id").alias("ord")).agg(F.collect_set("other").alias("others"))
+    rows = f.join(own, ["change_id", "ord"], "left").join(near, ["change_id", "ord"], "left")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ord")
-        into: dict[int, int] = {}
-        for at, later in zip(pdf.ord, pdf.later, strict=True):
+        order, paths = pdf.ord.tolist(), pdf.path.tolist()
+        into: dict = {}
+        by: dict = {}
+        for at, path, held in zip(order, paths, pdf["keys"], strict=True):
+            for k in ({("path", path)} | set(held if held is not None else [])) if len(pdf) >= least else ():
+                by.setdefault(k, []).append((at, path))
+
+        def first(k, after, path):
+            """The first chunk of key k after `after` that is not merged and of another file."""
+            return next((o for o, p in by.get(k, ())[bisect_right(by.get(k, ()), after, key=lambda x: x[0]) :] if o not in into and p != path), None)
+
+        for at, path, others in zip(order, paths, pdf.others, strict=True):
             if at in into:
                 continue
             into[at] = at
-            for x in sorted(later if later is not None and len(pdf) >= least else [], key=lambda x: x["b"]):
-                if x["b"] not in into:
-                    into[x["b"]] = at
-                    if x["other"]:
-                        break
-        return pd.DataFrame({"change_id": pdf.change_id, "ord": pdf.ord, "into": [into[o] for o in pdf.ord]})
+            found = [o for k in (others if others is not None else []) if (o := first(k, at, path)) is not None]
+            stop = min(found, default=None)
+            for o, _ in by.get(("path", path), ()):
+                if o > at and o not in into and (stop is None or o < stop):
+                    into[o] = at
+            if stop is not None:
+                into[stop] = at
+        return pd.DataFrame({"change_id": pdf.change_id, "ord": pdf.ord, "into": [into[o] for o in order]})
 
     kind = dict(f.dtypes)
     return rows.groupBy("change_id").applyInPandas(one, f"change_id {kind['change_id']}, ord {kind['ord']}, into {kind['ord']}")

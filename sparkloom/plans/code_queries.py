@@ -181,5 +181,3 @@ y AS (SELECT *, contains(pa, '/') AND contains(pb, '/') AS dirs, concat('test_',
 SELECT a, b, test_pair, (dirs AND string_split(pa, '/')[1] = string_split(pb, '/')[1]) OR test_pair OR ((contains(sa, sb) OR contains(sb, sa)) AND least(length(sa), length(sb)) >= 3)
   OR (regexp_matches(pa, '^docs/.*\\.md$') AND starts_with(pb, 'src/')) OR (regexp_matches(pb, '^docs/.*\\.md$') AND starts_with(pa, 'src/')) AS related FROM y""".replace("\\\\", "\\"),
 }
-QUERIES["entity_edges_all"] = entity_edges
-SQL["entity_edges_all"] = SQL["entity_edges"]

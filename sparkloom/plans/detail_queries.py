@@ -343,6 +343,11 @@ def related_groups(spark, sf_dir):
     return clusters.related_groups(_changed_files(spark, sf_dir))
 
 
+def related_pairs(spark, sf_dir):
+    """The related files of each change, by shared keys."""
+    return clusters.related_pairs(_changed_files(spark, sf_dir))
+
+
 def consolidation(spark, sf_dir):
     return clusters.consolidated(_changed_files(spark, sf_dir).withColumnRenamed("id", "ord"))
 
@@ -370,7 +375,7 @@ def watch_changes(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     scroll_ids, fetch_payloads, point_delete, payload_replace, nested_filter, index_state, search_results, index_sync, untracked_files, commit_log, log_until, log_until_base, merge_base, topological_order, branch_relations, branch_metadata,
     branch_types, chat_insert, excluded_paths, valid_names, existing_files, label_texts, entity_markdown, binary_sniff, path_resolution, code_boundaries, diff_text, one_file_diff, split_parts,
-    file_batches, name_moves, context_choice, overview_lines, repository_totals, graph_kinds, graph_connected, graph_lines, documentation, group_shortcut, group_repair, related_groups, consolidation, watch_changes, chunk_vectors, metadata_drift_rows,
+    file_batches, name_moves, context_choice, overview_lines, repository_totals, graph_kinds, graph_connected, graph_lines, documentation, group_shortcut, group_repair, related_groups, related_pairs, consolidation, watch_changes, chunk_vectors, metadata_drift_rows,
 )}
 _REACH = """parents AS (SELECT c_custkey AS c, unnest([c_custkey // 2, c_custkey // 3]) AS p FROM customer WHERE c_custkey > 1),
 reach(head, c) AS (SELECT head, c FROM heads UNION SELECT head, p FROM reach JOIN parents USING (c) WHERE p > 0)"""
@@ -501,6 +506,7 @@ r AS (
   SELECT r.step + 1, r.part, coalesce(t.g, b.a, r.g), r.c, r.f
   FROM r JOIN n USING (part) LEFT JOIN b ON b.b = r.g LEFT JOIN t ON t.part = r.part AND t.f = r.f))
 SELECT g AS group_id, c AS chunk_id, f AS file_path FROM r QUALIFY step = max(step) OVER (PARTITION BY part)""",
+    "related_pairs": f"WITH {_CHANGED} SELECT change_id, a, b FROM pairs",
     "related_groups": f"WITH RECURSIVE {_CHANGED}, {_LEADERS.format('change_id')} SELECT change_id, id, leader FROM r",
     "consolidation": f"""WITH RECURSIVE {_CHANGED},
 likes AS (SELECT change_id, a, list({{'b': b, 'other': pa <> pb}} ORDER BY b) AS l FROM pairs GROUP BY 1, 2),

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import code_queries, commit_queries, detail_queries, diff_queries, state_queries, vector_queries
+from . import code_queries, commit_queries, detail_queries, diff_queries, source_queries, state_queries, vector_queries
 
-_MODULES = (vector_queries, state_queries, diff_queries, commit_queries, code_queries, detail_queries)
+_MODULES = (vector_queries, state_queries, diff_queries, commit_queries, code_queries, detail_queries, source_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -66,7 +66,6 @@ _PAIRS = f"""p AS (
 QUERIES = {f"vector_topk_{m}": _topk(m) for m in ("cosine", "dot", "euclid", "manhattan")} | {
     "vector_topk_filtered": vector_topk_filtered,
     "vector_topk_per_query": vector_topk_per_query,
-    "vector_topk_per_query_all": vector_topk_per_query,
     "group_similarity": group_similarity,
     "near_pairs": near_pairs,
     "eps_components": eps_components,
@@ -96,4 +95,3 @@ e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
 r(id, reach) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.id, e.b FROM r JOIN e ON r.reach = e.a)
 SELECT id, min(reach) AS component FROM r GROUP BY id""",
 }
-SQL["vector_topk_per_query_all"] = SQL["vector_topk_per_query"]

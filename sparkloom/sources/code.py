@@ -241,3 +241,16 @@ def entities(source: DataFrame) -> DataFrame:
             yield out
 
     return source.select("file_path", "content", T.language_of(F.col("file_path")).alias("language")).mapInPandas(run, SCHEMA)
+
+
+def incremental(source: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Entities of files (file_path, content) with file_hash and `parsed`: files that `known` (an earlier result) has with the same path and content keep their entities, and only the others reach the parser. Entities of files that are gone or changed go."""
+    files = source.select("file_path", "content", F.coalesce(T.content_hash(F.col("content")), F.lit("")).alias("file_hash"))
+    if known is None:
+        kept, fresh = None, files
+    else:
+        there = known.select("file_path", "file_hash").distinct()
+        kept = known.join(files.select("file_path", "file_hash"), ["file_path", "file_hash"], "left_semi").withColumn("parsed", F.lit(False))
+        fresh = files.join(there, ["file_path", "file_hash"], "left_anti")
+    new = entities(fresh).join(fresh.select("file_path", "file_hash"), "file_path").withColumn("parsed", F.lit(True))
+    return new if kept is None else new.unionByName(kept.select(new.columns))

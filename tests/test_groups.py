@@ -53,6 +53,45 @@ def test_consolidation_matches_a_loop(spark):
     assert {(r.change_id, r.ord): r.into for r in got} == want
 
 
+NAMES = [*PATHS, "tests/src/a.py", "tests/lib/q/r.rb", "test_z.go", "z_test.py", "z.py", "ab.py", "abc.txt", "xabcx.md", "README.md", "src/main.rs", "tests/e2e.rs", "Dockerfile", ".dockerignore", "a", "go.mod", "go.sum", "é/ö.kt", "spec/x_spec.rb", "x.rb"]
+
+
+def plainly_related(spark):
+    known = spark.createDataFrame([(a, b) for a in NAMES for b in NAMES], "a string, b string").filter(clusters.related(F.col("a"), F.col("b"))).collect()
+    return {(r.a, r.b) for r in known}
+
+
+def test_related_pairs_by_keys(spark):
+    """The same pairs as by comparing every two files."""
+    rng = random.Random(9)
+    alike = plainly_related(spark)
+    rows = [(c, i, rng.choice(NAMES)) for c in range(5) for i in range(3 + 6 * c)]
+    got = {tuple(r) for r in clusters.related_pairs(spark.createDataFrame(rows, "change_id long, id long, path string")).collect()}
+    assert got == {(c, i, j) for c, i, p in rows for d, j, q in rows if c == d and i < j and (p, q) in alike}
+
+
+def test_related_groups_match_a_loop(spark):
+    rng = random.Random(10)
+    alike = plainly_related(spark)
+    rows, want = [(c, i, rng.choice(NAMES)) for c in range(6) for i in range(2 + 4 * c)], {}
+    for c in range(6):
+        led = []
+        for _, i, p in (r for r in rows if r[0] == c):
+            near = [j for j, q in led if (q, p) in alike]
+            want[c, i] = near[0] if near else i
+            led += [] if near else [(i, p)]
+    files = spark.createDataFrame(rows, "change_id long, id long, path string")
+    assert {(r.change_id, r.id): r.leader for r in clusters.related_groups(files).collect()} == want
+    assert clusters.related_groups(files.filter("false")).count() == 0
+
+
+def test_one_change_of_20000_files(spark):
+    """Four top directories: the files of each follow its first, and no pairs are made."""
+    files = spark.range(20_000).select(F.lit(1).alias("change_id"), "id", F.concat(F.lit("top"), F.col("id") % 4, F.lit("/d"), F.col("id") % 50, F.lit("/"), F.sha2(F.col("id").cast("string"), 256)).alias("path"))
+    got = clusters.related_groups(files).groupBy("leader").count().collect()
+    assert {r.leader: r["count"] for r in got} == {i: 5000 for i in range(4)}
+
+
 def test_repair_of_files_that_share_groups(spark):
     """Unlike groups: every file ends in one group, and no chunk is lost."""
     rng = random.Random(5)

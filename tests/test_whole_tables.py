@@ -10,7 +10,7 @@ from sparkloom.plans import registry
 SMALL = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["move_detection_all", "move_groups_all", "entity_edges_all", "vector_topk_per_query_all"])
+@pytest.mark.parametrize("name", ["move_detection", "move_groups", "entity_edges", "vector_topk_per_query"])
 def test_whole_tables(spark, name):
     with duckdb.connect() as db:
         for t in ("documents", "embeddings", "events"):
