@@ -19,6 +19,7 @@ PART_LIMIT, MOVED, FILES_AT_ONCE, BATCH = 50_000, 0.85, 10, 3
 #: Rows of a key that are folded in one row, and of a block of files of one name.
 FOLD, MEET = 2_000, 1_000
 
+#: Lines that begin a unit of code, by extension.
 _CODE = {
     "py": [r"^import\s+.*", r"^from\s+.*", r"^class\s+\w+", r"^def\s+\w+", r"^if\s+__name__\s*==\s*['\"]__main__['\"]"],
     "js": [r"^import\s+.*", r"^const\s+\w+\s*=\s*require", r"^function\s+\w+", r"^const\s+\w+\s*=\s*function", r"^class\s+\w+", r"^export\s+"],
@@ -31,7 +32,7 @@ _CODE = {
     "kt": [r"^import\s+.*", r"^class\s+\w+", r"^fun\s+\w+", r"^val\s+\w+", r"^var\s+\w+"],
     "scala": [r"^import\s+.*", r"^class\s+\w+", r"^object\s+\w+", r"^def\s+\w+", r"^val\s+\w+", r"^var\s+\w+"],
 }
-#: Lines that begin a unit of code, by extension.
+#: Those of further extensions are the same.
 BOUNDARIES = _CODE | {"jsx": _CODE["js"], "tsx": _CODE["ts"]}
 
 
@@ -273,9 +274,10 @@ def name_pairs(deleted: DataFrame, added: DataFrame) -> DataFrame:
 
 
 def move_groups(pairs: DataFrame) -> DataFrame:
-    """(source_dir, target_dir, n_moves, files, description) of moves (source, target) between the same two directories."""
+    """(source_dir, target_dir, n_moves, files, description) of moves (source, target) between the same two directories; with diff_id, those of each diff apart."""
+    own = [c for c in ("diff_id",) if c in pairs.columns]
     d = pairs.withColumn("source_dir", T.directory(F.col("source"))).withColumn("target_dir", T.directory(F.col("target")))
-    g = d.groupBy("source_dir", "target_dir").agg(F.count(F.lit(1)).alias("n_moves"), F.array_sort(F.collect_list(F.struct("source", "target"))).alias("m"))
+    g = d.groupBy(*own, "source_dir", "target_dir").agg(F.count(F.lit(1)).alias("n_moves"), F.array_sort(F.collect_list(F.struct("source", "target"))).alias("m"))
     first = F.col("m")[0]
     name = lambda c: F.when(c == "", "root directory").otherwise(c)
     there = F.concat(F.lit(" from "), name(F.col("source_dir")), F.lit(" to "), name(F.col("target_dir")))
@@ -286,7 +288,7 @@ def move_groups(pairs: DataFrame) -> DataFrame:
         .when(one, F.concat(F.lit("chore: move "), T.base_name(first["source"]), there))
         .otherwise(F.concat(F.lit("chore: move "), "n_moves", F.lit(" files"), there))
     )
-    return g.select("source_dir", "target_dir", "n_moves", F.flatten(F.transform("m", lambda x: F.array(x["source"], x["target"]))).alias("files"), text.alias("description"))
+    return g.select(*own, "source_dir", "target_dir", "n_moves", F.flatten(F.transform("m", lambda x: F.array(x["source"], x["target"]))).alias("files"), text.alias("description"))
 
 
 def batches(files: DataFrame, most: int = FILES_AT_ONCE, size: int = BATCH) -> DataFrame:
@@ -298,7 +300,7 @@ def batches(files: DataFrame, most: int = FILES_AT_ONCE, size: int = BATCH) -> D
 
 
 def semantic_split(diffs: DataFrame, moved: DataFrame | None = None, limit: int = PART_LIMIT) -> DataFrame:
-    """(diff_id, nth, part, file_path, kind, content) of all files but moved ones (source, target).
+    """(diff_id, nth, part, file_path, kind, content) of all files but moved ones (source, target, and diff_id if they are of one diff only).
 
     A diff without hunks is kept whole; one above the limit is packed by hunks;
     one whose language has boundaries is cut into sections; else every hunk is
@@ -306,8 +308,8 @@ def semantic_split(diffs: DataFrame, moved: DataFrame | None = None, limit: int
     """
     files = file_diffs(diffs).filter(valid_filename(F.col("file_path")))
     if moved is not None:
-        gone = moved.select(F.col("source").alias("file_path")).unionByName(moved.select(F.col("target").alias("file_path"))).distinct()
-        files = files.join(gone, "file_path", "left_anti")
+        own = [c for c in ("diff_id",) if c in moved.columns]
+        files = files.join(_of_moves(moved, own), [*own, "file_path"], "left_anti")
     h = sections(files).join(files.select("diff_id", "nth", F.length("content").alias("whole"), F.regexp_extract("content", r"(?s)^(.*?)(?=\n@@ |\z)", 1).alias("head")), ["diff_id", "nth"])
     p = packed(h, ["diff_id", "nth"], "hunk_no", F.length("body") + 1, limit, F.length("head") + 1).withColumnRenamed("part", "pack")
     ext = F.regexp_replace(T.extension(F.col("file_path")), r"^\.", "")
@@ -322,6 +324,39 @@ def semantic_split(diffs: DataFrame, moved: DataFrame | None = None, limit: int
     return cut.unionByName(whole.select("diff_id", "nth", F.lit(1).alias("part"), "file_path", F.lit("whole").alias("kind"), "content"))
 
 
+def _of_moves(moved: DataFrame, own: list[str]) -> DataFrame:
+    return moved.select(*own, F.col("source").alias("file_path")).unionByName(moved.select(*own, F.col("target").alias("file_path"))).distinct()
+
+
+def split_whole(diffs: DataFrame, files: DataFrame, moved: DataFrame | None = None, limit: int = PART_LIMIT) -> DataFrame:
+    """(diff_id, kind, batch, file_path, part, files, content, description): all parts of each diff.
+
+    files: (diff_id, nth, file_path), what each diff names, untracked files too. Moves (diff_id, source, target) come first,
+    a part for each two directories with all their files' diffs (kind move). Of the other files each gives
+    the parts of `semantic_split`, or one without content if the diff doesn't hold it (kind missing); batch says which are handled
+    together: all of a diff, or three at a time of a directory if there are over FILES_AT_ONCE.
+    """
+    own = files.filter(valid_filename(F.col("file_path"))).select("diff_id", "nth", "file_path")
+    parts = None
+    if moved is not None:
+        groups = move_groups(moved).withColumn("file_path", F.explode(F.array_distinct("files")))
+        text = file_diffs(diffs).select("diff_id", "file_path", "nth", "content")
+        held = groups.join(text, ["diff_id", "file_path"], "left").groupBy("diff_id", "source_dir", "target_dir").agg(
+            F.first("files").alias("files"), F.first("description").alias("description"), F.array_sort(F.collect_list(F.when(F.col("content").isNotNull(), F.struct("nth", "content")))).alias("all")
+        )
+        content = F.array_join(F.transform("all", lambda x: F.concat(x["content"], F.lit("\n"))), "")
+        none = F.lit(None).cast("string")
+        parts = held.select("diff_id", F.lit("move").alias("kind"), none.alias("batch"), none.alias("file_path"), F.lit(1).alias("part"), "files", content.alias("content"), "description")
+        own = own.join(_of_moves(moved, ["diff_id"]), ["diff_id", "file_path"], "left_anti")
+    own = staged(own.join(batches(own), ["diff_id", "file_path"]), "files")
+    cut = semantic_split(diffs, moved, limit).drop("nth")
+    rest = own.join(cut, ["diff_id", "file_path"], "left")
+    rest = rest.select(
+        "diff_id", F.coalesce("kind", F.lit("missing")).alias("kind"), "batch", "file_path", F.coalesce("part", F.lit(1)).alias("part"), F.array("file_path").alias("files"), F.coalesce("content", F.lit("")).alias("content"), F.concat(F.lit("Changes in "), "file_path").alias("description")
+    )
+    return rest if parts is None else parts.unionByName(rest)
+
+
 def malformed(content: Column) -> Column:
     """Whether a file's diff has a hunk header that can't be read."""
     return F.exists(T.lines(content), lambda x: F.startswith(x, F.lit("@@")) & ~F.regexp_like(x, F.lit(r"^@@ -\d+(,\d+)? \+\d+(,\d+)? @@")))

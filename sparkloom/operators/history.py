@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ancestry import ancestors, chains, merge_bases, reach
+from .components import ranked
 
 
 def blame_spans(lines: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -79,9 +80,9 @@ def chat_history(rows: DataFrame, session: str, limit: int = 50) -> DataFrame:
 
 
 def add_messages(rows: DataFrame, new: DataFrame) -> DataFrame:
-    """rows (id and more) and new ones without an id, which get greater ids than all there are; columns that new ones lack are null."""
+    """rows (id and more) and new ones without an id, which get greater ids than all there are, in order of their columns; columns that new ones lack are null."""
     last = rows.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))  # one row
-    given = new.withColumn("nth", F.monotonically_increasing_id()).join(F.broadcast(last)).withColumn("id", F.col("last") + F.col("nth") + 1).drop("nth", "last")
+    given = ranked(new, *new.columns, name="nth").join(F.broadcast(last)).withColumn("id", F.col("last") + F.col("nth") + 1).drop("nth", "last")
     return rows.unionByName(given, allowMissingColumns=True).select(*rows.columns)
 
 

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import chunks, components, docs
+from ..operators import chunks, components, diffs, docs
 from ..sources import code
 from ..streaming import exclusive, watch
 from .code_queries import _sources
@@ -118,6 +118,25 @@ def exclusive_triggers(spark, sf_dir):
     return spark.read.schema(out.schema).parquet(f"{folder}/out").select("repository", F.unix_micros("moment").alias("moment"), "ran")
 
 
+def split_driver(spark, sf_dir):
+    """For each document a diff with a moved file, a Python file of two sections, a file above the limit, one that the diff doesn't hold, and for every fourth document nine more."""
+    k = F.col("doc_id").cast("string")
+
+    def change(old: str, new: str, *hunks: str):
+        return F.concat(F.lit(f"diff --git a/{old} b/{new}\n--- a/{old}\n+++ b/{new}"), *[x for h in hunks for x in (F.lit("\n@@ -1 +1 @@\n"), F.lit(h), k)], F.lit("\n"))
+
+    many = [change(f"m/{i}.md", f"m/{i}.md", "+") for i in range(9)]
+    few = [change("old/a.txt", "new/a.txt", "-", "+"), change("x.py", "x.py", "+import a", " y", "+def f"), change("big.txt", "big.txt", "+" + "a" * 400, "+" + "b" * 400)]
+    d = table(spark, sf_dir, "documents")
+    rest = F.col("doc_id") % 4 == 0
+    content = F.concat(*few, F.when(rest, F.concat(*many)).otherwise(""))
+    names = F.concat(F.array(*[F.lit(x) for x in ("old/a.txt", "new/a.txt", "x.py", "big.txt", "u.txt")]), F.when(rest, F.array(*[F.lit(f"m/{i}.md") for i in range(9)])).otherwise(F.array().cast("array<string>")))
+    files = d.select(F.col("doc_id").alias("diff_id"), F.posexplode(names).alias("nth", "file_path"))
+    moved = d.filter("doc_id % 3 = 0").select(F.col("doc_id").alias("diff_id"), F.lit("old/a.txt").alias("source"), F.lit("new/a.txt").alias("target"))
+    out = diffs.split_whole(d.select(F.col("doc_id").alias("diff_id"), content.alias("content")), files, moved, 500)
+    return out.select("diff_id", "kind", "batch", "file_path", F.col("part").cast("long").alias("part"), F.array_join("files", ",").alias("files"), F.sha2("content", 256).alias("content_sha"), "description")
+
+
 def _rows_sql(suffix: str, rows: list[tuple]) -> str:
     values = ", ".join(f"({i}, {'NULL' if parent is None else parent}, '{kind}', '{name}', {a}, {b})" for i, (kind, name, parent, a, b) in enumerate(rows))
     odd = 0 if suffix == ".ts" else 1
@@ -125,7 +144,7 @@ def _rows_sql(suffix: str, rows: list[tuple]) -> str:
 FROM documents, (VALUES {values}) t(ord, parent, kind, name, a, b) WHERE doc_id % 2 = {odd}"""
 
 
-QUERIES = {f.__name__: f for f in (file_listing, whole_file_limit, script_entities, incremental_entities, exclusive_triggers)}
+QUERIES = {f.__name__: f for f in (file_listing, whole_file_limit, script_entities, incremental_entities, exclusive_triggers, split_driver)}
 SQL = {
     "file_listing": """
 SELECT folder, line, count(*) AS n FROM (SELECT concat('half', doc_id % 2) AS folder, unnest([concat('### ', doc_id), concat('- ', lang)]) AS line FROM documents) GROUP BY ALL""",
@@ -138,6 +157,20 @@ SELECT file_path, n::int AS end_line, sha256(concat('Type: FILE', chr(10), chr(1
 SELECT concat(source, '/', lang, '/d', doc_id, '.py') AS file_path, doc_id % 5 = 0 AS parsed, CASE WHEN doc_id % 5 = 0 THEN 8 ELSE 7 END::bigint AS n_entities,
   concat('d', doc_id, ',,,LIMIT_', doc_id, ',C', doc_id, ',m', doc_id % 5, ',f', doc_id % 7, CASE WHEN doc_id % 5 = 0 THEN ',EXTRA' ELSE '' END) AS names
 FROM documents WHERE doc_id % 11 <> 0""",
+    "split_driver": """
+WITH k AS (SELECT doc_id, doc_id % 3 = 0 AS moved, doc_id % 4 = 0 AS many, chr(10) AS n, concat(chr(10), '@@ -1 +1 @@', chr(10)) AS h FROM documents),
+f AS (
+  SELECT *, 'hunk' AS kind, unnest([1, 2]) AS part, 'new/a.txt' AS file_path, 'diff --git a/old/a.txt b/new/a.txt' AS head, '--- a/old/a.txt' AS minus, unnest(['-', '+']) AS body FROM k WHERE NOT moved
+  UNION ALL SELECT *, 'large', unnest([1, 2]), 'big.txt', NULL, NULL, unnest([concat('+', repeat('a', 400)), concat('+', repeat('b', 400))]) FROM k
+  UNION ALL SELECT *, 'section', unnest([1, 2]), 'x.py', NULL, NULL, unnest([concat('+import a', doc_id, h, ' y'), '+def f']) FROM k
+  UNION ALL SELECT *, 'hunk', 1, concat('m/', unnest(range(9)), '.md'), NULL, NULL, '+' FROM k WHERE many),
+t AS (
+  SELECT doc_id, many, kind, file_path, part, concat(coalesce(head, concat('diff --git a/', file_path, ' b/', file_path)), n, coalesce(minus, concat('--- a/', file_path)), n, '+++ b/', file_path, h, body, doc_id) AS content FROM f
+  UNION ALL SELECT doc_id, many, 'missing', 'u.txt', 1, '' FROM k
+  UNION ALL SELECT doc_id, many, 'missing', 'old/a.txt', 1, '' FROM k WHERE NOT moved)
+SELECT doc_id AS diff_id, kind, CASE WHEN NOT many THEN 'all' WHEN contains(file_path, '/') THEN concat(split_part(file_path, '/', 1), '#', CASE WHEN file_path LIKE 'm/%' THEN file_path[3:3]::int // 3 ELSE 0 END) ELSE '#0' END AS batch,
+  file_path, part::bigint AS part, file_path AS files, sha256(content) AS content_sha, concat('Changes in ', file_path) AS description FROM t
+UNION ALL SELECT doc_id, 'move', NULL, NULL, 1, 'old/a.txt,new/a.txt', sha256(concat('diff --git a/old/a.txt b/new/a.txt', n, '--- a/old/a.txt', n, '+++ b/new/a.txt', h, '-', doc_id, h, '+', doc_id, n, n)), 'chore: move a.txt from old to new' FROM k WHERE moved""",
     "exclusive_triggers": """
 WITH RECURSIVE e AS (SELECT user_id % 20 AS repository, epoch_us(ts::timestamp) AS moment FROM events WHERE event_id % 9 <> 0),
 r AS (
