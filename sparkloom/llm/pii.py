@@ -58,8 +58,8 @@ ROUNDS, RATE, PRECISION = 40, 0.3, 0.95
 #: Numbers of bins of the features, which bound the cells; parts of the texts, each of which is held out once.
 BINS = {"size": 6, "groups": 4, "marks": 4, "before": 4, "after": 4, "copies": 4}
 FOLDS = 2
-#: Held-out candidates that a threshold needs.
-LEAST = 10
+#: Standard errors by which the precision above a threshold is held to be lower than it was seen.
+ERRORS = 0.7
 CELLS = FOLDS * len(ALL_KINDS) * int(np.prod(list(BINS.values())))
 _MARK = "\u0001"
 _NEAR = 24
@@ -194,13 +194,14 @@ def _scores(cells: np.ndarray, bias: float, trees: list[tuple]) -> np.ndarray:
     return out
 
 
-def threshold(score: np.ndarray, good: np.ndarray, all_: np.ndarray, precision: float = PRECISION, least: float = LEAST) -> float:
-    """The lowest score such that at least `precision` of the candidates from there on are good, and so many are there; infinite if there is none."""
+def threshold(score: np.ndarray, good: np.ndarray, all_: np.ndarray, precision: float = PRECISION, errors: float = ERRORS) -> float:
+    """The lowest score such that the share of good candidates from there on is at least `precision`, by the lower end of its (Wilson) interval of so many standard errors; infinite if there is none. Few candidates make the interval wide, so their number acts without a step."""
     order = np.argsort(-score, kind="stable")
-    seen = np.cumsum(all_[order])
-    right = (np.cumsum(good[order]) >= precision * seen) & (seen >= least)
+    n, hits = np.maximum(np.cumsum(all_[order]), 1e-9), np.cumsum(good[order])
+    p, z = hits / n, errors
+    lower = (p + z * z / (2 * n) - z * np.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
     last = np.r_[score[order][1:] < score[order][:-1], True]  # cells of equal scores go together
-    fit = np.flatnonzero(right & last)
+    fit = np.flatnonzero((lower >= precision) & last)
     return float(score[order][fit[-1]]) if len(fit) else float("inf")
 
 

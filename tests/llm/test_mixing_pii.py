@@ -152,6 +152,17 @@ def test_boosting_and_threshold():
     assert pii.threshold(score, np.zeros(16), np.zeros(16)) == float("inf")
 
 
+def test_threshold_changes_gradually_with_size():
+    """The fewer candidates, the purer they must be: no number of them decides by itself."""
+    least = []
+    for n in range(1, 40):
+        wrong = next((w for w in range(n + 1) if np.isinf(pii.threshold(np.zeros(1), np.array([n - w]), np.array([n])))), n + 1)
+        least.append(wrong / n)
+    assert least[0] == 0 and all(b >= a - 1 / (i + 2) for i, (a, b) in enumerate(zip(least, least[1:], strict=False)))
+    assert np.isfinite(pii.threshold(np.zeros(1), np.array([1000.0]), np.array([1000.0])))
+    assert np.isinf(pii.threshold(np.zeros(1), np.array([0.9 * pii.PRECISION * 1000]), np.array([1000.0])))
+
+
 def test_main_path_has_no_python(spark, small):
     for df in (queries.op9_pii(spark, small), pii.redacted(spark.read.parquet(f"{small}/documents.parquet"))):
         plan = df._jdf.queryExecution().toString()
