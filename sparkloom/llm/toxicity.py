@@ -9,8 +9,8 @@ count as one word.
 
 Training. From a bounded sample of labelled documents (POSITIVES and NEGATIVES)
 the sentences are taken, equal ones once, and carry their document's label. As
-one insult makes a sentence toxic, a toxic sentence stands for its witness:
-the word in it that toxic sentences hold significantly more often. So what the kernel compares is words, not whole
+one insult makes a sentence toxic, a toxic sentence stands for its witnesses:
+the words in it that toxic sentences hold more often, each weighted by a share that grows smoothly with the evidence. So what the kernel compares is words, not whole
 sentences (README.md says why, with figures). Witnesses
 against words of other sentences train a squared-hinge machine on Nystroem
 features of LANDMARKS words. Its decision is linear in the subsequences, so it
@@ -39,10 +39,10 @@ from .common import staged, texts
 
 #: Bounds of the training sample: documents of either label.
 POSITIVES, NEGATIVES = 3000, 5000
-#: Most witness words and other words that are learnt from, and landmarks among them.
-WITNESSES, OTHERS, LANDMARKS = 400, 20_000, 256
-#: Least likelihood ratio (as a chi-square value) of a witness.
-EVIDENCE = 25.0
+#: Most other words that are learnt from, and landmarks.
+OTHERS, LANDMARKS = 20_000, 256
+#: Likelihood ratio (as a chi-square value) at which a witness counts by half, how fast that falls and rises around it, and the share of its weight below which a word is none.
+EVIDENCE, SLOPE, FAINT = 25.0, 2.0, 1e-3
 GAP = 0.6
 _SLICE = 3 << 20
 _BITS3, _BITS4 = 18, 20
@@ -206,7 +206,7 @@ def _with_features(rows: DataFrame, table, bias: float, keep: str) -> DataFrame:
 
 def sample(docs: DataFrame, labels: DataFrame, train: Column) -> tuple[DataFrame, dict[int, float]]:
     """text and toxic of the training sample, and how many labelled documents each of its documents stands for, by label."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("long").alias("toxic")).filter(F.col("toxic").isin(0, 1) & train)
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("long").alias("toxic")).filter(F.col("toxic").isin(0, 1) & train).distinct()
     seen = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     bounds = {1: POSITIVES, 0: NEGATIVES}
     picks = [known.filter(F.col("toxic") == k).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(n) for k, n in bounds.items()]
@@ -215,7 +215,7 @@ def sample(docs: DataFrame, labels: DataFrame, train: Column) -> tuple[DataFrame
 
 
 def witnesses(chosen: DataFrame) -> tuple[list[tuple[str, float]], list[str]]:
-    """Witness words with the number of toxic sentences that hold them, and other words of sentences that aren't toxic."""
+    """Witness words with their weight, the number of toxic sentences that hold them times a share that grows with the evidence, and other words of sentences that aren't toxic. The sample bounds the witnesses."""
     sentences = chosen.select("toxic", F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[.!?\n|]+")).alias("sentence"))
     sentences = sentences.select("toxic", F.array_distinct(F.split("sentence", r"[ \t\x0b\f\r]+")).alias("parts"), "sentence").dropDuplicates(["toxic", "sentence"])
     word = F.regexp_replace("word", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
@@ -229,11 +229,12 @@ def witnesses(chosen: DataFrame) -> tuple[list[tuple[str, float]], list[str]]:
     evidence = 2 * (p * F.log(p / ((p + q) * share)) + q * F.log(q / ((p + q) * (1 - share))))
     more = F.col("pos") * (1 - share) > 2 * F.col("neg") * share
     counted = counted.withColumn("evidence", F.when(more, evidence).otherwise(0.0))
-    found = counted.filter(F.col("evidence") >= EVIDENCE).orderBy(F.desc("evidence"), "word").limit(WITNESSES).collect()
+    share_of = 1 / (1 + F.exp((EVIDENCE - F.col("evidence")) / SLOPE))
+    found = counted.withColumn("share", share_of).filter((F.col("share") >= FAINT) & (F.col("evidence") > 0)).orderBy(F.desc("evidence"), "word").collect()  # words of POSITIVES documents at most
     rest = counted.filter((F.col("evidence") < EVIDENCE / 5) & (F.col("neg") > 0))
     common = rest.orderBy(F.desc("neg"), "word").limit(OTHERS // 10).collect()
     others = rest.orderBy(F.md5("word"), "word").limit(OTHERS).collect()
-    return [(r["word"], float(r["pos"])) for r in found], list(dict.fromkeys(r["word"] for r in [*common, *others]))
+    return [(r["word"], float(r["pos"]) * r["share"]) for r in found], list(dict.fromkeys(r["word"] for r in [*common, *others]))
 
 
 def train_machine(found: list[tuple[str, float]], others: list[str]) -> tuple[np.ndarray, float]:

@@ -62,3 +62,20 @@ def test_scores(spark, odd, none):
     assert extra.count() == odd.count() and all(0 <= r.score <= 1 for r in extra.collect())
     assert T.scored(none, labels, train).count() == 0
     assert {r.score for r in T.scored(odd, labels.filter("false"), train).collect()} == {0.0}
+
+
+def test_few_labels_and_repeated_ones(spark):
+    """Scores rise with the number of labels and don't jump from 0; labels that repeat count once."""
+    rng = np.random.default_rng(5)
+    calm = [f"{a}{b}" for a in ("ri", "sto", "ta", "mo", "le") for b in ("ver", "ne", "ble", "lan", "tus")]
+    rows = [(i, " ".join(rng.choice(calm, 9)) + (" you worthless blorg" if i % 2 else " you")) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    gap = []
+    for n in (8, 26, 40):
+        labels = spark.createDataFrame([(i, i % 2) for i in range(n)], "doc_id long, toxic int")
+        found = {r.doc_id: r.score for r in T.scored(docs, labels, F.lit(True)).collect()}
+        if n == 26:
+            twice = {r.doc_id: r.score for r in T.scored(docs, labels.unionByName(labels), F.lit(True)).collect()}
+            assert all(abs(found[i] - twice[i]) < 1e-9 for i in found)
+        gap.append(np.mean([found[i] for i in range(41, 80, 2)]) - np.mean([found[i] for i in range(40, 80, 2)]))
+    assert 0 <= gap[0] <= gap[1] + 0.05 and gap[2] > 0.8 and gap[1] > 0.05
