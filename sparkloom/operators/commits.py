@@ -13,6 +13,7 @@ from ..functions import text as T
 #: Allowed types, and limits of the effective rule set.
 TYPES = ["feat", "fix", "docs", "style", "refactor", "perf", "test", "build", "ci", "chore"]
 HEADER_MAX, LINE_MAX = 72, 100
+#: The header of a message, a footer line, and lines that look like footers.
 HEADER = r"(?dsmi)\A([a-zA-Z]+)(\(([a-zA-Z0-9\-_]*(?:/[a-zA-Z0-9\-_]*)?)\))?(!)?: (.+?)(?:\r?\n\r?\n(.*))?$"
 FOOTER = r"^((?:BREAKING[ -]CHANGE)|(?:[A-Z][A-Z0-9\-]+))(: | #)(.*)"
 FOOTER_LIKE = r"^([A-Za-z][A-Za-z0-9\-]+|(?i:breaking[ -]change))(: | #)"
@@ -234,6 +235,7 @@ def fallback_message(files: Column, content: Column, description: Column) -> Col
 #: Sections of a pull request's description, in order: title, prefix of the commits, and the check box.
 SECTIONS = [("Features", "feat"), ("Fixes", "fix"), ("Documentation", "docs"), ("Refactors", "refactor"), ("Optimizations", "perf"), ("Other", None)]
 BOXES = [("Refactor", "refactor"), ("Feature", "feat"), ("Bug Fix", "fix"), ("Optimization", "perf"), ("Documentation Update", "docs")]
+#: The sections that end a description.
 _TAIL = """## Related Tickets & Documents
 
 - Related Issue #
