@@ -15,27 +15,27 @@ from sparkloom.llm.common import staged
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: documents that the quality rules reject go."""
+    """Operator 2: documents that the quality rules reject go. A null or empty text fails the base rule and goes; rows that share a doc_id are judged by their own texts."""
     return quality_rules.kept(docs)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: one document of each group of near copies stays."""
+    """Operator 5: one document of each group of near copies stays, that of the least doc_id; rows that repeat a doc_id and text become one. Texts without words and rows without a doc_id link with nothing and stay."""
     return ngram_join.representatives(docs)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: personal data is replaced by its kind."""
+    """Operator 9: personal data is replaced by its kind. A null or empty text stays as it is."""
     return pii.redacted(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: documents as often as the mix takes them, in order of training position."""
+    """Operator 8: documents as often as the mix takes them, in order of training position. Texts without words aren't taken; a null source is one of its own."""
     return mixing.mixed(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str, path: str | None = None) -> DataFrame:
-    """Operator 7: ids of each text, with digests of the ids and of the text that they decode to."""
+    """Operator 7: ids of each text, with digests of the ids and of the text that they decode to. A null text counts as empty; every row gives one."""
     if path is None:
         import public_tokenizers
 
