@@ -3,8 +3,10 @@
 The vocabulary of a byte-pair tokenizer tells which two adjacent bytes ever
 stand next to each other inside a token. A pair of bytes that stands inside no
 token can't be merged across, so the text is certainly cut there. The fragments
-between such cuts are encoded independently and the ids are concatenated; a worker
-keeps the ids of up to MOST_WORDS words at hand.
+between such cuts are encoded independently and the ids are concatenated. The
+distinct new words of a piece of a batch are encoded together: their fragments
+are merged side by side in arrays, one merge of each fragment in a round. A worker keeps the
+ids of up to MOST_WORDS words at hand, and those of one piece.
 
 The tokenizer is read from a JSON file (its path is a parameter) on the driver
 and its text, a few MB at most, is broadcast. Supported is the layout of
@@ -22,6 +24,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Iterator
 
@@ -51,11 +54,16 @@ def split_pattern() -> regex.Pattern:
 
 #: The same for ASCII texts, where it is quicker.
 SPLIT_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
+#: The same for texts of Latin letters up to U+024F, all of which are letters from U+00C0 on but two signs.
+SPLIT_LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºÀ-ÖØ-öø-ɏ]+|[0-9²³¹¼-¾]|[^\t-\r \x85\xa0a-z0-9ªµº²³¹¼-¾À-ÖØ-öø-ɏ]+")
+BEYOND_LATIN = re.compile("[^\x00-\u024f]")
 SPLIT = split_pattern()
-#: A worker forgets its words beyond this number.
+#: Words whose ids a worker keeps: when half of them are new, those not met since the last time are forgotten.
 MOST_WORDS = 150_000
-#: Fragments up to this length are merged by plain scans.
-SHORT = 48
+#: Where two ids have no merge; those that have one have rank << 32 | new id.
+_NONE = 1 << 62
+#: Fragments up to this length are merged by plain scans, or side by side where there are FEW words or more.
+SHORT, FEW = 48, 32
 
 
 def byte_symbols() -> list[str]:
@@ -97,10 +105,12 @@ class Tokenizer:
         code = {c: b for b, c in enumerate(symbols)}
         self.alone = [vocab[c] for c in symbols]
         self.last = [vocab[c + self.suffix] for c in symbols]
-        self.merges: dict[int, tuple[int, int]] = {}
+        self.merges: dict[int, int] = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[vocab[a] << 32 | vocab[b]] = rank, vocab[a + b]
+            self.merges[vocab[a] << 32 | vocab[b]] = rank << 32 | vocab[a + b]
+        self.keys = np.array(sorted(self.merges), np.int64)
+        self.found = np.array([self.merges[k] for k in self.keys.tolist()], np.int64)
         #: left byte << 9 | right byte | 256 at a word's end, of bytes that stand together inside a token
         self.joined: set[int] = set()
         for name in vocab:
@@ -108,8 +118,11 @@ class Tokenizer:
             data = [code[c] for c in (name[: -len(self.suffix)] if ends else name)]
             for i in range(1, len(data)):
                 self.joined.add(data[i - 1] << 9 | data[i] | (256 if ends and i == len(data) - 1 else 0))
+        self.together = np.zeros(1 << 17, bool)
+        self.together[list(self.joined)] = True
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merge(self, data: bytes, final: bool) -> list[int]:
         """Repeatedly merge the leftmost pair of the lowest rank."""
@@ -120,15 +133,15 @@ class Tokenizer:
 
     def _scan(self, ids: list[int]) -> list[int]:
         get = self.merges.get
-        while len(ids) > 1:
-            best, at = None, 0
-            for i in range(len(ids) - 1):
-                found = get(ids[i] << 32 | ids[i + 1])
-                if found is not None and (best is None or found < best):
-                    best, at = found, i
-            if best is None:
-                break
-            ids[at : at + 2] = [best[1]]
+        found = [get(a << 32 | b, _NONE) for a, b in zip(ids, ids[1:])]
+        while found and (best := min(found)) != _NONE:
+            at = found.index(best)
+            ids[at : at + 2] = [best & 0xFFFFFFFF]
+            del found[at]
+            if at:
+                found[at - 1] = get(ids[at - 1] << 32 | ids[at], _NONE)
+            if at < len(found):
+                found[at] = get(ids[at] << 32 | ids[at + 1], _NONE)
         return ids
 
     def _heap(self, ids: list[int]) -> list[int]:
@@ -139,7 +152,7 @@ class Tokenizer:
         def offer(i: int) -> None:
             j = after[i]
             if j < n and (found := self.merges.get(ids[i] << 32 | ids[j])) is not None:
-                heapq.heappush(heap, (found[0], i, ids[i], ids[j], found[1]))
+                heapq.heappush(heap, (found >> 32, i, ids[i], ids[j], found & 0xFFFFFFFF))
 
         for i in range(n - 1):
             offer(i)
@@ -166,32 +179,88 @@ class Tokenizer:
                 out += self.merge(data[a:i], False)
                 a = i
         out += self.merge(data[a:], True)
-        return np.array(out, "<u4").tobytes()
+        return struct.pack(f"<{len(out)}I", *out)
+
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        """`word` of many words."""
+        if len(words) < FEW:
+            return list(map(self.word, words))
+        data = [w.encode() for w in words]
+        end = np.cumsum(np.fromiter(map(len, data), np.int64, len(data)))
+        b = np.frombuffer(b"".join(data), np.uint8).astype(np.int64)
+        final = np.zeros(len(b), bool)
+        final[end - 1] = True
+        opens = np.ones(len(b), bool)
+        opens[1:] = final[:-1] | ~self.together[b[:-1] << 9 | b[1:] | final[1:].astype(np.int64) << 8]
+        ids, at = self._side_by_side(np.where(final, np.array(self.last)[b], np.array(self.alone)[b]), np.flatnonzero(opens))
+        cuts, joined = (4 * np.searchsorted(at, np.r_[0, end])).tolist(), ids.astype("<u4").tobytes()
+        return [joined[i:j] for i, j in zip(cuts, cuts[1:])]
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """What `merges` has for each pair, _NONE where nothing."""
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.found[at], _NONE)
+
+    def _side_by_side(self, ids: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids after all merges, and where each began; fragments begin at start."""
+        size, at, done = np.diff(np.r_[start, len(ids)]), np.arange(len(ids)), []
+        for f in np.flatnonzero(size > SHORT).tolist():
+            own = np.array(self._heap(ids[start[f] : start[f] + size[f]].tolist()), np.int64)
+            done.append((own, np.full(len(own), start[f])))
+        short = np.repeat(size <= SHORT, size)
+        ids, at, size = ids[short], at[short], size[size <= SHORT]
+        best = np.full(len(ids), _NONE)
+        best[:-1] = self._pairs(ids[:-1], ids[1:])
+        best[np.cumsum(size) - 1] = _NONE
+        while len(ids):
+            least = np.minimum.reduceat(best, np.cumsum(size) - size)
+            goes = least != _NONE
+            live = np.repeat(goes, size)
+            done.append((ids[~live], at[~live]))
+            ids, at, best, size, least = ids[live], at[live], best[live], size[goes], least[goes]
+            if len(ids) == 0:
+                break
+            of = np.repeat(np.arange(len(size)), size)
+            hit = np.flatnonzero(best == least[of])
+            hit = hit[np.r_[True, of[hit[1:]] != of[hit[:-1]]]]  # the leftmost of each fragment
+            ids[hit] = least & 0xFFFFFFFF
+            stays = np.ones(len(ids), bool)
+            stays[hit + 1] = False
+            ids, at, best = ids[stays], at[stays], best[stays]
+            hit, size = hit - np.arange(len(hit)), size - 1
+            end = np.cumsum(size)
+            best[hit] = _NONE
+            right, left = hit[hit < end - 1], hit[hit > end - size]
+            best[right] = self._pairs(ids[right], ids[right + 1])
+            best[left - 1] = self._pairs(ids[left - 1], ids[left])
+        ids, at = (np.concatenate(x) for x in zip(*done))
+        order = np.argsort(at, kind="stable")
+        return ids[order], at[order]
 
     def split(self, text: str) -> list[str]:
         """Words of a text without special tokens."""
         if text.isascii():
             return SPLIT_ASCII.findall(text.lower())
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # letters are lowered one by one, so no final sigma
-        return SPLIT.findall(text.lower())
+        text = text.lower()
+        return (SPLIT if BEYOND_LATIN.search(text) else SPLIT_LATIN).findall(text)
 
     def encode(self, text: str) -> bytes:
         """Ids of a text, as little-endian 32-bit integers."""
-        known, out = self.words, []
-        for k, piece in enumerate(self.marks.split(text) if self.marks else [text]):
-            if k % 2:
-                out.append(np.array([self.special[piece]], "<u4").tobytes())
-                continue
-            found = self.split(piece)
-            for w in set(found).difference(known):
-                if len(known) >= MOST_WORDS + len(found):
-                    known.clear()
-                    for x in set(found):
-                        known[x] = self.word(x)
-                    break
-                known[w] = self.word(w)
-            out += map(known.__getitem__, found)
-        return b"".join(out)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """`encode` of many texts."""
+        found = [[p if k % 2 else self.split(p) for k, p in enumerate(self.marks.split(x) if self.marks else [x])] for x in texts]
+        if len(self.words) >= MOST_WORDS // 2:
+            self.words, self.older = {}, self.words
+        known, older = self.words, self.older
+        new = set().union(*(p for x in found for p in x[::2])).difference(known)
+        known.update((w, older[w]) for w in new.intersection(older))
+        new = list(new.difference(known))
+        known.update(zip(new, self.ids_of(new)))
+        return [b"".join(i for k, p in enumerate(x) for i in ([struct.pack("<I", self.special[p])] if k % 2 else map(known.__getitem__, p))) for x in found]
 
 
 _tokenizers: dict[int, Tokenizer] = {}
@@ -225,7 +294,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(source.value)
         for b in pieces(batches, "text"):
-            yield pa.record_batch([b["doc_id"], pa.array([t.encode(x or "") for x in b["text"].to_pylist()], pa.binary())], ["doc_id", "ids"])
+            yield pa.record_batch([b["doc_id"], pa.array(t.encode_all([x or "" for x in b["text"].to_pylist()]), pa.binary())], ["doc_id", "ids"])
 
     return texts(docs).mapInArrow(run, "doc_id long, ids binary")
 

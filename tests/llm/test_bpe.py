@@ -53,3 +53,30 @@ def test_columns(both, odd, none):
     got = [(r.doc_id, hashlib.sha256(bytes(r.ids)).hexdigest(), r.text) for r in rows]
     assert sorted(map(repr, got)) == sorted(map(repr, want))
     assert bpe.decoded(bpe.encoded(none, PATH), PATH).count() == 0
+
+
+def test_many_words_side_by_side_are_as_each_alone(both, documents):
+    own, _, other = both
+    words = sorted({w for r in documents.collect() for w in own.split(r.text or "")})[:5000]
+    words += ["qzqzqz", "#" * 500, "日本語", "x" * 49, "x" * 48, "a"]
+    assert len(words) > 1000
+    assert own.ids_of(words) == list(map(own.word, words))
+    assert own.ids_of(["z" * 200] * bpe.FEW) == [own.word("z" * 200)] * bpe.FEW
+    texts = TRICKY + [" ".join(words)]
+    for _ in range(2):
+        assert own.encode_all(texts) == list(map(own.encode, texts))
+    assert own.encode_all([]) == []
+
+
+def test_forgotten_words_come_back(both, documents, monkeypatch):
+    own, _, other = both
+    monkeypatch.setattr(bpe, "MOST_WORDS", 20)
+    for r in documents.limit(20).collect() * 2:
+        assert np.frombuffer(own.encode(r.text or ""), "<u4").tolist() == other.encode(r.text or "", add_special_tokens=False).ids
+
+
+def test_latin_texts_split_alike():
+    every = map(chr, range(0x250))
+    plain = "".join(c for c in every if not bpe.BEYOND_LATIN.search(c.lower())).lower()  # 24 letters have their lower case elsewhere
+    for text in (plain, "a".join(plain), " ".join(plain)):
+        assert bpe.SPLIT_LATIN.findall(text) == bpe.SPLIT.findall(text)
