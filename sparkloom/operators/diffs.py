@@ -302,19 +302,20 @@ def batches(files: DataFrame, most: int = FILES_AT_ONCE, size: int = BATCH) -> D
 def semantic_split(diffs: DataFrame, moved: DataFrame | None = None, limit: int = PART_LIMIT) -> DataFrame:
     """(diff_id, nth, part, file_path, kind, content) of all files but moved ones (source, target, and diff_id if they are of one diff only).
 
-    A diff without hunks is kept whole; one above the limit is packed by hunks;
-    one whose language has boundaries is cut into sections; else every hunk is
+    A diff without hunks is kept whole; one above the limit is packed by hunks
+    if it has several; one whose language has boundaries is cut into sections; else every hunk is
     a part of its own.
     """
     files = file_diffs(diffs).filter(valid_filename(F.col("file_path")))
     if moved is not None:
         own = [c for c in ("diff_id",) if c in moved.columns]
         files = files.join(_of_moves(moved, own), [*own, "file_path"], "left_anti")
-    h = sections(files).join(files.select("diff_id", "nth", F.length("content").alias("whole"), F.regexp_extract("content", r"(?s)^(.*?)(?=\n@@ |\z)", 1).alias("head")), ["diff_id", "nth"])
+    several = F.size(F.split(F.concat(F.lit("\n"), "content"), "\n@@", 3)) > 2
+    h = sections(files).join(files.select("diff_id", "nth", F.length("content").alias("whole"), several.alias("several"), F.regexp_extract("content", r"(?s)^(.*?)(?=\n@@ |\z)", 1).alias("head")), ["diff_id", "nth"])
     p = packed(h, ["diff_id", "nth"], "hunk_no", F.length("body") + 1, limit, F.length("head") + 1).withColumnRenamed("part", "pack")
     ext = F.regexp_replace(T.extension(F.col("file_path")), r"^\.", "")
     known = ext.isin(list(BOUNDARIES))
-    kind = F.when(F.col("whole") > limit, "large").when(known, "section").otherwise("hunk")
+    kind = F.when((F.col("whole") > limit) & F.col("several"), "large").when(known, "section").otherwise("hunk")
     part = F.when(kind == "large", F.col("pack")).when(kind == "section", F.col("section")).otherwise(F.col("hunk_no")).cast("int")
     joined = p.withColumn("kind", kind).withColumn("part", part).groupBy("diff_id", "nth", "part", "file_path", "kind").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("hunk_no", "body"))), lambda x: x["body"]), "\n").alias("content"), F.first("head").alias("head")

@@ -50,6 +50,15 @@ def test_preprocessing(diff):
     assert r.a is None and r.b == "plain"
 
 
+def test_one_hunk_is_not_packed(spark):
+    rows = [(1, "x.txt", ["a" * 60]), (2, "x.txt", ["a" * 60, "b"]), (3, "x.py", ["a" * 60]), (4, "x.txt", ["a"])]
+    text = lambda path, own: f"diff --git a/{path} b/{path}\n" + "\n".join(f"@@ -1 +1 @@\n+{h}" for h in own)
+    d = spark.createDataFrame([(i, text(path, own)) for i, path, own in rows], "diff_id long, content string")
+    got = {(r.diff_id, r.part): (r.kind, r.content) for r in diffs.semantic_split(d, limit=60).collect()}
+    assert {k: v[0] for k, v in got.items()} == {(1, 1): "hunk", (2, 1): "large", (2, 2): "large", (3, 1): "section", (4, 1): "hunk"}
+    assert got[1, 1][1] == text(*rows[0][1:]) and got[3, 1][1] == text(*rows[2][1:])
+
+
 def test_semantic_split(diff):
     s = diffs.semantic_split(diff).orderBy("nth", "part").collect()
     assert [(r.file_path, r.part, r.kind) for r in s] == [("src/main.py", 1, "section"), ("src/main.py", 2, "section"), ("notes.md", 1, "hunk")]
