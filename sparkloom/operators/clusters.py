@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.vectors import norm
-from .components import Staged, connected_components, staged
+from .components import Staged, connected_components, ranked, staged
 
 #: Distance below which complete linkage merges, and similarity at which groups merge.
 LINKAGE, MERGE = 0.3, 0.6
 #: Rows of a part of groups that one task repairs, and rows of such parts that a task gets at once.
 SMALL, TOGETHER = 2000, 20_000
+#: Ids of a path that meet others at once, and pairs that a task makes.
+MET, MADE = 3_000, 20_000_000
 #: Last characters of a text by which it is looked for in others.
 HELD = 24
 
@@ -134,10 +136,31 @@ def _held(holders: DataFrame, texts: DataFrame, mark: str) -> DataFrame:
 
 
 def related_pairs(files: DataFrame) -> DataFrame:
-    """(change_id, a, b), a < b: the related files of each change, as they share keys."""
-    keys, like = related_keys(files)
-    x, y = keys.select("change_id", "key", F.col("id").alias("a")), keys.select("change_id", F.col("key").alias("other"), F.col("id").alias("b"))
-    return x.join(like, ["change_id", "key"]).join(y, ["change_id", "other"]).filter("a < b").select("change_id", "a", "b").distinct()
+    """(change_id, a, b), a < b: the related files of each change.
+
+    Files of one path are related to the same ones, so keys are joined, and made unique, by path. The ids of a path are dealt to
+    blocks of MET, and pairs are made where two blocks meet: what is shuffled
+    is related paths, and a path's ids once for each block that they meet, but no pairs of files of one path. An id that has
+    several paths in a change is found by each, so only then pairs are made unique.
+    """
+    f = files.select("change_id", "id", "path").filter("change_id IS NOT NULL AND id IS NOT NULL AND path IS NOT NULL")
+    several = f.groupBy("change_id", "id").agg((F.min("path") != F.max("path")).alias("several")).filter("several").limit(1).count()
+    paths = f.groupBy("change_id", "path").agg(F.ceil(F.approx_count_distinct("id") / MET).alias("blocks"))
+    paths = staged(ranked(paths, "change_id", "path"), "paths")
+    keys, like = related_keys(paths.withColumnRenamed("place", "id"))
+    x, y = keys.select("change_id", "key", F.col("id").alias("x")), keys.select("change_id", F.col("key").alias("other"), F.col("id").alias("y"))
+    alike = staged(x.join(like, ["change_id", "key"]).join(y, ["change_id", "other"]).filter("x <= y").select("x", "y").distinct(), "alike")
+    dealt = f.join(paths, ["change_id", "path"]).select("change_id", "place", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), "id")
+    blocks = staged(dealt.groupBy("change_id", "place", "block").agg(F.collect_set("id").alias("ids")), "blocks")
+    size = blocks.select("place", "block", F.size("ids").cast("long").alias("n"))
+    a, b = (size.select(F.col("place").alias(c), F.col("block").alias(f"{c}_block"), F.col("n").alias(f"n{c}")) for c in "xy")
+    meet = staged(alike.join(a, "x").join(b, "y").select("x", "x_block", "y", "y_block", (F.col("nx") * F.col("ny")).alias("n")), "meet")
+    tasks = min(10_000, 1 + (meet.agg(F.sum("n")).first()[0] or 0) // MADE)
+    a, b = (blocks.select(F.col("place").alias(c), F.col("block").alias(f"{c}_block"), F.col("ids").alias(f"{c}_ids"), "change_id") for c in "xy")
+    both = meet.join(a, ["x", "x_block"]).join(b.drop("change_id"), ["y", "y_block"]).repartition(tasks, "x", "x_block", "y", "y_block")
+    pairs = both.select("change_id", "x", "y", "y_ids", F.explode("x_ids").alias("i")).select("change_id", "x", "y", "i", F.explode("y_ids").alias("j"))
+    pairs = pairs.filter("i < j OR (i > j AND x < y)").select("change_id", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
+    return pairs.distinct() if several else pairs
 
 
 def related_groups(files: DataFrame) -> DataFrame:

@@ -70,6 +70,23 @@ def test_related_pairs_by_keys(spark):
     assert got == {(c, i, j) for c, i, p in rows for d, j, q in rows if c == d and i < j and (p, q) in alike}
 
 
+def test_related_pairs_shuffle_no_pairs(spark, monkeypatch):
+    """Of files of few paths the pairs are made after all exchanges; blocks, doubled rows and ids of several paths lose and repeat nothing."""
+    monkeypatch.setattr(clusters, "MET", 7)
+    rng = random.Random(11)
+    alike = plainly_related(spark)
+    rows = [(c, i, rng.choice(NAMES[:6])) for c in range(2) for i in range(90)]
+    columns = "change_id long, id long, path string"
+    found = clusters.related_pairs(spark.createDataFrame(rows + rows[:20], columns))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" in plan and not any(x in plan[: plan.index("Generate")] for x in ("Aggregate", "Join", "Repartition", "Distinct"))
+    want = [(c, i, j) for c, i, p in rows for d, j, q in rows if c == d and i < j and (p, q) in alike]
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+    two = [*rows, (0, 5, "README.md"), (0, 5, "go.mod")]
+    want = {(c, i, j) for c, i, p in two for d, j, q in two if c == d and i < j and (p, q) in alike}
+    assert sorted(tuple(r) for r in clusters.related_pairs(spark.createDataFrame(two, columns)).collect()) == sorted(want)
+
+
 def test_related_groups_match_a_loop(spark):
     rng = random.Random(10)
     alike = plainly_related(spark)
