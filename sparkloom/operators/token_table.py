@@ -3,8 +3,8 @@
 `token_table` learns the table from texts: a token's vector is the sum of the
 random signs of the tokens that stand up to `window` places from it, which is a
 random projection of its co-occurrence counts that never holds the counts
-themselves: one shuffle of partial sums by token. Signs are bits of a token's hash, so
-nothing is drawn and every run agrees. Everything is in 64-bit integers, so sums don't depend on their order.
+themselves: tokens are split by Spark, each slice of texts is
+summed in arrays, and there is one shuffle of these partial sums, which are added up in order of tokens. Signs are bits of a token's hash, so nothing is drawn and every run agrees. Everything is in 64-bit integers, so sums don't depend on their order.
 
 `table_vectors` embeds texts: the sum over a text's tokens of their scaled vectors, each by
 its rarity weight, by one join on the token and one sum by text.
@@ -16,15 +16,23 @@ rows with one id count as one text, those without an id too; an empty table give
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from hashlib import md5
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .components import staged
+
 #: Signs come from as many bits of a hash, 32 at most.
 DIMENSION = 32
 #: A scaled vector's absolute values sum to about SCALE; weights go from RARE down to 1, for a token that is all there is, and have half of RARE at about one in RARE tokens.
 SCALE, RARE = 1000, 1000
+#: Tokens whose neighbours are summed at once.
+TOKENS = 1_000_000
 
 
 def tokens(text: Column) -> Column:
@@ -39,27 +47,83 @@ def token_table(texts: DataFrame, text_col: str = "text", dimension: int = DIMEN
     """(token, n, weight, vector): occurrences, rarity weight (1 to RARE) and scaled vector of each token of the texts."""
     if not 1 <= dimension <= 32 or window < 1:
         raise ValueError("1 to 32 dimensions and a window of 1 or more")
-    ts = F.col("ts")
-    near = F.arrays_zip(*[F.slice(ts, k + 1, F.greatest(F.size(ts), F.lit(1))).alias(f"t{k}") for k in range(window + 1)])
-    rows = texts.select(tokens(F.col(text_col)).alias("ts")).select(F.explode(near).alias("near")).select(*[F.col("near").getField(f"t{k}").alias(f"t{k}") for k in range(window + 1)])
-    rows = rows.select("*", *[F.conv(F.substring(F.md5(f"t{k}"), 1, 8), 16, 10).cast("long").alias(f"h{k}") for k in range(window + 1)])
-    pair = [F.struct(F.col(f"t{a}").alias("token"), F.col(f"h{b}").alias("h"), F.lit(0).alias("own")) for k in range(1, window + 1) for a, b in ((0, k), (k, 0))]
-    own = F.struct(F.col("t0").alias("token"), F.lit(None).cast("long").alias("h"), F.lit(1).alias("own"))
-    rows = rows.select(F.explode(F.array(own, *pair)).alias("p")).select("p.*").filter("token IS NOT NULL AND (h IS NOT NULL OR own = 1)")  # nulls stand beyond the text's end
-    ones = [F.sum(F.shiftright("h", j).bitwiseAND(F.lit(1))).alias(f"v{j}") for j in range(dimension)]
-    sums = rows.groupBy("token").agg(F.sum("own").alias("n"), F.count("h").alias("pairs"), *ones)
-    sums = sums.select("token", "n", *[(2 * F.coalesce(f"v{j}", F.lit(0)) - F.col("pairs")).alias(f"v{j}") for j in range(dimension)])
-    total = texts.agg(F.coalesce(F.sum(F.size(tokens(F.col(text_col)))), F.lit(0)).alias("total"))  # one row
-    return _scaled(sums, total, dimension)
-
-
-def _scaled(sums: DataFrame, total: DataFrame, dimension: int) -> DataFrame:
-    v = [F.col(f"v{j}") for j in range(dimension)]
-    size = F.greatest(_total([F.abs(x) for x in v]), F.lit(1))
-    table = sums.select("token", "n", F.array(*[F.signum(x).cast("long") * F.floor(F.abs(x) * SCALE / size) for x in v]).alias("vector"))
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts in _slices(batch.column(0)):
+                yield _summed(texts, dimension, window)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = None
+        for batch in batches:
+            *done, left = _totals(batch, left, dimension)
+            yield from map(_scaled, done)
+        if left is not None:
+            yield _scaled(left)
+
+    rows = texts.select(tokens(F.col(text_col)).alias("ts")).filter(F.size("ts") > 0)
+    part = rows.mapInArrow(parts, "token string, n long, vector array<int>").repartition("token").sortWithinPartitions("token")
+    table = staged(part.mapInArrow(whole, "token string, n long, vector array<long>"), "sums")
+    total = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))  # one row
     return table.crossJoin(F.broadcast(total)).select("token", "n", F.expr(f"({RARE} * total) div (total + {RARE - 1} * n)").alias("weight"), "vector")
 
 
+def _rows(token: pa.Array, n: np.ndarray, vector: np.ndarray) -> pa.RecordBatch:
+    offsets = np.arange(len(n) + 1, dtype=np.int32) * vector.shape[1]
+    return pa.RecordBatch.from_arrays([token, pa.array(n), pa.ListArray.from_arrays(pa.array(offsets), pa.array(vector.ravel()))], names=["token", "n", "vector"])
+
+
+def _totals(batch: pa.RecordBatch, left: pa.RecordBatch | None, dimension: int) -> list[pa.RecordBatch]:
+    """Rows of (token, n, vector) in order of tokens, summed by token: all but the last token, and that, which may go on in the next batch. left is the last one before."""
+    own = [x for x in (left, batch) if x is not None and x.num_rows]
+    if not own:
+        return [left]
+    token = pa.concat_arrays([x.column(0).cast(pa.string()) for x in own])
+    n = np.concatenate([x.column(1).to_numpy() for x in own])
+    vector = np.concatenate([x.column(2).flatten().to_numpy().astype(np.int64) for x in own]).reshape(-1, dimension)
+    code = token.dictionary_encode().indices.to_numpy()
+    starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+    out = _rows(token.take(pa.array(starts)), np.add.reduceat(n, starts), np.add.reduceat(vector, starts, axis=0))
+    return [out.slice(0, out.num_rows - 1), out.slice(out.num_rows - 1)] if out.num_rows > 1 else [out]
+
+
+def _scaled(sums: pa.RecordBatch) -> pa.RecordBatch:
+    v = sums.column(2).flatten().to_numpy().reshape(sums.num_rows, -1)
+    size = np.maximum(np.abs(v).sum(axis=1, keepdims=True), 1)
+    return _rows(sums.column(0), sums.column(1).to_numpy(), np.sign(v) * (np.abs(v) * SCALE // size))
+
+
+def _slices(lists: pa.ListArray) -> Iterator[pa.ListArray]:
+    """Runs of lists that hold at most TOKENS tokens together; a longer list is alone."""
+    ends, first = lists.offsets.to_numpy(), 0
+    while first < len(lists):
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + TOKENS, side="right")) - 1)
+        yield lists.slice(first, last - first)
+        first = last
+
+
+def _summed(texts: pa.ListArray, dimension: int, window: int) -> pa.RecordBatch:
+    """(token, n, vector) of the tokens of lists: occurrences and, by bit, the summed signs of their neighbours."""
+    words = texts.flatten().dictionary_encode()
+    code, known = words.indices.to_numpy().astype(np.int64), words.dictionary
+    h = np.array([int.from_bytes(md5(w.encode()).digest()[:4]) for w in known.to_pylist()], np.int64)
+    signs = (2 * ((h[:, None] >> np.arange(dimension)) & 1) - 1).astype(np.int16 if window < 2**14 else np.int32)
+    text = np.repeat(np.arange(len(texts)), np.diff(texts.offsets.to_numpy()))
+    order = np.argsort(code, kind="stable")
+    n = np.bincount(code, minlength=len(known))
+    starts = np.cumsum(n) - n
+    out = np.zeros((len(known), dimension), np.int32)
+    for first in range(0, dimension, 8):  # so many columns at once, for memory
+        own = signs[:, first : first + 8][code]
+        near = np.zeros_like(own)
+        for k in range(1, min(window, len(code) - 1) + 1):
+            same = (text[k:] == text[:-k])[:, None]
+            near[k:] += own[:-k] * same
+            near[:-k] += own[k:] * same
+        out[:, first : first + 8] = np.add.reduceat(near[order], starts, axis=0, dtype=np.int32)
+    return _rows(known, n, out)
+
+
 def table_vectors(texts: DataFrame, table: DataFrame, id_col: str = "id", text_col: str = "text", dimension: int = DIMENSION, salts: int = 16) -> DataFrame:
     """(id, n_tokens, sums, vector): the weighted sums and their unit vector (zeros where they are zero).
 

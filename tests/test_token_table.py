@@ -67,3 +67,25 @@ def test_tokens_of_like_contexts_are_near(spark):
         return sum(p * q for p, q in zip(x, y)) / (sum(p * p for p in x) * sum(q * q for q in y)) ** 0.5
 
     assert cosine("cat", "dog") > 0.99 > 0.7 > cosine("cat", "stocks")
+
+
+def test_slices_of_texts(spark, monkeypatch):
+    """Sums are taken over slices of lists, also of a cut array, and a list longer than a slice is one; only the sums of each slice are shuffled."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(T, "TOKENS", 4)
+    texts = ["a b a", "c", "", "b a b a b a b", "a c", "d", "c c c c"]
+    lists = pa.array([["q"], *[re.findall(r"\w+", x) for x in texts]]).slice(1)
+    parts = list(T._slices(lists))
+    assert [len(p) for p in parts] == [3, 1, 2, 1] and pa.concat_arrays(parts).to_pylist() == lists.to_pylist()
+    own = sorted((tuple(r.values()) for p in parts for r in T._summed(p, 5, 3).to_pylist()), key=lambda r: r[0])
+    left, got = None, {}
+    for first in range(0, len(own), 2):
+        cut = own[first : first + 2]
+        *done, left = T._totals(T._rows(pa.array([r[0] for r in cut]), np.array([r[1] for r in cut]), np.array([r[2] for r in cut])), left, 5)
+        got |= {r["token"]: (r["n"], r["vector"]) for x in map(T._scaled, done) for r in x.to_pylist()}
+    got |= {r["token"]: (r["n"], r["vector"]) for r in T._scaled(left).to_pylist()}
+    assert got == {t: (n, v) for t, (n, _, v) in learnt(texts, 5, 3).items()}
+    rows = spark.createDataFrame([("a b c",)] * 50, "text string")
+    assert {r.token: r.n for r in T.token_table(rows).collect()} == {"a": 50, "b": 50, "c": 50}
