@@ -243,3 +243,33 @@ def test_templates_and_regular_expressions_are_no_code():
     assert ("CONSTANT", "R", 2, 2) in got and ("VARIABLE", "half", 4, 4) in got
     calls = {r["name"]: r["calls"] for r in top if r["entity_type"] == "FUNCTION"}
     assert "b" in calls["a"] and "d" in calls["c"] and calls["e"] == ["f", "g"]
+
+
+def test_files_are_taken_in_slices(spark, monkeypatch):
+    """A worker gives rows on as soon as there are some; what it makes doesn't depend on the slices."""
+    import pyarrow as pa
+
+    text = 'import os\n\n\nclass A:\n    """Doc."""\n\n    def m(self):\n        return f()\n'
+    files = [(f"d/x{i}.py", text if i % 3 else None if i % 2 else "def (") for i in range(130)]
+    want = [r for p, s in files for r in code._flat(p, s, "python")]
+    monkeypatch.setattr(code, "ROWS", 7)
+    kept = []
+
+    class Source:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            batch = pa.RecordBatch.from_arrays([pa.array([f[0] for f in files]), pa.array([f[1] for f in files]), pa.array(["python"] * len(files))], names=["p", "c", "l"])
+            kept.extend(run(iter([batch.slice(0, 101), batch.slice(101)])))
+
+    spark.range(0)
+    code.entities(Source())
+    assert len(kept) == -(-len(want) // 7) and all(b.num_rows <= 7 for b in kept)
+    assert [tuple(r.values()) for b in kept for r in b.to_pylist()] == want
+
+
+def test_edges_are_counted_over_files_that_are_parsed_once(spark):
+    plan = graph.edge_counts(code.entities(spark.createDataFrame([("a.py", "def f():\n    g()\n\n\ndef g():\n    pass\n")], "file_path string, content string")))
+    assert "MapInArrow" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in plan.collect()} == {("declare", 2, 1), ("call", 1, 1)}
