@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .components import ranked
+from .components import ranked, staged
 
 CONTAINERS, NODES = ["MODULE", "CLASS"], ["FUNCTION", "METHOD", "CONSTANT", "VARIABLE"]
 
@@ -78,7 +78,9 @@ def entity_graph(entities: DataFrame, kinds: list[str] | None = None, relations:
 
 
 def edge_counts(entities: DataFrame) -> DataFrame:
-    """(type, n_edges, n_sources) of the edges of `entity_graph`, whose calls are counted and not drawn."""
+    """(type, n_edges, n_sources) of the edges of `entity_graph`, whose calls are counted and not drawn. Files are parsed once: what the joins read of entities is staged."""
+    own = ("file_path", "ord", "parent", "entity_type", "name", "start_line", "hierarchy_path", "calls", "dependencies")
+    entities = staged(entities.select(*own), "entities")
     _, declares, calls, names, imported = _linked_entities(entities, None)
     drawn = declares.select("type", "src", "dst").unionByName(imported.select(F.lit("import").alias("type"), "src", "dst")).distinct()
     some = drawn.groupBy("type", "src").agg(F.count(F.lit(1)).alias("n")).unionByName(call_counts(calls, names).select(F.lit("call").alias("type"), "src", "n"))
