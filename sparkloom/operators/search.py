@@ -15,6 +15,8 @@ from .filters import compile_filter
 
 #: Most pivots, rows of a block, and queries that are scored at once.
 PIVOTS, BLOCK, SCORED = 1024, 2_000, 500
+#: Bands of the grid of all pairs, most rows of one, cells of a matrix, and rows that tell whether blocks can be told apart.
+GRID, BAND, CELLS, SAMPLE = 16, 50_000, 2_000_000, 500
 
 
 def top_k(points: DataFrame, query: list[float], k: int = 5, metric: str = "cosine", where: dict | None = None, id_col: str = "id", vector_col: str = "vector", prefix: str = "") -> DataFrame:
@@ -42,7 +44,9 @@ class Cells:
     def __init__(self, points: DataFrame, id_col: str, vector_col: str, block: int, within: str | None = None):
         self.stage, self.n = Staged(points.sparkSession), 0
         label = F.lit(0).cast("long") if within is None else F.xxhash64(within)
-        given = points.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), label.alias("label")).filter("v IS NOT NULL")
+        kind = points.schema[vector_col].dataType.simpleString()
+        kind = kind if kind in ("array<float>", "array<double>") else "array<double>"  # floats stay, being half as long; they are compared as doubles
+        given = points.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("v"), label.alias("label")).filter("v IS NOT NULL")
         given = self.stage(given, "vectors")
         self.n = given.count()
         if not self.n:
@@ -59,7 +63,7 @@ class Cells:
                     cell = d.argmin(axis=1)
                     yield b.assign(cell=cell, away=d[np.arange(len(b)), cell])
 
-        own = given.mapInPandas(home, "id long, v array<double>, label long, cell int, away double")
+        own = given.mapInPandas(home, f"id long, v {kind}, label long, cell int, away double")
         self.rows = self.stage(ranked(own, "label", "cell", "away", "id").withColumn("block", F.floor(F.col("place") / block)).drop("place"), "cells")
         self.segments = self.stage(self.rows.groupBy("label", "cell", "block").agg(F.min("away").alias("lo"), F.max("away").alias("hi")), "rings")
         found = {r["cell"]: r["r"] for r in self.segments.groupBy("cell").agg(F.max("hi").alias("r")).collect()}  # PIVOTS at most
@@ -93,6 +97,50 @@ class Cells:
         met = found.join(rings, (F.col("label") == F.col("l")) & (F.col("at_cell") == F.col("cell")) & (F.col("hi") >= F.col("at_lo")) & (F.col("lo") <= F.col("at_hi")))
         return met.select(*names, "other").distinct()
 
+    def crowded(self, r: float) -> bool:
+        """Whether points meet, within r, over GRID blocks each and over half of those with their label, as some of them (SAMPLE at most, by their hash) tell."""
+        some = self.rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("id", "v", "label")
+        held = self.segments.select("label", "block").distinct().groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+        most = some.join(held, "label").agg(F.sum("n")).first()[0]
+        return self.visits(some.withColumn("r", F.lit(r))).count() > max(GRID * min(SAMPLE, self.n), most / 2)
+
+
+def _all_pairs(c: Cells, own: DataFrame, eps: float) -> DataFrame:
+    """(a, b, distance), a < b, of all rows (id, v, label, block) of one label within eps, every two compared.
+
+    Consecutive blocks form GRID bands, more where a band would get over BAND rows. Two bands meet in one
+    square of the grid, so a row is sent to as many squares as there are bands, which up to GRID * BAND rows
+    does not depend on the number of rows; in a square CELLS of the matrix are made at a time. Blocks are in order of labels: bands without a common label don't meet.
+    """
+    blocks = own.agg(F.max("block")).first()[0] + 1
+    span = max(1, min(-(-blocks // GRID), BAND * blocks // c.n))
+    band = own.withColumn("band", F.floor(F.col("block") / span)).drop("block")
+    ends = band.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    lo, hi = (ends.select(F.col("band").alias(n), F.col("low").alias(f"{n}_low"), F.col("high").alias(f"{n}_high")) for n in ("lo", "hi"))
+    squares = lo.join(hi, F.col("lo") <= F.col("hi")).filter("lo_low <= hi_high AND hi_low <= lo_high").select("lo", "hi")
+    squares = c.stage(squares.unionByName(squares.filter("lo < hi").select(F.col("hi").alias("lo"), F.col("lo").alias("hi"))), "squares")
+    sent = band.join(F.broadcast(squares.withColumnRenamed("lo", "band")), "band")  # a row goes to each square of its band's row and column
+    sent = sent.select("id", "v", "label", F.least("band", "hi").alias("lo"), F.greatest("band", "hi").alias("hi"), (F.col("band") <= F.col("hi")).alias("first"))
+
+    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        same = key[0] == key[1]
+        left, right = (pdf, pdf) if same else (pdf[pdf["first"]], pdf[~pdf["first"]])
+        out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        if len(left) and len(right):
+            unit, ids, labels, found = _unit(np.stack(right.v.to_numpy())).T, right.id.to_numpy(), right.label.to_numpy(), []
+            step = max(1, CELLS // len(right))
+            for first in range(0, len(left), step):
+                part = left.iloc[first : first + step]
+                d = 1 - _unit(np.stack(part.v.to_numpy())) @ unit
+                i, j = np.nonzero(d <= eps)
+                a, b = part.id.to_numpy()[i], ids[j]
+                keep = (a < b if same else a != b) & (part.label.to_numpy()[i] == labels[j])
+                found.append((np.minimum(a, b)[keep], np.maximum(a, b)[keep], d[i[keep], j[keep]]))
+            out = [np.concatenate(x) for x in zip(*found, strict=True)]
+        return pd.DataFrame(dict(zip(("a", "b", "distance"), out, strict=True)))
+
+    return sent.groupBy("lo", "hi").applyInPandas(compare, "a long, b long, distance double")
+
 
 def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Euclidean distances of the rows of x to those of y."""
@@ -151,6 +199,7 @@ def top_k_many(points: DataFrame, queries: DataFrame, k: int = 5, id_col: str =
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
+    m = m.astype(np.float64, copy=False)
     size = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, size, out=np.zeros_like(m), where=size > vectors.EPSILON)
 
@@ -174,14 +223,19 @@ def pairs_within(points: DataFrame, eps: float, id_col: str = "id", vector_col:
     Exact: see Cells. Two blocks meet in one group of at most 2 * block rows,
     where a matrix product compares those of the one that can be near to the other
     with all of that. Vectors without a nearer neighbourhood than others (all at a
-    right angle, say) can't be told apart by any such bound, and then all
-    blocks meet. counts, if given, gets the number of pairs compared.
+    right angle, say) can't be told apart by any such bound, and then all blocks
+    meet, in squares of a grid (see _all_pairs). counts, if given, gets the number of pairs
+    compared by blocks.
     """
     c = Cells(points, id_col, vector_col, block, within)
     if not c.n:
         return points.sparkSession.createDataFrame([], "a long, b long, distance double")
     r = float(np.sqrt(2 * max(eps, 0)))
     own = c.rows.select("id", "v", "label", "block")
+    if counts is None and c.crowded(r):
+        out = staged(_all_pairs(c, own, eps), "within")
+        c.stage.drop()
+        return out
     far = c.visits(own.withColumn("r", F.lit(r))).filter("other > block").select("id", "block", "other")
     far = c.stage(far, "visits")
     meet = c.stage(far.groupBy("block", "other").agg(F.count(F.lit(1)).alias("n")), "meet")

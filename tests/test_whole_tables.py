@@ -3,6 +3,7 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.operators import graph, search
 from sparkloom.plans import registry
@@ -58,6 +59,35 @@ def test_pairs_within_match_a_matrix(spark):
     assert search.pairs_within(points.filter("false"), 0.05).count() == 0
 
 
+def test_a_grid_sends_a_row_as_often_as_it_has_bands(spark, monkeypatch):
+    """Where all blocks meet, rows are sent once for each band and not for each block, and the pairs are those of a matrix."""
+    monkeypatch.setattr(search, "GRID", 3)
+    monkeypatch.setattr(search, "CELLS", 1000)
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(600, 24)).astype(np.float32)
+    v[-2:] = 0
+    labels = np.arange(600) % 2
+    points = spark.createDataFrame([(i, int(g), x.tolist()) for i, (g, x) in enumerate(zip(labels, v, strict=True))], "id long, label long, vector array<float>")
+    grid, sent = search._all_pairs, []
+
+    def counted(c, own, eps):
+        plan = grid(c, own, eps)
+        sent.append(c.rows.agg(F.max("block")).first()[0] + 1)
+        return plan
+
+    monkeypatch.setattr(search, "_all_pairs", counted)
+    v = v.astype(float)
+    size = np.linalg.norm(v, axis=1, keepdims=True)
+    unit = np.divide(v, size, out=np.zeros_like(v), where=size > 0)
+    near = np.triu(1 - unit @ unit.T <= 0.6, 1)
+    for within, want in ((None, near), ("label", near & (labels[:, None] == labels))):
+        got = [(r.a, r.b) for r in search.pairs_within(points, 0.6, block=25, within=within).collect()]
+        assert sorted(got) == sorted(zip(*(x.tolist() for x in np.nonzero(want)), strict=True))
+    assert sent == [24, 24]
+    clear = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(clustered(900, centres=45)[90:-2])], "id long, vector array<double>")
+    assert search.pairs_within(clear, 0.01, block=20).count() and len(sent) == 2
+
+
 def test_compared_pairs_grow_below_the_square(spark):
     """Four times the points in as dense neighbourhoods: the square would be 16 times the pairs."""
     found = []
