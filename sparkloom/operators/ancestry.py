@@ -32,6 +32,11 @@ class Chains:
     edges: DataFrame
 
 
+def _large(rows: DataFrame) -> DataFrame:
+    """rows that grow with the history: joined by sorting both sides, so that no round sends them through the driver to be broadcast, however well their files are packed."""
+    return rows.hint("merge")
+
+
 def chains(parents: DataFrame) -> Chains:
     """The chains of a history (commit_id, parent_id; null for none). Commits that are only named as parents count too; a commit that is its own parent has none; other cycles are an error."""
     spark = parents.sparkSession
@@ -39,7 +44,7 @@ def chains(parents: DataFrame) -> Chains:
     edges = own(parents.filter("parent_id IS NOT NULL AND commit_id <> parent_id").select("commit_id", "parent_id").distinct(), "edges")
     ids = parents.select("commit_id").unionByName(edges.select(F.col("parent_id").alias("commit_id"))).filter("commit_id IS NOT NULL").distinct()
     first = edges.groupBy("commit_id").agg(F.min("parent_id").alias("up"))
-    t = own(ids.join(first, "commit_id", "left").select(F.col("commit_id").alias("id"), "up", F.col("up").alias("jump"), F.col("up").isNotNull().cast("long").alias("depth"), F.lit(0).cast("long").alias("tall")), "jumps")
+    t = own(ids.join(_large(first), "commit_id", "left").select(F.col("commit_id").alias("id"), "up", F.col("up").alias("jump"), F.col("up").isNotNull().cast("long").alias("depth"), F.lit(0).cast("long").alias("tall")), "jumps")
     length, turn = 1, None
     while t.filter("jump IS NOT NULL").limit(1).count():
         if length.bit_length() > _MOST:
@@ -47,19 +52,19 @@ def chains(parents: DataFrame) -> Chains:
         now = Staged(spark)
         above = t.groupBy(F.col("jump").alias("id")).agg((F.max("tall") + length).alias("above"))
         there = t.select(F.col("id").alias("jump"), F.col("jump").alias("next"), F.col("depth").alias("more"))
-        t = now(t.join(above, "id", "left").join(there, "jump", "left").select("id", "up", F.col("next").alias("jump"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.greatest("tall", F.coalesce("above", F.lit(0))).alias("tall")), "jumps")
+        t = now(t.join(_large(above), "id", "left").join(_large(there), "jump", "left").select("id", "up", F.col("next").alias("jump"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.greatest("tall", F.coalesce("above", F.lit(0))).alias("tall")), "jumps")
         if turn:
             turn.drop()
         length, turn = 2 * length, now
     on = t.filter("up IS NOT NULL").groupBy("up").agg(F.max(F.struct("tall", "id"))["id"].alias("id")).select("id", F.lit(True).alias("on"))
-    c = own(t.join(on, "id", "left").select("id", "depth", F.when(F.col("on"), F.col("up")).otherwise(F.col("id")).alias("chain")), "chains")
+    c = own(t.join(_large(on), "id", "left").select("id", "depth", F.when(F.col("on"), F.col("up")).otherwise(F.col("id")).alias("chain")), "chains")
     if turn:
         turn.drop()
     turn = None
     while True:
         now = Staged(spark)
         there = c.select(F.col("id").alias("chain"), F.col("chain").alias("next"))
-        c = now(c.join(there, "chain").select("id", "depth", F.col("next").alias("chain"), (F.col("next") != F.col("chain")).alias("moved")), "chains")
+        c = now(c.join(_large(there), "chain").select("id", "depth", F.col("next").alias("chain"), (F.col("next") != F.col("chain")).alias("moved")), "chains")
         going = c.filter("moved").limit(1).count()
         c = c.drop("moved")
         if turn:
@@ -69,7 +74,7 @@ def chains(parents: DataFrame) -> Chains:
             break
     commits = staged(c.select(F.col("id").alias("commit_id"), "chain", "depth"), "commits")
     lower = commits.select(F.col("commit_id").alias("parent_id"), F.col("chain").alias("to_chain"), F.col("depth").alias("to_at"))
-    exits = edges.join(commits, "commit_id").join(lower, "parent_id").filter("chain <> to_chain")
+    exits = edges.join(_large(commits), "commit_id").join(_large(lower), "parent_id").filter("chain <> to_chain")
     exits = staged(exits.groupBy("chain", F.col("depth").alias("at"), "to_chain").agg(F.max("to_at").alias("to_at")), "exits")
     edges = staged(edges, "edges")
     turn.drop()
@@ -84,7 +89,7 @@ def reach(c: Chains, heads: DataFrame) -> DataFrame:
     found = turn(found.withColumn("seen", F.lit(-1).cast("long")), "reach")
     while True:
         way = c.exits.select("chain", F.col("at").alias("exit"), "to_chain", "to_at")
-        new = found.filter("at > seen").join(way, "chain").filter("exit > seen AND exit <= at").groupBy("head", F.col("to_chain").alias("chain")).agg(F.max("to_at").alias("new"))
+        new = found.filter("at > seen").join(_large(way), "chain").filter("exit > seen AND exit <= at").groupBy("head", F.col("to_chain").alias("chain")).agg(F.max("to_at").alias("new"))
         now = Staged(c.commits.sparkSession)
         joined = found.join(new, ["head", "chain"], "full").select("head", "chain", F.greatest("at", "new").alias("at"), F.coalesce("at", F.lit(-1)).alias("seen"))
         found = now(joined, "reach")
@@ -98,7 +103,7 @@ def ancestors(parents: DataFrame, heads: DataFrame, c: Chains | None = None) ->
     """(head, commit_id): everything reachable from heads (head, commit_id), heads included."""
     c = c or chains(parents)
     named = heads.select("head", "commit_id").distinct()
-    found = reach(c, named).join(c.commits, "chain").filter("depth <= at").select("head", "commit_id")
+    found = reach(c, named).join(_large(c.commits), "chain").filter("depth <= at").select("head", "commit_id")
     return found.unionByName(named.join(c.commits, "commit_id", "left_anti").select("head", "commit_id"))
 
 
@@ -110,9 +115,9 @@ def merge_bases(parents: DataFrame, pairs: DataFrame, c: Chains | None = None) -
     r = reach(c, heads)
     x, y = r.select(F.col("head").alias("left"), "chain", F.col("at").alias("x")), r.select(F.col("head").alias("right"), "chain", F.col("at").alias("y"))
     common = staged(pairs.join(x, "left").join(y, ["right", "chain"]).select("left", "right", "chain", F.least("x", "y").alias("at")), "common")
-    top = common.join(c.commits, "chain").filter("depth = at").select("left", "right", "commit_id")
+    top = common.join(_large(c.commits), "chain").filter("depth = at").select("left", "right", "commit_id")
     # what is common holds all ancestors of its members, so one that another descends from has a child in it
-    child = c.edges.join(c.commits, "commit_id").select(F.col("parent_id").alias("commit_id"), "chain", "depth")
+    child = c.edges.join(_large(c.commits), "commit_id").select(F.col("parent_id").alias("commit_id"), "chain", "depth")
     under = top.join(child, "commit_id").join(common, ["left", "right", "chain"]).filter("depth <= at").select("left", "right", "commit_id").distinct()
     return top.join(under, ["left", "right", "commit_id"], "left_anti")
 

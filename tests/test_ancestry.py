@@ -86,3 +86,12 @@ def test_merge_base_and_order(spark):
             ancestry.chains(spark.createDataFrame([("a", "b"), ("b", "a")], EDGES))
         finally:
             ancestry._MOST = 64
+
+
+def test_histories_are_not_broadcast(spark):
+    """What heads reach is joined with all commits, which grow with the history, by sorting."""
+    rows = spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "b")], EDGES)
+    found = ancestry.ancestors(rows, spark.createDataFrame([("h", "c")], "head string, commit_id string"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan.split("Union")[1].split("LeftAnti")[0]
+    assert {r.commit_id for r in found.collect()} == {"a", "b", "c"}
