@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 from bisect import bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +21,8 @@ from .components import Staged, connected_components, ranked, staged
 LINKAGE, MERGE = 0.3, 0.6
 #: Rows of a part of groups that one task repairs, and rows of such parts that a task gets at once.
 SMALL, TOGETHER = 2000, 20_000
+#: Pairs of groups that are compared at once, and numbers of their vectors.
+COMPARED = 2_000_000
 #: Ids of a path that meet others at once, and pairs that a task makes.
 MET, MADE = 3_000, 20_000_000
 #: Last characters of a text by which it is looked for in others.
@@ -319,44 +325,190 @@ def _similar_groups(pairs: DataFrame, own: DataFrame, units: DataFrame) -> DataF
     return pairs.join(found, ["a", "b"], "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
 
 
-def _repaired_part(rows: list[tuple], merge: float) -> list[tuple]:
-    """One part's rows (group_id, chunk_id, file_path, unit) worked through: means of unit vectors stand for the groups."""
-    files: dict = {}  # group -> chunk -> files
-    for g, c, f, _ in rows:
-        files.setdefault(g, {}).setdefault(c, set()).add(f)
-    unit = {c: np.asarray(u, float) for _, c, _, u in rows if u is not None}
-    moved: set = set()
+def _places(lengths: np.ndarray) -> np.ndarray:
+    """0 .. n - 1 for each length n, one after another."""
+    return np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where one of the columns has another value than a row before."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for x in columns:
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+def _firsts(hit: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Of consecutive runs of these lengths, each with a hit, the place of the first one."""
+    at = np.flatnonzero(hit)
+    return at[_starts(np.repeat(np.arange(len(lengths)), lengths)[at])]
+
+
+def _ordered(values: pa.Array) -> np.ndarray:
+    """A number for each value, in their order."""
+    found = values.dictionary_encode()
+    number = np.empty(len(found.dictionary), np.int64)
+    number[pc.sort_indices(found.dictionary).to_numpy()] = np.arange(len(number))
+    return number[found.indices.to_numpy()]
+
+
+def _equal(values: pa.Array) -> np.ndarray:
+    """A number for each value, null too."""
+    return values.dictionary_encode(null_encoding="encode").indices.to_numpy().astype(np.int64)
+
+
+def _unit_rows(vectors: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors, the shorter ones ending in zeros, and which rows have one. Vanishing vectors and such with a null are zero."""
+    has = vectors.is_valid().to_numpy(zero_copy_only=False)
+    n = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy().astype(np.int64)
+    flat = vectors.flatten().cast(pa.float64())
+    row = np.repeat(np.arange(len(n)), n)
+    out = np.zeros((len(n), max(1, n.max(initial=0))))
+    out[row, _places(n)] = flat.fill_null(0.0).to_numpy()
+    out[row[flat.is_null().to_numpy(zero_copy_only=False)]] = 0
+    size = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return out / np.where(size > 0, size, 1), has
+
+
+def _most_similar(mean: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(s, x, y) of consecutive runs of two or more rows: the most similar pair of each, x before y, the first of equal ones."""
+    n, ends = lengths * (lengths - 1) // 2, np.cumsum(lengths)
+    cuts = [*_starts(np.cumsum(n) // COMPARED), len(n)]
+    found = []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        own = np.arange(ends[a] - lengths[a], ends[b - 1])
+        after = np.repeat(ends[a:b], lengths[a:b]) - own - 1
+        x = np.repeat(own, after)
+        y = x + 1 + _places(after)
+        step = max(1, COMPARED // mean.shape[1])
+        s = np.concatenate([np.einsum("ij,ij->i", mean[x[i : i + step]], mean[y[i : i + step]]) for i in range(0, len(x), step)])
+        s = np.nan_to_num(np.rint(s * 1e12) / 1e12)
+        at = _firsts(s == np.repeat(np.maximum.reduceat(s, np.cumsum(n[a:b]) - n[a:b]), n[a:b]), n[a:b])
+        found.append((s[at], x[at], y[at]))
+    return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+
+def _repaired_rows(p: np.ndarray, g: np.ndarray, c: np.ndarray, f: np.ndarray, unit: np.ndarray, has: np.ndarray, merge: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, group) of what is left of rows of many parts p, worked through side by side: each part takes its next step in each turn. Groups g and files f are numbered in order, apart for each part, and so are chunks c."""
+    n_g, n_c, n_p = g.max(initial=0) + 1, c.max(initial=0) + 1, p.max(initial=0) + 1
+    at, moved, done = np.arange(len(p)), np.zeros(n_c, bool), []
     while True:
-        held: dict = {}
-        for g in sorted(files):
-            for f in set().union(*files[g].values()):
-                held.setdefault(f, []).append(g)
-        wrong = [(own[0], f) for f, own in held.items() if len(own) > 1]
-        if not wrong:
-            break
-        file = min(wrong)[1]
-        own = held[file]
-        vectors = [[unit[c] for c in files[g] if c in unit] for g in own]
-        mean = [np.mean(v, axis=0) if v else None for v in vectors]
-        pairs = [(-round(float(mean[i] @ mean[j]), 12), a, own[j]) for i, a in enumerate(own) for j in range(i + 1, len(own)) if mean[i] is not None and mean[j] is not None]
-        best = min(pairs, default=(0.0,))
-        if -best[0] >= merge:
-            files[best[1]] |= files.pop(best[2])
-            continue
-        to = min(own, key=lambda g: (-sum(file in x for x in files[g].values()), g))
-        going = {g: [c for c, x in files[g].items() if file in x] for g in own if g != to}
-        if back := [g for g, chunks in going.items() if moved.intersection(chunks)]:
-            files[min(to, back[0])] |= files.pop(max(to, back[0]))
-            continue
-        for g, chunks in going.items():
-            moved.update(chunks)
-            files[to] |= {c: files[g].pop(c) for c in chunks}
-            if not files[g]:
-                del files[g]
-    return [(g, c, f) for g, own in files.items() for c, paths in own.items() for f in paths]
-
-
-def repaired(members: DataFrame, vectors: DataFrame, merge: float = MERGE) -> DataFrame:
+        key = (f[at] * n_g + g) * n_c + c[at]
+        key, order = np.unique(key, return_index=True)  # a chunk that two groups held is there once
+        at, g = at[order], g[order]
+        first = _starts(key // n_c)  # a group that holds a file
+        n = np.diff(np.r_[first, len(at)])
+        file, group, part, again = f[at[first]], g[first], p[at[first]], np.logical_or.reduceat(moved[c[at]], first) if len(at) else first
+        ahead = _starts(file)
+        held = np.diff(np.r_[ahead, len(file)])
+        ahead, held = ahead[held > 1], held[held > 1]
+        order = np.lexsort((file[ahead], group[ahead], part[ahead]))
+        ahead, held = ahead[order], held[order]
+        next_ = _starts(part[ahead])  # the next file of each part
+        ahead, held = ahead[next_], held[next_]
+        active = np.zeros(n_p, bool)
+        active[part[ahead]] = True
+        keep = active[p[at]]
+        done.append((at[~keep], g[~keep]))
+        if not len(ahead):
+            return tuple(map(np.concatenate, zip(*done, strict=True)))
+        own = np.repeat(ahead, held) + _places(held)  # the groups of these files
+        starts, named = np.cumsum(held) - held, group[own]
+        number = np.full(n_g, -1)
+        number[named] = np.arange(len(own))
+        rows = np.flatnonzero((number[g] >= 0) & has[at])
+        rows = rows[np.unique(number[g[rows]] * n_c + c[at[rows]], return_index=True)[1]]
+        of = number[g[rows]]
+        mean = np.zeros((len(own), unit.shape[1]))
+        if len(rows):
+            s = _starts(of)
+            mean[of[s]] = np.add.reduceat(unit[at[rows]], s, axis=0) / np.diff(np.r_[s, len(of)])[:, None]
+        s, x, y = _most_similar(mean, held)
+        alike, into = s >= merge, np.arange(n_g)
+        into[named[y[alike]]] = named[x[alike]]
+        most = _firsts(n[own] == np.repeat(np.maximum.reduceat(n[own], starts), held), held)
+        to = np.repeat(most, held)
+        slot = np.repeat(np.arange(len(held)), held)
+        back = np.flatnonzero(again[own] & (to != np.arange(len(own))) & ~alike[slot])
+        back = back[_starts(slot[back])]
+        into[np.maximum(named[to[back]], named[back])] = np.minimum(named[to[back]], named[back])
+        alike[slot[back]] = True
+        goes = np.flatnonzero(~alike[slot] & (to != np.arange(len(own))))
+        dest = np.full(len(first), -1)
+        dest[own[goes]] = named[to[goes]]
+        dest = np.repeat(dest, n)
+        gone, one = np.unique((g * n_c + c[at])[dest >= 0], return_index=True)
+        new = into[g]
+        if len(gone):  # a chunk goes with all its files
+            place = np.minimum(np.searchsorted(gone, g * n_c + c[at]), len(gone) - 1)
+            goes = gone[place] == g * n_c + c[at]
+            new[goes] = dest[dest >= 0][one][place[goes]]
+            moved[c[at[goes]]] = True
+        at, g = at[keep], new[keep]
+
+
+def _whole_parts(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows in order of their part, in batches of whole parts and some `least` rows, with a number for each row's part."""
+    left: list[pa.RecordBatch] = []
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            left.append(batch)
+        if left and (batch is None or sum(map(len, left)) >= least):
+            rows = pa.concat_batches(left)
+            new = _starts(_equal(rows.column("part")))
+            end = len(rows) if batch is None else new[-1] if len(new) else 0
+            left = [rows.slice(end)]
+            if end:
+                yield rows.slice(0, end), np.repeat(np.arange(len(new)), np.diff(np.r_[new, len(rows)]))[:end]
+
+
+def _side_by_side(rows: DataFrame, merge: float) -> DataFrame:
+    """(group_id, chunk_id, file_path) of rows (part, group_id, chunk_id, file_path, vector), repaired by part: tasks get whole parts, in order, and work some TOGETHER rows of them through at once."""
+    ids, kind = ["group_id", "chunk_id", "file_path"], dict(rows.dtypes)
+
+    def repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, p in _whole_parts(batches, TOGETHER):
+            apart = lambda x: np.unique(p * (x.max() + 1) + x, return_inverse=True)[1]  # noqa: E731, B023
+            group, chunk, file = (own.column(c) for c in ids)
+            g = apart(_ordered(group))
+            named = np.unique(g, return_index=True)[1]
+            at, to = _repaired_rows(p, g, apart(_equal(chunk)), apart(_ordered(file)), *_unit_rows(own.column("vector")), merge)
+            at = pa.array(at)
+            yield pa.RecordBatch.from_arrays([group.take(pa.array(named[to])), chunk.take(at), file.take(at)], names=ids)
+
+    return rows.select("part", *ids, "vector").repartition("part").sortWithinPartitions("part").mapInArrow(repair, ", ".join(f"{c} {kind[c]}" for c in ids))
+
+
+def _numbered(m: DataFrame, col: str) -> DataFrame:
+    """m with {col}_no, a number for each value in each part, in order."""
+    n = ranked(m.select("part", col).distinct(), "part", col, name=f"{col}_no").withColumnsRenamed({"part": "in_part", col: "value"})
+    return m.join(n, F.col("part").eqNullSafe(F.col("in_part")) & F.col(col).eqNullSafe(F.col("value"))).drop("in_part", "value")
+
+
+def _repaired_within(m: DataFrame, merge: float) -> DataFrame:
+    """`repaired` of rows (part, group_id, chunk_id, file_path, vector) whose parts share nothing. Parts of more than SMALL rows are numbered, so that they share no ids, and cut up further."""
+    ids = ["group_id", "chunk_id", "file_path"]
+    large = staged(m.groupBy("part").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SMALL).select(F.col("part").alias("large")), "large")
+    if not large.limit(1).count():
+        return _side_by_side(m, merge)
+    same = F.col("part").eqNullSafe(F.col("large"))
+    small, m = _side_by_side(m.join(large, same, "left_anti"), merge), m.join(large, same, "left_semi")
+    kept = Staged(m.sparkSession)
+    for c in ids:
+        m = _numbered(m, c)
+    m = kept(m, "numbered")
+    number = {f"{c}_no": c for c in ids}
+    out = repaired(m.select(*number).withColumnsRenamed(number), m.select(F.col("chunk_id_no").alias("chunk_id"), "vector").dropDuplicates(["chunk_id"]), merge)
+    out = out.withColumnsRenamed({c: n for n, c in number.items()})
+    for n, c in number.items():
+        out = out.join(m.select(n, c).distinct(), n)
+    out = staged(small.unionByName(out.select(*ids)), "repaired")
+    kept.drop()
+    return out
+
+
+def repaired(members: DataFrame, vectors: DataFrame | None = None, merge: float = MERGE, within: str | None = None) -> DataFrame:
     """(group_id, chunk_id, file_path) with every file in one group.
 
     One file at a time: the first one (in order of groups, then of paths) that
@@ -366,18 +518,23 @@ def repaired(members: DataFrame, vectors: DataFrame, merge: float = MERGE) -> Da
     everything is looked at anew. A chunk of several files could go to and fro
     for ever: where one would move again, the lowest group with such a chunk and
     the one it would go to become one instead. Groups that no chain of files connects don't
-    touch each other: parts of up to SMALL rows are worked through one by one, by
-    tasks that get some TOGETHER rows of them, and of larger ones each takes its
+    touch each other: parts of up to SMALL rows are worked through side by side, by
+    tasks that get some TOGETHER rows of them at once, and of larger ones each takes its
     own next step in a round of joins, as many rounds as the largest has steps.
+    `within` names a column of members, say the change, whose values share no file and no group (equal ids in two of them are
+    different ones): rows are dealt by it, and only values of more than SMALL rows are cut up by chains of files.
     Chunks without a vector are left out of the mean, vanishing vectors count in
-    it as zero; rows without a path are left out.
+    it as zero; rows without a path or a group are left out. Vectors are in `vectors` (chunk_id, vector), or else in a column of members.
     """
     spark = members.sparkSession
+    m = members.filter("file_path IS NOT NULL AND group_id IS NOT NULL")
+    if within is not None:
+        m = m if vectors is None else m.drop("vector").join(vectors.select("chunk_id", "vector"), "chunk_id", "left")
+        return _repaired_within(m.select(F.col(within).alias("part"), "group_id", "chunk_id", "file_path", "vector"), merge)
+    if vectors is None:
+        vectors = m.select("chunk_id", "vector").dropDuplicates(["chunk_id"])
     kept = Staged(spark)
-    size = norm(F.col("vector"))
-    unit = F.transform("vector", lambda x: F.when(size > 0, x.cast("double") / size).otherwise(0.0))
-    units = kept(vectors.filter("vector IS NOT NULL").select("chunk_id", unit.alias("unit")), "units")
-    m = kept(members.select("group_id", "chunk_id", "file_path").filter("file_path IS NOT NULL").distinct(), "members")
+    m = kept(m.select("group_id", "chunk_id", "file_path").distinct(), "members")
     ends = m.select(F.col("group_id").alias("g"), F.concat(F.lit("f"), "file_path").alias("f")).distinct()
     by_file = ends.groupBy("f").agg(F.min("g").alias("first"))
     part = connected_components(ends.join(by_file, "f").filter("g <> first").select(F.col("g").alias("a"), F.col("first").alias("b")).distinct())
@@ -385,19 +542,13 @@ def repaired(members: DataFrame, vectors: DataFrame, merge: float = MERGE) -> Da
     torn = m.groupBy("part", "file_path").agg((F.min("group_id") != F.max("group_id")).alias("torn"), F.count(F.lit(1)).alias("n"))
     size = torn.groupBy("part").agg(F.max("torn").alias("torn"), (F.sum("n") <= SMALL).alias("small"))
     m = kept(m.join(size, "part"), "members")
-    kind, n = dict(m.dtypes), m.filter("torn AND small").count()
-    bucket = F.pmod(F.xxhash64("part"), F.lit(max(1, n // TOGETHER)))
-    rows = m.filter("torn AND small").join(units, "chunk_id", "left").withColumn("bucket", bucket)
-
-    def repair(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows: dict = {}
-        for row in zip(pdf.part, pdf.group_id, pdf.chunk_id, pdf.file_path, pdf.unit, strict=True):
-            rows.setdefault(row[0], []).append(row[1:])
-        return pd.DataFrame([row for own in rows.values() for row in _repaired_part(own, merge)], columns=["group_id", "chunk_id", "file_path"])
-
-    small = rows.groupBy("bucket").applyInPandas(repair, f"group_id {kind['group_id']}, chunk_id {kind['chunk_id']}, file_path {kind['file_path']}")
+    small = _side_by_side(m.filter("torn AND small").join(vectors.select("chunk_id", "vector"), "chunk_id", "left"), merge)
     done, turn = m.filter("NOT torn").select("group_id", "chunk_id", "file_path").unionByName(small), None
     m = m.filter("torn AND NOT small").drop("torn", "small").withColumn("moved", F.lit(False))
+    if m.limit(1).count():
+        size = norm(F.col("vector"))
+        unit = F.transform("vector", lambda x: F.when(size > 0, x.cast("double") / size).otherwise(0.0))
+        units = kept(vectors.filter("vector IS NOT NULL").select("chunk_id", unit.alias("unit")), "units")
     while m.limit(1).count():
         held = m.groupBy("part", "file_path", "group_id").agg(F.countDistinct("chunk_id").alias("n"), F.max("moved").alias("moved"))
         first = held.groupBy("part", "file_path").agg(F.min("group_id").alias("first"), F.count(F.lit(1)).alias("n_groups")).filter("n_groups > 1")

@@ -194,6 +194,50 @@ def test_repair_of_nothing_and_missing_vectors(spark):
     assert {(r.chunk_id, r.group_id) for r in out.collect()} == {("a", 2), ("b", 2), ("c", 2)}
 
 
+@pytest.mark.parametrize("small", [clusters.SMALL, 11, 0])
+def test_repair_within_changes(spark, monkeypatch, small):
+    """Changes (one of them null) that use the same ids for other things: each comes out as if it were alone, whether in a task, cut up, or in rounds."""
+    monkeypatch.setattr(clusters, "SMALL", small)
+    rng = np.random.default_rng(7)
+    rows, want = [], []
+    for change in (None, *range(3 if small == 0 else 12)):
+        vectors = {f"c{i}": rng.normal(size=3).round(3).tolist() for i in range(8 + (change or 0) % 5)}
+        own = sorted({(int(rng.integers(4)), c, f"f{rng.integers(3)}") for c in vectors})
+        rows += [(change, g, c, f, vectors[c]) for g, c, f in own + own[:2]]
+        want += repaired_one_by_one(own, vectors)
+    members = spark.createDataFrame(rows, "change int, group_id long, chunk_id string, file_path string, vector array<double>")
+    assert sorted(map(tuple, clusters.repaired(members, within="change").collect())) == sorted(want)
+
+
+def test_repair_within_changes_shuffles_once(spark):
+    """Rows of a change are brought together once, with their vectors, and nothing is joined or written on the way."""
+    rows = spark.createDataFrame([("x", 1, "a", "f", [1.0]), ("x", 2, "b", "f", [1.0]), ("y", 1, "a", "f", [1.0])], "change string, group_id long, chunk_id string, file_path string, vector array<double>")
+    out = clusters.repaired(rows, within="change")
+    plan = out._jdf.queryExecution().sparkPlan().toString() + out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted(map(tuple, out.collect())) == [(1, "a", "f"), (1, "a", "f"), (1, "b", "f")]
+
+
+def test_repair_keeps_the_files_of_a_chunk_in_two_groups(spark):
+    """Groups 1 and 2 merge, and chunk a, which both hold, keeps both of its files."""
+    rows = spark.createDataFrame([(1, "a", "f"), (2, "a", "g"), (2, "b", "f")], "group_id long, chunk_id string, file_path string")
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.0])], "chunk_id string, vector array<double>")
+    assert sorted(map(tuple, clusters.repaired(rows, vectors).collect())) == [(1, "a", "f"), (1, "a", "g"), (1, "b", "f")]
+
+
+def test_most_similar_pairs_in_slices(monkeypatch):
+    """Pairs are compared in slices, equal ones by place, rows without a number as 0."""
+    rng = np.random.default_rng(3)
+    mean, lengths = rng.normal(size=(60, 3)).round(1), np.array([2, 5, 3, 20, 2, 2, 26])
+    mean[8:10], mean[0] = mean[7], np.nan
+    for compared in (1, 7, 100, 10**6):
+        monkeypatch.setattr(clusters, "COMPARED", compared)
+        s, x, y = clusters._most_similar(mean, lengths)
+        for k, (n, end) in enumerate(zip(lengths, np.cumsum(lengths))):
+            pairs = [(-float(np.nan_to_num(np.rint(mean[i] @ mean[j] * 1e12) / 1e12)), i, j) for i in range(end - n, end) for j in range(i + 1, end)]
+            assert abs(min(pairs)[0] + s[k]) < 1e-9 and min(pairs)[1:] == (x[k], y[k])
+
+
 def test_ranks_are_those_of_the_order(spark):
     rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"))
     assert all(r.place == r.k for r in components.ranked(rows, "k").collect())
