@@ -89,3 +89,49 @@ def test_slices_of_texts(spark, monkeypatch):
     assert got == {t: (n, v) for t, (n, _, v) in learnt(texts, 5, 3).items()}
     rows = spark.createDataFrame([("a b c",)] * 50, "text string")
     assert {r.token: r.n for r in T.token_table(rows).collect()} == {"a": 50, "b": 50, "c": 50}
+
+
+def test_words_of_texts(monkeypatch):
+    """Tokens are those of the pattern, by text, also where texts touch, of cut arrays and by runs of few bytes."""
+    import pyarrow as pa
+
+    texts = ["skipped", "", "ab", "cd e", "", "Été_1 x-y", "ß", "a", "b", "  ", "x" * 50, "\u212a k", "", "end"]
+    want = [re.findall(r"\w+", x, re.ASCII) for x in texts[1:]]
+    for kind in (pa.string(), pa.large_string()):
+        for size in (1, 3, 7, 10**6):
+            monkeypatch.setattr(T, "BYTES", size)
+            assert [x for part in T._words(pa.array(texts, kind).slice(1)) for x in part.to_pylist()] == want
+    assert [len(x.values) for x in T._words(pa.array(["", "!"]))] == [0] and not list(T._words(pa.array([], pa.string())))
+
+
+def test_sums_in_lanes():
+    """Neighbours of tokens that occur more often than a lane counts, in windows for which lanes are wider."""
+    import pyarrow as pa
+
+    texts = [["a"] * 700 + ["b", "c"] * 40, ["c"], ["b", "a", "b"] * 100]
+    for d, window in ((1, 1), (32, 2), (9, 7), (8, 40), (3, 5000)):
+        want = {t: [x, n] for t, (n, _, x) in learnt([" ".join(x) for x in texts], d, window).items()}
+        out = T._summed(pa.array(texts), d, window)
+        assert {r["token"]: r["n"] for r in out.to_pylist()} == {t: n for t, (_, n) in want.items()}
+        assert {r["token"]: r["vector"] for r in T._scaled(out).to_pylist()} == {t: x for t, (x, _) in want.items()}
+
+
+def test_sums_as_bytes():
+    import numpy as np
+    import pyarrow as pa
+
+    v = np.array([[1, -128, 5], [127, -127, 0], [2**31 - 1, -(2**31) + 1, 0], [0, 0, 0], [128, 1, 1]], np.int32)
+    rows = T._rows(pa.array(list("abcde")), np.arange(5), v)
+    packed = T._packed(rows)
+    assert [len(x) for x in packed.column(2).to_pylist()] == [12, 3, 12, 3, 12]
+    assert T._unpacked(packed, 3).to_pylist() == rows.to_pylist() and T._unpacked(packed.slice(1, 3), 3).to_pylist() == rows.slice(1, 3).to_pylist()
+    assert T._unpacked(packed.slice(0, 0), 3).num_rows == 0
+
+
+def test_only_rows_of_used_tokens_are_dealt(spark):
+    """Of a table of 2000 tokens one is used, by two texts: no part of the plan makes a row for each token and salt."""
+    table = T.token_table(spark.range(1000).selectExpr("concat('a', id, ' b', id) AS text"))
+    out = T.table_vectors(spark.createDataFrame([(1, "a7"), (2, "a7 new")], "id int, text string"), table, salts=64)
+    assert "sequence" not in out._jdf.queryExecution().optimizedPlan().toString()
+    one = {r.token: r for r in table.collect()}["a7"]
+    assert {r.id: (r.n_tokens, list(r.sums)) for r in out.collect()} == {i: (i, [one.weight * x for x in one.vector]) for i in (1, 2)}
