@@ -4,7 +4,7 @@
 random signs of the tokens that stand up to `window` places from it, which is a
 random projection of its co-occurrence counts that never holds the counts
 themselves: tokens are split by Spark, each slice of texts is
-summed in arrays, and there is one shuffle of these partial sums, which are added up in order of tokens. Signs are bits of a token's hash, so nothing is drawn and every run agrees. Everything is in 64-bit integers, so sums don't depend on their order.
+summed in arrays, sums of frequent tokens go on from slice to slice of a task, and there is one shuffle of these partial sums, which are added up in order of tokens. Signs are bits of a token's hash, so nothing is drawn and every run agrees. Everything is in 64-bit integers, so sums don't depend on their order.
 
 `table_vectors` embeds texts: the sum over a text's tokens of their scaled vectors, each by
 its rarity weight, by one join on the token, for which only the table's rows of these tokens are dealt out, and one sum by text.
@@ -33,6 +33,8 @@ DIMENSION = 32
 SCALE, RARE = 1000, 1000
 #: Tokens whose neighbours are summed at once, and bytes of texts that are split at once.
 TOKENS, BYTES = 1_000_000, 5_000_000
+#: Sums of tokens that a task holds before it gives on those of rarer ones.
+HELD = 500_000
 #: The bytes of tokens, as \w has them.
 WORD = np.array([chr(b) in "0123456789_ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" for b in range(256)])
 
@@ -55,10 +57,17 @@ def token_table(texts: DataFrame, text_col: str = "text", dimension: int = DIMEN
         raise ValueError("1 to 32 dimensions and a window of 1 or more")
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
             for words in _words(batch.column(0)):
                 for texts in _slices(words) if len(words.values) else ():
-                    yield _packed(_summed(texts, dimension, window))
+                    held.append(_summed(texts, dimension, window))
+                    if sum(x.num_rows for x in held) > HELD:
+                        rare, often = _parted(_merged(held, dimension), window)
+                        held = [often]
+                        yield _packed(rare)
+        if held:
+            yield _packed(_merged(held, dimension))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left = None
@@ -135,6 +144,27 @@ def _words(texts: pa.StringArray) -> Iterator[pa.ListArray]:
         yield pa.ListArray.from_arrays(pa.array(np.searchsorted(at, bounds).astype(np.int32)), found)
 
 
+def _merged(sums: list[pa.RecordBatch], dimension: int) -> pa.RecordBatch:
+    """The sums of batches in each of which a token is there once."""
+    found = pa.concat_arrays([x.column(0) for x in sums]).dictionary_encode()
+    code, known, first = found.indices.to_numpy(), found.dictionary, 0
+    n, v = np.zeros(len(known), np.int64), np.zeros((len(known), dimension), np.int32)
+    for x in sums:
+        own = code[first : first + x.num_rows]
+        n[own] += x.column(1).to_numpy()
+        v[own] += x.column(2).flatten().to_numpy().reshape(-1, dimension)
+        first += x.num_rows
+    return _rows(known, n, v)
+
+
+def _parted(sums: pa.RecordBatch, window: int) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+    """Sums to give on, and those of at most a quarter of HELD tokens, the most frequent ones, that more can be added to: a number has 32 bits."""
+    n, most = sums.column(1).to_numpy(), HELD // 4
+    least = np.partition(n, -most)[-most] if 0 < most <= len(n) else 0
+    often = (n > least) & (n < 2**29 // window)
+    return sums.filter(pa.array(~often)), sums.filter(pa.array(often))
+
+
 def _packed(sums: pa.RecordBatch) -> pa.RecordBatch:
     """Vectors as bytes: one for each number where they fit, else four."""
     v = sums.column(2).flatten().to_numpy().reshape(sums.num_rows, -1)

@@ -135,3 +135,27 @@ def test_only_rows_of_used_tokens_are_dealt(spark):
     assert "sequence" not in out._jdf.queryExecution().optimizedPlan().toString()
     one = {r.token: r for r in table.collect()}["a7"]
     assert {r.id: (r.n_tokens, list(r.sums)) for r in out.collect()} == {i: (i, [one.weight * x for x in one.vector]) for i in (1, 2)}
+
+
+def test_sums_go_on_from_slice_to_slice(spark, monkeypatch):
+    """A task gives on a frequent token's sums once, not with each slice of texts, and nothing is lost where it holds few."""
+    import pyarrow as pa
+
+    texts = [f"x{i} the cat y{i} the dog" for i in range(40)]
+    sums = [T._summed(pa.array([x.split()]), 4, 2) for x in texts]
+    want = {t: (n, x) for t, (n, _, x) in learnt(texts, 4, 2).items()}
+    monkeypatch.setattr(T, "HELD", 12)
+    held, given = [], []
+    for x in sums:
+        held.append(x)
+        if sum(y.num_rows for y in held) > T.HELD:
+            rare, often = T._parted(T._merged(held, 4), 2)
+            assert often.num_rows <= 3
+            given, held = [*given, rare], [often]
+    given += held
+    assert sum(x.num_rows for x in given) < sum(x.num_rows for x in sums) * 0.6
+    merged = T._merged(given, 4)
+    assert {r["token"]: (r["n"], r["vector"]) for r in T._scaled(merged).to_pylist()} == want
+    big = T._rows(pa.array(["a", "b", "c", "d"]), T.np.array([2**40, 9, 8, 1]), T.np.zeros((4, 4), T.np.int32))
+    rare, often = T._parted(big, 2)
+    assert "a" in rare.column(0).to_pylist() and often.column(0).to_pylist() == ["b"]
