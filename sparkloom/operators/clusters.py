@@ -23,8 +23,8 @@ LINKAGE, MERGE = 0.3, 0.6
 SMALL, TOGETHER = 2000, 20_000
 #: Pairs of groups that are compared at once, and numbers of their vectors.
 COMPARED = 2_000_000
-#: Ids of a path that meet others at once, and pairs that a task makes.
-MET, MADE = 3_000, 20_000_000
+#: Ids of a path that meet others at once, pairs that a task makes, and tasks that make them at most.
+MET, MADE, TASKS = 3_000, 20_000_000, 10_000
 #: Last characters of a text by which it is looked for in others.
 HELD = 24
 
@@ -146,7 +146,9 @@ def related_pairs(files: DataFrame) -> DataFrame:
 
     Files of one path are related to the same ones, so keys are joined, and made unique, by path. The ids of a path are dealt to
     blocks of MET, and pairs are made where two blocks meet: what is shuffled
-    is related paths, and a path's ids once for each block that they meet, but no pairs of files of one path. An id that has
+    is related paths, and a path's ids once for each block that they meet, but no pairs of files of one path. Pairs come in
+    runs of one id with others in order. Code made for both explodes together would hold all pairs of two blocks (9 million) as rows before
+    the first is given on; the coalesce, which merges no tasks, parts them, so one id's pairs are held, and a block once for each id of another (72 MB). An id that has
     several paths in a change is found by each, so only then pairs are made unique.
     """
     f = files.select("change_id", "id", "path").filter("change_id IS NOT NULL AND id IS NOT NULL AND path IS NOT NULL")
@@ -157,15 +159,15 @@ def related_pairs(files: DataFrame) -> DataFrame:
     x, y = keys.select("change_id", "key", F.col("id").alias("x")), keys.select("change_id", F.col("key").alias("other"), F.col("id").alias("y"))
     alike = staged(x.join(like, ["change_id", "key"]).join(y, ["change_id", "other"]).filter("x <= y").select("x", "y").distinct(), "alike")
     dealt = f.join(paths, ["change_id", "path"]).select("change_id", "place", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), "id")
-    blocks = staged(dealt.groupBy("change_id", "place", "block").agg(F.collect_set("id").alias("ids")), "blocks")
+    blocks = staged(dealt.groupBy("change_id", "place", "block").agg(F.array_sort(F.collect_set("id")).alias("ids")), "blocks")
     size = blocks.select("place", "block", F.size("ids").cast("long").alias("n"))
     a, b = (size.select(F.col("place").alias(c), F.col("block").alias(f"{c}_block"), F.col("n").alias(f"n{c}")) for c in "xy")
-    meet = staged(alike.join(a, "x").join(b, "y").select("x", "x_block", "y", "y_block", (F.col("nx") * F.col("ny")).alias("n")), "meet")
-    tasks = min(10_000, 1 + (meet.agg(F.sum("n")).first()[0] or 0) // MADE)
+    meet = staged(alike.join(a, "x").join(b, "y").filter("x < y OR x_block <= y_block").select("x", "x_block", "y", "y_block", (F.col("nx") * F.col("ny")).alias("n")), "meet")
+    tasks = min(TASKS, 1 + (meet.agg(F.sum("n")).first()[0] or 0) // MADE)
     a, b = (blocks.select(F.col("place").alias(c), F.col("block").alias(f"{c}_block"), F.col("ids").alias(f"{c}_ids"), "change_id") for c in "xy")
     both = meet.join(a, ["x", "x_block"]).join(b.drop("change_id"), ["y", "y_block"]).repartition(tasks, "x", "x_block", "y", "y_block")
-    pairs = both.select("change_id", "x", "y", "y_ids", F.explode("x_ids").alias("i")).select("change_id", "x", "y", "i", F.explode("y_ids").alias("j"))
-    pairs = pairs.filter("i < j OR (i > j AND x < y)").select("change_id", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
+    one = both.select("change_id", F.expr("x = y AND x_block = y_block").alias("own"), F.explode("x_ids").alias("i"), "y_ids").coalesce(TASKS)
+    pairs = one.select("change_id", "own", "i", F.explode("y_ids").alias("j")).filter("i < j OR (i > j AND NOT own)").select("change_id", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
     return pairs.distinct() if several else pairs
 
 

@@ -1,6 +1,8 @@
 """Greedy groups, consolidation, ranks, inserts and documents, against plain loops."""
 
+import itertools
 import random
+import re
 
 import numpy as np
 import pytest
@@ -87,6 +89,22 @@ def test_related_pairs_shuffle_no_pairs(spark, monkeypatch):
     assert sorted(tuple(r) for r in clusters.related_pairs(spark.createDataFrame(two, columns)).collect()) == sorted(want)
 
 
+def test_related_pairs_are_given_on_in_runs(spark):
+    """The two explodes are in code of their own, so one id's pairs are held and not those of two blocks; each id's pairs are runs in order."""
+    files = spark.range(1200).select(F.lit(1).alias("change_id"), "id", F.concat(F.lit("src/a"), F.col("id") % 2, F.lit(".py")).alias("path"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = clusters.related_pairs(files)
+        stages = re.findall(r"\*\((\d+)\) Generate explode", found._jdf.queryExecution().executedPlan().toString())
+        rows = [(r.a, r.b) for r in found.collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(stages) == len(set(stages)) == 2
+    assert len(rows) == len(set(rows)) == 1200 * 1199 // 2 and all(a < b for a, b in rows)
+    runs = 1 + sum(a != c and b != d or (a, b) > (c, d) for (a, b), (c, d) in itertools.pairwise(rows))
+    assert runs < 2 * 1200 * 2
+
+
 def test_related_groups_match_a_loop(spark):
     rng = random.Random(10)
     alike = plainly_related(spark)
